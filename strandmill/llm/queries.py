@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandmill.llm import packing, sharding
+from strandmill.llm import chat, media, packing, quality, sharding
 from strandmill.llm.common import table
 
 
@@ -23,5 +23,27 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
 
 
-QUERIES = {"op1_packing": op1_packing, "op4_sharding": op4_sharding}
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score_quality(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digest(media.sniff_column(media.text_media(table(spark, sf_dir, "documents")), "media"))
+
+
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn int, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.digest(chat.format_turns(turns))
+
+
+QUERIES = {
+    "op1_packing": op1_packing,
+    "op3_quality": op3_quality,
+    "op4_sharding": op4_sharding,
+    "op6_media": op6_media,
+    "op7_chat": op7_chat,
+}
 ORACLES: dict[str, str] = {}
