@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandmill.llm import chat, media, packing, quality, sharding
+from strandmill.llm import chat, media, packing, pii, quality, sharding
 from strandmill.llm.common import table
 
 
@@ -39,11 +39,16 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_turns(turns))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op3_quality": op3_quality,
     "op4_sharding": op4_sharding,
     "op6_media": op6_media,
     "op7_chat": op7_chat,
+    "op8_pii": op8_pii,
 }
 ORACLES: dict[str, str] = {}
