@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandmill.llm import chat, media, packing, pii, quality, sharding
+from strandmill.llm import chat, media, packing, pii, quality, sharding, toxicity
 from strandmill.llm.common import table
 
 
@@ -43,10 +43,16 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op3_quality": op3_quality,
     "op4_sharding": op4_sharding,
+    "op5_toxicity": op5_toxicity,
     "op6_media": op6_media,
     "op7_chat": op7_chat,
     "op8_pii": op8_pii,
