@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandmill.llm import chat, media, packing, pii, quality, sharding, toxicity
+from strandmill.llm import chat, media, minhash, packing, pii, quality, sharding, toxicity
 from strandmill.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score_quality(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -50,6 +54,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_minhash": op2_minhash,
     "op3_quality": op3_quality,
     "op4_sharding": op4_sharding,
     "op5_toxicity": op5_toxicity,
