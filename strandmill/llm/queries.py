@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandmill.llm import chat, media, minhash, packing, pii, quality, sharding, toxicity
+from strandmill.llm import chat, media, minhash, mixing, packing, pii, quality, sharding, toxicity, vectors
 from strandmill.llm.common import table
 
 
@@ -52,6 +52,14 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "topic", "tokens", "probability", "kept")
+
+
+def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_minhash": op2_minhash,
@@ -61,5 +69,7 @@ QUERIES = {
     "op6_media": op6_media,
     "op7_chat": op7_chat,
     "op8_pii": op8_pii,
+    "op9_mixing": op9_mixing,
+    "op10_vectors": op10_vectors,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_mixing": mixing.mixing_sql()}
