@@ -39,20 +39,25 @@ def labelled_statistics(docs: DataFrame, sample: DataFrame, statistics: Callable
     return [(r.label, r.found) for r in measured.groupBy("doc_id").agg(F.min("label").alias("label"), F.min("found").alias("found")).collect()]
 
 
-def scored(docs: DataFrame, score: Callable[[list[bytes]], list[float]], modulus: int, held_out: int, threshold: float, per_call: int = 500) -> DataFrame:
-    """``docs`` reduced to doc_id, held_out, score and predicted; null texts count as empty."""
+def scored(
+    docs: DataFrame, score: Callable[[list[bytes]], list[float]], modulus: int, held_out: int, threshold: float, per_call: int = 500, carry: list[str] | None = None
+) -> DataFrame:
+    """doc_id, held_out, score and predicted of each document; null texts count as empty.
+
+    ``carry`` names columns of ``docs`` to hand on unchanged, doc_id among them if wanted.
+    """
+    own = [F.col("doc_id").cast("long").alias("doc_id")] if carry is None else [docs[name] for name in carry]
+    held = F.coalesce(text_remainder("doc_id", modulus) == held_out, F.lit(False))
+    rows = docs.select(*own, held.alias("held_out"), F.col("text").cast("binary").alias("_sm_text"))
+    kept = rows.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             for at in range(0, rows.num_rows, per_call):
                 part = rows.slice(at, per_call)
-                found = score([text or b"" for text in part.column(2).to_pylist()])
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.float64())], ["doc_id", "held_out", "score"])
-
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(text_remainder("doc_id", modulus) == held_out, F.lit(False)).alias("held_out"),
-        F.col("text").cast("binary").alias("text"),
-    )
-    found = rows.mapInArrow(run, "doc_id long, held_out boolean, score double")
+                found = score([text or b"" for text in part.column(len(kept)).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(found, pa.float64())], [*kept, "score"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    found = rows.mapInArrow(run, f"{schema}, score double")
     return found.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -214,3 +214,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words_each: int = 4) ->
     named = named.join(parts.withColumnRenamed("node", "class_id"), "class_id", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("component", "class_id", "doc_id"))
     return named.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def without_near_duplicates(docs: DataFrame, percent: int = 80, words_each: int = 4) -> DataFrame:
+    """The rows of ``docs`` whose document is kept; the ids that go are broadcast if
+    they are few and joined by shuffle otherwise. Rows without a doc_id stay."""
+    found = near_duplicates(docs, percent, words_each)
+    gone = stored(found.where("not kept").select("doc_id").distinct(), "gone")
+    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)

@@ -249,8 +249,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, modu
     return Machine(kernel, weights, bias, slope, shift)
 
 
-def score_toxicity(docs: DataFrame, machine: Machine | None, modulus: int = 4, held_out: int = 2, threshold: float = 0.3) -> DataFrame:
-    """One row per document: doc_id, held_out, score, predicted.
+def score_toxicity(docs: DataFrame, machine: Machine | None, modulus: int = 4, held_out: int = 2, threshold: float = 0.3, carry: list[str] | None = None) -> DataFrame:
+    """One row per document: doc_id (or the columns to carry), held_out, score, predicted.
 
     Only the text enters a score. Null and empty texts have no sentence and score
     by the bias. Without a machine every score is 0. Null ids are never held out;
@@ -266,4 +266,4 @@ def score_toxicity(docs: DataFrame, machine: Machine | None, modulus: int = 4, h
             held.append(Sentences(machine.kernel))
         return machine.probabilities(held[0].values([text.decode() for text in texts]))
 
-    return scored(docs, score, modulus, held_out, threshold, per_call=250)
+    return scored(docs, score, modulus, held_out, threshold, per_call=250, carry=carry)
