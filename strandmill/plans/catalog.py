@@ -1,7 +1,8 @@
-"""Registry of the library's queries over the driver tables, with SQL oracles."""
+"""The library's queries over the driver tables, with SQL oracles."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from strandmill.plans import curation_queries, filter_queries, sequence_queries, statistics_queries, tree_queries  # noqa: F401
+from strandmill.plans.registry import ORACLES, QUERIES  # noqa: F401
+
 FLAGSHIP = "subsample_even_orders"
