@@ -3,8 +3,9 @@
 A document is its set of distinct word shingles. The minima of 128 permutations
 of that set give 32 band keys of four minima each, and their lowest two bits
 form a packed signature. Documents of equal sets are one class. Classes that
-share a band key are candidates: first each with the least class of its bucket,
-then, block by block, those that are not connected yet. Bit counts of the packed
+share a band key are candidates: first each with a pivot of its bucket, in two
+rounds, then, block by block, those that are not connected yet; in large buckets
+sets that share too few shingles with any other drop out before that. Bit counts of the packed
 signatures estimate the similarity, corrected for the chance that low bits of
 different minima agree; what the estimate does not rule out is decided on the
 full sets.
@@ -13,6 +14,7 @@ full sets.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,14 +25,17 @@ from pyspark.sql import functions as F
 from strandmill.llm.common import stored
 from strandmill.llm.components import components
 
-HASHES, BANDS, BITS = 128, 32, 2
+HASHES, BANDS, BITS, FINE = 128, 32, 2, 1024
 #: Least corrected estimate that goes on to the full sets: at a similarity of 0.8
 #: one pair in a million has less, as 128 matches have a deviation of 0.03.
 LEAST_ESTIMATE = 0.59
-#: Ids that are broadcast to pick texts; more are joined by shuffle. Rows of a bucket's block.
-BROADCAST_IDS, BLOCK = 200_000, 512
+#: The same for the finer signatures of large buckets, whose deviation is 0.011.
+LEAST_FINE = 0.72
+#: Ids that are broadcast to pick texts; more are joined by shuffle. Rows above which
+#: a bucket is large, rows of a block, and rounds of pivots before other pairs.
+BROADCAST_IDS, LARGE, BLOCK, ROUNDS = 200_000, 64, 2048, 2
 _rng = np.random.default_rng(20_240_601)
-_MULTIPLIERS = _rng.integers(0, 2**63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
+_MULTIPLIERS = _rng.integers(0, 2**63, FINE, np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACES = _rng.integers(0, 2**63, 8, np.uint64) * np.uint64(2) + np.uint64(1)
 _BAND = _rng.integers(0, 2**63, BANDS, np.uint64)
 _WIDE = 2048
@@ -59,11 +64,12 @@ def shingle_set(text: bytes, words_each: int = 4) -> np.ndarray:
     return np.unique(_mixed(total))
 
 
-def minima(shingles: np.ndarray) -> np.ndarray:
+def minima(shingles: np.ndarray, hashes: int = HASHES) -> np.ndarray:
     """Least value of the set under each of the permutations."""
-    out = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), _WIDE):
-        np.minimum(out, (_MULTIPLIERS[:, None] * shingles[None, at : at + _WIDE]).min(axis=1), out=out)
+    out = np.full(hashes, np.iinfo(np.uint64).max, np.uint64)
+    wide = _WIDE * HASHES // hashes
+    for at in range(0, len(shingles), wide):
+        np.minimum(out, (_MULTIPLIERS[:hashes, None] * shingles[None, at : at + wide]).min(axis=1), out=out)
     return out
 
 
@@ -74,9 +80,9 @@ def band_keys(least: np.ndarray) -> np.ndarray:
 
 
 def packed(least: np.ndarray) -> np.ndarray:
-    """The lowest bits of the minima in planes of 64: BITS * HASHES / 64 numbers."""
+    """The lowest bits of the minima in planes of 64: BITS numbers per 64 minima."""
     low = _mixed(least)
-    planes = np.stack([(low >> np.uint64(b)) & np.uint64(1) for b in range(BITS)]).reshape(BITS, HASHES // 64, 64)
+    planes = np.stack([(low >> np.uint64(b)) & np.uint64(1) for b in range(BITS)]).reshape(BITS, len(least) // 64, 64)
     return (planes << np.arange(64, dtype=np.uint64)).sum(axis=2, dtype=np.uint64).reshape(-1)
 
 
@@ -106,36 +112,42 @@ def _signatures(words_each: int):
     return run
 
 
-def _shingle_sets(words_each: int):
+def _shingle_sets(words_each: int, fine: bool = False):
+    """Shingle sets of texts, with their finer signatures if asked for."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
                 sets = [shingle_set(text or b"", words_each) for text in part.column(1).to_pylist()]
                 ends = np.cumsum([0, *map(len, sets)])
-                values = pa.array(np.concatenate(sets).view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], ["id", "shingles"])
+                columns = [part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets).view(np.int64)))]
+                names = ["id", "shingles"]
+                if fine:
+                    columns.append(pa.array([packed(minima(s, FINE)).view(np.int64) for s in sets], pa.list_(pa.int64())))
+                    names.append("planes")
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
 
-def estimate(left: Column, right: Column) -> Column:
+def estimate(left: Column, right: Column, hashes: int = HASHES) -> Column:
     """Similarity from two packed signatures: a minimum agrees if all its bits do."""
-    per = HASHES // 64
-    agree = F.lit(0)
-    for w in range(per):
-        differ = None
-        for b in range(BITS):
-            x = F.element_at(left, b * per + w + 1).bitwiseXOR(F.element_at(right, b * per + w + 1))
-            differ = x if differ is None else differ.bitwiseOR(x)
-        agree = agree + (64 - F.bit_count(differ))
+    per = hashes // 64
+    places = F.sequence(F.lit(1), F.lit(per))
+    differ = lambda w: reduce(lambda x, y: x.bitwiseOR(y), [F.element_at(left, w + b * per).bitwiseXOR(F.element_at(right, w + b * per)) for b in range(BITS)])
+    if per <= 2:
+        unlike = reduce(lambda x, y: x + y, [F.bit_count(differ(F.lit(w + 1))) for w in range(per)])
+    else:
+        unlike = F.aggregate(places, F.lit(0), lambda s, w: s + F.bit_count(differ(w)))
     chance = 2.0**-BITS
-    return (agree / float(HASHES) - chance) / (1 - chance)
+    return ((hashes - unlike) / float(hashes) - chance) / (1 - chance)
 
 
-def _plausible(n1: Column, n2: Column, p1: Column, p2: Column, percent: int) -> Column:
+def _plausible(n1: Column, n2: Column, p1: Column, p2: Column, percent: int, hashes: int = HASHES) -> Column:
     """Sizes and estimate do not rule the link out."""
-    return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & (estimate(p1, p2) >= LEAST_ESTIMATE)
+    least = LEAST_ESTIMATE if hashes == HASHES else LEAST_FINE
+    return (100 * F.least(n1, n2) >= percent * F.greatest(n1, n2)) & (estimate(p1, p2, hashes) >= least)
 
 
 def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -156,6 +168,62 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int, words_each: int)
     return stored(both.where((F.col("common") > 0) & (100 * F.col("common") >= percent * (F.col("sizes") - F.col("common")))).select("a", "b").distinct(), "confirmed")
 
 
+def _stars(placed: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of each bucket's pivot with its members of other parts.
+
+    The pivot is the member with the least hash of bucket, id and turn, so a group
+    that shares many buckets is tried against as many different pivots.
+    """
+    draw = F.struct(F.xxhash64("key", "id", F.lit(turn)), "id", "part")
+    pivots = placed.groupBy("key").agg(F.min(draw).alias("pivot")).select("key", F.col("pivot.id").alias("pivot"), F.col("pivot.part").alias("pivot_part"))
+    pairs = placed.join(pivots, "key").where("part <> pivot_part")
+    return pairs.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+
+
+def _likely(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """Pairs that sizes and signatures do not rule out."""
+    one = marks.select(F.col("id").alias("a"), F.col("n").alias("n1"), F.col("planes").alias("p1"))
+    two = marks.select(F.col("id").alias("b"), F.col("n").alias("n2"), F.col("planes").alias("p2"))
+    joined = pairs.join(one, "a").join(two, "b")
+    return joined.where(_plausible(F.col("n1"), F.col("n2"), F.col("p1"), F.col("p2"), percent)).select("a", "b")
+
+
+def _shared(texts: DataFrame, placed: DataFrame, percent: int, words_each: int) -> DataFrame:
+    """(id, n, shared, planes) of members of large buckets that can have a link at all.
+
+    ``shared`` counts a set's shingles that any other member has, so it bounds each
+    intersection. A set that shares too few drops out, exactly and without a
+    comparison; that is how copies with many edits of their own leave."""
+    ids = stored(placed.select("id").distinct(), "large")
+    sets = _texts_of(texts, ids).mapInArrow(_shingle_sets(words_each, fine=True), "id long, shingles array<long>, planes array<long>")
+    sets = stored(sets, "large-sets")
+    owners = sets.select("id", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("other")).where("id = other")
+    alone = owners.groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
+    size = F.size("shingles").cast("long")
+    counted = sets.select("id", size.alias("n"), "planes").join(alone, "id", "left").withColumn("shared", F.col("n") - F.coalesce("alone", F.lit(0)))
+    return counted.where(100 * F.col("shared") >= percent * F.col("n")).select("id", "n", "shared", "planes")
+
+
+def _unconnected(loose: DataFrame, percent: int, hashes: int) -> DataFrame:
+    """Pairs (a, b) of bucket members in different parts that nothing rules out.
+
+    ``loose`` has key, id, part, n, shared and planes. Members of a bucket's most
+    frequent part need no comparison with each other, so the others are dealt in
+    blocks, and each block is joined to the whole bucket apart. An intersection
+    has at most the smaller ``shared`` of the two.
+    """
+    loose = stored(loose, "loose")
+    main = loose.groupBy("key", "part").agg(F.count(F.lit(1)).alias("members")).groupBy("key").agg(F.max_by("part", F.struct("members", "part")).alias("main"), F.sum("members").alias("all"), F.max("members").alias("most"))
+    main = main.where("all > most").select("key", "main", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int").alias("blocks"))
+    dealt = loose.join(main, "key")
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    left = dealt.where("part <> main").select("key", block.alias("block"), F.col("id").alias("a"), F.col("part").alias("part1"), F.col("n").alias("n1"), F.col("shared").alias("s1"), F.col("planes").alias("p1"))
+    right = dealt.select("key", F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.col("id").alias("b"), F.col("part").alias("part2"), F.col("n").alias("n2"), F.col("shared").alias("s2"), F.col("planes").alias("p2"), (F.col("part") == F.col("main")).alias("main2"))
+    unlike = F.expr(f"part1 <> part2 and (main2 or a < b) and 100 * least(s1, s2) >= {percent} * (n1 + n2 - least(s1, s2))")
+    pairs = left.join(right, ["key", "block"]).where(unlike & _plausible(F.col("n1"), F.col("n2"), F.col("p1"), F.col("p2"), percent, hashes))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80, words_each: int = 4) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -179,34 +247,26 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words_each: int = 4) ->
     classes = stored(classes, "classes")
     marks = classes.select("id", "n", "planes")
     banded = classes.select(F.explode("bands").alias("key"), "id")
-    buckets = banded.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("top")).where("top <> pivot").select("key", "pivot")
-    members = stored(banded.join(buckets, "key"), "members")
+    keys = banded.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high")
+    placed = stored(banded.join(keys.select("key", "rows"), "key").select("key", "rows", "id", F.col("id").alias("part")), "members")
     texts = rows.select(F.col("doc_id").alias("id"), "text")
-
-    one = marks.select(F.col("id").alias("a"), F.col("n").alias("n1"), F.col("planes").alias("p1"))
-    two = marks.select(F.col("id").alias("b"), F.col("n").alias("n2"), F.col("planes").alias("p2"))
-    stars = members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    likely = stars.join(one, "a").join(two, "b").where(_plausible(F.col("n1"), F.col("n2"), F.col("p1"), F.col("p2"), percent))
-    links = _confirmed(texts, likely.select("a", "b"), percent, words_each)
-
-    # Buckets whose members, the pivot aside, are not all connected: their other pairs.
-    joined = components(links).withColumnRenamed("node", "id")
-    placed = members.where("id <> pivot").join(joined, "id", "left").select("key", "id", F.coalesce("component", "id").alias("part"))
-    placed = stored(placed, "placed")
-    open_ = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("rows")).where("low <> high")
-    blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
-    loose = placed.join(open_.select("key", blocks.alias("blocks")), "key").join(marks, "id")
-    loose = stored(loose.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")), "loose")
-    left = loose.select("key", F.col("block").alias("i"), F.explode(F.expr("sequence(block, blocks - 1)")).alias("j"), F.col("id").alias("a"), F.col("part").alias("part1"), F.col("n").alias("n1"), F.col("planes").alias("p1"))
-    right = loose.select("key", F.explode(F.expr("sequence(0, block)")).alias("i"), F.col("block").alias("j"), F.col("id").alias("b"), F.col("part").alias("part2"), F.col("n").alias("n2"), F.col("planes").alias("p2"))
-    unlike = F.expr("part1 <> part2 and (i < j or a < b)")
-    rest = left.join(right, ["key", "i", "j"]).where(unlike & _plausible(F.col("n1"), F.col("n2"), F.col("p1"), F.col("p2"), percent))
-    pairs = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = _confirmed(texts, pairs, percent, words_each)
+    links = None
+    for turn in range(ROUNDS):
+        pairs = _likely(_stars(placed, turn), marks, percent)
+        found = _confirmed(texts, pairs, percent, words_each)
+        links = found if links is None else links.unionByName(found)
+        parts = components(links).withColumnRenamed("node", "id")
+        members = placed.drop("part").join(parts, "id", "left").select("key", "rows", "id", F.coalesce("component", "id").alias("part"))
+        open_ = members.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
+        placed = stored(members.join(open_, "key", "left_semi"), "members")
+    small = placed.where(F.col("rows") <= LARGE).join(marks, "id").withColumn("shared", F.col("n"))
+    large = placed.where(F.col("rows") > LARGE)
+    large = large.join(_shared(texts, large, percent, words_each), "id")
+    rest = _unconnected(small, percent, HASHES).unionByName(_unconnected(large, percent, FINE)).distinct()
+    all_links = links.unionByName(_confirmed(texts, rest, percent, words_each))
 
     # Rows that share an id carry it through their classes, so ids join classes as well.
     owned = usable.join(classes.select("print_a", "print_b", "id"), ["print_a", "print_b"]).where("doc_id <> id").select(F.col("doc_id").alias("b"), F.col("id").alias("a")).distinct()
-    all_links = links.unionByName(more)
     repeated = owned.groupBy("b").agg(F.min("a").alias("low"), F.max("a").alias("high")).where("low <> high").select(F.col("low").alias("a"), "b")
     tied = owned.join(repeated.select("b"), "b", "left_semi").select("a", "b")
     parts = components(all_links.unionByName(tied))
