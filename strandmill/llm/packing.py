@@ -23,7 +23,7 @@ SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id lon
 SEQUENCE_BITS = 40
 #: Chunks a worker remembers, the longest of them in bytes, and the length up to
 #: which they stay when there are too many.
-REMEMBERED, LONGEST, COMMON = 1_500_000, 40, 7
+REMEMBERED, LONGEST, COMMON = 600_000, 40, 7
 #: ASCII signs: fixed values, neither letters, digits nor white space.
 SIGNS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Ids to a batch of results, so that long documents do not pile up.

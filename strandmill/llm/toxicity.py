@@ -31,7 +31,7 @@ LEAST_COVER = 0.01
 #: Length of the grams (with ^ and $ at a word's ends) that landmarks grow from.
 GRAM = 5
 #: Units that a worker remembers as without any value.
-REMEMBERED = 1_500_000
+REMEMBERED = 1_000_000
 _SPELLED = re.compile(r"(?<!\S)(?:\S[ \t]){3,}\S(?!\S)")
 _SENTENCE = re.compile(r"[.!?\n]+(?=\s|$)|\n")
 _EDGES = " \t\r\n.,;:!?\"'()[]{}<>|*#$%&"
