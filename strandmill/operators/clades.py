@@ -75,8 +75,8 @@ def assign_clades(nodes: DataFrame, paths: DataFrame, mutations: DataFrame, defi
     A clade's label goes to the matching node with most tips, the first in
     pre-order on ties; membership runs down to the next label.
     """
-    states = tree.inherited_state(paths, mutations)
-    matches = matching_nodes(definitions, states, nodes, root_state)
+    states = tree.inherited_state(paths, mutations).persist()
+    matches = matching_nodes(definitions, states, nodes, root_state).persist()
     sized = matches.join(tree.leaf_counts(nodes, paths), "node").join(nodes.select("node", "pre"), "node")
     best = sized.groupBy("clade").agg(F.max_by("node", F.struct(F.col("leaves"), -F.col("pre"))).alias("node"))
     # Several clades at one node: the one defined by more alleles, then the later name, is shown.

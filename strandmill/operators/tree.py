@@ -68,20 +68,21 @@ def closure(nodes: DataFrame, levels: int | None = None) -> DataFrame:
     """(anc, desc, steps, dist) of every node with each ancestor and itself.
 
     Path doubling: a round joins paths of up to n steps to ones of up to 2n, so a
-    tree of depth d needs log2(d) equi-joins.
+    tree of depth d needs log2(d) equi-joins. Each round is kept, as the next one
+    reads it three times, and so is the result.
     """
     depth = levels if levels is not None else nodes.agg(F.max("depth")).first()[0] or 0
     one = nodes.where("parent is not null").select(F.col("parent").alias("anc"), F.col("node").alias("desc"), F.lit(1).alias("steps"), F.col("branch_length").alias("dist"))
-    known, reach = one, 1
+    known, reach = one.persist(), 1
     while reach < depth:
         far = known.where(F.col("steps") == reach)
         longer = far.select("desc", F.col("anc").alias("mid"), F.col("steps").alias("s1"), F.col("dist").alias("d1")).join(
             known.select(F.col("desc").alias("mid"), "anc", F.col("steps").alias("s2"), F.col("dist").alias("d2")), "mid"
         )
-        known = known.unionByName(longer.select("anc", "desc", (F.col("s1") + F.col("s2")).alias("steps"), (F.col("d1") + F.col("d2")).alias("dist")))
+        known = known.unionByName(longer.select("anc", "desc", (F.col("s1") + F.col("s2")).alias("steps"), (F.col("d1") + F.col("d2")).alias("dist"))).persist()
         reach *= 2
     own = nodes.select(F.col("node").alias("anc"), F.col("node").alias("desc"), F.lit(0).alias("steps"), F.lit(0.0).alias("dist"))
-    return own.unionByName(known)
+    return own.unionByName(known).persist()
 
 
 def leaf_counts(nodes: DataFrame, paths: DataFrame) -> DataFrame:
@@ -176,19 +177,23 @@ def unique_labels(labels: DataFrame) -> DataFrame:
     return labels.select("node", F.when(count > 1, F.concat_ws("_", "label", rank.cast("string"))).otherwise(F.col("label")).alias("label"))
 
 
-def layout(nodes: DataFrame, paths: DataFrame) -> DataFrame:
-    """(node, y): tips by rank, inner nodes midway between their lowest and highest tips' means.
+def layout(nodes: DataFrame) -> DataFrame:
+    """(tree_id, node, y): tips by rank from the last in pre-order, inner nodes midway of
+    their children's extremes. A recurrence, so each tree is one pandas group."""
 
-    An inner node lies midway of its children's extremes, level by level.
-    """
-    tips = nodes.where("is_tip").select("node", F.row_number().over(W.partitionBy("tree_id").orderBy(F.desc("pre"))).cast("double").alias("y"))
-    depth = nodes.agg(F.max("depth")).first()[0] or 0
-    placed = tips
-    for level in range(depth - 1, -1, -1):
-        inner = nodes.where((F.col("depth") == level) & ~F.col("is_tip")).select(F.col("node").alias("parent"))
-        below = nodes.select("node", "parent").join(placed, "node").groupBy("parent").agg(((F.min("y") + F.max("y")) / 2).alias("y"))
-        placed = placed.unionByName(inner.join(below, "parent").select(F.col("parent").alias("node"), "y"))
-    return placed
+    def place(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["depth", "pre"], ascending=False)
+        tips = pdf[pdf["is_tip"]].sort_values("pre", ascending=False)
+        y = dict(zip(tips["node"], np.arange(1.0, len(tips) + 1), strict=True))
+        ends: dict[str, tuple[float, float]] = {}
+        for node, parent in zip(pdf["node"], pdf["parent"], strict=True):
+            if node in ends:
+                y[node] = sum(ends[node]) / 2
+            low, high = ends.get(parent, (y[node], y[node]))
+            ends[parent] = min(low, y[node]), max(high, y[node])
+        return pd.DataFrame({"tree_id": pdf["tree_id"], "node": pdf["node"], "y": pdf["node"].map(y)})
+
+    return nodes.groupBy("tree_id").applyInPandas(place, "tree_id string, node string, y double")
 
 
 def path_between(paths: DataFrame, first: Column | str, second: Column | str) -> DataFrame:

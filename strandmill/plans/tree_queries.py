@@ -83,11 +83,11 @@ _CLADES = """c(clade, gene, pos, alt) AS (VALUES ('A', 'gN', 1, 'O'), ('B', 'gN'
 
 @query("clade_assignment", f"{_TREE}, {_MUTATIONS}, {_STATES}, {_CLADES} SELECT \"desc\"::VARCHAR AS node, coalesce(arg_min(z.clade, steps) FILTER (WHERE z.clade IS NOT NULL), 'unassigned') AS clade FROM up LEFT JOIN z ON anc = z.node GROUP BY 1")
 def clade_assignment(spark, tables):
-    nodes = heap_nodes(tables)
+    nodes = heap_nodes(tables).persist()
     rows = [("A", "gN", 1, "O"), ("B", "clade", "A", ""), ("B", "gN", 2, "O"), ("C", "gR", 1, "F"), ("C", "gA", 2, "F"), ("D", "gN", 3, "O"), ("D", "gA", 1, "F")]
     definitions = spark.createDataFrame(clades.inherited_definitions(rows), "clade string, gene string, pos int, alt string")
     root = spark.createDataFrame([("gN", 1, "x"), ("gA", 1, "F")], "gene string, pos int, state string")
-    member, _ = clades.assign_clades(nodes, tree.closure(nodes), heap_mutations(tables), definitions, root)
+    member, _ = clades.assign_clades(nodes, tree.closure(nodes), heap_mutations(tables).persist(), definitions, root)
     return member
 
 
@@ -111,8 +111,7 @@ def unique_labels(spark, tables):
 
 @query("tree_layout", None)
 def tree_layout(spark, tables):
-    nodes = heap_nodes(tables)
-    return tree.layout(nodes, tree.closure(nodes))
+    return tree.layout(heap_nodes(tables))
 
 
 @query("tree_lbi", None)
