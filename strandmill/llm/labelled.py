@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandmill.llm.common import text_remainder
+from strandmill.llm.common import text_remainder, tidy
 
 
 def sampled_labels(labels: DataFrame, column: str, modulus: int, held_out: int, rows: int) -> DataFrame:
@@ -40,10 +40,12 @@ def labelled_statistics(docs: DataFrame, sample: DataFrame, statistics: Callable
 
 
 def scored(
-    docs: DataFrame, score: Callable[[list[bytes]], list[float]], modulus: int, held_out: int, threshold: float, per_call: int = 500, carry: list[str] | None = None
+    docs: DataFrame, scorer: Callable[[], Callable[[list[bytes]], list[float]]], modulus: int, held_out: int, threshold: float, per_call: int = 500, carry: list[str] | None = None
 ) -> DataFrame:
     """doc_id, held_out, score and predicted of each document; null texts count as empty.
 
+    ``scorer`` makes a task's scoring function, which may remember what it has seen.
+
     ``carry`` names columns of ``docs`` to hand on unchanged, doc_id among them if wanted.
     """
     own = [F.col("doc_id").cast("long").alias("doc_id")] if carry is None else [docs[name] for name in carry]
@@ -52,6 +54,7 @@ def scored(
     kept = rows.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = scorer()
         for rows in batches:
             for at in range(0, rows.num_rows, per_call):
                 part = rows.slice(at, per_call)
@@ -59,5 +62,5 @@ def scored(
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(found, pa.float64())], [*kept, "score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    found = rows.mapInArrow(run, f"{schema}, score double")
+    found = rows.mapInArrow(tidy(run), f"{schema}, score double")
     return found.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

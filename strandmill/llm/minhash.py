@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandmill.llm.common import stored
+from strandmill.llm.common import stored, tidy
 from strandmill.llm.components import components
 
 HASHES, BANDS, BITS, FINE = 128, 32, 2, 1024
@@ -160,7 +160,7 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int, words_each: int)
     """Pairs (a, b) whose full sets overlap enough."""
     pairs = stored(pairs, "pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = stored(_texts_of(docs, ids).mapInArrow(_shingle_sets(words_each), "id long, shingles array<long>"), "sets")
+    sets = stored(_texts_of(docs, ids).mapInArrow(tidy(_shingle_sets(words_each)), "id long, shingles array<long>"), "sets")
     one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
     two = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
@@ -195,7 +195,7 @@ def _shared(texts: DataFrame, placed: DataFrame, percent: int, words_each: int)
     intersection. A set that shares too few drops out, exactly and without a
     comparison; that is how copies with many edits of their own leave."""
     ids = stored(placed.select("id").distinct(), "large")
-    sets = _texts_of(texts, ids).mapInArrow(_shingle_sets(words_each, fine=True), "id long, shingles array<long>, planes array<long>")
+    sets = _texts_of(texts, ids).mapInArrow(tidy(_shingle_sets(words_each, fine=True)), "id long, shingles array<long>, planes array<long>")
     sets = stored(sets, "large-sets")
     owners = sets.select("id", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("other")).where("id = other")
     alone = owners.groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
@@ -239,7 +239,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words_each: int = 4) ->
     its members are neither connected nor ruled out by their signatures.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    signed = stored(rows.mapInArrow(_signatures(words_each), "doc_id long, n_shingles long, print_a long, print_b long, bands array<long>, planes array<long>"), "signatures")
+    signed = stored(rows.mapInArrow(tidy(_signatures(words_each)), "doc_id long, n_shingles long, print_a long, print_b long, bands array<long>, planes array<long>"), "signatures")
     usable = signed.where("n_shingles > 0 and doc_id is not null")
     classes = usable.groupBy("print_a", "print_b").agg(
         F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("planes").alias("planes")

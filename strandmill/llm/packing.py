@@ -18,12 +18,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandmill.llm.common import tidy
+
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 #: Pieces of one partition get consecutive sequence ids from its number shifted by this.
 SEQUENCE_BITS = 40
 #: Chunks a worker remembers, the longest of them in bytes, and the length up to
 #: which they stay when there are too many.
-REMEMBERED, LONGEST, COMMON = 600_000, 40, 7
+REMEMBERED, LONGEST, COMMON = 400_000, 40, 8
 #: ASCII signs: fixed values, neither letters, digits nor white space.
 SIGNS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Ids to a batch of results, so that long documents do not pile up.
@@ -148,7 +150,7 @@ def pack(docs: DataFrame, tokenizer: str, longest: int = 4096, end_id: int = 2,
     if longest & (longest - 1) or longest < 1:
         raise ValueError("longest must be a power of two")
     narrow = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").cast("binary").alias("text"))
-    return narrow.mapInArrow(_pieces(tokenizer, longest, end_id, pa.int64()), SCHEMA)
+    return narrow.mapInArrow(tidy(_pieces(tokenizer, longest, end_id, pa.int64())), SCHEMA)
 
 
 def write_buckets(pieces: DataFrame, path: str) -> None:

@@ -84,4 +84,4 @@ def score_quality(docs: DataFrame, model: Discriminant | None, modulus: int = 5,
             return [0.5] * len(texts)
         return model.probability(np.array([features.statistics(text) for text in texts])).tolist() if texts else []
 
-    return scored(docs, score, modulus, held_out, threshold)
+    return scored(docs, lambda: score, modulus, held_out, threshold)

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandmill.llm.common import tidy
 from strandmill.llm.labelled import sampled_labels, scored
 from strandmill.llm.strings import ORDER, UNIT, LandmarkKernel
 
@@ -31,7 +32,7 @@ LEAST_COVER = 0.01
 #: Length of the grams (with ^ and $ at a word's ends) that landmarks grow from.
 GRAM = 5
 #: Units that a worker remembers as without any value.
-REMEMBERED = 1_000_000
+REMEMBERED = 600_000
 _SPELLED = re.compile(r"(?<!\S)(?:\S[ \t]){3,}\S(?!\S)")
 _SENTENCE = re.compile(r"[.!?\n]+(?=\s|$)|\n")
 _EDGES = " \t\r\n.,;:!?\"'()[]{}<>|*#$%&"
@@ -232,7 +233,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, modu
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.list_(pa.float64()))], ["doc_id", "label", "found"])
 
     # One list per sampled id, so repeated rows of an id add nothing.
-    rows = texts.mapInArrow(witnesses, "doc_id long, label int, found array<double>").groupBy("doc_id").agg(F.min("label").alias("label"), F.slice(F.array_sort(F.collect_set("found")), 1, 4 * WITNESSES).alias("found")).collect()
+    rows = texts.mapInArrow(tidy(witnesses), "doc_id long, label int, found array<double>").groupBy("doc_id").agg(F.min("label").alias("label"), F.slice(F.array_sort(F.collect_set("found")), 1, 4 * WITNESSES).alias("found")).collect()
     rows.sort(key=lambda r: r.doc_id)
     label = np.array([r.label for r in rows])
     bags = [np.array(r.found) @ kernel.root for r in rows]
@@ -257,13 +258,11 @@ def score_toxicity(docs: DataFrame, machine: Machine | None, modulus: int = 4, h
     repeated rows are scored alike; other columns are ignored; an empty table
     gives no rows. One narrow pass, no shuffle.
     """
-    held: list[Sentences] = []
 
-    def score(texts: list[bytes]) -> list[float]:
+    def scorer():
         if machine is None:
-            return [0.0] * len(texts)
-        if not held:
-            held.append(Sentences(machine.kernel))
-        return machine.probabilities(held[0].values([text.decode() for text in texts]))
+            return lambda texts: [0.0] * len(texts)
+        sentences = Sentences(machine.kernel)
+        return lambda texts: machine.probabilities(sentences.values([text.decode() for text in texts]))
 
-    return scored(docs, score, modulus, held_out, threshold, per_call=250, carry=carry)
+    return scored(docs, scorer, modulus, held_out, threshold, per_call=250, carry=carry)
