@@ -27,8 +27,9 @@ from strandmill.llm.strings import ORDER, UNIT, LandmarkKernel
 #: Bounds: labelled documents to fit on, candidate grams sent to the driver,
 #: landmarks, and sentences of a document that may be its witness.
 SAMPLE_ROWS, CANDIDATES, LANDMARKS, WITNESSES = 10_000, 4000, 32, 4
-#: Share of the toxic documents that a gram must be in to start or extend a landmark.
-LEAST_COVER = 0.01
+#: Share of the toxic documents that a gram must be in to start or extend a landmark,
+#: and the larger share where there are few of them, as rare grams then say little.
+LEAST_COVER, LEAST_SMALL = 0.01, 0.06
 #: Length of the grams (with ^ and $ at a word's ends) that landmarks grow from.
 GRAM = 5
 #: Units that a worker remembers as without any value.
@@ -76,7 +77,7 @@ def _overlap(a: str, b: str, low: dict[str, float], left: bool) -> str:
 
 def choose_landmarks(counts: list[tuple[str, int, int]], toxic: int, clean: int, most: int = LANDMARKS) -> list[str]:
     """Strings grown from grams that toxic documents have far more often than others."""
-    share = {g: t / max(toxic, 1) for g, t, c in counts if t >= max(3, LEAST_COVER * toxic) and t / max(toxic, 1) > 8 * c / max(clean, 1)}
+    share = {g: t / max(toxic, 1) for g, t, c in counts if t >= max(3, LEAST_COVER * toxic, LEAST_SMALL * min(toxic, 100)) and t / max(toxic, 1) > 8 * c / max(clean, 1)}
     out: list[str] = []
     while share and len(out) < most:
         gram = max(sorted(share), key=share.get)
