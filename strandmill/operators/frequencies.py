@@ -133,16 +133,18 @@ def binomial_confidence(p: Column, n: Column) -> Column:
     return F.sqrt((1.0 / (1.0 + n) + p * (1 - p)) / (1.0 + n))
 
 
-def diffusion_fit(times: np.ndarray, seen: np.ndarray, pivots: np.ndarray, stiffness: float = 20.0, rounds: int = 60) -> np.ndarray:
+def diffusion_fit(times: np.ndarray, seen: np.ndarray, pivots: np.ndarray, stiffness: float = 20.0, rounds: int = 60, weights: np.ndarray | None = None) -> np.ndarray:
     """Frequencies at pivots of a 0/1 series by penalised likelihood.
 
     The log odds at the pivots are interpolated to the observations; squared
     steps between pivots are penalised by ``stiffness``. The problem is convex
-    and solved by damped Newton steps.
+    and solved by damped Newton steps. An observation with weight n counts as n
+    observations, of which ``seen`` is the share that was seen.
     """
     n = len(pivots)
     if not len(times):
         return np.full(n, np.nan)
+    weights = np.ones(len(times)) if weights is None else weights
     right = np.clip(np.searchsorted(pivots, times), 1, n - 1)
     share = np.clip((times - pivots[right - 1]) / (pivots[right] - pivots[right - 1]), 0, 1)
     basis = np.zeros((len(times), n))
@@ -153,8 +155,8 @@ def diffusion_fit(times: np.ndarray, seen: np.ndarray, pivots: np.ndarray, stiff
     x = np.zeros(n)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-basis @ x))
-        gradient = basis.T @ (p - seen) + penalty @ x
-        hessian = (basis * (p * (1 - p))[:, None]).T @ basis + penalty
+        gradient = basis.T @ (weights * (p - seen)) + penalty @ x
+        hessian = (basis * (weights * p * (1 - p))[:, None]).T @ basis + penalty
         move = np.linalg.solve(hessian, gradient)
         x -= move * min(1.0, 2.0 / (np.abs(move).max() + 1e-12))
         if np.abs(move).max() < 1e-8:
@@ -164,15 +166,16 @@ def diffusion_fit(times: np.ndarray, seen: np.ndarray, pivots: np.ndarray, stiff
 
 def diffusion_frequencies(observations: DataFrame, pivots: list[float], stiffness: float = 20.0) -> DataFrame:
     """(group, pivot, frequency) from (group, num_date, seen 0/1): one fit per group, whose
-    observations are first counted on a fine grid, so a group's size is bounded."""
+    observations are first counted on a fine grid, so a group's size is bounded. Each
+    cell weighs as many observations as it has."""
     grid = np.array(pivots)
     fine = 200
     width = (pivots[-1] - pivots[0]) / fine
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        times = np.repeat(pdf["t"].to_numpy(), np.minimum(pdf["n"], 50))
-        share = np.repeat((pdf["k"] / pdf["n"]).to_numpy(), np.minimum(pdf["n"], 50))
-        return pd.DataFrame({"group": pdf["group"].iloc[0], "pivot": grid, "frequency": diffusion_fit(times, share, grid, stiffness)})
+        n = pdf["n"].to_numpy(float)
+        found = diffusion_fit(pdf["t"].to_numpy(), pdf["k"].to_numpy() / n, grid, stiffness, weights=n)
+        return pd.DataFrame({"group": pdf["group"].iloc[0], "pivot": grid, "frequency": found})
 
     cell = F.floor((F.col("num_date") - pivots[0]) / width)
     counted = observations.where(F.col("num_date").between(pivots[0], pivots[-1])).groupBy("group", (pivots[0] + (cell + 0.5) * width).alias("t")).agg(F.count(F.lit(1)).alias("n"), F.sum("seen").alias("k"))
