@@ -100,11 +100,17 @@ class Sentences:
         self.blank: set[str] = set()
         self.valued: dict[str, np.ndarray] = {}
 
-    def learn(self, fresh: list[str]) -> None:
-        if len(self.blank) + len(fresh) > REMEMBERED:
+    def unknown(self, seen: set[str]) -> list[str]:
+        return [unit for unit in seen - self.blank if unit not in self.valued]
+
+    def make_room(self, seen: set[str]) -> None:
+        """Forget units if those of a call would be too many; what it needs again is then unknown."""
+        if len(self.blank) + len(self.valued) + len(self.unknown(seen)) > REMEMBERED:
             self.blank = {u for u in self.blank if len(u) <= 7}
-        if len(self.blank) + len(self.valued) > REMEMBERED:
+        if len(self.blank) + len(self.valued) + len(self.unknown(seen)) > REMEMBERED:
             self.blank, self.valued = set(), {}
+
+    def learn(self, fresh: list[str]) -> None:
         for at in range(0, len(fresh), 20_000):
             some = fresh[at : at + 20_000]
             pieces = [(i, piece) for i, unit in enumerate(some) for piece in _windows(_bare(unit))]
@@ -120,7 +126,8 @@ class Sentences:
         """For each text, the values of its sentences that have any."""
         split = [set(units(text)) for text in texts]
         seen = set().union(*split)
-        fresh = [unit for unit in seen - self.blank if unit not in self.valued]
+        self.make_room(seen)
+        fresh = self.unknown(seen)
         self.learn(fresh)
         out = []
         for text, own in zip(texts, split, strict=True):
