@@ -24,6 +24,9 @@ from strandmill.llm.components import components
 #: Neighbours compared, signs in a key, and the share of pairs at the threshold
 #: itself that the passes shall find.
 WINDOW, SIGNS, RECALL = 48, 62, 0.97
+#: Vectors sampled to measure how keys crowd, those of them that get a partner at the
+#: threshold, and the passes tried on them.
+SAMPLE, PROBES, TRIALS = 4096, 256, 64
 #: Rows of a block when a component's vectors are compared one by one.
 BLOCK = 512
 
@@ -38,6 +41,48 @@ def passes_needed(rows: int, threshold: float, window: int = WINDOW, recall: flo
     return max(4, math.ceil(math.log(1 - recall) / math.log(1 - min(meets, 0.999))))
 
 
+def measured_passes(sample: np.ndarray, rows: int, threshold: float, window: int = WINDOW, recall: float = RECALL, seed: int = 0) -> tuple[int, np.ndarray]:
+    """Passes that find pairs at the threshold where keys crowd, and the centre for the keys.
+
+    Sampled vectors get a partner at the threshold in the direction of another one.
+    A trial pass counts the sampled keys between both, without vectors that link with
+    either, as those are united anyway. How often few enough lie between is carried
+    on to all rows by a power law. The tenth of the vectors that meets least in half
+    of the trials decides, by its other half. The centre is the mean or the origin,
+    whichever needs fewer passes.
+    """
+    least = passes_needed(rows, threshold, window, recall)
+    origin, n, dims = np.zeros(sample.shape[1]), *sample.shape
+    if n < 3 or rows <= window or dims < 2:
+        return least, origin
+    rng = np.random.default_rng([seed, dims])
+    x, z = sample[rng.permutation(n)[:PROBES]], sample[rng.permutation(n)[:PROBES]]
+    aside = z - np.einsum("ij,ij->i", x, z)[:, None] * x
+    aside = np.where((np.linalg.norm(aside, axis=1) < 1e-6)[:, None], rng.normal(size=x.shape), aside)
+    aside -= np.einsum("ij,ij->i", x, aside)[:, None] * x
+    y = threshold * x + math.sqrt(1 - threshold**2) * aside / np.linalg.norm(aside, axis=1)[:, None]
+    far = (x @ sample.T < threshold) & (y @ sample.T < threshold)
+    places = np.unique(np.geomspace(max(2.0, window * n / rows), max(4.0, n / 8), 6).astype(int)) if window * n < 2 * rows else np.array([window * n // rows])
+    weights = 1 << np.arange(SIGNS - 1, -1, -1, dtype=np.int64)
+    found = []
+    for centre in (origin, sample.mean(axis=0)):
+        between = np.empty((TRIALS, len(x)), np.int64)
+        draw = np.random.default_rng([seed, dims, 1])
+        for t in range(TRIALS):
+            planes = draw.normal(size=(dims, SIGNS))
+            all_keys, one, two = ((((v - centre) @ planes > 0) * weights).sum(axis=1) for v in (sample, x, y))
+            low, high = np.minimum(one, two)[:, None], np.maximum(one, two)[:, None]
+            between[t] = ((all_keys >= low) & (all_keys <= high) & far).sum(axis=1)
+        close = between[:, :, None] < places
+        crowded = np.argsort(close[::2].mean(axis=(0, 2)), kind="stable")[: max(len(x) // 10, 1)]
+        meets = np.maximum(close[1::2][:, crowded].mean(axis=(0, 1)), 0.5 / (TRIALS // 2 * len(crowded)))
+        power = max(np.polyfit(np.log(places), np.log(meets), 1)[0], 0.0) if len(places) > 1 else 0.0
+        chance = meets[0] * min(window * n / rows / places[0], 1.0) ** power
+        found.append((math.ceil(math.log(1 - recall) / math.log(1 - min(chance, 0.999))), centre))
+    passes, centre = min(found, key=lambda f: f[0])
+    return max(least, passes), centre
+
+
 def _unit_rows(column: pa.ListArray) -> tuple[np.ndarray, list]:
     """Which vectors are usable, and the unit vectors of those (None elsewhere)."""
     usable = np.zeros(len(column), bool)
@@ -70,7 +115,7 @@ def _prepared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, ["vec_id", "print_a", "print_b", "unit"])
 
 
-def _keys(passes: int, seed: int):
+def _keys(passes: int, seed: int, centres: dict[int, np.ndarray]):
     """Rows (pass, dims, key, id, unit): one per pass of each vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,7 +130,7 @@ def _keys(passes: int, seed: int):
                     if dims not in planes:
                         planes[dims] = np.random.default_rng([seed, dims]).normal(size=(dims, passes * SIGNS))
                     x = np.array([units[i] for i in rows])
-                    keys = ((x @ planes[dims] > 0).reshape(len(rows), passes, SIGNS) * weights).sum(axis=2).T.reshape(-1)
+                    keys = (((x - centres.get(dims, 0.0)) @ planes[dims] > 0).reshape(len(rows), passes, SIGNS) * weights).sum(axis=2).T.reshape(-1)
                     vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, dims * len(rows) * passes + 1, dims), pa.int32()), pa.array(np.tile(x, (passes, 1)).reshape(-1)))
                     columns = [
                         pa.array(np.repeat(np.arange(passes, dtype=np.int32), len(rows))),
@@ -150,9 +195,9 @@ def near_duplicate_vectors(embeddings: DataFrame, threshold: float = 0.9, window
     """One row per vector: vec_id, n_links, component_id, kept.
 
     Vectors link if their cosine in double precision is at least ``threshold``
-    (above 0). The passes follow from the number of distinct vectors; a pair at
-    the threshold meets in one of them with chance ``recall``, closer pairs more
-    surely. Once two vectors are in one component, the link between them is
+    (above 0). The passes follow from the number of distinct vectors and from how
+    their keys crowd in a sample (``measured_passes``); a pair at the threshold
+    meets in one of them with chance ``recall``, closer pairs more surely. Once two vectors are in one component, the link between them is
     decided exactly, so dense groups lose none.
 
     Vectors that are null, empty, zero or hold null or non-finite components link
@@ -168,8 +213,13 @@ def near_duplicate_vectors(embeddings: DataFrame, threshold: float = 0.9, window
     classes = usable.groupBy("print_a", "print_b").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("unit").alias("unit")).where("id is not null")
     # Ids name classes; where rows share an id, its classes count as one through it.
     classes = stored(classes, "vector-classes")
-    passes = passes_needed(classes.count(), threshold, window, recall)
-    keyed = classes.select("id", "unit").mapInArrow(_keys(passes, seed), "pass int, dims int, key long, id long, unit array<double>")
+    passes, centres = 4, {}
+    for dims, count in classes.groupBy(F.size("unit")).count().collect():
+        own = classes.where(F.size("unit") == dims)
+        sample = own.select("unit").orderBy(F.xxhash64("print_a", "print_b"), "print_a", "print_b").limit(SAMPLE).collect()
+        needed, centres[dims] = measured_passes(np.array([r.unit for r in sample]), count, threshold, window, recall, seed)
+        passes = max(passes, needed)
+    keyed = classes.select("id", "unit").mapInArrow(_keys(passes, seed, centres), "pass int, dims int, key long, id long, unit array<double>")
     order = ["pass", "dims", "key", "id"]
     ordered = keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("pass", "dims", "id", "unit")
     links = ordered.mapInArrow(_windows(threshold, window), "a long, b long").distinct()

@@ -7,7 +7,7 @@ import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from strandmill.llm import strings, toxicity  # noqa: E402
+from strandmill.llm import strings, toxicity, vectors  # noqa: E402
 
 
 def test_toxicity_values_survive_forgetting(monkeypatch):
@@ -21,3 +21,15 @@ def test_toxicity_values_survive_forgetting(monkeypatch):
         sentences = toxicity.Sentences(kernel)
         got = [sentences.values([text])[0] for text in texts]
         assert all(np.allclose(a, b) for a, b in zip(got, want, strict=True))
+
+
+def test_vector_pairs_in_a_cone_meet(spark):
+    rng = np.random.default_rng(3)
+    unit = lambda a: a / np.linalg.norm(a, axis=1)[:, None]
+    axis = np.eye(64)[:1]
+    x = unit(np.sqrt(0.8) * axis + np.sqrt(0.2) * unit(rng.normal(size=(5000, 64)) * (np.arange(64) > 0)))
+    aside = x[200:400] - np.einsum("ij,ij->i", x[200:400], x[:200])[:, None] * x[:200]
+    y = 0.905 * x[:200] + np.sqrt(1 - 0.905**2) * unit(aside)
+    rows = [(i, v.tolist()) for i, v in enumerate(np.vstack([x, y]))]
+    found = {r["vec_id"]: r["component_id"] for r in vectors.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert np.mean([found[i] == found[5000 + i] for i in range(200)]) >= 0.93
