@@ -71,22 +71,28 @@ def top_per_group(df: DataFrame, by: list[str], size: Column | int, priority: Co
     return ranked.where(F.col("_sm_rank") <= size).drop("_sm_rank")
 
 
-def even_size(total: int, counts: list[int]) -> int:
-    """Rows per group so that the sum stays within ``total``.
+def even_size(total: int, counts: list[int], groups: list[int] | None = None) -> int:
+    """Rows per group so that the sum stays within ``total``; each count stands for
+    as many ``groups`` (one by default).
 
     A bisection that only ever tries its upper end and stops at a gap of two, so
     the result need not be the largest that fits.
     """
-    if total < len(counts):
+    groups = [1] * len(counts) if groups is None else groups
+
+    def kept(size: int) -> int:
+        return sum(n * min(size, c) for c, n in zip(counts, groups, strict=True))
+
+    if total < sum(groups):
         raise ValueError("more groups than rows to keep")
     low, high = 1, total
     while high - low > 2:
         middle = (high + low) // 2
-        if sum(min(middle, c) for c in counts) > total:
+        if kept(middle) > total:
             high = middle
         else:
             low = middle
-    return high if sum(min(high, c) for c in counts) <= total else low
+    return high if kept(high) <= total else low
 
 
 def fractional_size(total: int, groups: int) -> float:
@@ -136,12 +142,11 @@ def sample_even(df: DataFrame, by: list[str], total: int, priority: Column, tie:
     than rows, sizes are drawn from a Poisson law by a hash of the group.
     """
     sizes = df.groupBy(*by).count().groupBy("count").agg(F.count(F.lit(1)).alias("groups")).collect()
-    counts = [r["count"] for r in sizes for _ in range(r["groups"])] if sum(r["groups"] for r in sizes) <= 1_000_000 else None
     groups = sum(r["groups"] for r in sizes)
     if not groups:
         return df
-    if groups <= total and counts is not None:
-        return top_per_group(df, by, even_size(total, counts), priority, tie)
+    if groups <= total:
+        return top_per_group(df, by, even_size(total, [r["count"] for r in sizes], [r["groups"] for r in sizes]), priority, tie)
     mean = fractional_size(total, groups)
     draw = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(f"poisson:{seed}"), *by)), 1, 8), 16, 10).cast("double") / 4294967296.0
     law, cumulative, k = [], 0.0, 0

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandmill.operators import frequencies
+from strandmill.operators import frequencies, sampling
 
 
 def test_diffusion_counts_every_observation(spark):
@@ -18,3 +18,9 @@ def test_diffusion_counts_every_observation(spark):
     pdf = rows.toPandas()
     want = frequencies.diffusion_fit(pdf["num_date"].to_numpy(), pdf["seen"].to_numpy(), np.array(pivots))
     assert found == pytest.approx(want.tolist(), abs=1e-6)
+
+
+def test_even_sampling_of_many_groups(spark):
+    rows = spark.range(1_100_000).select("id", (F.col("id") % 1_000_001).alias("g"))
+    kept = sampling.sample_even(rows, ["g"], 1_050_000, F.lit(0.5), [F.col("id")]).groupBy("g").count().groupBy("count").count().collect()
+    assert list(map(tuple, kept)) == [(1, 1_000_001)]
