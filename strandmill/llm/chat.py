@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 Message = tuple[str, str]
 Template = Callable[[list[Message]], str]
 
-#: Turns of history that a render sees; earlier ones are rendered no more, which
-#: bounds time and memory for conversations of any length.
+#: Turns of history that an additive template's renders see; the whole conversation
+#: is rendered once at its end and must equal its segments.
 WINDOW = 32
 #: Control strings of ``inst_template``: fixed values.
 CONTROL = re.compile(r"\\|</?s>|\[/?INST\]|\[/?ROLE")
@@ -53,6 +53,10 @@ def inst_template(messages: list[Message]) -> str:
     return "".join(out)
 
 
+#: Each message adds to the render what depends on it alone.
+inst_template.additive = True
+
+
 def role_of(head: str) -> str:
     """The role that the marks before a text name."""
     head = head.removeprefix("<s>")
@@ -83,7 +87,7 @@ def turn_span(template: Template, history: list[Message], message: Message) -> t
     return after[base:], start, max(len(after) - base - tail, start), rewrites
 
 
-def format_turns(conversations: DataFrame, template: Template = inst_template, loss_role: str = "assistant", window: int = WINDOW) -> DataFrame:
+def format_turns(conversations: DataFrame, template: Template = inst_template, loss_role: str = "assistant", window: int | None = None) -> DataFrame:
     """One row per turn, in partitions ordered by conversation and place.
 
     conv_id, place (from 0), role, segment (what the turn adds to the formatted
@@ -94,27 +98,49 @@ def format_turns(conversations: DataFrame, template: Template = inst_template, l
     Turns are ordered by turn, role and text, so ties and repeated rows have a
     defined order; a null turn comes first, a null role or text is empty, and
     turns with a null conv_id form one conversation. Other columns are ignored,
-    an empty table gives no rows. Rows stream: a task holds ``window`` turns of
-    one conversation, whatever its length.
+    an empty table gives no rows. Every prefix is rendered whole, which takes
+    time by the square of a conversation's length, unless the template has a true
+    attribute ``additive``: its renders see the last turns, and at the end of a
+    conversation the whole render must equal the segments, or the job fails. With
+    ``window``, renders see that many earlier turns only, and rewrites is null
+    beyond them where no rewriting shows. A task holds one conversation, or
+    ``window`` turns of it.
     """
+    additive = window is None and getattr(template, "additive", False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, history, place, offset = object(), deque(maxlen=window), 0, 0
+        current, place, offset = object(), 0, 0
+        history: deque[Message] = deque(maxlen=WINDOW if additive else window)
+        whole: list[Message] = []
+        segments: list[str] = []
+
+        def verified() -> None:
+            if len(whole) > WINDOW and template(whole) != "".join(segments):
+                raise ValueError("the template is marked additive but rewrites history")
+            whole.clear()
+            segments.clear()
+
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 out = []
                 for key, role, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     if key != current:
+                        verified()
                         current, place, offset = key, 0, 0
                         history.clear()
                     segment, start, end, rewrites = turn_span(template, list(history), (role, text))
-                    out.append((key, place, role, segment, start, end, role == loss_role, offset, rewrites))
+                    unseen = window is not None and place > window and not rewrites
+                    out.append((key, place, role, segment, start, end, role == loss_role, offset, None if unseen else rewrites))
                     history.append((role, text))
+                    if additive:
+                        whole.append((role, text))
+                        segments.append(segment)
                     place, offset = place + 1, offset + len(segment)
                 types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.bool_())
                 names = ["conv_id", "place", "role", "segment", "text_start", "text_end", "loss", "offset", "rewrites"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+        verified()
 
     rows = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
@@ -150,7 +176,7 @@ def digest(turns: DataFrame, read_role: Callable[[str], str] = role_of, read_tex
                 if under:
                     loss.update(text.encode())
                     loss_chars += len(text)
-                count, chars, rewritten = count + 1, chars + len(segment), rewritten or rewrites
+                count, chars, rewritten = count + 1, chars + len(segment), True if rewritten or rewrites else None if rewritten is None or rewrites is None else False
             if len(done) >= 1000:
                 yield from pa.Table.from_batches(done).combine_chunks().to_batches()
                 done = []
@@ -166,5 +192,5 @@ def digest(turns: DataFrame, read_role: Callable[[str], str] = role_of, read_tex
 def formatted(turns: DataFrame) -> DataFrame:
     """Whole formatted conversations with their loss spans, for conversations that fit a row."""
     spans = F.struct("place", "segment", F.when(F.col("loss"), F.struct((F.col("offset") + F.col("text_start")).alias("start"), (F.col("offset") + F.col("text_end")).alias("end"))).alias("span"))
-    grouped = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(spans)).alias("parts"), F.max("rewrites").alias("rewrites"))
+    grouped = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(spans)).alias("parts"), F.when(F.max("rewrites"), True).when(F.count("rewrites") == F.count(F.lit(1)), False).alias("rewrites"))
     return grouped.select("conv_id", F.array_join("parts.segment", "").alias("formatted"), F.filter("parts.span", lambda s: s.isNotNull()).alias("loss_spans"), "rewrites")

@@ -7,7 +7,7 @@ import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from strandmill.llm import strings, toxicity, vectors  # noqa: E402
+from strandmill.llm import chat, strings, toxicity, vectors  # noqa: E402
 
 
 def test_toxicity_values_survive_forgetting(monkeypatch):
@@ -33,3 +33,22 @@ def test_vector_pairs_in_a_cone_meet(spark):
     rows = [(i, v.tolist()) for i, v in enumerate(np.vstack([x, y]))]
     found = {r["vec_id"]: r["component_id"] for r in vectors.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
     assert np.mean([found[i] == found[5000 + i] for i in range(200)]) >= 0.93
+
+
+def conversation(spark, n):
+    return spark.createDataFrame([(1, i, "user" if i % 2 == 0 else "assistant", f"t{i}") for i in range(n)], "conv_id long, turn int, role string, text string")
+
+
+def test_chat_renders_true_prefixes(spark):
+    def last_forty(messages):
+        return "".join(f"[{text}]" for _, text in messages[-40:])
+
+    df = conversation(spark, 45)
+    found = [r["rewrites"] for r in chat.format_turns(df, last_forty).orderBy("place").collect()]
+    assert found == [False] * 40 + [True] * 5
+    narrow = chat.format_turns(df, last_forty, window=8)
+    assert [r["rewrites"] for r in narrow.orderBy("place").collect()] == [False] * 9 + [None] * 36
+    assert chat.digest(narrow).first()["rewrites"] is None and chat.formatted(narrow).first()["rewrites"] is None
+    last_forty.additive = True
+    with pytest.raises(Exception, match="marked additive"):
+        chat.format_turns(df, last_forty).collect()
