@@ -52,3 +52,13 @@ def test_chat_renders_true_prefixes(spark):
     last_forty.additive = True
     with pytest.raises(Exception, match="marked additive"):
         chat.format_turns(df, last_forty).collect()
+
+
+def test_pipeline_takes_five_words(spark):
+    import corpus_pipeline
+
+    words = [f"w{i}" for i in range(44)]
+    other = [*words[:20], "changed", *words[21:]]
+    columns = "doc_id long, text string"
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other))], columns)
+    assert corpus_pipeline.without_copies(spark, docs, "").count() == 2
