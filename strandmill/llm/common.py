@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -17,9 +18,14 @@ from strandmill.session import ship_library
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share; a local one only if none is configured."""
+    """The folder all executors share, as the session names it. A local one is taken only
+    where driver and executors are one process."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    return folder or os.path.join(tempfile.gettempdir(), "strandmill-checkpoints")
+    if folder:
+        return folder
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return os.path.join(tempfile.gettempdir(), "strandmill-checkpoints")
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -38,6 +44,22 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Shelf:
+    """Tables stored for one call, to be deleted together when nothing reads them any more."""
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def put(self, df: DataFrame, label: str) -> DataFrame:
+        self.tables.append(stored(df, label))
+        return self.tables[-1]
+
+    def clear(self) -> None:
+        for df in self.tables:
+            forget(df)
+        self.tables = []
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables."""
     ship_library(spark)

@@ -122,7 +122,7 @@ def test_near_duplicates_against_brute_force(spark):
             text[rng.randrange(len(text))] = rng.choice(words)
         rows.append((i, " ".join(text).upper() if i % 7 == 0 else "\t".join(text)))
     rows += [(200, ""), (201, None), (202, "a b"), (203, "A  B"), (204, LONG), (205, LONG + "x")]
-    found = {r["doc_id"]: r for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = {r["doc_id"]: r for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words_each=4).collect()}
     want = expected_components(rows)
     assert {i: r["component_id"] for i, r in found.items()} == want
     assert all(r["kept"] == (i == r["component_id"]) for i, r in found.items())
