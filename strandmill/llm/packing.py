@@ -9,7 +9,9 @@ bucket at a time.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +30,9 @@ SEQUENCE_BITS = 40
 REMEMBERED, LONGEST, COMMON = 400_000, 40, 8
 #: ASCII signs: fixed values, neither letters, digits nor white space.
 SIGNS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Normalisers and pre-tokenisers under which words can be encoded one by one: fixed values.
+BY_WORD_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+BY_WORD_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 #: Ids to a batch of results, so that long documents do not pile up.
 BATCH_IDS = 400_000
 _encoders: dict[str, "Encoder"] = {}
@@ -40,11 +45,14 @@ def split_lengths(total: int, longest: int) -> list[int]:
 
 
 class Encoder:
-    """UTF-8 text to little-endian ids.
-
-    The tokenizer lower-cases, never joins text across a blank or a line feed,
-    and parts a word from ASCII signs that follow it. So words are encoded once
-    each, without case and trailing signs, and remembered.
+    """UTF-8 text to little-endian ids, as the tokenizer gives them without special tokens
+    added; those that stand in the text keep their ids. Bytes that are no UTF-8 count as
+    U+FFFD.
+
+    A tokenizer that lower-cases, never joins text across a blank or a line feed, and
+    parts a word from ASCII signs that follow it (as its definition tells) has each
+    word encoded once, without case and trailing signs, and remembered. Any other
+    tokenizer encodes whole texts.
     """
 
     def __init__(self, path: str):
@@ -52,8 +60,15 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[bytes, bytes] = {}
+        made = json.loads(self.tokenizer.to_str())
+        split = (made["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+        plain = not any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in made["added_tokens"])
+        normal = (made["normalizer"] or {}).get("normalizers") == BY_WORD_NORMALIZERS and made["post_processor"] is None
+        self.by_word = plain and normal and split[0].get("pattern") == {"Regex": BY_WORD_PATTERN} and split[0]["behavior"] == "Removed"
+        # A blank leads the key of a special token, as no word holds one.
+        self.special = {b" " + t["content"].encode(): np.array([t["id"]], "<u4").tobytes() for t in made["added_tokens"]}
+        self.marks = re.compile(b"(" + b"|".join(re.escape(key[1:]) for key in sorted(self.special, key=len, reverse=True)) + b")") if self.special else None
+        self.known: dict[bytes, bytes] = dict(self.special)
 
     def learn(self, chunks: list[bytes]) -> None:
         """Ids of chunks that are not known yet."""
@@ -68,14 +83,25 @@ class Encoder:
         fresh = [part for part in wanted if part not in known]
         for at in range(0, len(fresh), 5000):
             some = fresh[at : at + 5000]
-            found = self.tokenizer.encode_batch_fast([part.decode() for part in some], add_special_tokens=False)
-            for part, encoding in zip(some, found, strict=True):
-                known[part] = np.array(encoding.ids, "<u4").tobytes()
+            known |= zip(some, self.encoded(some), strict=True)
         for chunk, (word, signs) in parts.items():
             known[chunk] = known[word] + known[signs]
 
+    def encoded(self, texts: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast([text.decode("utf-8", "replace") for text in texts], add_special_tokens=False)
+        return [np.array(encoding.ids, "<u4").tobytes() for encoding in found]
+
+    def words(self, text: bytes) -> list[bytes]:
+        """Lower-case words, and special tokens with a blank before them."""
+        if self.marks is None or not self.marks.search(text):
+            return text.lower().replace(b"\n", b" ").split(b" ")
+        parts = self.marks.split(text)
+        return [word for i, part in enumerate(parts) for word in ([b" " + part] if i % 2 else part.lower().replace(b"\n", b" ").split(b" "))]
+
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        split = [text.lower().replace(b"\n", b" ").split(b" ") for text in texts]
+        if not self.by_word:
+            return self.encoded(texts)
+        split = [self.words(text) for text in texts]
         known = self.known
         fresh = [chunk for chunk in set().union(*split) if chunk not in known]
         self.learn(fresh)
@@ -88,6 +114,7 @@ class Encoder:
             self.known = {chunk: ids for chunk, ids in known.items() if len(chunk) <= COMMON}
             if len(self.known) > REMEMBERED // 2:
                 self.known = {}
+            self.known |= self.special
         return encoded
 
 
