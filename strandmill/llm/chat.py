@@ -152,7 +152,8 @@ def format_turns(conversations: DataFrame, template: Template = inst_template, l
 def digest(turns: DataFrame, read_role: Callable[[str], str] = role_of, read_text: Callable[[str], str] = unescape) -> DataFrame:
     """Per conversation, checksums of what its formatted segments say when read back.
 
-    ``turns`` must come from ``format_turns``, whose partitions and order it uses.
+    ``turns`` must come from ``format_turns``, whose partitions and order it uses; rows
+    in any other order fail the job.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +166,9 @@ def digest(turns: DataFrame, read_role: Callable[[str], str] = role_of, read_tex
         done: list[pa.RecordBatch] = []
         current, count = None, 0
         for batch in batches:
-            for key, segment, start, end, under, rewrites in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for key, place, segment, start, end, under, rewrites in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if place != (count if count and key == current else 0):
+                    raise ValueError("turns are not in the order of their conversations")
                 if key != current or not count:
                     if count:
                         done.append(result())
@@ -185,7 +188,7 @@ def digest(turns: DataFrame, read_role: Callable[[str], str] = role_of, read_tex
         if done:
             yield from pa.Table.from_batches(done).combine_chunks().to_batches()
 
-    read = turns.select("conv_id", "segment", "text_start", "text_end", "loss", "rewrites")
+    read = turns.select("conv_id", "place", "segment", "text_start", "text_end", "loss", "rewrites")
     return read.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, rewrites boolean")
 
 
