@@ -11,7 +11,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandmill.session import ship_library
@@ -66,6 +66,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def named(column: str) -> Column:
+    """A column by its whole name, whatever signs that holds."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def whole(df: DataFrame) -> list[Column]:
+    """All columns by name."""
+    return [named(name) for name in df.columns]
+
+
+def numbered(names: list[str]) -> list[Column]:
+    """Columns under working names, as Arrow functions take none with dots."""
+    return [named(name).alias(f"_sm_c{i}") for i, name in enumerate(names)]
+
+
+def restored(df: DataFrame, names: list[str]) -> DataFrame:
+    """``df`` with its first columns under their own names again."""
+    return df.select(*[F.col(f"_sm_c{i}").alias(name) for i, name in enumerate(names)], *df.columns[len(names) :])
+
+
 def text_remainder(column: str, modulus: int):
     """crc32 of a key's decimal text, modulo ``modulus``: the fold rule."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus)

@@ -7,8 +7,9 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from strandmill.llm.common import text_remainder, tidy
+from strandmill.llm.common import numbered, restored, text_remainder, tidy
 
 
 def sampled_labels(labels: DataFrame, column: str, modulus: int, held_out: int, rows: int) -> DataFrame:
@@ -46,11 +47,13 @@ def scored(
 
     ``scorer`` makes a task's scoring function, which may remember what it has seen.
 
-    ``carry`` names columns of ``docs`` to hand on unchanged, doc_id among them if wanted.
+    ``carry`` names columns of ``docs`` to hand on unchanged, doc_id among them if wanted;
+    the results' names then begin with ``_sm_``, so no name of a document's column clashes.
     """
-    own = [F.col("doc_id").cast("long").alias("doc_id")] if carry is None else [docs[name] for name in carry]
+    lead = "" if carry is None else "_sm_"
+    own = [F.col("doc_id").cast("long").alias("doc_id")] if carry is None else numbered(carry)
     held = F.coalesce(text_remainder("doc_id", modulus) == held_out, F.lit(False))
-    rows = docs.select(*own, held.alias("held_out"), F.col("text").cast("binary").alias("_sm_text"))
+    rows = docs.select(*own, held.alias(f"{lead}held_out"), F.col("text").cast("binary").alias("_sm_text"))
     kept = rows.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,8 +62,9 @@ def scored(
             for at in range(0, rows.num_rows, per_call):
                 part = rows.slice(at, per_call)
                 found = score([text or b"" for text in part.column(len(kept)).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(found, pa.float64())], [*kept, "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(found, pa.float64())], [*kept, f"{lead}score"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    found = rows.mapInArrow(tidy(run), f"{schema}, score double")
-    return found.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    schema = StructType([*rows.schema.fields[:-1], StructField(f"{lead}score", DoubleType())])
+    found = rows.mapInArrow(tidy(run), schema)
+    found = found.withColumn(f"{lead}predicted", (F.col(f"{lead}score") >= threshold).cast("int"))
+    return found if carry is None else restored(found, carry)

@@ -9,9 +9,9 @@ import numpy as np
 
 #: Length of the common subsequences, decay per letter and gap, longest unit taken whole.
 ORDER, DECAY, UNIT = 4, 0.6, 24
-#: The kernel counts as zero where less than this share of a landmark is common,
-#: and where any letter of a landmark of at most SHORT letters is missing.
-LEAST_SHARE, SHORT = 0.8, 6
+#: The normalised kernel is raised to this power, which keeps it a kernel and sets
+#: strings with a part of a landmark farther apart from those with all of it.
+POWER = 2
 #: Bits of a landmark's field in the packed comparison; one is a guard.
 FIELD = 16
 
@@ -55,7 +55,8 @@ class LandmarkKernel:
     """Kernel values of strings against fixed landmarks.
 
     A packed bit-vector pass finds the longest common subsequence with every
-    landmark at once; only pairs with a long enough one need the kernel itself.
+    landmark at once; where it is shorter than the kernel's order, the kernel is 0.
+    Landmarks hold from ORDER to FIELD - 1 letters.
     """
 
     landmarks: list[str]
@@ -63,28 +64,29 @@ class LandmarkKernel:
     root: np.ndarray = field(init=False)
 
     def __post_init__(self) -> None:
+        if not all(ORDER <= len(mark) < FIELD for mark in self.landmarks):
+            raise ValueError(f"landmarks need {ORDER} to {FIELD - 1} letters")
         marks = codes(self.landmarks)
         n = len(self.landmarks)
         left, right = np.repeat(np.arange(n), n), np.tile(np.arange(n), n)
         gram = subsequence_kernel(marks[left], marks[right]).reshape(n, n)
         self.own = np.maximum(np.diag(gram), 1e-12)
-        gram /= np.sqrt(self.own[:, None] * self.own[None])
+        gram = (gram / np.sqrt(self.own[:, None] * self.own[None])) ** POWER
         values, vectors = np.linalg.eigh(gram)
         kept = values > 1e-6
         self.root = (vectors[:, kept] / np.sqrt(values[kept])) @ vectors[:, kept].T
         self._marks = marks
-        self._lengths = np.array([min(len(s), FIELD - 1) for s in self.landmarks])
+        self._lengths = np.array(list(map(len, self.landmarks)))
         per = 64 // FIELD
         columns = -(-n // per)
         self._alphabet = np.unique(marks[marks > 0])
         self._masks = np.zeros((len(self._alphabet) + 1, columns), np.uint64)
         self._full = np.zeros(columns, np.uint64)
         for k, mark in enumerate(self.landmarks):
-            for j, letter in enumerate(mark[: FIELD - 1]):
+            for j, letter in enumerate(mark):
                 bit = np.uint64(1) << np.uint64(FIELD * (k % per) + j)
                 self._full[k // per] |= bit
                 self._masks[np.searchsorted(self._alphabet, ord(letter)) + 1, k // per] |= bit
-        self._least = np.where(self._lengths <= SHORT, self._lengths, np.ceil(LEAST_SHARE * self._lengths).astype(int))
 
     def common(self, s: np.ndarray) -> np.ndarray:
         """Length of the longest common subsequence of each row with each landmark."""
@@ -103,12 +105,12 @@ class LandmarkKernel:
     def values(self, strings: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the strings with a value that is not zero, and their values."""
         s = codes(strings)
-        near = self.common(s) >= self._least
+        near = self.common(s) >= ORDER
         rows, marks = np.nonzero(near)
         if not len(rows):
             return np.zeros(0, np.int64), np.zeros((0, len(self.landmarks)))
         kernel = np.concatenate([subsequence_kernel(s[rows[a : a + 4000]], self._marks[marks[a : a + 4000]]) for a in range(0, len(rows), 4000)])
         hit, place = np.unique(rows, return_inverse=True)
         out = np.zeros((len(hit), len(self.landmarks)))
-        out[place, marks] = np.minimum(kernel / self.own[marks], 1.0)
+        out[place, marks] = np.minimum(kernel / self.own[marks], 1.0) ** POWER
         return hit, out

@@ -3,10 +3,10 @@
 Words are compared with landmark strings by a gap-weighted subsequence kernel,
 which tolerates gaps, inserted characters and endings. A sentence takes, per
 landmark, the best value of its words; the Nystroem map of those values feeds a
-linear support vector machine. Labels are of documents, so the sentence of a
-toxic document with the largest margin is its witness, and all sentences of
-other documents are negative. A document scores by its worst sentence through a
-logistic curve.
+linear support vector machine. Labels are of documents: the sentence of a toxic
+document with the largest margin is its witness, and every sentence of another
+document is negative, of which each round of training adds the one that is then
+worst. A document scores by its worst sentence through a logistic curve.
 """
 
 from __future__ import annotations
@@ -20,20 +20,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandmill.llm.common import tidy
+from strandmill.llm.common import Shelf, tidy
 from strandmill.llm.labelled import sampled_labels, scored
-from strandmill.llm.strings import ORDER, UNIT, LandmarkKernel
+from strandmill.llm.strings import FIELD, ORDER, UNIT, LandmarkKernel
 
-#: Bounds: labelled documents to fit on, candidate grams sent to the driver,
-#: landmarks, and sentences of a document that may be its witness.
-SAMPLE_ROWS, CANDIDATES, LANDMARKS, WITNESSES = 10_000, 4000, 32, 4
+#: Bounds of the fit: labelled documents, landmarks, and rounds of training.
+SAMPLE_ROWS, LANDMARKS, ROUNDS = 10_000, 32, 4
 #: Share of the toxic documents that a gram must be in to start or extend a landmark,
-#: and the larger share where there are few of them, as rare grams then say little.
-LEAST_COVER, LEAST_SMALL = 0.01, 0.06
+#: the larger share where there are few of them, as rare grams then say little, and how
+#: much more frequent than in other documents it must be.
+LEAST_COVER, LEAST_SMALL, CONTRAST = 0.03, 0.06, 8
 #: Length of the grams (with ^ and $ at a word's ends) that landmarks grow from.
 GRAM = 5
-#: Units that a worker remembers as without any value.
-REMEMBERED = 600_000
+#: Units that a worker remembers, with their values or as without any.
+REMEMBERED = 250_000
 _SPELLED = re.compile(r"(?<!\S)(?:\S[ \t]){3,}\S(?!\S)")
 _SENTENCE = re.compile(r"[.!?\n]+(?=\s|$)|\n")
 _EDGES = " \t\r\n.,;:!?\"'()[]{}<>|*#$%&"
@@ -75,9 +75,14 @@ def _overlap(a: str, b: str, low: dict[str, float], left: bool) -> str:
     return a
 
 
+def least_documents(toxic: int) -> float:
+    """Toxic documents that a gram must be in, of so many."""
+    return max(3, LEAST_COVER * toxic, LEAST_SMALL * min(toxic, 100))
+
+
 def choose_landmarks(counts: list[tuple[str, int, int]], toxic: int, clean: int, most: int = LANDMARKS) -> list[str]:
     """Strings grown from grams that toxic documents have far more often than others."""
-    share = {g: t / max(toxic, 1) for g, t, c in counts if t >= max(3, LEAST_COVER * toxic, LEAST_SMALL * min(toxic, 100)) and t / max(toxic, 1) > 8 * c / max(clean, 1)}
+    share = {g: t / max(toxic, 1) for g, t, c in counts if t >= least_documents(toxic) and t / max(toxic, 1) > CONTRAST * c / max(clean, 1)}
     out: list[str] = []
     while share and len(out) < most:
         gram = max(sorted(share), key=share.get)
@@ -85,7 +90,7 @@ def choose_landmarks(counts: list[tuple[str, int, int]], toxic: int, clean: int,
         share.pop(gram, None)
         landmark = grown.strip("^$").strip(_EDGES)
         pieces = {landmark[i : i + 4] for i in range(max(len(landmark) - 3, 1))}
-        if len(landmark) >= 3 and not any(piece in other for other in out for piece in pieces):
+        if ORDER <= len(landmark) < FIELD and not any(piece in other for other in out for piece in pieces):
             out.append(landmark)
         for other in [g for g in share if g.strip("^$") in landmark]:
             share.pop(other)
@@ -116,7 +121,7 @@ class Sentences:
             pieces = [(i, piece) for i, unit in enumerate(some) for piece in _windows(_bare(unit))]
             hit, values = self.kernel.values([piece for _, piece in pieces])
             found: dict[str, np.ndarray] = {}
-            for row, value in zip(hit, values, strict=True):
+            for row, value in zip(hit, values.astype(np.float32), strict=True):
                 unit = some[pieces[row][0]]
                 found[unit] = np.maximum(found[unit], value) if unit in found else value
             self.valued |= found
@@ -194,17 +199,46 @@ def _logistic(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(at[0], 0.1)), float(at[1])
 
 
-def disguised(kernel: LandmarkKernel) -> np.ndarray:
-    """Values of the landmarks with a sign inserted after each inner letter: more positives."""
-    made = [mark[:i] + "*" + mark[i:] for mark in kernel.landmarks if len(mark) > ORDER for i in range(2, len(mark) - 1)]
-    return kernel.values(made)[1] if made else np.zeros((0, len(kernel.landmarks)))
-
-
 def _texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return rows.join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")
 
 
+def _values(texts: DataFrame, kernel: LandmarkKernel) -> DataFrame:
+    """(doc_id, label, found): the different value vectors of a document's sentences, end to end."""
+    width = len(kernel.landmarks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sentences = Sentences(kernel)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 100):
+                part = batch.slice(at, 100)
+                found = [np.unique(np.vstack([rows, np.zeros((1, width))]).astype(np.float32), axis=0).reshape(-1) if len(rows) else np.zeros(width, np.float32) for rows in sentences.values(part.column(2).to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.list_(pa.float32()))], ["doc_id", "label", "found"])
+
+    return texts.mapInArrow(tidy(run), "doc_id long, label int, found array<float>")
+
+
+def _worst(values: DataFrame, direction: np.ndarray) -> list:
+    """Per document the label and the sentence that is largest in a direction; one row per
+    sampled id, so bounded by the sample."""
+    width = len(direction)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            best, rows = [], []
+            for found in batch.column(2):
+                x = found.values.to_numpy().reshape(-1, width)
+                margins = x @ direction
+                best.append(float(margins.max()))
+                rows.append(x[margins.argmax()])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(best, pa.float64()), pa.array(rows, pa.list_(pa.float32()))], ["doc_id", "label", "margin", "found"])
+
+    each = values.mapInArrow(run, "doc_id long, label int, margin double, found array<float>")
+    rows = each.groupBy("doc_id").agg(F.min("label").alias("label"), F.max(F.struct("margin", "found")).alias("best")).select("doc_id", "label", "best.found").collect()
+    return sorted(rows, key=lambda r: r.doc_id)
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, modulus: int = 4, held_out: int = 2) -> Machine | None:
     """Fit on at most ``sample_rows`` labelled documents outside the held-out fold.
 
@@ -218,43 +252,37 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, modu
                 found = sorted(_grams(text))
                 yield pa.RecordBatch.from_arrays([pa.array([label] * len(found), pa.int32()), pa.array(found, pa.string())], ["label", "gram"])
 
-    texts = _texts(docs, sample)
-    counted = texts.dropDuplicates(["text"]).mapInArrow(grams, "label int, gram string").groupBy("gram").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"))
-    top = counted.where("toxic >= 3").orderBy(F.desc(F.col("toxic") / (F.col("clean") + 3)), F.desc("toxic"), "gram").limit(CANDIDATES).collect()
     sizes = dict(sample.groupBy("label").count().collect())
-    landmarks = choose_landmarks([tuple(r) for r in top], sizes.get(1, 0), sizes.get(0, 0))
-    if not landmarks or len(sizes) < 2:
+    toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
+    if not toxic or not clean:
+        return None
+    shelf = Shelf()
+    texts = shelf.put(_texts(docs, sample), "labelled")
+    counted = texts.dropDuplicates(["text"]).mapInArrow(grams, "label int, gram string").groupBy("gram").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"))
+    # A gram passes only if a share of the toxic documents has it, so few do.
+    frequent = counted.where((F.col("toxic") >= least_documents(toxic)) & (F.col("toxic") * clean > CONTRAST * toxic * F.col("clean")))
+    landmarks = choose_landmarks(sorted(map(tuple, frequent.select("gram", "toxic", "clean").collect())), toxic, clean)
+    if not landmarks:
+        shelf.clear()
         return None
     kernel = LandmarkKernel(landmarks)
-
-    def witnesses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sentences = Sentences(kernel)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                out = []
-                for key, label, rows in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), sentences.values(part.column(2).to_pylist()), strict=True):
-                    rows = rows if len(rows) else np.zeros((1, len(landmarks)))
-                    for row in rows[np.argsort(-rows.max(axis=1), kind="stable")[:WITNESSES]]:
-                        out.append((key, label, row.tolist()))
-                columns = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.list_(pa.float64()))], ["doc_id", "label", "found"])
-
-    # One list per sampled id, so repeated rows of an id add nothing.
-    rows = texts.mapInArrow(tidy(witnesses), "doc_id long, label int, found array<double>").groupBy("doc_id").agg(F.min("label").alias("label"), F.slice(F.array_sort(F.collect_set("found")), 1, 4 * WITNESSES).alias("found")).collect()
-    rows.sort(key=lambda r: r.doc_id)
-    label = np.array([r.label for r in rows])
-    bags = [np.array(r.found) @ kernel.root for r in rows]
-    pick = [bag.sum(axis=1).argmax() for bag in bags]
-    made = disguised(kernel) @ kernel.root
-    for _ in range(3):
-        x = np.vstack([bag[[k]] if l else bag for bag, k, l in zip(bags, pick, label, strict=True)])
-        y = np.concatenate([[1.0] if l else np.zeros(len(bag)) for bag, l in zip(bags, label, strict=True)])
-        x, y = np.vstack([x, made]), np.append(y, np.ones(len(made)))
+    values = shelf.put(_values(texts, kernel), "sentences")
+    direction = np.ones(len(landmarks))
+    weights, bias = np.zeros(len(landmarks)), 0.0
+    negatives: list[np.ndarray] = []
+    for turn in range(ROUNDS + 1):
+        rows = _worst(values, direction)
+        label = np.array([r.label for r in rows])
+        found = np.array([r.found for r in rows]) @ kernel.root
+        if turn == ROUNDS or len(set(label.tolist())) < 2:
+            break
+        negatives.append(found[label == 0])
+        x = np.vstack([found[label == 1], np.unique(np.vstack(negatives).round(6), axis=0)])
+        y = np.concatenate([np.ones((label == 1).sum()), np.zeros(len(x) - (label == 1).sum())])
         weights, bias = train_svm(x, y)
-        pick = [(bag @ weights).argmax() for bag in bags]
-    worst = np.array([(bag @ weights).max() + bias for bag in bags])
-    slope, shift = _logistic(worst, label)
+        direction = kernel.root @ weights
+    shelf.clear()
+    slope, shift = _logistic(found @ weights + bias, label)
     return Machine(kernel, weights, bias, slope, shift)
 
 
