@@ -9,14 +9,19 @@ losslessly as 8-bit samples.
 
 from __future__ import annotations
 
+import math
 import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from strandmill.llm.common import numbered, restored, tidy
 
 #: Magic bytes: fixed values of public formats, with the offset at which a value has them.
 MAGIC = (
@@ -138,10 +143,15 @@ def _pdf(data: bytes, at: int) -> Found | None:
     return Found("application/pdf", at, end + 5, at, end + 5, "version=" + data[at + 5 : at + 8].decode("latin-1"))
 
 
-def _zip(data: bytes, at: int) -> Found | None:
+def _zip(data: bytes, at: int, walked: set[int] | None = None) -> Found | None:
+    """``walked`` holds the entries of chains that have led nowhere, so none is followed twice."""
     here, entries = at, 0
+    walked = set() if walked is None else walked
+    if at in walked:
+        return None
     while data[here : here + 4] == b"PK\x03\x04" and here + 30 <= len(data):
         flags, size, name, extra = struct.unpack_from("<6xH10xI4xHH", data, here)
+        walked.add(here)
         if flags & 8:
             return None
         here, entries = here + 30 + name + extra + size, entries + 1
@@ -157,8 +167,11 @@ def _gzip(data: bytes, at: int) -> Found | None:
     unpack, size, here = zlib.decompressobj(31), 0, at
     try:
         while not unpack.eof and here < len(data):
-            size += len(unpack.decompress(data[here : here + 65536]))
+            rest = data[here : here + 65536]
             here += 65536
+            while rest and not unpack.eof:
+                size += len(unpack.decompress(rest, 1 << 20))
+                rest = unpack.unconsumed_tail
     except zlib.error:
         return None
     end = min(here, len(data)) - len(unpack.unused_data)
@@ -166,9 +179,39 @@ def _gzip(data: bytes, at: int) -> Found | None:
 
 
 def _flac(data: bytes, at: int) -> Found | None:
-    if at + 42 > len(data) or data[at + 4] & 0x7F or data[at + 5 : at + 8] != b"\x00\x00\x22":
+    """Metadata blocks to the last one, then the sync code of a first frame."""
+    here, last, detail = at + 4, False, ""
+    while not last:
+        if here + 4 > len(data):
+            return None
+        kind, size = data[here], int.from_bytes(data[here + 1 : here + 4], "big")
+        if here == at + 4:
+            if kind & 0x7F or size != 34 or here + 38 > len(data):
+                return None
+            packed = int.from_bytes(data[here + 14 : here + 22], "big")
+            detail = f"rate={packed >> 44},channels={(packed >> 41 & 7) + 1},samples={packed & (1 << 36) - 1}"
+        last, here = bool(kind & 0x80), here + 4 + size
+    if data[here : here + 1] != b"\xff" or data[here + 1 : here + 2] not in (b"\xf8", b"\xf9"):
         return None
-    return Found("audio/flac", at, len(data), at, len(data), "")
+    return Found("audio/flac", at, len(data), at, len(data), detail)
+
+
+def _ogg_sum(page: bytes) -> int:
+    """Checksum of a page whose own checksum field is taken as zero."""
+    total = 0
+    for value in page[:22] + bytes(4) + page[26:]:
+        total = (total << 8) & 0xFFFFFFFF ^ _OGG_TABLE[total >> 24 ^ value]
+    return total
+
+
+def _ogg_row(value: int) -> int:
+    total = value << 24
+    for _ in range(8):
+        total = (total << 1) ^ (0x04C11DB7 if total & 0x80000000 else 0)
+    return total & 0xFFFFFFFF
+
+
+_OGG_TABLE = [_ogg_row(value) for value in range(256)]
 
 
 def _ogg(data: bytes, at: int) -> Found | None:
@@ -176,7 +219,7 @@ def _ogg(data: bytes, at: int) -> Found | None:
     while data[here : here + 4] == b"OggS" and here + 27 <= len(data) and data[here + 4] == 0:
         table = data[here + 27 : here + 27 + data[here + 26]]
         stop = here + 27 + len(table) + sum(table)
-        if len(table) < data[here + 26] or stop > len(data):
+        if len(table) < data[here + 26] or stop > len(data) or _ogg_sum(data[here:stop]) != struct.unpack_from("<I", data, here + 22)[0]:
             break
         here, pages = stop, pages + 1
     return Found("audio/ogg", at, here, at, here, f"pages={pages}") if pages else None
@@ -211,12 +254,12 @@ def sniff(data: bytes) -> list[Found]:
     """Confirmed media in order of place; a hit inside a confirmed piece that began
     at the value's first byte is reported as embedded, other overlaps are not."""
     found: list[Found] = []
-    free = 0
+    free, walked = 0, set()
     for last, (width, kind) in _automaton().iter(data.decode("latin-1")):
         at = last + 1 - width
         if at < free:
             continue
-        piece = VALIDATORS[kind](data, at)
+        piece = _zip(data, at, walked) if kind == "zip" else VALIDATORS[kind](data, at)
         if piece:
             found.append(piece)
             free = piece.payload_start if at == 0 and piece.payload_start else piece.end
@@ -232,8 +275,8 @@ def sniff_column(df: DataFrame, media: str, declared: str | None = None) -> Data
     called wrong if it names a format that is known here. Columns with the names
     of the results are replaced. One narrow pass, one value at a time.
     """
-    names = [name for name in df.columns if name not in ("sniffed", "corrected", "detail", "payload", "carved")]
-    rows = df.select(*[F.col(name) for name in names], F.col(media).cast("binary").alias("_sm_media"), (F.col(declared) if declared else F.lit(None)).cast("string").alias("_sm_declared"))
+    names = [name for name in df.columns if name.lower() not in ("sniffed", "corrected", "detail", "payload", "carved")]
+    rows = df.select(*numbered(names), F.col(media).cast("binary").alias("_sm_media"), (F.col(declared) if declared else F.lit(None)).cast("string").alias("_sm_declared"))
     kinds = {"audio/wav", "image/png", "image/jpeg", "image/gif", "application/pdf", "application/zip", "application/gzip", "audio/flac", "audio/ogg", "image/bmp"}
     carved_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("length", pa.int64())]))
 
@@ -250,10 +293,10 @@ def sniff_column(df: DataFrame, media: str, declared: str | None = None) -> Data
                     out.append((top and top.kind, wrong, top and top.detail, top and data[top.payload_start : top.payload_end], inner))
                 columns = [list(c) for c in zip(*out, strict=True)]
                 made = [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.bool_(), pa.string(), pa.binary(), carved_type), strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], *made], [*names, "sniffed", "corrected", "detail", "payload", "carved"])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], *made], [*part.schema.names[: len(names)], "sniffed", "corrected", "detail", "payload", "carved"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(names)])
-    return rows.mapInArrow(run, f"{schema}, sniffed string, corrected boolean, detail string, payload binary, carved array<struct<kind: string, start: bigint, length: bigint>>")
+    results = StructType.fromDDL("sniffed string, corrected boolean, detail string, payload binary, carved array<struct<kind: string, start: bigint, length: bigint>>")
+    return restored(rows.mapInArrow(tidy(run), StructType([*rows.schema.fields[: len(names)], *results.fields])), names)
 
 
 def text_media(docs: DataFrame) -> DataFrame:
@@ -272,10 +315,36 @@ def text_media(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
+def sample_features(payload: bytes) -> str:
+    """Features of 8-bit samples: mean, deviation, crossings of the middle a second,
+    entropy in bits, and the most frequent sample. An empty payload has none."""
+    if not payload:
+        return ""
+    x = np.frombuffer(payload, np.uint8)
+    n, counts = len(x), np.bincount(x, minlength=256)
+    levels = np.arange(256)
+    mean = float(counts @ levels) / n
+    spread = math.sqrt(max(float(counts @ levels**2) / n - mean * mean, 0.0))
+    above = x >= 128
+    crossings = int(np.count_nonzero(above[1:] != above[:-1])) * SAMPLE_RATE / n
+    share = counts[counts > 0] / n
+    entropy = -float((share * np.log2(share)).sum()) + 0.0
+    return f"mean={mean:.4f},deviation={spread:.4f},crossings={crossings:.3f},entropy={entropy:.4f},mode={int(counts.argmax())}"
+
+
 def digest(sniffed: DataFrame) -> DataFrame:
-    """Checksums of what was read back, and a feature string of what was found."""
+    """Checksums of what was read back, and a feature string: the type found, whether the
+    declared one was wrong, the features of the samples, and what was carved."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array([sample_features(value.as_buffer().to_pybytes() if value.is_valid else b"") for value in batch.column(batch.num_columns - 1)], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], found], [*batch.schema.names[:-1], "samples"])
+
     size = F.octet_length("payload")
-    return sniffed.select(
+    pieces = F.concat_ws(",", F.transform("carved", lambda c: F.concat(c["kind"], F.lit("@"), c["start"])))
+    kind = F.concat_ws(";", "sniffed", "detail", F.concat(F.lit("corrected="), F.col("corrected").cast("string")), F.concat(F.lit("carved="), pieces))
+    rows = sniffed.select(
         "doc_id",
         "n_bytes",
         size.cast("long").alias("payload_bytes"),
@@ -283,5 +352,8 @@ def digest(sniffed: DataFrame) -> DataFrame:
         F.crc32(F.substring("payload", size - 63, 64)).alias("tail_crc32"),
         F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
-        F.concat_ws(";", "sniffed", "detail", F.concat(F.lit("carved="), F.size("carved")), F.concat_ws(",", F.transform("carved", lambda c: F.concat(c["kind"], F.lit("@"), c["start"])))).alias("feature"),
+        kind.alias("kind"),
+        "payload",
     )
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, kind string, samples string"
+    return rows.mapInArrow(tidy(run), schema).withColumn("feature", F.concat_ws(";", "kind", "samples")).drop("kind", "samples")
