@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandmill.llm.common import stored
+from strandmill.llm.common import named, stored, whole
 
 DIMENSIONS = ("source", "lang", "topic")
 #: What marks a topic in a text, in order of precedence; the rest is prose.
@@ -68,8 +68,9 @@ def _raked(cells: DataFrame, name: str, targets: DataFrame) -> DataFrame:
     return cells.join(factors, name).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
 
 
-def mix(docs: DataFrame, mixture: Mixture = Mixture()) -> DataFrame:
-    """``docs`` with topic, tokens, probability and kept.
+def mix(docs: DataFrame, mixture: Mixture = Mixture(), carry: bool = False) -> DataFrame:
+    """``docs`` with topic, tokens, probability and kept; with ``carry`` the kept rows with
+    their own columns only, whatever those are called.
 
     A null source or language is a value of its own, the empty one; a null text
     has no mark and one token. The draw depends on doc_id (on the text if that
@@ -102,8 +103,10 @@ def mix(docs: DataFrame, mixture: Mixture = Mixture()) -> DataFrame:
     cells = stored(cells.crossJoin(F.broadcast(scale)).select(*[F.col(d).alias(f"_sm_{d}") for d in DIMENSIONS], F.round(chance, 9).alias("_sm_chance")), "chances")
     key = F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit(""))
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(mixture.seed + ":"), key)), 1, 8), 16, 10).cast("double") / 4294967296.0
-    names = [docs[name] for name in docs.columns if name not in ("topic", "tokens", "probability", "kept")]
     joined = rows.join(cells, [f"_sm_{d}" for d in DIMENSIONS])
+    if carry:
+        return joined.where(draw < F.col("_sm_chance")).select(*whole(docs))
+    names = [named(name) for name in docs.columns if name.lower() not in ("topic", "tokens", "probability", "kept")]
     return joined.select(*names, F.col("_sm_topic").alias("topic"), F.col("_sm_tokens").cast("long").alias("tokens"), F.col("_sm_chance").alias("probability"), (draw < F.col("_sm_chance")).alias("kept"))
 
 
