@@ -57,11 +57,18 @@ def test_packing_round_trip(docs, empty):
     assert packing.pack(empty, TOKENIZER).count() == 0
 
 
-def test_encoder_equals_tokenizer():
-    encode = packing.Encoder(TOKENIZER)
-    texts = ["don't, STOP's!! a.,b", "ÎÉ É. İstanbul ΑΣ", "x\ty\x1cz\x85q", "12.5,3½½.", "é ́a 日本語。", "'ll", ""]
-    for text, got in zip(texts, encode([t.encode() for t in texts]), strict=True):
-        assert np.frombuffer(got, "<u4").tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids
+@pytest.mark.parametrize("name, by_word", [("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)])
+def test_encoder_equals_tokenizer(name, by_word):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    encode, plain = packing.Encoder(path), Tokenizer.from_file(path)
+    assert encode.by_word == by_word
+    texts = ["don't, STOP's!! a.,b", "ÎÉ É. İstanbul ΑΣ", "x\ty\x1cz\x85q", "12.5,3½½.", "é ́a 日本語。", "'ll", "", "<|endoftext|> q", "a<|endoftext|>b <|ENDOFTEXT|>", "x <|startoftext|><|endoftext|>\ny"]
+    for _ in range(2):
+        for text, got in zip(texts, encode([t.encode() for t in texts]), strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(encode([b"a \xff b"])[0], "<u4").tolist() == plain.encode("a \ufffd b", add_special_tokens=False).ids
 
 
 def test_hilbert_curve(spark):
@@ -218,6 +225,8 @@ def test_media_round_trip(docs, empty):
         assert (r["n_bytes"], r["payload_bytes"]) == (len(body), len(payload))
         assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest() and r["tail_crc32"] == zlib.crc32(payload[-64:])
     assert media.sniff_column(media.text_media(empty), "media").count() == 0
+    x = np.frombuffer((ROWS[0][1].encode()).ljust(64, b"\0"), np.uint8).astype(float)
+    assert f"mean={x.mean():.4f},deviation={x.std():.4f}" in rows[1]["feature"] and rows[1]["feature"] != rows[5]["feature"]
 
 
 def test_sniffing(spark):
@@ -255,6 +264,13 @@ def test_chat_round_trip(spark):
     assert chat.digest(chat.format_turns(df.limit(0))).count() == 0
 
 
+def test_digest_wants_conversations_in_order(spark):
+    df = spark.createDataFrame([(1, i, "user", "a") for i in range(4)], "conv_id long, turn int, role string, text string")
+    turned = chat.format_turns(df).repartition(1).sortWithinPartitions(F.desc("place"))
+    with pytest.raises(Exception, match="not in the order"):
+        chat.digest(turned).collect()
+
+
 def test_rewriting_template_is_detected(spark):
     df = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 2, "user", "c")], "conv_id long, turn int, role string, text string")
 
@@ -282,6 +298,29 @@ def test_base_spans_against_brute_force():
         assert pii.base_spans(text) == brute_spans(text)
 
 
+def test_network_spans_on_held_out_forms():
+    """Precision and recall on labelled spans that no training window held, disguised ones included."""
+    model, rng = tagger.trained(), random.Random(424_242)
+    hits, found, wanted = 0, 0, 0
+    for _ in range(400):
+        kind, value = tagger._personal(rng)
+        if kind == "card":
+            value = next(value[:-1] + c for c in "0123456789" if pii.valid("card", value[:-1] + c))
+        before, after = (" ".join(tagger._word(rng) for _ in range(4)) for _ in range(2))
+        got = pii.network_spans(model, [f"{before} {value}, {tagger._look_alike(rng)} {after}."])[0]
+        hits += (kind, len(before) + 1, len(before) + 1 + len(value)) in got
+        found, wanted = found + len(got), wanted + 1
+    assert hits / wanted >= 0.95 and hits / found >= 0.95
+    text = "mail joe at example dot com or call (569) 555-3296, not 1999 or 12.05.2020"
+    assert [(k, text[a:b]) for k, a, b in pii.network_spans(model, [text])[0]] == [("email", "joe at example dot com"), ("phone", "(569) 555-3296")]
+
+
+def test_tagger_learns_from_labelled_spans():
+    model = tagger.train(rows=1600, epochs=2)
+    x, y = tagger._training_set(200, 77)
+    assert (model.decode(model.emissions(x)) == y).mean() > 0.85
+
+
 def test_personal_data(docs, empty):
     model = tagger.trained()
     x, y = tagger._training_set(300, 1234)
