@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again as the next stage's documents. All but the last
-return the columns of ``documents``.
+return the columns of ``documents``. In every stage other columns are handed on
+whatever their names, unless they begin with ``_sm_``, texts of any length are
+read whole, and an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -12,34 +14,54 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandmill.llm import minhash, mixing, packing, pii, toxicity
-from strandmill.llm.common import stored, table
+from strandmill.llm.common import stored, table, whole
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity machine does not reject."""
+    """Documents that the toxicity machine does not reject.
+
+    Null and empty texts have no sentence and stay. Equal texts share a score, so
+    repeated rows stay or go together. Null ids are scored like others. Without
+    usable labels, or without any that stand out, nothing is rejected.
+    """
     machine = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score_toxicity(docs, machine, carry=docs.columns).where("predicted = 0").select(*docs.columns)
+    return toxicity.score_toxicity(docs, machine, carry=docs.columns).where("_sm_predicted = 0").select(*whole(docs))
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, by shingles of five words."""
+    """One document of each group of near-duplicates, by shingles of five words.
+
+    Null and empty texts are copies of nothing and stay, and so do rows without a
+    doc_id. Of equal texts under several ids the least id stays. Rows that repeat
+    a kept id count as one document and stay together.
+    """
     return minhash.without_near_duplicates(docs, words_each=5)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with the kind's name in place of each span of personal data."""
+    """All documents, with the kind's name in place of each span of personal data.
+
+    A null text stays null, an empty one empty; n_chars becomes the new length in
+    code points, null for a null text. Repeated rows change alike.
+    """
     found = pii.find_pii(docs, redact=True, carry=docs.columns)
-    text = F.when(F.col("text").isNull(), F.col("text")).otherwise(F.col("redacted"))
-    return found.withColumns({"text": text, "n_chars": F.length(text).cast("long")}).select(*docs.columns)
+    changed = F.when(F.col("text").isNotNull(), F.col("_sm_redacted"))
+    found = found.withColumn("text", changed)
+    return (found.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else found).select(*whole(docs))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents sampled to the target weights of sources, languages and topics."""
-    return mixing.mix(docs).where("kept").select(*docs.columns)
+    """Documents sampled to the target weights of sources, languages and topics.
+
+    Null sources and languages are values of their own, null texts have one token.
+    Repeated rows share a draw, so they stay or go together.
+    """
+    return mixing.mix(docs, carry=True)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Training sequences with their ids."""
+    """Training sequences with their ids; null and empty texts give the end id alone, and
+    each repeated row gives sequences of its own."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
