@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandmill.llm.common import Shelf, stored, tidy
+from strandmill.llm.common import Shelf, stored, tidy, whole
 from strandmill.llm.components import components
 
 HASHES, BANDS, BITS = 128, 32, 2
@@ -187,6 +187,13 @@ def _blocked(rows: DataFrame) -> DataFrame:
     return placed.withColumn("block", F.pmod(F.xxhash64("id"), F.when(F.col("is_main"), F.col("mains")).otherwise(F.col("others"))).cast("int"))
 
 
+def _distinct_buckets(rows: DataFrame) -> DataFrame:
+    """One bucket of those that hold the same members; the others would compare them again."""
+    ids = rows.select("key", "id").distinct()
+    held = ids.groupBy("key").agg(F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("a"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("b"), F.count(F.lit(1)).alias("n"))
+    return rows.join(held.groupBy("a", "b", "n").agg(F.min("key").alias("key")).select("key"), "key", "left_semi")
+
+
 def _side(rows: DataFrame, tag: str, own: str, across: str, columns: list[str], extra: list[str] = ()) -> DataFrame:
     """Rows for one side of a comparison of blocks: (key, own, across) and the columns, tagged."""
     return rows.select("key", F.col("block").alias(own), F.explode(F.expr(f"sequence(0, {across} - 1)")).alias("j" if own == "i" else "i"), *[F.col(c).alias(c + tag) for c in columns], *extra)
@@ -196,7 +203,7 @@ def _live(members: DataFrame, marks: DataFrame, percent: int, shelf: Shelf) -> D
     """(key, id, part, weight) of bucket members that have a plausible partner in
     another part at all. Semi-joins of blocks return a member once, however many
     partners it has."""
-    rows = shelf.put(_blocked(members.join(marks, "id")), "open")
+    rows = shelf.put(_blocked(_distinct_buckets(members).join(marks, "id")), "open")
     columns = ["id", "part", "weight", "n", "planes"]
     fits = _plausible(F.col("n1"), F.col("n2"), F.col("planes1"), F.col("planes2"), percent)
     main, rest = rows.where("is_main"), rows.where("not is_main")
@@ -206,7 +213,7 @@ def _live(members: DataFrame, marks: DataFrame, percent: int, shelf: Shelf) -> D
         on = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("key", "i", "j")]
         found = left.alias("l").join(right.alias("r"), [*on, F.col("part1") != F.col("part2"), fits], "left_semi")
         parts.append(found.select("key", F.col("id1").alias("id"), F.col("part1").alias("part"), F.col("weight1").alias("weight")))
-    return shelf.put(reduce(DataFrame.unionByName, parts).distinct(), "live-rows")
+    return shelf.put(_distinct_buckets(shelf.put(reduce(DataFrame.unionByName, parts).distinct(), "live-rows")), "live-rows")
 
 
 def _differences(live: DataFrame, texts: DataFrame, words_each: int, shelf: Shelf) -> DataFrame:
@@ -317,4 +324,4 @@ def without_near_duplicates(docs: DataFrame, percent: int = 80, words_each: int
     found = near_duplicates(docs, percent, words_each)
     gone = stored(found.where("not kept").select("doc_id").distinct(), "gone")
     few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*whole(docs))
