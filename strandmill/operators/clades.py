@@ -69,20 +69,20 @@ def matching_nodes(definitions: DataFrame, states: DataFrame, nodes: DataFrame,
     return through.unionByName(quiet)
 
 
-def assign_clades(nodes: DataFrame, paths: DataFrame, mutations: DataFrame, definitions: DataFrame, root_state: DataFrame, missing: str = "unassigned") -> tuple[DataFrame, DataFrame]:
+def assign_clades(nodes: DataFrame, mutations: DataFrame, definitions: DataFrame, root_state: DataFrame, missing: str = "unassigned") -> tuple[DataFrame, DataFrame]:
     """(membership: node, clade; labels: node, clade).
 
     A clade's label goes to the matching node with most tips, the first in
     pre-order on ties; membership runs down to the next label.
     """
-    states = tree.inherited_state(paths, mutations).persist()
-    matches = matching_nodes(definitions, states, nodes, root_state).persist()
-    sized = matches.join(tree.leaf_counts(nodes, paths), "node").join(nodes.select("node", "pre"), "node")
+    states = tree.inherited_state(nodes, mutations)
+    matches = matching_nodes(definitions, states, nodes, root_state)
+    sized = matches.join(tree.leaf_counts(nodes), "node").join(nodes.select("node", "pre"), "node")
     best = sized.groupBy("clade").agg(F.max_by("node", F.struct(F.col("leaves"), -F.col("pre"))).alias("node"))
     # Several clades at one node: the one defined by more alleles, then the later name, is shown.
     size = definitions.groupBy("clade").agg(F.count(F.lit(1)).alias("alleles"))
     shown = best.join(size, "clade").groupBy("node").agg(F.max_by("clade", F.struct("alleles", "clade")).alias("label"))
-    member = tree.nearest_labelled(paths, shown, missing).withColumnRenamed("label", "clade")
+    member = tree.nearest_labelled(nodes, shown, missing).withColumnRenamed("label", "clade")
     return member, best.select("node", "clade")
 
 
@@ -109,13 +109,13 @@ def confidence_entropy(confidences: DataFrame, epsilon: float = 1e-12) -> DataFr
     return confidences.groupBy("node").agg((-F.sum(F.col("p") * F.log(F.col("p") + epsilon))).alias("entropy"))
 
 
-def reconstruct(root_sequence: str, paths: DataFrame, mutations: DataFrame) -> DataFrame:
+def reconstruct(root_sequence: str, nodes: DataFrame, mutations: DataFrame) -> DataFrame:
     """(node, sequence) of every node: the root's sequence under inherited mutations."""
     from strandmill.functions.sequences import applied
 
-    states = tree.inherited_state(paths, mutations.withColumn("gene", F.lit("")))
+    states = tree.inherited_state(nodes, mutations.withColumn("gene", F.lit("")))
     changes = states.groupBy("node").agg(F.collect_list(F.struct("pos", "alt")).alias("changes"))
-    every = paths.select(F.col("desc").alias("node")).distinct().join(changes, "node", "left")
+    every = nodes.select("node").join(changes, "node", "left")
     none = F.array().cast("array<struct<pos:int,alt:string>>")
     return every.select("node", applied(F.lit(root_sequence), F.coalesce(F.col("changes").cast("array<struct<pos:int,alt:string>>"), none)).alias("sequence"))
 
@@ -154,12 +154,12 @@ def author_labels(rows: DataFrame) -> DataFrame:
 
 
 def letters(number) -> F.col:
-    """0 is A, 25 Z, 26 AA: bijective numbers in base 26, up to three letters."""
-    letter = lambda v: F.char(v + 65)
-    one, two = F.lit(26), F.lit(26 + 26 * 26)
-    n2, n3 = number - 26, number - 26 - 26 * 26
-    return (
-        F.when(number < one, letter(number))
-        .when(number < two, F.concat(letter(F.floor(n2 / 26)), letter(n2 % 26)))
-        .otherwise(F.concat(letter(F.floor(n3 / 676)), letter(F.floor(n3 / 26) % 26), letter(n3 % 26)))
-    )
+    """0 is A, 25 Z, 26 AA and so on: bijective numbers in base 26 of any length."""
+    start = F.struct((number + 1).cast("long").alias("rest"), F.lit("").alias("text"))
+
+    def step(a, _):
+        one = F.struct(F.floor((a["rest"] - 1) / 26).cast("long").alias("rest"), F.concat(F.char((a["rest"] - 1) % 26 + 65), a["text"]).alias("text"))
+        return F.when(a["rest"] > 0, one).otherwise(a)
+
+    # Fourteen letters hold every long.
+    return F.aggregate(F.sequence(F.lit(1), F.lit(14)), start, step, lambda a: a["text"])

@@ -91,9 +91,9 @@ def confidence_map(values: dict[str, float]) -> dict[str, float]:
     return {k: significant_of(v) for k, v in sorted(values.items(), key=lambda kv: -kv[1]) if v > LEAST_CONFIDENCE}
 
 
-def export_document(nodes: DataFrame, paths: DataFrame, attributes: DataFrame, meta: dict, mutations: dict[str, dict[str, list[str]]] | None = None, labels: dict[str, dict[str, str]] | None = None) -> dict:
+def export_document(nodes: DataFrame, attributes: DataFrame, meta: dict, mutations: dict[str, dict[str, list[str]]] | None = None, labels: dict[str, dict[str, str]] | None = None) -> dict:
     """The nested dataset document {version, meta, tree} of a tree that fits the driver."""
-    div = {r["node"]: r["div"] for r in tree.cumulative_divergence(paths, nodes).collect()}
+    div = {r["node"]: r["div"] for r in tree.cumulative_divergence(nodes).collect()}
     rows = nodes.select("node", "parent", "pre").join(attributes.drop("parent"), "node", "left").orderBy("pre").collect()
     out = []
     for row in rows:

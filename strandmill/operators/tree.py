@@ -1,8 +1,10 @@
 """Trees as tables: nodes with nested-set places, closures, and operators on them.
 
-A tree is parsed on the driver into one row per node: tree_id, node, parent,
-branch_length, is_tip, depth, pre and post. ``closure`` pairs every node with
-its ancestors, so that what recurses in a tree becomes joins and aggregates.
+A tree is one row per node: tree_id, node, parent, branch_length, is_tip and more.
+``placed`` walks each tree once and gives every node the interval [lo, hi] of the
+places below it, with its depth, divergence and leaves. Whatever runs down a tree
+then becomes segments of places, found among the marked nodes alone, that are
+joined to the nodes by equality; depth does not matter.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 NODE_SCHEMA = "tree_id string, node string, parent string, branch_length double, is_tip boolean, depth int, pre int, post int"
 
@@ -49,74 +52,129 @@ def tree_frame(spark: SparkSession, records: list[dict], tree_id: str = "tree")
     return spark.createDataFrame(node_rows(records, tree_id), NODE_SCHEMA)
 
 
-def nodes_of_edges(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """(node, parent, branch_length, is_tip, depth) from a table of edges, by a recursive query."""
-    view = "_sm_edges"
-    edges.createOrReplaceTempView(view)
-    walked = edges.sparkSession.sql(
-        f"""WITH RECURSIVE walk(node, parent, branch_length, depth) AS (
-              SELECT node, parent, branch_length, 0 FROM {view} WHERE parent IS NULL
-              UNION ALL
-              SELECT e.node, e.parent, e.branch_length, w.depth + 1 FROM {view} e JOIN walk w ON e.parent = w.node)
-            SELECT * FROM walk"""
-    )
-    inner = edges.where("parent is not null").select(F.col("parent").alias("node")).distinct().withColumn("_sm_inner", F.lit(True))
-    return walked.join(inner, "node", "left").withColumn("is_tip", F.col("_sm_inner").isNull()).drop("_sm_inner")
+def placed(nodes: DataFrame) -> DataFrame:
+    """``nodes`` with depth, lo, hi (places in pre-order of a node and its last descendant),
+    leaves (tips at or below it) and div (branch lengths from the root, whose own is left out).
 
+    One pass per tree, which must fit a task; children follow ``pre``, if there, else their
+    name. Raises on a node without a way to a root.
+    """
+    own = [f for f in nodes.schema.fields if f.name not in ("depth", "lo", "hi", "leaves", "div")]
+    schema = StructType([*own, *StructType.fromDDL("depth int, lo int, hi int, leaves long, div double").fields])
+    names, by = [f.name for f in own], "pre" if "pre" in nodes.columns else "node"
+
+    def place(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(by, ignore_index=True)
+        at = {name: i for i, name in enumerate(pdf["node"])}
+        up = [at.get(parent, -1) for parent in pdf["parent"]]
+        length, n = pdf["branch_length"].fillna(0.0).to_numpy(float), len(pdf)
+        below: list[list[int]] = [[] for _ in range(n)]
+        for i, p in enumerate(up):
+            if p >= 0:
+                below[p].append(i)
+        order, depth, div = [], np.zeros(n, np.int32), np.zeros(n)
+        stack = [i for i in reversed(range(n)) if up[i] < 0]
+        while stack:
+            i = stack.pop()
+            order.append(i)
+            if up[i] >= 0:
+                depth[i], div[i] = depth[up[i]] + 1, div[up[i]] + length[i]
+            stack += reversed(below[i])
+        if len(order) < n:
+            raise ValueError("some nodes hang on no root")
+        lo, size, leaves = np.empty(n, np.int32), np.ones(n, np.int32), np.array([not b for b in below], np.int64)
+        lo[order] = np.arange(n)
+        for i in reversed(order):
+            if up[i] >= 0:
+                size[up[i]] += size[i]
+                leaves[up[i]] += leaves[i]
+        return pdf.assign(depth=depth, lo=lo, hi=lo + size - 1, leaves=leaves, div=div)[schema.names]
 
-def closure(nodes: DataFrame, levels: int | None = None) -> DataFrame:
-    """(anc, desc, steps, dist) of every node with each ancestor and itself.
+    return nodes.select(*names).groupBy("tree_id").applyInPandas(place, schema)
 
-    Path doubling: a round joins paths of up to n steps to ones of up to 2n, so a
-    tree of depth d needs log2(d) equi-joins. Each round is kept, as the next one
-    reads it three times, and so is the result.
-    """
-    depth = levels if levels is not None else nodes.agg(F.max("depth")).first()[0] or 0
-    one = nodes.where("parent is not null").select(F.col("parent").alias("anc"), F.col("node").alias("desc"), F.lit(1).alias("steps"), F.col("branch_length").alias("dist"))
-    known, reach = one.persist(), 1
-    while reach < depth:
-        far = known.where(F.col("steps") == reach)
-        longer = far.select("desc", F.col("anc").alias("mid"), F.col("steps").alias("s1"), F.col("dist").alias("d1")).join(
-            known.select(F.col("desc").alias("mid"), "anc", F.col("steps").alias("s2"), F.col("dist").alias("d2")), "mid"
-        )
-        known = known.unionByName(longer.select("anc", "desc", (F.col("s1") + F.col("s2")).alias("steps"), (F.col("d1") + F.col("d2")).alias("dist"))).persist()
-        reach *= 2
-    own = nodes.select(F.col("node").alias("anc"), F.col("node").alias("desc"), F.lit(0).alias("steps"), F.lit(0.0).alias("dist"))
-    return own.unionByName(known).persist()
-
-
-def leaf_counts(nodes: DataFrame, paths: DataFrame) -> DataFrame:
+
+def nodes_of_edges(edges: DataFrame) -> DataFrame:
+    """(node, parent, branch_length, is_tip, depth) from a table of edges, whatever their depth."""
+    found = placed(edges.select(F.lit("tree").alias("tree_id"), "node", "parent", "branch_length"))
+    return found.select("node", "parent", "branch_length", (F.col("lo") == F.col("hi")).alias("is_tip"), "depth")
+
+
+def closure(nodes: DataFrame) -> DataFrame:
+    """(anc, desc, steps, dist) of every node with each ancestor and itself: an equi-join on
+    places, as large as its result, which grows with the depth."""
+    at = placed(nodes)
+    above = at.select("tree_id", F.col("node").alias("anc"), F.col("depth").alias("d1"), F.col("div").alias("v1"), F.explode(F.sequence("lo", "hi")).alias("lo"))
+    return above.join(at.select("tree_id", "lo", F.col("node").alias("desc"), "depth", "div"), ["tree_id", "lo"]).select("anc", "desc", (F.col("depth") - F.col("d1")).alias("steps"), (F.col("div") - F.col("v1")).alias("dist"))
+
+
+def leaf_counts(nodes: DataFrame) -> DataFrame:
     """Tips at or below every node."""
-    tips = nodes.where("is_tip").select(F.col("node").alias("desc"))
-    return paths.join(tips, "desc").groupBy(F.col("anc").alias("node")).agg(F.count(F.lit(1)).alias("leaves"))
+    return placed(nodes).select("node", "leaves")
 
 
-def cumulative_divergence(paths: DataFrame, nodes: DataFrame) -> DataFrame:
+def cumulative_divergence(nodes: DataFrame) -> DataFrame:
     """Sum of branch lengths from the root, the root's own left out."""
-    roots = nodes.where("parent is null").select(F.col("node").alias("anc"))
-    return paths.join(F.broadcast(roots), "anc").select(F.col("desc").alias("node"), F.col("dist").alias("div"))
+    return placed(nodes).select("node", "div")
+
 
+def nearest(at: DataFrame, marks: DataFrame, by: list[str] = ()) -> DataFrame:
+    """(node, by, value): the value of the nearest marked ancestor or the node itself.
 
-def nearest_labelled(paths: DataFrame, labels: DataFrame, missing: str | None = None) -> DataFrame:
+    ``at`` are placed nodes, ``marks`` (node, by, value). Intervals of marked nodes nest or
+    are apart, so the places where one of them is the nearest are few segments.
+    """
+    kinds = {f.name: f for f in marks.schema.fields}
+    schema = StructType([*StructType.fromDDL("tree_id string, start int, end int").fields, *[kinds[c] for c in by], kinds["value"]])
+
+    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("lo", ignore_index=True)
+        out, stack, free = [], [], 0
+
+        def close(until: int) -> None:
+            nonlocal free
+            while stack and stack[-1][0] < until:
+                end, value = stack.pop()
+                if free <= end:
+                    out.append((free, end, value))
+                    free = end + 1
+
+        for lo, hi, value in zip(pdf["lo"].tolist(), pdf["hi"].tolist(), pdf["value"], strict=True):
+            close(lo)
+            if stack and free < lo:
+                out.append((free, lo - 1, stack[-1][1]))
+            free = lo
+            stack.append((hi, value))
+        close(np.iinfo(np.int64).max)
+        made = pd.DataFrame(out, columns=["start", "end", "value"])
+        return made.assign(tree_id=pdf["tree_id"].iloc[0], **{c: pdf[c].iloc[0] for c in by})[schema.names]
+
+    marked = marks.select("node", *by, "value").join(at.select("tree_id", "node", "lo", "hi"), "node")
+    segments = marked.groupBy("tree_id", *by).applyInPandas(cut, schema)
+    spread = segments.select("tree_id", *by, "value", F.explode(F.sequence("start", "end")).alias("lo"))
+    return spread.join(at.select("tree_id", "lo", "node"), ["tree_id", "lo"]).select("node", *by, "value")
+
+
+def nearest_labelled(nodes: DataFrame, labels: DataFrame, missing: str | None = None) -> DataFrame:
     """(node, label) of the nearest labelled ancestor or node itself."""
-    found = paths.join(labels.select(F.col("node").alias("anc"), "label"), "anc").groupBy(F.col("desc").alias("node")).agg(F.min_by("label", "steps").alias("label"))
-    every = paths.select(F.col("desc").alias("node")).distinct()
-    return every.join(found, "node", "left").withColumn("label", F.coalesce("label", F.lit(missing)) if missing is not None else F.col("label"))
+    found = nearest(placed(nodes), labels.select("node", F.col("label").alias("value"))).withColumnRenamed("value", "label")
+    every = nodes.select("node").join(found, "node", "left")
+    return every.withColumn("label", F.coalesce("label", F.lit(missing))) if missing is not None else every
 
 
-def inherited_state(paths: DataFrame, mutations: DataFrame) -> DataFrame:
+def inherited_state(nodes: DataFrame, mutations: DataFrame) -> DataFrame:
     """(node, gene, pos, alt): the allele of the nearest ancestor or self that mutated there."""
-    return paths.join(mutations.select(F.col("node").alias("anc"), "gene", "pos", "alt"), "anc").groupBy(F.col("desc").alias("node"), "gene", "pos").agg(F.min_by("alt", "steps").alias("alt"))
+    return nearest(placed(nodes), mutations.select("node", "gene", "pos", F.col("alt").alias("value")), ["gene", "pos"]).withColumnRenamed("value", "alt")
 
 
-def last_ancestor_before(paths: DataFrame, dated: DataFrame, cutoff: float) -> DataFrame:
+def last_ancestor_before(dated: DataFrame, cutoff: float) -> DataFrame:
     """As-of join along the tree: per tip after the cutoff, the last ancestor dated at
     or before it, the root if none is."""
-    tips = dated.where(F.col("is_tip") & (F.col("num_date") > cutoff)).select(F.col("node").alias("desc"))
-    ancestors = dated.select(F.col("node").alias("anc"), "num_date", F.col("parent").isNull().alias("_sm_root"))
-    up = paths.where("steps > 0").join(tips, "desc").join(ancestors, "anc")
-    fits = F.when((F.col("num_date") <= cutoff) | F.col("_sm_root"), F.col("steps"))
-    return up.groupBy(F.col("desc").alias("node")).agg(F.min_by("anc", F.when(F.col("num_date") <= cutoff, F.col("steps"))).alias("_sm_found"), F.max_by("anc", fits).alias("_sm_first")).select("node", F.coalesce("_sm_found", "_sm_first").alias("ancestor"))
+    at = placed(dated)
+    early = at.where(F.col("num_date") <= cutoff).select("node", F.col("node").alias("value"))
+    tips = at.where(F.col("is_tip") & (F.col("num_date") > cutoff) & F.col("parent").isNotNull())
+    roots = at.where("parent is null").select("tree_id", F.col("node").alias("root"))
+    found = tips.select("tree_id", "node").join(nearest(at, early), "node", "left").join(roots, "tree_id")
+    return found.select("node", F.coalesce("value", "root").alias("ancestor"))
 
 
 def duplicate_names(nodes: DataFrame) -> DataFrame:

@@ -27,13 +27,13 @@ def heap_nodes(tables):
 @query("tree_leaf_counts", f"{_TREE} SELECT anc::VARCHAR AS node, count(*) AS leaves FROM up JOIN n ON \"desc\" = node WHERE is_tip GROUP BY 1")
 def tree_leaf_counts(spark, tables):
     nodes = heap_nodes(tables)
-    return tree.leaf_counts(nodes, tree.closure(nodes))
+    return tree.leaf_counts(nodes)
 
 
 @query("tree_cumulative_divergence", f"{_TREE} SELECT \"desc\"::VARCHAR AS node, round(dist, 6) AS div FROM up WHERE anc = 1")
 def tree_cumulative_divergence(spark, tables):
     nodes = heap_nodes(tables)
-    return tree.cumulative_divergence(tree.closure(nodes), nodes).select("node", F.round("div", 6).alias("div"))
+    return tree.cumulative_divergence(nodes).select("node", F.round("div", 6).alias("div"))
 
 
 @query("tree_recursive_depth", f"{_TREE} SELECT \"desc\"::VARCHAR AS node, max(steps) AS depth FROM up GROUP BY 1")
@@ -46,7 +46,7 @@ def tree_recursive_depth(spark, tables):
 def tree_propagate_labels(spark, tables):
     nodes = heap_nodes(tables)
     labels = nodes.where(F.col("node").cast("int") % 7 == 0).select("node", F.concat(F.lit("label"), "node").alias("label"))
-    return tree.nearest_labelled(tree.closure(nodes), labels, "unassigned")
+    return tree.nearest_labelled(nodes, labels, "unassigned")
 
 
 @query("tree_last_ancestor", f"{_TREE}, d AS (SELECT node, 2000 + floor(log2(node + 0.5)) + (node % 3) / 10.0::DOUBLE AS num_date, is_tip FROM n) SELECT u.\"desc\"::VARCHAR AS node, coalesce(arg_min(u.anc, u.steps) FILTER (WHERE a.num_date <= 2005), 1)::VARCHAR AS ancestor FROM up u JOIN d t ON u.\"desc\" = t.node JOIN d a ON u.anc = a.node WHERE u.steps > 0 AND t.is_tip AND t.num_date > 2005 GROUP BY 1")
@@ -54,23 +54,24 @@ def tree_last_ancestor(spark, tables):
     nodes = heap_nodes(tables)
     key = F.col("node").cast("int")
     dated = nodes.withColumn("num_date", 2000 + F.floor(F.log2(key + 0.5)) + (key % 3) / 10.0)
-    return tree.last_ancestor_before(tree.closure(nodes), dated, 2005)
+    return tree.last_ancestor_before(dated, 2005)
 
 
 def heap_mutations(tables):
     """Mutations on branches: gene by return flag, place by line number, allele by status."""
-    rows = tables("lineitem").where("l_orderkey % 3 = 0").select((F.col("l_orderkey") / 3).cast("long").alias("node"), F.concat(F.lit("g"), "l_returnflag").alias("gene"), F.col("l_linenumber").alias("pos"), F.col("l_linestatus").alias("alt"))
+    last = tables("customer").agg(F.max("c_custkey").alias("last"))
+    rows = tables("lineitem").crossJoin(F.broadcast(last)).select((F.col("l_orderkey") % F.col("last") + 1).alias("node"), F.concat(F.lit("g"), "l_returnflag").alias("gene"), F.col("l_linenumber").alias("pos"), F.col("l_linestatus").alias("alt"))
     known = tables("customer").where("c_custkey > 0").select(F.col("c_custkey").alias("node"))
     return rows.join(known, "node", "left_semi").groupBy("node", "gene", "pos").agg(F.min("alt").alias("alt")).withColumn("node", F.col("node").cast("string"))
 
 
-_MUTATIONS = "m AS (SELECT l_orderkey // 3 AS node, 'g' || l_returnflag AS gene, l_linenumber AS pos, min(l_linestatus) AS alt FROM lineitem WHERE l_orderkey % 3 = 0 AND l_orderkey // 3 IN (SELECT c_custkey FROM customer WHERE c_custkey > 0) GROUP BY ALL)"
+_MUTATIONS = "m AS (SELECT l_orderkey % (SELECT max(c_custkey) FROM customer) + 1 AS node, 'g' || l_returnflag AS gene, l_linenumber AS pos, min(l_linestatus) AS alt FROM lineitem WHERE l_orderkey % (SELECT max(c_custkey) FROM customer) + 1 IN (SELECT c_custkey FROM customer WHERE c_custkey > 0) GROUP BY ALL)"
 _STATES = "s AS (SELECT \"desc\" AS node, gene, pos, arg_min(alt, steps) AS alt FROM up JOIN m ON anc = m.node GROUP BY ALL)"
 
 
 @query("tree_inherited_state", f"{_TREE}, {_MUTATIONS}, {_STATES} SELECT node::VARCHAR AS node, gene, pos, alt FROM s")
 def tree_inherited_state(spark, tables):
-    return tree.inherited_state(tree.closure(heap_nodes(tables)), heap_mutations(tables))
+    return tree.inherited_state(heap_nodes(tables), heap_mutations(tables))
 
 
 _CLADES = """c(clade, gene, pos, alt) AS (VALUES ('A', 'gN', 1, 'O'), ('B', 'gN', 1, 'O'), ('B', 'gN', 2, 'O'), ('C', 'gR', 1, 'F'), ('C', 'gA', 2, 'F'), ('D', 'gN', 3, 'O'), ('D', 'gA', 1, 'F')),
@@ -83,11 +84,11 @@ _CLADES = """c(clade, gene, pos, alt) AS (VALUES ('A', 'gN', 1, 'O'), ('B', 'gN'
 
 @query("clade_assignment", f"{_TREE}, {_MUTATIONS}, {_STATES}, {_CLADES} SELECT \"desc\"::VARCHAR AS node, coalesce(arg_min(z.clade, steps) FILTER (WHERE z.clade IS NOT NULL), 'unassigned') AS clade FROM up LEFT JOIN z ON anc = z.node GROUP BY 1")
 def clade_assignment(spark, tables):
-    nodes = heap_nodes(tables).persist()
+    nodes = heap_nodes(tables)
     rows = [("A", "gN", 1, "O"), ("B", "clade", "A", ""), ("B", "gN", 2, "O"), ("C", "gR", 1, "F"), ("C", "gA", 2, "F"), ("D", "gN", 3, "O"), ("D", "gA", 1, "F")]
     definitions = spark.createDataFrame(clades.inherited_definitions(rows), "clade string, gene string, pos int, alt string")
     root = spark.createDataFrame([("gN", 1, "x"), ("gA", 1, "F")], "gene string, pos int, state string")
-    member, _ = clades.assign_clades(nodes, tree.closure(nodes), heap_mutations(tables).persist(), definitions, root)
+    member, _ = clades.assign_clades(nodes, heap_mutations(tables), definitions, root)
     return member
 
 
@@ -120,10 +121,13 @@ def tree_lbi(spark, tables):
     return tree.local_branching_index(dated, tau=0.4, window=2.0)
 
 
-@query("reconstruct_sequences", None)
+@query(
+    "reconstruct_sequences",
+    f"""{_TREE}, {_MUTATIONS.replace("'g' || l_returnflag", "''")}, {_STATES} SELECT n.node::VARCHAR AS node, {" || ".join(f"coalesce((SELECT max(alt) FROM s WHERE s.node = n.node AND pos = {i}), 'A')" for i in range(1, 9))} AS sequence FROM n""",
+)
 def reconstruct_sequences(spark, tables):
-    mutations = heap_mutations(tables).where("gene = 'gN'").select("node", "pos", "alt")
-    return clades.reconstruct("AAAAAAAA", tree.closure(heap_nodes(tables)), mutations)
+    mutations = heap_mutations(tables).groupBy("node", "pos").agg(F.min("alt").alias("alt"))
+    return clades.reconstruct("AAAAAAAA", heap_nodes(tables), mutations)
 
 
 @query("node_attributes", "SELECT c_custkey::VARCHAR AS node, CASE WHEN c_custkey % 2 = 0 THEN 'd' || c_custkey ELSE c_mktsegment END AS segment, c_name AS author FROM customer WHERE c_custkey > 0")

@@ -146,10 +146,11 @@ def test_query_language(spark):
 def test_trees(spark):
     records = trees.parse_newick("((A:0.5,B:0.3)AB:0.8,C:0.3)ROOT:0.2;")
     nodes = tree.tree_frame(spark, records)
-    paths = tree.closure(nodes)
-    div = {r["node"]: r["div"] for r in tree.cumulative_divergence(paths, nodes).collect()}
+    steps = {(r["anc"], r["desc"]): r["steps"] for r in tree.closure(nodes).collect()}
+    assert steps["ROOT", "A"] == 2 and steps["A", "A"] == 0 and ("C", "A") not in steps and len(steps) == 5 + 2 + 4
+    div = {r["node"]: r["div"] for r in tree.cumulative_divergence(nodes).collect()}
     assert div["A"] == pytest.approx(1.3) and div["ROOT"] == 0
-    assert {r["node"]: r["leaves"] for r in tree.leaf_counts(nodes, paths).collect()} == {"A": 1, "B": 1, "C": 1, "AB": 2, "ROOT": 3}
+    assert {r["node"]: r["leaves"] for r in tree.leaf_counts(nodes).collect()} == {"A": 1, "B": 1, "C": 1, "AB": 2, "ROOT": 3}
     assert {r["name"] for r in trees.parse_newick(trees.write_newick(records))} == {"A", "B", "C", "AB", "ROOT"}
     with pytest.raises(ValueError, match="at least"):
         trees.parse_newick("(A,B);")
@@ -157,6 +158,16 @@ def test_trees(spark):
     assert next(r for r in rooted if r["name"] == "C")["parent"] == "_root"
 
 
+def test_deep_chains(spark):
+    """A chain of 10 000 nodes: no recursion, no closure."""
+    edges = spark.range(10_000).select(F.format_string("n%05d", "id").alias("node"), F.when(F.col("id") > 0, F.format_string("n%05d", F.col("id") - 1)).alias("parent"), F.lit(1.0).alias("branch_length"))
+    assert tree.nodes_of_edges(edges).agg(F.max("depth"), F.sum(F.col("is_tip").cast("int"))).first()[:] == (9999, 1)
+    nodes = edges.withColumns({"tree_id": F.lit("t"), "is_tip": F.col("node") == "n09999"})
+    assert tree.cumulative_divergence(nodes).agg(F.max("div")).first()[0] == 9999
+    labels = spark.createDataFrame([("n00010", "a"), ("n05000", "b")], "node string, label string")
+    assert sorted(map(tuple, tree.nearest_labelled(nodes, labels, "none").groupBy("label").count().collect())) == [("a", 4990), ("b", 5000), ("none", 10)]
+
+
 def test_nexus():
     text = '#NEXUS\nBegin trees;\nTranslate 1 A, 2 B, 3 C;\ntree one = [&R] ((1[&rate=0.5,host="x"]:1,2:1):1,3[&host.set={"x","y"},host.set.prob={0.7,0.3}]:2);\nEnd;'
     found = {r["name"]: r["traits"] for r in trees.parse_nexus(text)}
@@ -171,8 +182,8 @@ def test_clade_definitions():
 
 
 def test_letters(spark):
-    values = spark.createDataFrame([(0,), (25,), (26,), (52,)], "n int")
-    assert [r[0] for r in values.orderBy("n").select(clades.letters(F.col("n"))).collect()] == ["A", "Z", "AA", "BA"]
+    values = spark.createDataFrame([(0,), (25,), (26,), (52,), (18277,), (18278,), (475254,)], "n int")
+    assert [r[0] for r in values.orderBy("n").select(clades.letters(F.col("n"))).collect()] == ["A", "Z", "AA", "BA", "ZZZ", "AAAA", "AAAAA"]
 
 
 def test_titers(spark):
