@@ -28,12 +28,17 @@ def directives(pattern: str) -> list[str]:
     return [d for d in re.findall(r"%.", pattern) if d != "%%"]
 
 
-def determines(pattern: str) -> tuple[bool, bool, bool]:
-    """Whether a pattern fixes the year, the month and the day."""
+def determines(pattern: str) -> int:
+    """How many of year, month and day a pattern fixes; each counts only after the one before."""
     found = set(directives(pattern))
-    by_day = bool(found & set(DAY_OF_YEAR)) or (bool(found & set(WEEKS)) and bool(found & set(WEEKDAYS)))
-    year, month, day = (bool(found & set(group)) for group in (YEAR, MONTH, DAY))
-    return year, month or (year and by_day), (month and day) or by_day or bool(found & {"%c", "%x", "%D", "%F"})
+    fixes = lambda *groups: all(found & set(group) for group in groups)
+    place = fixes(DAY_OF_YEAR) or fixes(WEEKS, WEEKDAYS)
+    level = 0
+    for known in (fixes(YEAR), fixes(MONTH) or place, fixes(DAY) or place):
+        if not known:
+            break
+        level += 1
+    return level
 
 
 def _pieces(pattern: str) -> list[str]:
@@ -73,12 +78,7 @@ def parsed(value: Column, pattern: str) -> Column:
 
 def masked(date: Column, pattern: str) -> Column:
     """ISO text of a date with XX for what the pattern leaves open."""
-    year, month, day = determines(pattern)
-    return F.concat(
-        F.date_format(date, "yyyy") if year else F.lit("XXXX"),
-        F.date_format(date, "-MM") if month else F.lit("-XX"),
-        F.date_format(date, "-dd") if day else F.lit("-XX"),
-    )
+    return F.date_format(date, ("'XXXX-XX-XX'", "yyyy'-XX-XX'", "yyyy-MM'-XX'", "yyyy-MM-dd")[determines(pattern)])
 
 
 def interval(value: Column) -> Column:

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from strandmill.functions import dates
 
 GENERATED = ("year", "month", "week")
+#: Draws of sizes before an empty sample is accepted.
+ATTEMPTS = 100
 
 
 def group_keys(df: DataFrame, by: list[str], date_column: str = "date", today: dt.date = dt.date(2100, 1, 1)) -> DataFrame:
@@ -71,28 +73,42 @@ def top_per_group(df: DataFrame, by: list[str], size: Column | int, priority: Co
     return ranked.where(F.col("_sm_rank") <= size).drop("_sm_rank")
 
 
+def top_rows(df: DataFrame, size: int, priority: Column, tie: list[Column]) -> DataFrame:
+    """The rows of highest priority of the whole table; of equal ones the later in ``tie`` order."""
+    return df.orderBy(priority.desc(), *[t.desc() for t in tie]).limit(size)
+
+
+def largest_size(total: int, counts: list[int], groups: list[int]) -> int:
+    """Largest rows per group whose sum stays within ``total``; ``total`` where all rows fit.
+
+    Groups are used up from the smallest; the first that would overdraw what is left,
+    if all groups above got as much, leaves an even share to the rest.
+    """
+    left, open_groups = total, sum(groups)
+    for count, n in sorted(zip(counts, groups, strict=True)):
+        if count * open_groups > left:
+            return left // open_groups
+        left, open_groups = left - count * n, open_groups - n
+    return total
+
+
 def even_size(total: int, counts: list[int], groups: list[int] | None = None) -> int:
     """Rows per group so that the sum stays within ``total``; each count stands for
     as many ``groups`` (one by default).
 
-    A bisection that only ever tries its upper end and stops at a gap of two, so
-    the result need not be the largest that fits.
+    Published results are coarser than the largest size that fits: only the ends of
+    a repeated halving of 1 to ``total``, down to a width of two, are sizes. The largest
+    size is therefore brought down to such an end.
     """
     groups = [1] * len(counts) if groups is None else groups
-
-    def kept(size: int) -> int:
-        return sum(n * min(size, c) for c, n in zip(counts, groups, strict=True))
-
     if total < sum(groups):
         raise ValueError("more groups than rows to keep")
-    low, high = 1, total
-    while high - low > 2:
-        middle = (high + low) // 2
-        if kept(middle) > total:
-            high = middle
-        else:
-            low = middle
-    return high if kept(high) <= total else low
+    fits = largest_size(total, counts, groups)
+    start, width = 1, total - 1
+    while width > 2:
+        inside = fits < start + (half := (2 * start + width) // 2 - start)
+        start, width = (start, half) if inside else (start + half, width - half)
+    return start + width if start + width <= fits else start
 
 
 def fractional_size(total: int, groups: int) -> float:
@@ -139,7 +155,8 @@ def sample_even(df: DataFrame, by: list[str], total: int, priority: Column, tie:
 
     One aggregate counts the groups; only the histogram of their sizes comes to
     the driver, so its size follows distinct counts, not groups. With more groups
-    than rows, sizes are drawn from a Poisson law by a hash of the group.
+    than rows, sizes are drawn from a Poisson law by a hash of the group, again
+    where no group got a row.
     """
     sizes = df.groupBy(*by).count().groupBy("count").agg(F.count(F.lit(1)).alias("groups")).collect()
     groups = sum(r["groups"] for r in sizes)
@@ -148,13 +165,17 @@ def sample_even(df: DataFrame, by: list[str], total: int, priority: Column, tie:
     if groups <= total:
         return top_per_group(df, by, even_size(total, [r["count"] for r in sizes], [r["groups"] for r in sizes]), priority, tie)
     mean = fractional_size(total, groups)
-    draw = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(f"poisson:{seed}"), *by)), 1, 8), 16, 10).cast("double") / 4294967296.0
-    law, cumulative, k = [], 0.0, 0
-    while cumulative < 1 - 1e-9 and k < 1000:
+    # The mean is below 1 here, so the law ends after some twenty terms.
+    law, cumulative = [], 0.0
+    while cumulative < 1 - 1e-9:
+        k = len(law)
         cumulative += math.exp(-mean + k * math.log(mean) - math.lgamma(k + 1)) if mean > 0 else 1.0
         law.append(cumulative)
-        k += 1
-    size = F.lit(len(law))
-    for k in reversed(range(len(law))):
-        size = F.when(draw < law[k], k).otherwise(size)
+    for attempt in range(ATTEMPTS):
+        draw = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(f"poisson:{seed}" + f":{attempt}" * bool(attempt)), *by)), 1, 8), 16, 10).cast("double") / 4294967296.0
+        size = F.lit(len(law))
+        for k in reversed(range(len(law))):
+            size = F.when(draw < law[k], k).otherwise(size)
+        if total == 0 or not df.where(size > 0).isEmpty():
+            break
     return top_per_group(df, by, size, priority, tie, most=len(law))

@@ -87,12 +87,27 @@ def substitution_design(measured: DataFrame, sequences: DataFrame, least: int =
 
 
 def collapse_collinear(design: DataFrame, threshold: int = 5) -> DataFrame:
-    """(feature, group): features shown by the same pairs, or all but fewer than
-    ``threshold`` of them, share a group named after its members."""
-    prints = design.where("feature like 'change:%'").select("feature", F.xxhash64("test", "ref", "serum").alias("pair"))
-    sets = prints.groupBy("feature").agg(F.sum(F.col("pair").cast("decimal(38,0)")).alias("mark"), F.count(F.lit(1)).alias("n"))
-    same = sets.groupBy("mark", "n").agg(F.array_join(F.array_sort(F.collect_list("feature")), "/").alias("group"), F.collect_list("feature").alias("features"))
-    return same.where(F.col("n") >= threshold).select(F.explode("features").alias("feature"), "group")
+    """(feature, group): changes whose columns differ in at most ``threshold`` measurements.
+
+    In name order each change joins the first group whose first member it is that close
+    to, or starts one; a group is named after its members. Columns are compared by their
+    common measurements; the changes of one model come to the driver, as for its fit.
+    """
+    cells = design.where("feature like 'change:%'").select("feature", "test", "ref", "serum").distinct()
+    sizes = dict(map(tuple, cells.groupBy("feature").count().collect()))
+    other = cells.withColumnRenamed("feature", "other")
+    both = cells.join(other, ["test", "ref", "serum"]).where("feature < other").groupBy("feature", "other").count()
+    common = {(r["feature"], r["other"]): r["count"] for r in both.collect()}
+    groups: list[list[str]] = []
+    for name in sorted(sizes):
+        near = (g for g in groups if sizes[name] + sizes[g[0]] - 2 * common.get((g[0], name), 0) <= threshold)
+        group = next(near, None)
+        if group is None:
+            groups.append([name])
+        else:
+            group.append(name)
+    rows = [(name, "/".join(group)) for group in groups for name in group]
+    return design.sparkSession.createDataFrame(rows, "feature string, group string")
 
 
 def matrix(measured: DataFrame, design: DataFrame) -> tuple[np.ndarray, np.ndarray, list[str]]:

@@ -9,7 +9,7 @@ from strandmill.operators import clades, curate
 from strandmill.plans.registry import query
 
 
-@query("curate_titlecase", None)
+@query("curate_titlecase", "SELECT p_partkey, array_to_string([upper(left(w, 1)) || lower(substr(w, 2)) FOR w IN string_split(p_name, ' ')], ' ') || ' de la USA' AS name FROM part")
 def curate_titlecase(spark, tables):
     df = tables("part").select("p_partkey", F.concat(F.upper("p_name"), F.lit(" DE LA USA")).alias("name"))
     return curate.titlecase(df, ["name"], articles=["de", "la"], abbreviations=["usa"])
@@ -21,10 +21,10 @@ def curate_normalize(spark, tables):
     return df.select("doc_id", F.md5("text").alias("digest"))
 
 
-@query("curate_authors", "SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN '?' ELSE split_part(p_name, ' ', 1) || ' et al.' END AS authors FROM part")
+@query("curate_authors", "SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN '?' WHEN p_partkey % 7 = 3 THEN split_part(p_name, ' ', 1) || ' et al' WHEN p_partkey % 7 = 4 THEN split_part(p_name, ' ', 1) || 'et al et al.' ELSE split_part(p_name, ' ', 1) || ' et al.' END AS authors FROM part")
 def curate_authors(spark, tables):
     first = F.split("p_name", " ")[0]
-    text = F.when(F.col("p_partkey") % 5 == 0, "").when(F.col("p_partkey") % 3 == 0, F.concat(first, F.lit(" et al."))).when(F.col("p_partkey") % 3 == 1, F.concat(first, F.lit(",  B.; C, D"))).otherwise(F.concat(first, F.lit(" and  Other")))
+    text = F.when(F.col("p_partkey") % 5 == 0, "").when(F.col("p_partkey") % 7 == 3, F.concat(first, F.lit(" et al"))).when(F.col("p_partkey") % 7 == 4, F.concat(first, F.lit("et al"))).when(F.col("p_partkey") % 3 == 0, F.concat(first, F.lit(" et al."))).when(F.col("p_partkey") % 3 == 1, F.concat(first, F.lit(",  B.; C, D"))).otherwise(F.concat(first, F.lit(" and  Other")))
     return curate.abbreviate_authors(tables("part").select("p_partkey", text.alias("authors")))
 
 
@@ -67,16 +67,16 @@ def curate_geolocation(spark, tables):
 
 @query(
     "curate_format_dates",
-    "SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%Y-%m') || '-XX' WHEN 2 THEN strftime(o_orderdate, '%Y') || '-XX-XX' WHEN 3 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 4 THEN 'XXXX-XX-XX' ELSE strftime(o_orderdate, '%Y') || '-01-01/' || strftime(o_orderdate, '%Y') || '-12-31' END AS date FROM orders",
+    "SELECT o_orderkey, CASE o_orderkey % 8 WHEN 6 THEN 'XXXX-XX-XX' WHEN 7 THEN 'XXXX-XX-XX' WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%Y-%m') || '-XX' WHEN 2 THEN strftime(o_orderdate, '%Y') || '-XX-XX' WHEN 3 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 4 THEN 'XXXX-XX-XX' ELSE strftime(o_orderdate, '%Y') || '-01-01/' || strftime(o_orderdate, '%Y') || '-12-31' END AS date FROM orders",
 )
 def curate_format_dates(spark, tables):
-    day, key = F.col("o_orderdate"), F.col("o_orderkey") % 6
+    day, key = F.col("o_orderdate"), F.col("o_orderkey") % 8
     text = (
         F.when(key == 0, F.date_format(day, "d/M/yyyy")).when(key == 1, F.date_format(day, "yyyy/MM")).when(key == 2, F.date_format(day, "yyyy"))
-        .when(key == 3, F.date_format(day, "yyyy-MM-dd")).when(key == 4, "never").otherwise(F.concat(F.lit("["), F.year(day), F.lit(" TO "), F.year(day), F.lit("]")))
+        .when(key == 3, F.date_format(day, "yyyy-MM-dd")).when(key == 4, "never").when(key == 6, F.date_format(day, "MM.dd")).when(key == 7, F.date_format(day, "'m'M")).otherwise(F.concat(F.lit("["), F.year(day), F.lit(" TO "), F.year(day), F.lit("]")))
     )
     df = tables("orders").select("o_orderkey", text.alias("date"))
-    return curate.format_dates(df, ["date"], ["%Y", "%Y/%m", "%d/%m/%Y"])
+    return curate.format_dates(df, ["date"], ["%Y", "%Y/%m", "%d/%m/%Y", "%m.%d", "m%m"])
 
 
 @query("curate_fix_dates", "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%Y') || '-XX-XX' WHEN 1 THEN strftime(o_orderdate, '%Y-%m') || '-XX' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS date FROM orders")

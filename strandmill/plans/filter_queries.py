@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandmill.functions import dates
-from strandmill.operators import merge, predicates, sampling
+from strandmill.operators import frequencies, merge, predicates, sampling
 from strandmill.plans import dag
 from strandmill.plans.registry import query
 
@@ -137,7 +136,7 @@ def subsample_even_orders(spark, tables):
     forced = F.size("included") > 0
     pool = sampling.group_keys(passed.where(~forced), ["nation", "year"])
     by = ["group_nation", "group_year"]
-    total = max(500, pool.select(*by).distinct().count())
+    total = max(500, pool.groupBy(*by).count().count())
     kept = sampling.sample_even(pool, by, total, F.col("price"), [F.col("strain").cast("long")])
     chosen = sampling.group_keys(passed.where(forced), ["nation", "year"]).unionByName(kept.select(*pool.columns))
     return chosen.select("strain", F.col("group_nation").alias("nation"), F.col("group_year").alias("year"), (F.size("included") > 0).alias("forced"))
@@ -164,8 +163,7 @@ def subsample_weighted(spark, tables):
 
 @query("subsample_limit", f"SELECT o_orderkey::VARCHAR AS strain FROM orders ORDER BY {DRAW.format(seed=7, id='o_orderkey')} DESC, o_orderkey DESC LIMIT 250")
 def subsample_limit(spark, tables):
-    df = orders_metadata(tables)
-    return df.orderBy(sampling.hashed_priority("strain", 7).desc(), F.col("strain").cast("long").desc()).limit(250).select("strain")
+    return sampling.top_rows(orders_metadata(tables), 250, sampling.hashed_priority("strain", 7), [F.col("strain").cast("long")]).select("strain")
 
 
 @query("group_year_month", "SELECT event_type, strftime(ts, '%Y-%m') AS month, count(*) AS n FROM events GROUP BY ALL")
@@ -186,6 +184,13 @@ def priority_ties(spark, tables):
     return kept.select("l_suppkey", "l_orderkey", "l_linenumber")
 
 
+@query("subsample_poisson", f"""WITH g AS (SELECT o_custkey, ('0x' || substr(md5('poisson:5|' || o_custkey), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS draw, (SELECT 60.0::DOUBLE / count(DISTINCT o_custkey) FROM orders) AS mean FROM orders GROUP BY 1),
+  z AS (SELECT o_custkey, (draw >= exp(-mean))::INT + (draw >= exp(-mean) * (1 + mean))::INT + (draw >= exp(-mean) * (1 + mean + mean * mean / 2))::INT + (draw >= exp(-mean) * (1 + mean + mean * mean / 2 + pow(mean, 3) / 6))::INT AS size FROM g)
+  SELECT o_orderkey::VARCHAR AS strain, o_custkey::VARCHAR AS group_own FROM orders JOIN z USING (o_custkey) QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY {DRAW.format(seed=3, id="o_orderkey")} DESC, o_orderkey::VARCHAR DESC) <= size""")
+def subsample_poisson(spark, tables):
+    return groups_poisson_total(spark, tables)
+
+
 @query("groups_poisson_total", None)
 def groups_poisson_total(spark, tables):
     keyed = sampling.group_keys(orders_metadata(tables).withColumn("own", F.col("custkey").cast("string")), ["own"])
@@ -262,7 +267,7 @@ def record_annotations(spark, tables):
 @query("cross_weights", "WITH g AS (SELECT r_name, n_name, n_regionkey + 1 AS w FROM region JOIN nation ON r_regionkey = n_regionkey), s AS (SELECT r_name, n_name, w::DOUBLE / count(*) OVER (PARTITION BY r_name) AS weight FROM g) SELECT r_name, n_name, round(weight, 9) AS weight, floor(weight / sum(weight) OVER () * 100 + 0.5)::INT AS size FROM s")
 def cross_weights(spark, tables):
     region, nation = tables("region"), tables("nation")
-    counts = region.crossJoin(nation).where("r_regionkey = n_regionkey").select(F.col("r_name").alias("group_r"), F.col("n_name").alias("group_n"), F.lit(1).alias("n"))
+    counts = region.join(nation, F.col("r_regionkey") == F.col("n_regionkey")).select(F.col("r_name").alias("group_r"), F.col("n_name").alias("group_n"), F.lit(1).alias("n"))
     weights = region.select(F.col("r_name").alias("r"), (F.col("r_regionkey") + 1).cast("double").alias("weight"))
     sizes = sampling.weighted_sizes(counts, weights, ["r"], ["r", "n"], 100, F.lit(0.5))
     return sizes.select(F.col("group_r").alias("r_name"), F.col("group_n").alias("n_name"), F.round("weight", 9).alias("weight"), "size")
@@ -302,8 +307,8 @@ def dag_subsample(spark, tables):
 @query("set_operations", "SELECT 'both' AS side, c_custkey FROM (SELECT c_custkey FROM customer WHERE c_acctbal > 0 INTERSECT SELECT o_custkey FROM orders) UNION ALL SELECT 'left', c_custkey FROM (SELECT c_custkey FROM customer WHERE c_acctbal > 0 EXCEPT SELECT o_custkey FROM orders)")
 def set_operations(spark, tables):
     rich = tables("customer").where("c_acctbal > 0").select("c_custkey")
-    buys = tables("orders").select(F.col("o_custkey").alias("c_custkey"))
-    return rich.intersect(buys).select(F.lit("both").alias("side"), "c_custkey").unionByName(rich.subtract(buys).select(F.lit("left").alias("side"), "c_custkey"))
+    both, left = merge.common_and_missing(rich, tables("orders").select("o_custkey"))
+    return both.select(F.lit("both").alias("side"), "c_custkey").unionByName(left.select(F.lit("left").alias("side"), "c_custkey"))
 
 
 @query("float_to_date", "SELECT o_orderkey, o_orderdate::DATE AS day, round(year(o_orderdate) + (month(o_orderdate) - 1) / 12.0::DOUBLE + (day(o_orderdate) - 1) / 365.25::DOUBLE, 8) AS coarse FROM orders")
@@ -319,7 +324,7 @@ def filter_log_counts(spark, tables):
     return predicates.filter_log(marked, "strain").groupBy("filter", "kwargs").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("first_last_observation", "SELECT user_id, event_id, round(value - lag(value) OVER w, 6) AS step, round(sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), 4) AS total FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
+@query("first_last_observation", "SELECT user_id, event_id, round(value - lag(value) OVER w, 6) AS step, round(sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), 4) AS total, min(event_id) OVER (PARTITION BY user_id) AS first_seen, max(event_id) OVER (PARTITION BY user_id) AS last_seen FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
 def first_last_observation(spark, tables):
-    own = W.partitionBy("user_id").orderBy("event_id")
-    return tables("events").select("user_id", "event_id", F.round(F.col("value") - F.lag("value").over(own), 6).alias("step"), F.round(F.sum("value").over(own.rowsBetween(W.unboundedPreceding, 0)), 4).alias("total"))
+    found = frequencies.observation_cutoffs(tables("events"), "user_id", "event_id", "value")
+    return found.select("user_id", "event_id", F.round("step", 6).alias("step"), F.round("total", 4).alias("total"), "first_seen", "last_seen")

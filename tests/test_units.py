@@ -118,6 +118,47 @@ def test_formats(spark):
         assert one(spark, formats.iso_date(F.lit(text), patterns)) == expected
 
 
+def test_formats_without_a_year(spark):
+    for text, pattern, expected in [("03/05", "%m/%d", "XXXX-XX-XX"), ("05", "%m", "XXXX-XX-XX"), ("2020 05", "%Y %d", "2020-XX-XX"), ("2020 10 1", "%Y %W %w", "2020-03-09")]:
+        assert one(spark, formats.iso_date(F.lit(text), [pattern])) == expected
+
+
+def test_authors(spark):
+    cases = {"Lee et al": "Lee et al", "Lee et al.": "Lee et al.", "Marguet al": "Marguet al et al.", "A B; C": "A B et al.", "A & B": "A et al.", "A,B": "A et al.", "Sandand": "Sandand et al.", "": "?"}
+    df = spark.createDataFrame([(k,) for k in cases], "authors string").withColumn("was", F.col("authors"))
+    assert {r["was"]: r["authors"] for r in curate.abbreviate_authors(df).collect()} == cases
+
+
+def test_repeated_ids_fail_a_merge(spark):
+    x = spark.createDataFrame([("a", "1"), ("a", "2")], "id string, sequence string")
+    with pytest.raises(Exception, match="more than once"):
+        merge.merge_metadata({"X": (x, "id")}).collect()
+    with pytest.raises(Exception, match="more than once"):
+        merge.merge_sequences([x]).collect()
+
+
+def test_collinear_changes(spark):
+    rows = [(f"v{i}", "r", "s", f"change:{name}") for name, tests in {"a": range(20), "b": range(4, 22), "c": range(2, 20), "d": range(40, 42)}.items() for i in tests]
+    found = dict(map(tuple, titers.collapse_collinear(spark.createDataFrame(rows, "test string, ref string, serum string, feature string"), 5).collect()))
+    assert found == {"change:a": "change:a/change:c", "change:c": "change:a/change:c", "change:b": "change:b", "change:d": "change:d"}
+
+
+def test_even_size_against_halving():
+    def slow(total, counts):
+        fits = max(s for s in range(1, total + 1) if sum(min(s, c) for c in counts) <= total)
+        assert sampling.largest_size(total, counts, [1] * len(counts)) == fits
+        reach = {(1, total)}
+        while any(b - a > 2 for a, b in reach):
+            reach = {(a, b) for a, b in reach if b - a <= 2} | {h for a, b in reach if b - a > 2 for h in ((a, (a + b) // 2), ((a + b) // 2, b))}
+        return max(e for pair in reach for e in pair if e <= fits and pair[0] <= fits and (pair[1] > fits or e == total))
+
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        counts = rng.integers(1, 12, rng.integers(1, 6)).tolist()
+        total = int(rng.integers(len(counts), 40))
+        assert sampling.even_size(total, counts) == slow(total, counts)
+
+
 def test_location_rules():
     rules = {("a", "b", "c", "*"): ("1", "2", "3", "*"), ("a", "b", "*", "*"): ("1", "2", "*", "*"), ("a", "*", "*", "*"): ("1", "*", "*", "*")}
     assert curate.LocationRules(rules).apply(("a", "b", "x", "x"))[0] == ("1", "2", "x", "x")
