@@ -239,12 +239,13 @@ def merge_sequences_last_wins(spark, tables):
 
 @query(
     "join_metadata_sequences",
-    "SELECT 'joined' AS side, doc_id::VARCHAR AS id, md5(upper(replace(text, 'ß', 'SS'))) AS digest FROM labels JOIN documents USING (doc_id) WHERE doc_id % 7 <> 0 UNION ALL SELECT 'no sequence', doc_id::VARCHAR, NULL FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 7 <> 0) UNION ALL SELECT 'no metadata', doc_id::VARCHAR, NULL FROM documents WHERE doc_id % 7 <> 0 AND doc_id NOT IN (SELECT doc_id FROM labels)",
+    "SELECT 'joined' AS side, doc_id::VARCHAR AS id, md5(upper(replace(text, 'ß', 'SS'))) AS digest FROM labels JOIN documents USING (doc_id) UNION ALL SELECT 'no sequence', doc_id::VARCHAR, NULL FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents) UNION ALL SELECT 'no sequence', 'item ' || item_id, NULL FROM benchmark UNION ALL SELECT 'no metadata', doc_id::VARCHAR, NULL FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
 )
 def join_metadata_sequences(spark, tables):
-    # Sequences of every seventh document are left out, so that both reports have rows.
-    meta = tables("labels").select(F.col("doc_id").cast("string").alias("strain"))
-    docs = tables("documents").where("doc_id % 7 <> 0").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("sequence"))
+    # Items of the benchmark have no document, so that both reports have rows.
+    items = tables("benchmark").select(F.concat(F.lit("item "), "item_id").alias("strain"))
+    meta = tables("labels").select(F.col("doc_id").cast("string").alias("strain")).unionByName(items)
+    docs = tables("documents").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("sequence"))
     joined, lone, rest = merge.metadata_with_sequences(meta, docs, "strain")
     none = F.lit(None).cast("string").alias("digest")
     sides = [(joined, "joined", F.md5("sequence").alias("digest")), (lone, "no sequence", none), (rest, "no metadata", none)]

@@ -17,13 +17,22 @@ def _count(letters: str) -> str:
     return f"(length({_LOW}) - length(translate({_LOW}, '{letters}', '')))::BIGINT"
 
 
-def nucleotides(column, length: int):
-    """The first letters of a text as a sequence of A, C, G and T."""
-    return F.substring(F.translate(F.regexp_replace(F.lower(column), "[^a-z]", ""), _NUC_FROM, _NUC_TO), 1, length)
+#: Width to which names of parts are filled; all of them are shorter.
+WIDTH = 64
 
 
-def _nuc(column: str, length: int) -> str:
-    return f"substr(translate(regexp_replace(lower({column}), '[^a-z]', '', 'g'), '{_NUC_FROM}', '{_NUC_TO}'), 1, {length})"
+def nucleotides(column):
+    """All letters of a text as a sequence of A, C, G and T; none for a null text."""
+    return F.translate(F.regexp_replace(F.lower(F.coalesce(column, F.lit(""))), "[^a-z]", ""), _NUC_FROM, _NUC_TO)
+
+
+def _nuc(column: str) -> str:
+    return f"translate(regexp_replace(lower(coalesce({column}, '')), '[^a-z]', '', 'g'), '{_NUC_FROM}', '{_NUC_TO}')"
+
+
+def _at(sequence: str, site: int) -> str:
+    """SQL for a sequence with N at a 0-based site, where it has one."""
+    return f"CASE WHEN length({sequence}) > {site} THEN substr({sequence}, 1, {site}) || 'N' || substr({sequence}, {site + 2}) ELSE {sequence} END"
 
 
 _CLASSES = {"A": "a", "C": "c", "G": "g", "T": "t", "N": "n", "other_IUPAC": "rymkswhbvd", "-": "-", "?": "?"}
@@ -49,8 +58,10 @@ def filter_length(spark, tables):
 
 @query("invalid_counts", f"SELECT invalid > 0 AS bad, count(*) AS n FROM (SELECT length(translate({_LOW}, '{''.join(_CLASSES.values())}', '')) AS invalid FROM documents) GROUP BY 1")
 def invalid_counts(spark, tables):
-    df = sequences.nucleotide_index(tables("documents"), "doc_id", "text")
-    return df.groupBy((F.col("invalid_nucleotides") > 0).alias("bad")).agg(F.count(F.lit(1)).alias("n"))
+    from strandmill.operators import predicates
+
+    df = predicates.attributed(sequences.nucleotide_index(tables("documents"), "doc_id", "text"), [predicates.no_invalid()])
+    return df.groupBy((~F.col("passed")).alias("bad")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("total_length", "SELECT sum(length(text))::BIGINT AS total, round(avg(length(text)), 6) AS mean FROM documents")
@@ -59,44 +70,45 @@ def total_length(spark, tables):
     return df.agg(F.sum("length").alias("total"), F.round(F.avg("length"), 6).alias("mean"))
 
 
-@query("mask_sites", f"SELECT doc_id, 'NN' || substr(s, 3, 3) || 'N' || substr(s, 7, 34 - 7 + 1 - 4 + 0) || 'N' || substr(s, 32, 6) || 'NNN' AS masked FROM (SELECT doc_id, {_nuc('text', 40)} AS s FROM documents) WHERE length(s) = 40")
+@query("mask_sites", f"SELECT doc_id, CASE WHEN length(s) <= 5 THEN repeat('N', length(s)) ELSE 'NN' || substr(m, 3, length(s) - 5) || 'NNN' END AS masked FROM (SELECT doc_id, s, {_at('b', 77)} AS m FROM (SELECT doc_id, s, {_at('a', 30)} AS b FROM (SELECT doc_id, s, {_at('s', 5)} AS a FROM (SELECT doc_id, {_nuc('text')} AS s FROM documents))))")
 def mask_sites(spark, tables):
-    df = tables("documents").select("doc_id", nucleotides(F.col("text"), 40).alias("s")).where("length(s) = 40")
+    df = tables("documents").select("doc_id", nucleotides(F.col("text")).alias("s"))
     return df.select("doc_id", sequences.masked(F.col("s"), begin=2, end=3, sites=[5, 30, 77]).alias("masked"))
 
 
 @query(
     "translate_codons",
-    f"""WITH s AS (SELECT doc_id, {_nuc('text', 60)} AS s FROM documents)
-        SELECT doc_id, array_to_string([coalesce(MAP {{{', '.join(f"'{c}': '{a}'" for c, a in sequences.codon_table().items())}}}[substr(s, 3 * i + 1, 3)], 'X') FOR i IN range(20)], '') AS amino FROM s WHERE length(s) = 60""",
+    f"""WITH s AS (SELECT doc_id, {_nuc('text')} AS s FROM documents)
+        SELECT doc_id, array_to_string([coalesce(MAP {{{', '.join(f"'{c}': '{a}'" for c, a in sequences.codon_table().items())}}}[substr(s, 3 * i + 1, 3)], 'X') FOR i IN range(length(s) // 3)], '') AS amino FROM s""",
 )
 def translate_codons(spark, tables):
-    df = tables("documents").select("doc_id", nucleotides(F.col("text"), 60).alias("s")).where("length(s) = 60")
-    return df.select("doc_id", sequences.translated(F.col("s")).alias("amino"))
+    whole = tables("documents").select("doc_id", nucleotides(F.col("text")).alias("s"))
+    codons = whole.select("doc_id", F.expr("substring(s, 1, length(s) - length(s) % 3)").alias("s"))
+    return codons.select("doc_id", sequences.translated(F.col("s")).alias("amino"))
 
 
-@query("reverse_feature", f"SELECT doc_id, reverse(translate(substr(s, 1, 6) || substr(s, 11, 9), 'ACGT', 'TGCA')) AS feature FROM (SELECT doc_id, {_nuc('text', 30)} AS s FROM documents)")
+@query("reverse_feature", f"SELECT doc_id, reverse(translate(substr(s, 1, 6) || substr(s, 11), 'ACGT', 'TGCA')) AS feature FROM (SELECT doc_id, {_nuc('text')} AS s FROM documents)")
 def reverse_feature(spark, tables):
-    df = tables("documents").select("doc_id", nucleotides(F.col("text"), 30).alias("s"))
-    return df.select("doc_id", sequences.feature(F.col("s"), [(0, 6), (10, 19)], -1).alias("feature"))
+    df = tables("documents").select("doc_id", nucleotides(F.col("text")).alias("s"))
+    return df.select("doc_id", sequences.feature(F.col("s"), [(0, 6), (10, 2**31 - 1)], -1).alias("feature"))
 
 
-_PARTS = f"SELECT p_partkey::VARCHAR AS id, rpad({_nuc('p_name', 12)}, 12, 'N') AS s FROM part"
-_DIST = "list_sum([(substr(f.s, i, 1) <> substr(c.s, i, 1) AND substr(f.s, i, 1) <> 'N' AND substr(c.s, i, 1) <> 'N')::INT FOR i IN range(1, 13)])::BIGINT"
+_PARTS = f"SELECT p_partkey::VARCHAR AS id, rpad({_nuc('p_name')}, {WIDTH}, 'N') AS s FROM part"
+_DIST = f"list_sum([(substr(f.s, i, 1) <> substr(c.s, i, 1) AND substr(f.s, i, 1) <> 'N' AND substr(c.s, i, 1) <> 'N')::INT FOR i IN range(1, {WIDTH + 1})])::BIGINT"
 
 
 def part_sequences(tables):
-    return tables("part").select(F.col("p_partkey").cast("string").alias("id"), F.rpad(nucleotides(F.col("p_name"), 12), 12, "N").alias("sequence"))
+    return tables("part").select(F.col("p_partkey").cast("string").alias("id"), F.rpad(nucleotides(F.col("p_name")), WIDTH, "N").alias("sequence"))
 
 
 @query(
     "hamming_topk",
-    f"WITH p AS ({_PARTS}), f AS (SELECT * FROM p WHERE id::INT <= 20), c AS (SELECT *, length(s) - length(replace(s, 'N', '')) AS unknown FROM p WHERE id::INT > 20), d AS (SELECT f.id AS focal, c.id AS id, {_DIST} AS distance, unknown::BIGINT AS unknown FROM f, c) SELECT * FROM d WHERE distance <= 6 QUALIFY row_number() OVER (PARTITION BY focal ORDER BY distance, unknown, id) <= 5",
+    f"WITH p AS ({_PARTS}), f AS (SELECT * FROM p WHERE id::INT % 20 = 0), c AS (SELECT *, length(s) - length(replace(s, 'N', '')) AS unknown FROM p WHERE id::INT % 20 <> 0), d AS (SELECT f.id AS focal, c.id AS id, {_DIST} AS distance, unknown::BIGINT AS unknown FROM f, c) SELECT * FROM d WHERE distance <= 16 QUALIFY row_number() OVER (PARTITION BY focal ORDER BY distance, unknown, id) <= 5",
 )
 def hamming_topk(spark, tables):
     rows = part_sequences(tables)
-    focal = rows.where(F.col("id").cast("int") <= 20)
-    return proximity.neighbours(focal, rows, 5, max_distance=6)
+    focal = rows.where(F.col("id").cast("int") % 20 == 0)
+    return proximity.neighbours(focal, rows, 5, max_distance=16)
 
 
 @query("hamming_pairs", f"WITH p AS ({_PARTS}) SELECT f.id AS a, c.id AS b, {_DIST} AS distance FROM p f JOIN p c ON f.id::INT + 1 = c.id::INT")
@@ -106,7 +118,7 @@ def hamming_pairs(spark, tables):
     return one.join(two, F.col("a").cast("int") + 1 == F.col("b").cast("int")).select("a", "b", sequences.hamming(F.col("x"), F.col("y")).alias("distance"))
 
 
-@query("distance_weighted", f"WITH p AS ({_PARTS}) SELECT f.id AS first, c.id AS second, round(list_sum([CASE WHEN substr(f.s, i, 1) = substr(c.s, i, 1) OR substr(f.s, i, 1) = 'N' OR substr(c.s, i, 1) = 'N' THEN 0.0::DOUBLE WHEN i = 3 THEN 2.5::DOUBLE WHEN i = 5 AND substr(f.s, i, 1) = 'A' AND substr(c.s, i, 1) = 'G' THEN 4.0::DOUBLE ELSE 1.0::DOUBLE END FOR i IN range(1, 13)]), 2) AS distance FROM p f JOIN p c ON f.id::INT + 1 = c.id::INT")
+@query("distance_weighted", f"WITH p AS ({_PARTS}) SELECT f.id AS first, c.id AS second, round(list_sum([CASE WHEN substr(f.s, i, 1) = substr(c.s, i, 1) OR substr(f.s, i, 1) = 'N' OR substr(c.s, i, 1) = 'N' THEN 0.0::DOUBLE WHEN i = 3 THEN 2.5::DOUBLE WHEN i = 5 AND substr(f.s, i, 1) = 'A' AND substr(c.s, i, 1) = 'G' THEN 4.0::DOUBLE ELSE 1.0::DOUBLE END FOR i IN range(1, {WIDTH + 1})]), 2) AS distance FROM p f JOIN p c ON f.id::INT + 1 = c.id::INT")
 def distance_weighted(spark, tables):
     weights = distance.DistanceMap.from_json({"default": 1, "map": {"g": {"3": 2.5, "5": [{"from": "A", "to": "G", "weight": 4}]}}, "ignored_characters": ["N"]})
     rows = part_sequences(tables)
@@ -123,7 +135,7 @@ def distance_pairs_window(spark, tables):
     return distance.dated_pairs(tips, 1998.575, 1998.57, slices=0.05)
 
 
-@query("call_mutations", f"WITH p AS ({_PARTS}), q AS (SELECT f.id AS id, f.s AS a, c.s AS b FROM p f JOIN p c ON f.id::INT + 1 = c.id::INT) SELECT id, array_to_string(list_filter([CASE WHEN substr(a, i, 1) <> substr(b, i, 1) THEN substr(a, i, 1) || i || substr(b, i, 1) END FOR i IN range(1, 13)], lambda x: x IS NOT NULL), ',') AS muts FROM q")
+@query("call_mutations", f"WITH p AS ({_PARTS}), q AS (SELECT f.id AS id, f.s AS a, c.s AS b FROM p f JOIN p c ON f.id::INT + 1 = c.id::INT) SELECT id, array_to_string(list_filter([CASE WHEN substr(a, i, 1) <> substr(b, i, 1) THEN substr(a, i, 1) || i || substr(b, i, 1) END FOR i IN range(1, {WIDTH + 1})], lambda x: x IS NOT NULL), ',') AS muts FROM q")
 def call_mutations(spark, tables):
     rows = part_sequences(tables)
     one, two = rows.toDF("id", "a"), rows.toDF("other", "b")
@@ -154,16 +166,30 @@ def insertion_runs(spark, tables):
     return tables("part").select("p_partkey", F.explode(sequences.insertions(F.col("p_brand"), reference)).alias("i")).select("p_partkey", "i.place", "i.letters")
 
 
-@query("allele_frequencies", f"WITH l AS (SELECT i - 1 AS pos, substr(s, i, 1) AS letter FROM ({_PARTS}), range(1, 13) t(i)), c AS (SELECT pos, letter, count(*) AS n FROM l GROUP BY ALL) SELECT pos, letter, round(n / sum(n) OVER (PARTITION BY pos), 9) AS frequency FROM c QUALIFY n / sum(n) OVER (PARTITION BY pos) >= 0.05")
+@query("allele_frequencies", f"WITH l AS (SELECT i - 1 AS pos, substr(s, i, 1) AS letter FROM ({_PARTS}), range(1, {WIDTH + 1}) t(i)), c AS (SELECT pos, letter, count(*) AS n FROM l GROUP BY ALL) SELECT pos, letter, round(n / sum(n) OVER (PARTITION BY pos), 9) AS frequency FROM c QUALIFY n / sum(n) OVER (PARTITION BY pos) >= 0.05")
 def allele_frequencies(spark, tables):
     return frequencies.allele_frequencies(part_sequences(tables), 0.05).withColumn("frequency", F.round("frequency", 9))
 
 
-@query("informative_sites", f"WITH l AS (SELECT i - 1 AS pos, substr(s, i, 1) AS letter FROM ({_PARTS}), range(1, 13) t(i)), c AS (SELECT pos, letter, count(*) AS n FROM l WHERE letter NOT IN ('N', '-') GROUP BY ALL) SELECT pos FROM c GROUP BY pos HAVING count(*) >= 2 AND NOT (count(*) = 2 AND count(*) FILTER (WHERE n = 1) = 1)")
+@query("informative_sites", f"WITH l AS (SELECT i - 1 AS pos, substr(s, i, 1) AS letter FROM ({_PARTS}), range(1, {WIDTH + 1}) t(i)), c AS (SELECT pos, letter, count(*) AS n FROM l WHERE letter NOT IN ('N', '-') GROUP BY ALL) SELECT pos FROM c GROUP BY pos HAVING count(*) >= 2 AND NOT (count(*) = 2 AND count(*) FILTER (WHERE n = 1) = 1)")
 def informative_sites(spark, tables):
     return clades.informative_sites(part_sequences(tables))
 
 
-@query("ambiguous_columns", f"SELECT i - 1 AS pos FROM (SELECT rpad(s, 14, 'N') AS s FROM ({_PARTS})), range(1, 15) t(i) GROUP BY i HAVING bool_and(substr(s, i, 1) = 'N')")
+@query("ambiguous_columns", f"SELECT i - 1 AS pos FROM ({_PARTS}), range(1, {WIDTH + 1}) t(i) GROUP BY i HAVING bool_and(substr(s, i, 1) = 'N')")
 def ambiguous_columns(spark, tables):
-    return clades.ambiguous_columns(part_sequences(tables).select("id", F.rpad("sequence", 14, "N").alias("sequence")))
+    return clades.ambiguous_columns(part_sequences(tables))
+
+
+@query("flanking_distances", f"""WITH p AS ({_PARTS}), q AS (SELECT f.id AS focal, c.id AS id, f.s AS a, c.s AS b FROM p f, p c WHERE f.id::INT % 20 = 0 AND c.id::INT % 20 <> 0),
+  e AS (SELECT *, least(length(rtrim(a, 'N')), length(rtrim(b, 'N'))) AS last FROM q), d AS (SELECT focal, id, list_sum([(substr(a, i, 1) <> substr(b, i, 1))::INT FOR i IN range(1, last + 1)])::BIGINT AS distance, ({WIDTH} - length(rtrim(b, 'N')))::BIGINT AS unknown FROM e)
+  SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY focal ORDER BY distance, unknown, id) <= 3""")
+def flanking_distances(spark, tables):
+    rows = part_sequences(tables)
+    return proximity.neighbours(rows.where(F.col("id").cast("int") % 20 == 0), rows, 3, missing="flanking")
+
+
+@query("all_distances", f"WITH p AS ({_PARTS}), d AS (SELECT f.id AS focal, c.id AS id, list_sum([(substr(f.s, i, 1) <> substr(c.s, i, 1))::INT FOR i IN range(1, {WIDTH + 1})])::BIGINT AS distance, ({WIDTH} - length(rtrim(c.s, 'N')))::BIGINT AS unknown FROM p f, p c WHERE f.id::INT % 20 = 0 AND c.id::INT % 20 <> 0) SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY focal ORDER BY distance, unknown, id) <= 3")
+def all_distances(spark, tables):
+    rows = part_sequences(tables)
+    return proximity.neighbours(rows.where(F.col("id").cast("int") % 20 == 0), rows, 3, missing="none")

@@ -22,31 +22,30 @@ def _pivots() -> str:
     return "p(pv) AS (VALUES " + ", ".join(f"({p!r}::DOUBLE)" for p in PIVOTS) + ")"
 
 
-def daily(tables):
-    """Events by day and type as tips; their ids are the day and the type."""
+def all_events(tables):
+    """Every dated event as a tip."""
     day = F.to_date("ts")
-    rows = tables("events").select(F.concat_ws("|", day.cast("string"), "event_type").alias("tip"), decimal_year(day).alias("num_date"), "event_type")
-    return rows.distinct()
+    return tables("events").where("ts is not null").select(F.col("event_id").alias("tip"), decimal_year(day).alias("num_date"), "event_type")
 
 
-_DAILY = f"t AS (SELECT DISTINCT ts::DATE::VARCHAR || '|' || event_type AS tip, {_EVENT_DATE} AS num_date, event_type FROM events WHERE ts IS NOT NULL)"
+_EVENTS = f"t AS (SELECT event_id AS tip, {_EVENT_DATE} AS num_date, event_type FROM events WHERE ts IS NOT NULL)"
 _KERNEL = f"0.8::DOUBLE * {_density('pv', 'num_date', '1.0::DOUBLE / 12')} + 0.2::DOUBLE * {_density('pv', 'num_date', '3.0::DOUBLE / 12')}"
 
 
-@query("kde_frequencies", f"WITH {_DAILY}, {_pivots()}, d AS (SELECT tip, pv, CASE WHEN num_date BETWEEN {PIVOTS[0]!r} AND {PIVOTS[-1]!r} THEN {_KERNEL} ELSE 0 END AS density FROM t, p) SELECT tip, pv AS \"pivot\", round(CASE WHEN sum(density) OVER (PARTITION BY pv) > 0 THEN density / sum(density) OVER (PARTITION BY pv) ELSE 0 END, 9) AS frequency FROM d")
+@query("kde_frequencies", f"WITH {_EVENTS}, {_pivots()}, d AS (SELECT tip, pv, CASE WHEN num_date BETWEEN {PIVOTS[0]!r} AND {PIVOTS[-1]!r} THEN {_KERNEL} ELSE 0 END AS density FROM t, p) SELECT tip, pv AS \"pivot\", round(CASE WHEN sum(density) OVER (PARTITION BY pv) > 0 THEN density / sum(density) OVER (PARTITION BY pv) ELSE 0 END, 9) AS frequency FROM d")
 def kde_frequencies(spark, tables):
-    return frequencies.tip_frequencies(daily(tables), PIVOTS).withColumn("frequency", F.round("frequency", 9))
+    return frequencies.tip_frequencies(all_events(tables), PIVOTS).withColumn("frequency", F.round("frequency", 9))
 
 
 @query(
     "kde_weighted",
-    f"""WITH {_DAILY}, {_pivots()}, d AS (SELECT tip, event_type, pv, CASE WHEN num_date BETWEEN {PIVOTS[0]!r} AND {PIVOTS[-1]!r} THEN {_KERNEL} ELSE 0 END AS density FROM t, p),
+    f"""WITH {_EVENTS}, {_pivots()}, d AS (SELECT tip, event_type, pv, CASE WHEN num_date BETWEEN {PIVOTS[0]!r} AND {PIVOTS[-1]!r} THEN {_KERNEL} ELSE 0 END AS density FROM t, p),
     w AS (SELECT *, CASE event_type WHEN 'click' THEN 3.0::DOUBLE WHEN 'view' THEN 1.0::DOUBLE END AS share FROM d), g AS (SELECT pv, event_type, sum(density) AS s, max(share) AS share FROM w GROUP BY ALL),
     f AS (SELECT pv, event_type, share / sum(share) OVER (PARTITION BY pv) / s AS factor FROM g WHERE share IS NOT NULL AND s > 0)
     SELECT tip, pv AS "pivot", round(density * coalesce(factor, 0), 9) AS frequency FROM w LEFT JOIN f USING (pv, event_type)""",
 )
 def kde_weighted(spark, tables):
-    found = frequencies.tip_frequencies(daily(tables), PIVOTS, weights={"click": 3.0, "view": 1.0}, attribute="event_type")
+    found = frequencies.tip_frequencies(all_events(tables), PIVOTS, weights={"click": 3.0, "view": 1.0}, attribute="event_type")
     return found.withColumn("frequency", F.round("frequency", 9))
 
 
