@@ -32,6 +32,11 @@ def windowed_counts(stream: DataFrame, time_column: str, width: str, by: list[st
     return stream.withWatermark(time_column, delay).groupBy(F.window(time_column, width), *by).agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), *by, "n")
 
 
+def run_to_files(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Run what is available into Parquet files; a restart goes on from the checkpoint."""
+    stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start(path).awaitTermination()
+
+
 def run_to_table(stream: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> None:
     """Run what is available through a memory table, for tests and small results."""
     writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
