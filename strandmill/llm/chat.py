@@ -192,6 +192,21 @@ def digest(turns: DataFrame, read_role: Callable[[str], str] = role_of, read_tex
     return read.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, rewrites boolean")
 
 
+def inst_sql(extra: list[tuple[int, int, str, str]] = ()) -> str:
+    """DuckDB SQL for ``digest`` of ``conversations`` and extra turns under ``inst_template``."""
+    said = "".join(f" UNION ALL SELECT {key}, {turn}, '{role}', '{text}'" for key, turn, role, text in extra)
+    size = lambda column: f"length(regexp_replace({column}, '(\\\\|</?s>|\\[/?INST\\]|\\[/?ROLE)', '_\\1', 'g'))"
+    marks = {"user": len("[INST]  [/INST]"), "assistant": len("  </s>"), "other": len("[ROLE ]  [/ROLE]")}
+    turns = f"t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations{said})"
+    shown = f"{size('text')} + CASE role WHEN 'user' THEN {marks['user']} WHEN 'assistant' THEN {marks['assistant']} ELSE {marks['other']} + {size('role')} + length(role) - length(replace(role, ']', '')) END"
+    order = "ORDER BY turn NULLS FIRST, role, text"
+    own = "FILTER (WHERE role = 'assistant')"
+    return (
+        f"WITH {turns} SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' {order})) AS turns_sha256, coalesce(sum(length(text)) {own}, 0)::BIGINT AS loss_chars, "
+        f"sha256(coalesce(string_agg(text, '' {order}) {own}, '')) AS loss_sha256, (3 + sum({shown}))::BIGINT AS formatted_chars, false AS rewrites FROM t GROUP BY conv_id"
+    )
+
+
 def formatted(turns: DataFrame) -> DataFrame:
     """Whole formatted conversations with their loss spans, for conversations that fit a row."""
     spans = F.struct("place", "segment", F.when(F.col("loss"), F.struct((F.col("offset") + F.col("text_start")).alias("start"), (F.col("offset") + F.col("text_end")).alias("end"))).alias("span"))

@@ -39,9 +39,12 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(media.sniff_column(stored, "media", "declared"))
 
 
+#: The conversation that the contract adds.
+ADDED = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
+
+
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn int, role string, text string")
+    extra = spark.createDataFrame(ADDED, "conv_id long, turn int, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     return chat.digest(chat.format_turns(turns))
 
@@ -75,4 +78,4 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_vectors": op10_vectors,
 }
-ORACLES: dict[str, str] = {"op9_mixing": mixing.mixing_sql()}
+ORACLES: dict[str, str] = {"op9_mixing": mixing.mixing_sql(), "op7_chat": chat.inst_sql(ADDED)}

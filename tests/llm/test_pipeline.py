@@ -46,6 +46,15 @@ def test_stages_on_odd_tables(spark, tmp_path):
     assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), str(tmp_path)).count() == 0
 
 
+def test_chat_sql(spark):
+    connection = duckdb.connect()
+    connection.sql(f"create view conversations as select * from '{SF_DIR}/conversations.parquet'")
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "rewrites"]
+    want = connection.sql(queries.ORACLES["op7_chat"])
+    assert want.columns == names
+    assert {tuple(r) for r in queries.QUERIES["op7_chat"](spark, SF_DIR).select(*names).collect()} == set(want.fetchall())
+
+
 def test_mixing_sql(spark):
     connection = duckdb.connect()
     connection.sql(f"create view documents as select * from '{SF_DIR}/documents.parquet'")
