@@ -63,7 +63,7 @@ def matching_nodes(definitions: DataFrame, states: DataFrame, nodes: DataFrame,
     # A mutated place counts by its own allele instead of the root's.
     change = (F.col("has") == F.col("alt")).cast("int") - F.col("by_root")
     gained = hits.groupBy("clade", "node").agg(F.sum(change).alias("gained"))
-    through = gained.join(F.broadcast(need), "clade").where("from_root + gained = need").select("clade", "node")
+    through = gained.join(need, "clade").where("from_root + gained = need").select("clade", "node")
     full = need.where("from_root = need").select("clade")
     quiet = nodes.select("node").crossJoin(F.broadcast(full)).join(gained, ["clade", "node"], "left_anti").select("clade", "node")
     return through.unionByName(quiet)
@@ -98,7 +98,7 @@ def sequence_traits(mutations: DataFrame, features: DataFrame, count: str = "tra
     ``mutations`` (sample, gene, pos, alt); ``features`` (gene, pos, alt, display_name,
     feature). ``count`` counts distinct features (traits) or hits (mutations).
     """
-    hits = mutations.join(F.broadcast(features), ["gene", "pos", "alt"])
+    hits = mutations.join(features, ["gene", "pos", "alt"])
     number = F.count_distinct("feature") if count == "traits" else F.count(F.lit(1))
     per = hits.groupBy("sample", "feature").agg(F.array_join(F.array_sort(F.collect_list("display_name")), ",").alias("mutations"))
     return per.join(hits.groupBy("sample").agg(number.alias("feature_count")), "sample")

@@ -142,7 +142,7 @@ def weighted_sizes(counts: DataFrame, weights: DataFrame, columns: list[str], by
     weighted = [f"group_{key}" for key in columns]
     fallback = weights.where(F.col(columns[0]) == "default").select(F.max("weight").alias("fallback"))
     own = weights.where(F.col(columns[0]) != "default").select(*[F.col(c).alias(f"group_{c}") for c in columns], "weight")
-    rows = counts.join(F.broadcast(own), weighted, "left").crossJoin(F.broadcast(fallback))
+    rows = counts.join(own, weighted, "left").crossJoin(F.broadcast(fallback))
     rows = rows.withColumn("weight", F.coalesce("weight", "fallback")).drop("fallback")
     rows = rows.withColumn("weight", F.when(F.col("weight").isNull(), F.raise_error(F.lit("a group has no weight and there is no default"))).otherwise(F.col("weight")))
     rows = rows.withColumn("weight", F.col("weight") / F.count(F.lit(1)).over(W.partitionBy(*weighted)))

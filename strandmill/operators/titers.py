@@ -83,7 +83,7 @@ def substitution_design(measured: DataFrame, sequences: DataFrame, least: int =
     changes = pairs.join(one, "ref").join(two, ["test", "gene"]).select("test", "ref", "serum", F.explode(mutations(F.col("a"), F.col("b"))).alias("change"), "gene")
     named = changes.select("test", "ref", "serum", F.concat_ws(":", F.lit("change"), "gene", "change").alias("feature"))
     common = named.groupBy("feature").count().where(F.col("count") > least).select("feature")
-    return named.join(F.broadcast(common), "feature").select("test", "ref", "serum", "feature").unionByName(_effects(pairs))
+    return named.join(common, "feature").select("test", "ref", "serum", "feature").unionByName(_effects(pairs))
 
 
 def collapse_collinear(design: DataFrame, threshold: int = 5) -> DataFrame:
@@ -158,7 +158,7 @@ def train_test(measured: DataFrame, share: float = 0.9, seed: str = "split") ->
 
 def predicted(design: DataFrame, effects: DataFrame) -> DataFrame:
     """(test, ref, serum, predicted): the sum of the effects of each pair's features."""
-    return design.join(F.broadcast(effects), "feature", "left").groupBy("test", "ref", "serum").agg(F.sum(F.coalesce("effect", F.lit(0.0))).alias("predicted"))
+    return design.join(effects, "feature", "left").groupBy("test", "ref", "serum").agg(F.sum(F.coalesce("effect", F.lit(0.0))).alias("predicted"))
 
 
 def validation(rows: DataFrame, actual: str = "value", guess: str = "predicted") -> DataFrame:
