@@ -27,7 +27,7 @@ SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id lon
 SEQUENCE_BITS = 40
 #: Chunks a worker remembers, the longest of them in bytes, and the length up to
 #: which they stay when there are too many.
-REMEMBERED, LONGEST, COMMON = 400_000, 40, 8
+REMEMBERED, LONGEST, COMMON = 200_000, 40, 8
 #: ASCII signs: fixed values, neither letters, digits nor white space.
 SIGNS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Normalisers and pre-tokenisers under which words can be encoded one by one: fixed values.
@@ -111,12 +111,16 @@ class Encoder:
                 known.pop(chunk, None)
                 known.pop(chunk.rstrip(SIGNS), None)
         if len(known) > REMEMBERED:
-            self.known = {chunk: ids for chunk, ids in known.items() if len(chunk) <= COMMON}
-            if len(self.known) > REMEMBERED // 2:
-                self.known = {}
-            self.known |= self.special
+            self.forget()
         return encoded
 
+    def forget(self) -> None:
+        """Remember short chunks only, or none where there are too many of them."""
+        self.known = {chunk: ids for chunk, ids in self.known.items() if len(chunk) <= COMMON}
+        if len(self.known) > REMEMBERED // 2:
+            self.known = {}
+        self.known |= self.special
+
 
 def _encoder(path: str) -> Encoder:
     if path not in _encoders:
@@ -155,6 +159,7 @@ def _pieces(tokenizer: str, longest: int, end_id: int, id_type: pa.DataType):
                         columns, held = [[] for _ in range(7)], 0
         if columns[0]:
             yield batch()
+        encode.forget()
 
     return run
 
