@@ -39,6 +39,11 @@ _SENTENCE = re.compile(r"[.!?\n]+(?=\s|$)|\n")
 _EDGES = " \t\r\n.,;:!?\"'()[]{}<>|*#$%&"
 
 
+def decoded(texts: list[bytes]) -> list[str]:
+    """Texts of UTF-8 bytes; bytes that are none count as U+FFFD."""
+    return [text.decode("utf-8", "replace") for text in texts]
+
+
 def units(text: str) -> list[str]:
     """Lower-case words, and spelled-out words with their letters joined."""
     text = text.lower()
@@ -200,7 +205,7 @@ def _logistic(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def _texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string").cast("binary"), F.lit(b"")).alias("text"))
     return rows.join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")
 
 
@@ -213,7 +218,7 @@ def _values(texts: DataFrame, kernel: LandmarkKernel) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 100):
                 part = batch.slice(at, 100)
-                found = [np.unique(np.vstack([rows, np.zeros((1, width))]).astype(np.float32), axis=0).reshape(-1) if len(rows) else np.zeros(width, np.float32) for rows in sentences.values(part.column(2).to_pylist())]
+                found = [np.unique(np.vstack([rows, np.zeros((1, width))]).astype(np.float32), axis=0).reshape(-1) if len(rows) else np.zeros(width, np.float32) for rows in sentences.values(decoded(part.column(2).to_pylist()))]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.list_(pa.float32()))], ["doc_id", "label", "found"])
 
     return texts.mapInArrow(tidy(run), "doc_id long, label int, found array<float>")
@@ -248,7 +253,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, modu
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for label, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for label, text in zip(batch.column(1).to_pylist(), decoded(batch.column(2).to_pylist()), strict=True):
                 found = sorted(_grams(text))
                 yield pa.RecordBatch.from_arrays([pa.array([label] * len(found), pa.int32()), pa.array(found, pa.string())], ["label", "gram"])
 
@@ -290,7 +295,7 @@ def score_toxicity(docs: DataFrame, machine: Machine | None, modulus: int = 4, h
     """One row per document: doc_id (or the columns to carry), held_out, score, predicted.
 
     Only the text enters a score. Null and empty texts have no sentence and score
-    by the bias. Without a machine every score is 0. Null ids are never held out;
+    by the bias. Bytes that are no UTF-8 count as U+FFFD. Without a machine every score is 0. Null ids are never held out;
     repeated rows are scored alike; other columns are ignored; an empty table
     gives no rows. One narrow pass, no shuffle.
     """
@@ -299,6 +304,6 @@ def score_toxicity(docs: DataFrame, machine: Machine | None, modulus: int = 4, h
         if machine is None:
             return lambda texts: [0.0] * len(texts)
         sentences = Sentences(machine.kernel)
-        return lambda texts: machine.probabilities(sentences.values([text.decode() for text in texts]))
+        return lambda texts: machine.probabilities(sentences.values(decoded(texts)))
 
     return scored(docs, scorer, modulus, held_out, threshold, per_call=250, carry=carry)

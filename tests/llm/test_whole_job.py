@@ -7,7 +7,7 @@ import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from strandmill.llm import chat, strings, toxicity, vectors  # noqa: E402
+from strandmill.llm import chat, common, packing, strings, toxicity, vectors  # noqa: E402
 
 
 def test_toxicity_values_survive_forgetting(monkeypatch):
@@ -62,3 +62,41 @@ def test_pipeline_takes_five_words(spark):
     columns = "doc_id long, text string"
     docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(other))], columns)
     assert corpus_pipeline.without_copies(spark, docs, "").count() == 2
+
+
+def test_toxicity_takes_bytes_that_are_no_text(spark):
+    kernel = strings.LandmarkKernel(["grobian", "schuft"])
+    machine = toxicity.Machine(kernel, np.ones(kernel.root.shape[1]), -0.5, 4.0, 0.0)
+    docs = spark.sql("select 1L as doc_id, cast(concat(x'FFFE20', cast('ein grobian' as binary)) as string) as text union all select 2L, cast(x'FF' as string)")
+    found = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs, machine).collect()}
+    assert found[1] > 0.5 > found[2]
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    assert toxicity.fit(docs, labels) is None
+
+
+def test_forgetting_words_leaves_ids_alone(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = [f"Some words, {i} unforgettable{i} ones <|endoftext|>".encode() for i in range(40)]
+    want = packing.Encoder(path)(texts)
+    monkeypatch.setattr(packing, "REMEMBERED", 10)
+    encode = packing.Encoder(path)
+    assert [encode([text])[0] for text in texts] == want
+    encode.forget()
+    assert encode(texts) == want
+
+
+def test_tables_reach_python_in_bounded_batches(spark, tmp_path):
+    spark.range(0, 9000, 1, 1).selectExpr("id as doc_id", "repeat('x', 2000) as text").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    kept = spark.conf.getAll.get(common.BATCH_SETTING)
+    try:
+        spark.conf.unset(common.BATCH_SETTING)
+        docs = common.table(spark, str(tmp_path), "documents")
+        sizes = [r.n for r in docs.mapInArrow(lambda batches: (b.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect()]
+        assert max(sizes) <= 2 * common.BATCH_BYTES and sum(sizes) >= 9000 * 2000
+        spark.conf.set(common.BATCH_SETTING, 1 << 20)
+        common.table(spark, str(tmp_path), "documents")
+        assert int(spark.conf.get(common.BATCH_SETTING).rstrip("b")) == 1 << 20
+    finally:
+        spark.conf.unset(common.BATCH_SETTING)
+        if kept:
+            spark.conf.set(common.BATCH_SETTING, kept)
