@@ -1,12 +1,12 @@
 """Personal data: exact base patterns, and spans that a BiLSTM-CRF adds.
 
-The four kinds all hold a digit, an ``@`` or a word for it or for a dot. Stretches
-of text around those are cut into overlapping windows, each window is tagged by
-the recurrent network, and the emissions of overlapping windows are blended by
-distance from the window's edge before one path is decoded over the whole
-stretch. The network decides what is a span: disguised addresses, numbers in forms
-that no base pattern has. A span is kept if what is left of it without its disguise
-can be a value of its kind at all, and if it overlaps no base span of its kind.
+Every whole text is cut into overlapping windows, each window is tagged by the
+recurrent network, and the emissions of overlapping windows are blended by
+distance from the window's edge before one path is decoded over the whole text.
+The network reads every character and decides what is a span: disguised addresses,
+numbers in forms that no base pattern has. A span is kept if what is left of it
+without its disguise can be a value of its kind at all, and if it overlaps no base
+span of its kind.
 """
 
 from __future__ import annotations
@@ -27,16 +27,18 @@ from strandmill.llm.tagger import KINDS, Tagger
 
 Span = tuple[str, int, int]
 
-#: Characters of context around a digit or @, and the step between windows.
-CONTEXT, STEP = 24, 36
+#: Characters of a window and of two windows' overlap, windows to a call of the network,
+#: and characters whose emissions are held at once.
+WINDOW, OVERLAP, PER_CALL, HELD = 540, 36, 400, 600_000
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_TRIGGER = re.compile(rf"[0-9@]+(?:.{{1,48}}?[0-9@]+)*|[\[({{](?:at|dot)[\])}}]| dot ", re.DOTALL)
 _AT, _DOT = re.compile(r"\s*[\[({]at[\])}]\s*|\s+at\s+|\s*@\s*", re.IGNORECASE), re.compile(r"\s*[\[({](?:dot|\.)[\])}]\s*|\s+dot\s+|\s*\.\s*", re.IGNORECASE)
 _NOT_DIGIT = re.compile(r"[^0-9]")
+#: Emissions of a position that is known to be outside.
+_FIXED = np.where(np.arange(tagger.TAGS) > 0, np.float32(-1e6), np.float32(0))[None]
 
 
 def _passes_luhn(digits: str) -> bool:
@@ -96,52 +98,103 @@ def possible(kind: str, value: str) -> bool:
     return valid(kind, plain)
 
 
-def stretches(text: str) -> list[tuple[int, int]]:
-    """Where the network has to look: around every digit, @ and word for @ or a dot, merged when close."""
-    out: list[tuple[int, int]] = []
-    for match in _TRIGGER.finditer(text):
-        start, end = max(match.start() - CONTEXT, 0), min(match.end() + CONTEXT, len(text))
-        if out and start <= out[-1][1]:
-            start = out.pop()[0]
-        out.append((start, end))
-    return out
+def _blended(model: Tagger, texts: list[np.ndarray]) -> np.ndarray:
+    """Emissions of texts given as classes, end to end, blended over the windows of each."""
+    step, places, begin = WINDOW - OVERLAP, [], 0
+    for classes in texts:
+        places += [(min(WINDOW, len(classes) - at), begin + at, at > 0, at + WINDOW < len(classes)) for at in range(0, max(len(classes) - OVERLAP, 1), step)]
+        begin += len(classes)
+    places.sort(reverse=True)
+    line = np.concatenate(texts)
+    rise = np.arange(1, OVERLAP + 1, dtype=np.float32)[:, None] ** 2
+    rise /= rise + rise[::-1]
+    found = np.zeros((begin, tagger.TAGS), np.float32)
+    even = -(-len(places) // -(-len(places) // PER_CALL))
+    for start in range(0, len(places), even):
+        some = places[start : start + even]
+        x = np.full((len(some), some[0][0]), tagger.PADDING, np.int64)
+        for row, (n, at, _, _) in enumerate(some):
+            x[row, :n] = line[at : at + n]
+        for emit, (n, at, led, followed) in zip(model.emissions(x, np.array([n for n, *_ in some])), some, strict=True):
+            if led:
+                emit[:OVERLAP] *= rise
+            if followed:
+                emit[step:] *= rise[::-1]
+            found[at : at + n] += emit[:n]
+    return found
+
+
+def _decoded(model: Tagger, emits: list[np.ndarray], ended: list[bool]) -> list[np.ndarray]:
+    """Tag paths of stretches of texts. Those that do not end their text have the tag
+    outside behind them, which pads them to a common length."""
+    tags: list[np.ndarray] = [np.empty(0, np.int64)] * len(emits)
+    order = sorted(range(len(emits)), key=lambda i: (ended[i], len(emits[i])))
+    at = 0
+    while at < len(order):
+        length = len(emits[order[at]])
+        group = [i for i in order[at : at + max(1, 60_000 // length)] if ended[i] == ended[order[at]] and len(emits[i]) <= (length if ended[i] else 2 * length + 32)]
+        at += len(group)
+        padded = np.empty((len(group), len(emits[group[-1]]) + (not ended[group[0]]), tagger.TAGS), np.float32)
+        padded[:] = _FIXED
+        for row, i in enumerate(group):
+            padded[row, : len(emits[i])] = emits[i]
+        for i, path in zip(group, model.decode(padded), strict=True):
+            tags[i] = path[: len(emits[i])]
+    return tags
 
 
-def _blended(model: Tagger, classes: list[np.ndarray], per_call: int = 512) -> list[np.ndarray]:
-    """Emissions of each stretch, blended over its windows."""
-    places = [(i, at) for i, c in enumerate(classes) for at in range(0, max(len(c) - (tagger.WIDTH - STEP), 1), STEP)]
-    sums = [np.zeros((len(c), tagger.TAGS), np.float32) for c in classes]
-    weights = [np.zeros((len(c), 1), np.float32) for c in classes]
-    shape = np.minimum(np.arange(1, tagger.WIDTH + 1), np.arange(tagger.WIDTH, 0, -1)).astype(np.float32)[:, None] ** 2
-    for low in range(0, len(places), per_call):
-        some = places[low : low + per_call]
-        x = np.full((len(some), tagger.WIDTH), tagger.PADDING, np.int64)
-        for row, (i, at) in enumerate(some):
-            part = classes[i][at : at + tagger.WIDTH]
-            x[row, : len(part)] = part
-        for emit, (i, at) in zip(model.emissions(x), some, strict=True):
-            n = min(tagger.WIDTH, len(classes[i]) - at)
-            sums[i][at : at + n] += emit[:n] * shape[:n]
-            weights[i][at : at + n] += shape[:n]
-    return [s / w for s, w in zip(sums, weights, strict=True)]
+def _blended_part(model: Tagger, text: str, low: int, high: int) -> np.ndarray:
+    """Emissions from one place of a text to another, from the same windows as those of the whole text."""
+    step = WINDOW - OVERLAP
+    begin, end = max(low - OVERLAP, 0) // step * step, -(-high // step) * step + OVERLAP
+    return _blended(model, [tagger.char_classes(text[begin:end])])[low - begin : high - begin]
 
 
 def network_spans(model: Tagger, texts: list[str]) -> list[list[Span]]:
-    """Spans that the network finds, text by text."""
-    where = [(i, start, end) for i, text in enumerate(texts) for start, end in stretches(text)]
-    where.sort(key=lambda w: w[2] - w[1])
+    """Spans that the network finds, text by text; it reads every character of every text."""
     found: list[list[Span]] = [[] for _ in texts]
-    at = 0
-    while at < len(where):
-        width = where[at][2] - where[at][1]
-        group = [w for w in where[at : at + max(1, 60_000 // (width + 1))] if w[2] - w[1] <= 1.25 * width + 16]
-        at += len(group)
-        emits = _blended(model, [tagger.char_classes(texts[i][start:end]) for i, start, end in group])
-        padded = np.zeros((len(group), max(map(len, emits)), tagger.TAGS), np.float32)
-        for row, emit in enumerate(emits):
-            padded[row, : len(emit)] = emit
-        for (i, start, end), tags in zip(group, model.decode(padded), strict=True):
-            found[i] += _read(texts[i], start, tags[: end - start])
+    some, held = [], 0
+    for i, text in enumerate(texts):
+        if len(text) > HELD:
+            found[i] = _spans_of_long(model, text)
+        elif text:
+            if held + len(text) > HELD:
+                _spans_of_some(model, texts, some, found)
+                some, held = [], 0
+            some.append(i)
+            held += len(text)
+    if some:
+        _spans_of_some(model, texts, some, found)
+    return found
+
+
+def _spans_of_some(model: Tagger, texts: list[str], some: list[int], found: list[list[Span]]) -> None:
+    """Spans of texts whose emissions are held at once."""
+    emit = _blended(model, [tagger.char_classes(texts[i]) for i in some])
+    ends = np.cumsum([len(texts[i]) for i in some])
+    begins = np.concatenate([[0], ends[:-1]])
+    size = 20_000
+    bounds = [model.bounds(emit[at : at + size], begins[(begins >= at) & (begins < at + size)] - at) for at in range(0, len(emit), size)]
+    runs, emits = [], []
+    for low, high in model.undecided(bounds, ends):
+        at = int(np.searchsorted(ends, low, side="right"))
+        lead = _FIXED[: int(low > begins[at])]
+        runs.append((some[at], low - len(lead) - int(begins[at]), bool(high == ends[at])))
+        emits.append(np.concatenate([lead, emit[low:high]]))
+    for (i, start, _), tags in zip(runs, _decoded(model, emits, [ended for *_, ended in runs]), strict=True):
+        found[i] += _read(texts[i], start, tags)
+
+
+def _spans_of_long(model: Tagger, text: str) -> list[Span]:
+    """Spans of one text of any length: bounds are kept of all of it, emissions are computed again where they matter."""
+    size = max(HELD // (WINDOW - OVERLAP), 1) * (WINDOW - OVERLAP)
+    bounds, found = [], []
+    for low in range(0, len(text), size):
+        bounds.append(model.bounds(_blended_part(model, text, low, min(low + size, len(text))), np.arange(int(low == 0))))
+    for low, high in model.undecided(bounds, np.array([len(text)])):
+        lead = _FIXED[: int(low > 0)]
+        emit = np.concatenate([lead, _blended_part(model, text, low, high)])
+        found += _read(text, low - len(lead), _decoded(model, [emit], [high == len(text)])[0])
     return found
 
 

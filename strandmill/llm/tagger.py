@@ -24,6 +24,8 @@ SIGNS = " \n.-()+@_%,=\":/[]{}"
 CLASSES = len(SIGNS) + 5 + 26
 WIDTH = 72
 HIDDEN = 24
+#: Allowance for rounding in the bound on paths.
+SLACK = 0.01
 WEIGHTS = os.path.join(os.path.dirname(os.path.abspath(__file__)), "tagger_weights.npz")
 
 
@@ -201,28 +203,120 @@ def _crf_gradient(emit: np.ndarray, move: np.ndarray, y: np.ndarray) -> tuple[np
     return d_emit / rows, d_move / rows
 
 
+def _emissions(x: np.ndarray, lengths: np.ndarray, wx: np.ndarray, wh: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """What the output layer makes of both directions' states (row, step, tag), as of those of
+    ``_lstm``. The second direction begins where its row ends, so padding has no influence.
+
+    Gates lie one after another, so that every operation runs over whole blocks. A sigmoid
+    is half of one plus the tanh of half its input; states are kept twice as large, and
+    the halves are in the weights.
+    """
+    rows, steps = x.shape
+    halves = np.array([0.5, 0.5, 0.5, 1.0], wx.dtype)[:, None]
+    tables = np.ascontiguousarray((wx.reshape(2, CLASSES, 4, HIDDEN) * halves).transpose(0, 2, 1, 3))
+    turn = np.ascontiguousarray((0.5 * wh.reshape(2, HIDDEN, 4, HIDDEN) * halves).transpose(0, 2, 1, 3))
+    out = 0.5 * out.reshape(2, HIDDEN, -1)
+    back = np.arange(steps - 1, -1, -1)[None]
+    if lengths.min() < steps:
+        back = (back - (steps - lengths[:, None])) % steps
+    turned = x[:, back[0]] if len(back) == 1 else np.take_along_axis(x, back, axis=1)
+    forwards, backwards = np.ascontiguousarray(x.T), np.ascontiguousarray(turned.T)
+    ahead, behind = np.empty((2, rows, steps, out.shape[2]), wx.dtype)
+    gates, more = np.empty((2, 2, 4, rows, HIDDEN), wx.dtype)
+    c, h, moved = np.zeros((3, 2, rows, HIDDEN), wx.dtype)
+    sigmoids, i, f, o, g, turning = gates[:, :3], gates[:, 0], gates[:, 1], gates[:, 2], gates[:, 3], h[:, None]
+    for t in range(steps):
+        tables[0].take(forwards[t], axis=1, out=gates[0], mode="clip")
+        tables[1].take(backwards[t], axis=1, out=gates[1], mode="clip")
+        if t:
+            gates += np.matmul(turning, turn, out=more)
+        np.tanh(gates, out=gates)
+        sigmoids += 1
+        c *= f
+        c += np.multiply(i, g, out=i)
+        c *= 0.5
+        np.multiply(o, np.tanh(c, out=moved), out=h)
+        np.matmul(h[0], out[0], out=ahead[:, t])
+        np.matmul(h[1], out[1], out=behind[:, -1 - t])
+    for row, n in enumerate(lengths.tolist()):
+        ahead[row, :n] += behind[row, steps - n :]
+    return ahead
+
+
 @dataclass
 class Tagger:
     """Parameters: input (x) and recurrent (h) weights of both directions, output layer, transitions."""
 
     weights: dict[str, np.ndarray]
 
-    def emissions(self, x: np.ndarray) -> np.ndarray:
+    def emissions(self, x: np.ndarray, lengths: np.ndarray | None = None) -> np.ndarray:
+        """Emissions (row, step, tag) of windows, which are as long as they are wide unless lengths are given."""
         w = self.weights
-        hidden, _ = _lstm(_both_ways(x), w["x"], w["h"], keep=False)
-        return np.concatenate([hidden[0], hidden[1][:, ::-1]], axis=2) @ w["out"] + w["bias"]
+        emit = _emissions(x, np.full(len(x), x.shape[1]) if lengths is None else lengths, w["x"], w["h"], w["out"])
+        emit.reshape(len(x), -1)[:] += np.tile(w["bias"], x.shape[1])
+        return emit
+
+    def bounds(self, emit: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """By position of sequences laid end to end, the most that a path can gain by leaving
+        the tag outside there, and by staying away from it there."""
+        move = self.weights["move"] - self.weights["move"][0, 0]
+        lead = np.ascontiguousarray(emit[:, 1:].T)
+        lead -= np.ascontiguousarray(emit[:, 0])
+        alone = lead[:, begins].max(axis=0)
+        lead += move[0, 1:, None]
+        first = lead.max(axis=0)
+        first[begins] = alone
+        lead += (move[1:, 1:].max(axis=0) - move[0, 1:])[:, None]
+        later = lead.max(axis=0)
+        later[begins] -= 1e5  # no path goes on into the next sequence
+        return first, later
+
+    def undecided(self, bounds: list[tuple[np.ndarray, np.ndarray]], ends: np.ndarray) -> list[tuple[int, int]]:
+        """Stretches of sequences, laid end to end, outside of which their best paths have the tag outside.
+
+        A path that leaves that tag at one position and comes back after another gains no
+        more than its first tag's emission and transition, the best of each later tag with
+        the best transition into it, and the best transition back. Where no such sum over a
+        position reaches zero, the tag is settled; so decoding the stretches alone, with the
+        tag outside around them, gives the best path of the whole. Bounds come in parts,
+        whose scans are as exact as one scan of all.
+        """
+        back = float((self.weights["move"][1:, 0] - self.weights["move"][0, 0]).max())
+        reached, before = [], -np.inf
+        for first, later in bounds:
+            sums, top = np.cumsum(later, dtype=np.float64), first.astype(np.float64)
+            top[0] = max(top[0], before + later[0])
+            top = np.maximum.accumulate(top - sums) + sums
+            reached.append(top.astype(np.float32))
+            before = top[-1]
+        marks = np.zeros(ends[-1] + 1, np.int8)
+        high, after = int(ends[-1]), 0.0
+        for (_, later), top in zip(reversed(bounds), reversed(reached), strict=True):
+            low = high - len(later)
+            sums = np.cumsum(later, dtype=np.float64)
+            left = sums + back
+            left[-1] = sums[-1] + after
+            inner = ends[(ends > low) & (ends < high)] - 1 - low
+            left[inner] = sums[inner]
+            left = np.maximum.accumulate(left[::-1])[::-1] - sums
+            marks[low:high] = top + left >= -SLACK
+            high, after = low, max(back, float(later[0]) + left[0])
+        edges = np.flatnonzero(np.diff(marks, prepend=np.int8(0)))
+        cuts = ends[:-1][(marks[ends[:-1] - 1] > 0) & (marks[ends[:-1]] > 0)]
+        edges = np.sort(np.concatenate([edges, cuts, cuts]))
+        return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
 
     def decode(self, emit: np.ndarray) -> np.ndarray:
         """Best tag paths of a batch of emission sequences."""
         move = self.weights["move"]
-        best, came = emit[:, 0], []
-        for t in range(1, emit.shape[1]):
-            options = best[:, :, None] + move[None]
-            came.append(options.argmax(axis=1))
-            best = options.max(axis=1) + emit[:, t]
-        path = [best.argmax(axis=1)]
-        for step in reversed(came):
-            path.append(step[np.arange(len(step)), path[-1]])
+        best = np.empty((emit.shape[1], len(emit), TAGS), emit.dtype)
+        best[0] = emit[:, 0]
+        for t in range(1, len(best)):
+            np.max(best[t - 1].T[:, :, None] + move[:, None], axis=0, out=best[t])
+            best[t] += emit[:, t]
+        path = [best[-1].argmax(axis=1)]
+        for before in best[-2::-1]:
+            path.append((before + move.T[path[-1]]).argmax(axis=1))
         return np.stack(path[::-1], axis=1)
 
 

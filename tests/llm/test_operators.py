@@ -315,6 +315,26 @@ def test_network_spans_on_held_out_forms():
     assert [(k, text[a:b]) for k, a, b in pii.network_spans(model, [text])[0]] == [("email", "joe at example dot com"), ("phone", "(569) 555-3296")]
 
 
+def test_network_reads_every_character(monkeypatch):
+    model = tagger.trained()
+    plain = ["write to joe at example.com", "joe AT example DOT com or ann\tat\texample\tdot\torg"]
+    found = pii.network_spans(model, plain)
+    assert [[(k, t[a:b]) for k, a, b in f] for t, f in zip(plain, found, strict=True)] == [[("email", "joe at example.com")], [("email", "joe AT example DOT com"), ("email", "ann\tat\texample\tdot\torg")]]
+    seen, emissions = [], tagger.Tagger.emissions
+    monkeypatch.setattr(tagger.Tagger, "emissions", lambda self, x, lengths: seen.append(lengths.sum()) or emissions(self, x, lengths))
+    assert pii.network_spans(model, ["only plain words " * 90, "", "and more"]) == [[], [], []] and sum(seen) >= 17 * 90 + 8
+
+
+def test_network_spans_equal_one_path_over_the_whole_text(monkeypatch):
+    """Whatever else is in the batch, and for texts in parts too."""
+    model, rng = tagger.trained(), random.Random(5)
+    texts = [" ".join(tagger.labelled_window(rng)[0] for _ in range(n)) for n in (1, 9, 40, 2, 17)] + ["x", "", "1" * 1500, "+1 2 " * 300, "a@b.c", "word " * 900 + "joe at example.com"]
+    want = [pii._read(t, 0, model.decode(pii._blended(model, [tagger.char_classes(t)])[None])[0]) if t else [] for t in texts]
+    assert pii.network_spans(model, texts) == want and sum(map(len, want)) > 50
+    monkeypatch.setattr(pii, "HELD", 1200)
+    assert pii.network_spans(model, texts) == want
+
+
 def test_tagger_learns_from_labelled_spans():
     model = tagger.train(rows=1600, epochs=2)
     x, y = tagger._training_set(200, 77)
