@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,13 +27,17 @@ SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id lon
 #: Pieces of one partition get consecutive sequence ids from its number shifted by this.
 SEQUENCE_BITS = 40
 #: Chunks a worker remembers, the longest of them in bytes, and the length up to
-#: which they stay when there are too many.
+#: which they stay when too many have come again.
 REMEMBERED, LONGEST, COMMON = 200_000, 40, 8
 #: ASCII signs: fixed values, neither letters, digits nor white space.
 SIGNS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Normalisers and pre-tokenisers under which words can be encoded one by one: fixed values.
 BY_WORD_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 BY_WORD_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: Words of letters, in UTF-8, that every such pre-tokeniser keeps whole, and how many are encoded in one text.
+LETTERS, TOGETHER = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+"), 500
+#: Bytes of texts that are encoded at once.
+TEXT_BYTES = 2_000_000
 #: Ids to a batch of results, so that long documents do not pile up.
 BATCH_IDS = 400_000
 _encoders: dict[str, "Encoder"] = {}
@@ -51,8 +56,9 @@ class Encoder:
 
     A tokenizer that lower-cases, never joins text across a blank or a line feed, and
     parts a word from ASCII signs that follow it (as its definition tells) has each
-    word encoded once, without case and trailing signs, and remembered. Any other
-    tokenizer encodes whole texts.
+    word encoded once, without case and trailing signs, and remembered. Where it also
+    marks the last token of a word, words of letters are encoded many at a time. Any
+    other tokenizer encodes whole texts.
     """
 
     def __init__(self, path: str):
@@ -69,57 +75,99 @@ class Encoder:
         self.special = {b" " + t["content"].encode(): np.array([t["id"]], "<u4").tobytes() for t in made["added_tokens"]}
         self.marks = re.compile(b"(" + b"|".join(re.escape(key[1:]) for key in sorted(self.special, key=len, reverse=True)) + b")") if self.special else None
         self.known: dict[bytes, bytes] = dict(self.special)
+        self.again: set[bytes] = set()
+        suffix = made["model"].get("end_of_word_suffix")
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool) if suffix and not made["model"].get("dropout") else None
+        if self.ends is not None:
+            self.ends[[i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if token.endswith(suffix)]] = True
 
-    def learn(self, chunks: list[bytes]) -> None:
+    def learn(self, chunks: set[bytes]) -> None:
         """Ids of chunks that are not known yet."""
-        known, parts, wanted = self.known, {}, set()
-        for chunk in chunks:
+        known, parts = self.known, {}
+        whole = set(filter(LETTERS.fullmatch, chunks)) if self.ends is not None else set()
+        wanted = set()
+        for chunk in chunks - whole:
             word = chunk.rstrip(SIGNS)
             if word != chunk and word[-1:].isalnum():
                 parts[chunk] = word, chunk[len(word) :]
                 wanted.update(parts[chunk])
             else:
                 wanted.add(chunk)
-        fresh = [part for part in wanted if part not in known]
+        wanted = wanted.difference(known)
+        if self.ends is not None:
+            whole.update(filter(LETTERS.fullmatch, wanted))
+            words = list(whole)
+            for at in range(0, len(words), TOGETHER):
+                self.learn_together(words[at : at + TOGETHER])
+            wanted = wanted.union(whole).difference(known)
+        fresh = list(wanted)
         for at in range(0, len(fresh), 5000):
             some = fresh[at : at + 5000]
             known |= zip(some, self.encoded(some), strict=True)
         for chunk, (word, signs) in parts.items():
             known[chunk] = known[word] + known[signs]
 
+    def learn_together(self, words: list[bytes]) -> None:
+        """Ids of words of letters from one text of them all, if that shows where each ends."""
+        ids = np.frombuffer(self.encoded([b" ".join(words)])[0], "<u4")
+        cuts = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+        if len(cuts) == len(words) and cuts[-1] == ids.nbytes:
+            raw, cuts = ids.tobytes(), cuts.tolist()
+            self.known |= zip(words, [raw[low:high] for low, high in zip([0, *cuts], cuts, strict=False)], strict=True)
+
     def encoded(self, texts: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast([text.decode("utf-8", "replace") for text in texts], add_special_tokens=False)
         return [np.array(encoding.ids, "<u4").tobytes() for encoding in found]
 
-    def words(self, text: bytes) -> list[bytes]:
-        """Lower-case words, and special tokens with a blank before them."""
-        if self.marks is None or not self.marks.search(text):
-            return text.lower().replace(b"\n", b" ").split(b" ")
-        parts = self.marks.split(text)
-        return [word for i, part in enumerate(parts) for word in ([b" " + part] if i % 2 else part.lower().replace(b"\n", b" ").split(b" "))]
+    def words(self, texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Different words of texts, lower-case, or special tokens with a blank before them;
+        which of them follow each other in the texts; and how many a text has."""
+        pieces = [self.marks.split(text) if self.marks and self.marks.search(text) else [text] for text in texts]
+        plain = [part for parts in pieces for part in parts[::2]]
+        line = b" ".join(plain).lower().replace(b"\n", b" ")
+        found = pc.split_pattern(pa.array([line], pa.large_binary()), " ").values.dictionary_encode()
+        distinct, order = found.dictionary.to_pylist(), found.indices.to_numpy()
+        counts = np.array([text.count(b" ") + text.count(b"\n") + 1 for text in plain], np.int64)
+        if len(plain) > len(texts):
+            marks = [b" " + part for parts in pieces for part in parts[1::2]]
+            places = {mark: len(distinct) + i for i, mark in enumerate(dict.fromkeys(marks))}
+            distinct += places
+            first = np.cumsum([0, *((len(parts) + 1) // 2 for parts in pieces)])
+            inner = np.setdiff1d(np.arange(1, len(plain)), first)
+            order = np.insert(order, np.cumsum(counts)[inner - 1], [places[mark] for mark in marks])
+            counts = np.add.reduceat(counts, first[:-1]) + [len(parts) // 2 for parts in pieces]
+        return distinct, order, counts
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
-        if not self.by_word:
+        if not self.by_word or not texts:
             return self.encoded(texts)
-        split = [self.words(text) for text in texts]
+        distinct, order, counts = self.words(texts)
         known = self.known
-        fresh = [chunk for chunk in set().union(*split) if chunk not in known]
+        fresh = set(distinct).difference(known)
+        self.again.update(filter(known.__contains__, distinct))
         self.learn(fresh)
-        encoded = [b"".join(map(known.__getitem__, chunks)) for chunks in split]
-        for chunk in fresh:
-            if len(chunk) > LONGEST:
-                known.pop(chunk, None)
-                known.pop(chunk.rstrip(SIGNS), None)
+        ids = list(map(known.__getitem__, distinct))
+        lengths = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
+        starts, ids = np.cumsum(lengths, dtype=np.int32) - lengths, np.frombuffer(b"".join(ids), "<u4")
+        lengths = lengths[order]
+        ends = np.cumsum(lengths, dtype=np.int32)
+        places = np.repeat(starts[order] - ends + lengths, lengths)
+        places += np.arange(len(places), dtype=np.int32)
+        ids = ids.take(places).tobytes()
+        cuts = [4 * end for end in ends[np.cumsum(counts) - 1].tolist()]
+        for chunk in [chunk for chunk in fresh if len(chunk) > LONGEST]:
+            known.pop(chunk, None)
+            known.pop(chunk.rstrip(SIGNS), None)
         if len(known) > REMEMBERED:
             self.forget()
-        return encoded
+        return [ids[low:high] for low, high in zip([0, *cuts], cuts, strict=False)]
 
     def forget(self) -> None:
-        """Remember short chunks only, or none where there are too many of them."""
-        self.known = {chunk: ids for chunk, ids in self.known.items() if len(chunk) <= COMMON}
-        if len(self.known) > REMEMBERED // 2:
-            self.known = {}
+        """Remember chunks that came again only, the short ones of those, or none where there are too many of them."""
+        kept = self.again if len(self.again) <= REMEMBERED // 2 else [chunk for chunk in self.again if len(chunk) <= COMMON]
+        self.known = {chunk: self.known[chunk] for chunk in kept if chunk in self.known} if len(kept) <= REMEMBERED // 2 else {}
         self.known |= self.special
+        self.again = set()
 
 
 def _encoder(path: str) -> Encoder:
@@ -143,9 +191,11 @@ def _pieces(tokenizer: str, longest: int, end_id: int, id_type: pa.DataType):
 
         held = 0
         for rows in batches:
-            for at in range(0, rows.num_rows, 256):
-                keys = rows.column(0)[at : at + 256].to_pylist()
-                texts = [text or b"" for text in rows.column(1)[at : at + 256].to_pylist()]
+            sizes, after = np.cumsum(pc.fill_null(pc.binary_length(rows.column(1)), 0).to_numpy(zero_copy_only=False), dtype=np.int64), 0
+            while after < rows.num_rows:
+                at, after = after, max(after + 1, int(np.searchsorted(sizes, TEXT_BYTES + (sizes[after - 1] if after else 0), "right")))
+                keys = rows.column(0)[at:after].to_pylist()
+                texts = [text or b"" for text in rows.column(1)[at:after].to_pylist()]
                 for key, ids in zip(keys, encode(texts), strict=True):
                     ids += end
                     total, start = len(ids) // 4, 0

@@ -71,6 +71,26 @@ def test_encoder_equals_tokenizer(name, by_word):
     assert np.frombuffer(encode([b"a \xff b"])[0], "<u4").tolist() == plain.encode("a \ufffd b", add_special_tokens=False).ids
 
 
+def test_encoder_learns_words_together(monkeypatch):
+    """Each word is encoded once for many batches in between, in few calls, with the tokenizer's ids."""
+    from tokenizers import Tokenizer
+
+    encode, plain = packing.Encoder(TOKENIZER), Tokenizer.from_file(TOKENIZER)
+    rng, calls, encoded = random.Random(3), [], packing.Encoder.encoded
+    monkeypatch.setattr(packing.Encoder, "encoded", lambda self, texts: calls.append(texts) or encoded(self, texts))
+    words = ["".join(rng.choice("abcdeinorstuéÉßüñÄ") for _ in range(rng.randint(1, 20))) for _ in range(3000)] + ["s", "ll", "œuvre", "e\u0301t", "ǅ", "İx", "日本", "a1b", "don't", "×", "÷", "a÷b"]
+    texts = [" ".join(rng.sample(words, 40)) + rng.choice([".", ", ", "'s", " 's"]) for _ in range(300)] + [" ".join(words)]
+    want = [plain.encode(text, add_special_tokens=False).ids for text in texts]
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in encode([t.encode() for t in texts])] == want
+    assert sum(map(len, calls)) < 600
+    encode([t.encode() for t in texts])
+    monkeypatch.setattr(packing, "REMEMBERED", 8000)
+    encode.forget()
+    calls.clear()
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in encode([t.encode() for t in texts])] == want
+    assert not calls
+
+
 def test_hilbert_curve(spark):
     for axes, bits in ((2, 3), (3, 2), (1, 3)):
         cells = spark.range(1 << axes * bits).select(*[F.shiftright("id", bits * i).bitwiseAND((1 << bits) - 1).alias(f"x{i}") for i in range(axes)])
