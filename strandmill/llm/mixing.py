@@ -76,8 +76,9 @@ def mix(docs: DataFrame, mixture: Mixture = Mixture(), carry: bool = False) -> D
     has no mark and one token. The draw depends on doc_id (on the text if that
     is null), so repeated rows share it. Columns with the results' names are
     replaced; an empty table gives no rows. Cells are few next to documents and
-    are stored once a cycle; documents meet them in one join, broadcast when
-    Spark finds the stored cells small enough.
+    are stored after every step, as plans that hold several steps name the cells
+    once more for each and keep all their broadcasts on the driver; documents meet
+    the cells in one join, broadcast when Spark finds the stored cells small enough.
     """
     rows = described(docs)
     cells = rows.groupBy(*[F.col(f"_sm_{d}").alias(d) for d in DIMENSIONS]).agg(F.sum("_sm_tokens").alias("tokens"))
@@ -90,15 +91,14 @@ def mix(docs: DataFrame, mixture: Mixture = Mixture(), carry: bool = False) -> D
         targets[name] = stored(wanted.crossJoin(F.broadcast(total)).select(name, (F.col("share") / F.col("total")).alias("target")), "targets")
     for _ in range(mixture.cycles):
         for name in DIMENSIONS:
-            cells = _raked(cells, name, targets[name])
-        cells = stored(cells.select(*DIMENSIONS, "tokens", "weight"), "cells")
+            cells = stored(_raked(cells, name, targets[name]).select(*DIMENSIONS, "tokens", "weight"), "cells")
     cells = cells.withColumn("ratio", F.col("weight") / F.col("tokens"))
-    scale = cells.agg((F.lit(mixture.budget) * F.sum("tokens") / F.sum("weight")).alias("scale"))
+    scale = stored(cells.agg((F.lit(mixture.budget) * F.sum("tokens") / F.sum("weight")).alias("scale")), "scale")
     for _ in range(mixture.fills):
         capped = F.col("scale") * F.col("ratio") >= 1
         full, free = F.sum(F.when(capped, F.col("tokens")).otherwise(0.0)), F.sum(F.when(capped, 0.0).otherwise(F.col("weight")))
         budget = F.lit(mixture.budget) * F.sum("tokens") - full
-        scale = cells.crossJoin(F.broadcast(scale)).agg(F.when((free > 0) & (budget > 0), budget / free).otherwise(F.max("scale")).alias("scale"))
+        scale = stored(cells.crossJoin(F.broadcast(scale)).agg(F.when((free > 0) & (budget > 0), budget / free).otherwise(F.max("scale")).alias("scale")), "scale")
     chance = F.least(F.lit(1.0), F.col("scale") * F.col("ratio"))
     cells = stored(cells.crossJoin(F.broadcast(scale)).select(*[F.col(d).alias(f"_sm_{d}") for d in DIMENSIONS], F.round(chance, 9).alias("_sm_chance")), "chances")
     key = F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit(""))

@@ -100,3 +100,17 @@ def test_tables_reach_python_in_bounded_batches(spark, tmp_path):
         spark.conf.unset(common.BATCH_SETTING)
         if kept:
             spark.conf.set(common.BATCH_SETTING, kept)
+
+
+def test_mixing_plans_hold_one_step_each(spark, monkeypatch):
+    from strandmill.llm import mixing
+
+    def counted(df, label):
+        joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join"))
+        return common.stored(df, label)
+
+    joins = []
+    monkeypatch.setattr(mixing, "stored", counted)
+    docs = spark.createDataFrame([(i, f"text {i}", "en" if i % 3 else "de", f"s{i % 4}") for i in range(20)], "doc_id long, text string, lang string, source string")
+    assert mixing.mix(docs).count() == 20
+    assert max(joins) <= 2
