@@ -205,7 +205,8 @@ def _crf_gradient(emit: np.ndarray, move: np.ndarray, y: np.ndarray) -> tuple[np
 
 def _emissions(x: np.ndarray, lengths: np.ndarray, wx: np.ndarray, wh: np.ndarray, out: np.ndarray) -> np.ndarray:
     """What the output layer makes of both directions' states (row, step, tag), as of those of
-    ``_lstm``. The second direction begins where its row ends, so padding has no influence.
+    ``_lstm``. The second direction begins where its row ends, so padding has no influence,
+    and rows at the end of the batch leave the loop when they have ended; their padding gets zeros.
 
     Gates lie one after another, so that every operation runs over whole blocks. A sigmoid
     is half of one plus the tanh of half its input; states are kept twice as large, and
@@ -221,13 +222,20 @@ def _emissions(x: np.ndarray, lengths: np.ndarray, wx: np.ndarray, wh: np.ndarra
         back = (back - (steps - lengths[:, None])) % steps
     turned = x[:, back[0]] if len(back) == 1 else np.take_along_axis(x, back, axis=1)
     forwards, backwards = np.ascontiguousarray(x.T), np.ascontiguousarray(turned.T)
-    ahead, behind = np.empty((2, rows, steps, out.shape[2]), wx.dtype)
-    gates, more = np.empty((2, 2, 4, rows, HIDDEN), wx.dtype)
-    c, h, moved = np.zeros((3, 2, rows, HIDDEN), wx.dtype)
-    sigmoids, i, f, o, g, turning = gates[:, :3], gates[:, 0], gates[:, 1], gates[:, 2], gates[:, 3], h[:, None]
+    ahead, behind = np.zeros((2, rows, steps, out.shape[2]), wx.dtype)
+    all_gates, all_more = np.empty((2, 2, 4, rows, HIDDEN), wx.dtype)
+    states = np.zeros((3, 2, rows, HIDDEN), wx.dtype)
+    # Rows up to the last that is longer than each step.
+    running = np.maximum.accumulate(np.where(lengths > np.arange(steps)[:, None], np.arange(1, rows + 1), 0), axis=1)[:, -1].tolist()
+    live = -1
     for t in range(steps):
-        tables[0].take(forwards[t], axis=1, out=gates[0], mode="clip")
-        tables[1].take(backwards[t], axis=1, out=gates[1], mode="clip")
+        if running[t] != live:
+            live = running[t]
+            gates, more = all_gates[:, :, :live], all_more[:, :, :live]
+            c, h, moved = states[:, :, :live]
+            sigmoids, i, f, o, g, turning = gates[:, :3], gates[:, 0], gates[:, 1], gates[:, 2], gates[:, 3], h[:, None]
+        tables[0].take(forwards[t, :live], axis=1, out=gates[0], mode="clip")
+        tables[1].take(backwards[t, :live], axis=1, out=gates[1], mode="clip")
         if t:
             gates += np.matmul(turning, turn, out=more)
         np.tanh(gates, out=gates)
@@ -236,8 +244,8 @@ def _emissions(x: np.ndarray, lengths: np.ndarray, wx: np.ndarray, wh: np.ndarra
         c += np.multiply(i, g, out=i)
         c *= 0.5
         np.multiply(o, np.tanh(c, out=moved), out=h)
-        np.matmul(h[0], out[0], out=ahead[:, t])
-        np.matmul(h[1], out[1], out=behind[:, -1 - t])
+        np.matmul(h[0], out[0], out=ahead[:live, t])
+        np.matmul(h[1], out[1], out=behind[:live, -1 - t])
     for row, n in enumerate(lengths.tolist()):
         ahead[row, :n] += behind[row, steps - n :]
     return ahead

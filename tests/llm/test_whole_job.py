@@ -114,3 +114,20 @@ def test_mixing_plans_hold_one_step_each(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"text {i}", "en" if i % 3 else "de", f"s{i % 4}") for i in range(20)], "doc_id long, text string, lang string, source string")
     assert mixing.mix(docs).count() == 20
     assert max(joins) <= 2
+
+
+def test_tagger_spends_nothing_on_rows_that_have_ended():
+    from strandmill.llm import tagger
+
+    model = tagger.trained()
+    w, rng = model.weights, np.random.default_rng(5)
+    lengths = np.array([90, 90, 40, 7, 1])
+    x = rng.integers(0, tagger.PADDING, (5, 90))
+    x[np.arange(90) >= lengths[:, None]] = tagger.PADDING
+    for order in ([0, 1, 2, 3, 4], [3, 0, 4, 1, 2]):
+        got = tagger._emissions(x[order], lengths[order], w["x"], w["h"], w["out"])
+        for row, i in enumerate(order):
+            n = lengths[i]
+            assert np.abs(got[row, :n] - tagger._emissions(x[i : i + 1, :n], lengths[i : i + 1], w["x"], w["h"], w["out"])[0]).max() < 1e-3
+    got = tagger._emissions(x, lengths, w["x"], w["h"], w["out"])
+    assert not any(got[i, n:].any() for i, n in enumerate(lengths))
