@@ -1,11 +1,11 @@
-"""The thin queries op1 to op10 over the input tables, and their SQL oracles."""
+"""The thin queries op1 to op13 over the input tables, and their SQL oracles."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandmill.llm import chat, media, minhash, mixing, packing, pii, quality, sharding, toxicity, vectors
+from strandmill.llm import audit, chat, media, minhash, mixing, packing, pii, quality, sharding, toxicity, vectors, whitening
 from strandmill.llm.common import table
 
 
@@ -66,6 +66,14 @@ def op10_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_minhash": op2_minhash,
@@ -77,5 +85,7 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_mixing": op9_mixing,
     "op10_vectors": op10_vectors,
+    "op11_audit": op11_audit,
+    "op12_whitening": op12_whitening,
 }
-ORACLES: dict[str, str] = {"op9_mixing": mixing.mixing_sql(), "op7_chat": chat.inst_sql(ADDED)}
+ORACLES: dict[str, str] = {"op9_mixing": mixing.mixing_sql(), "op7_chat": chat.inst_sql(ADDED), "op11_audit": audit.audit_sql()}
