@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandmill.llm import audit, chat, media, minhash, mixing, packing, pii, quality, sharding, toxicity, vectors, whitening
+from strandmill.llm import audit, chat, extraction, media, minhash, mixing, packing, pii, quality, sharding, toxicity, vectors, whitening
 from strandmill.llm.common import table
 
 
@@ -74,6 +74,10 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(table(spark, sf_dir, "embeddings"))
 
 
+def op13_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.main_texts(table(spark, sf_dir, "pages"), carry=["page_id", "url"])
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_minhash": op2_minhash,
@@ -87,5 +91,6 @@ QUERIES = {
     "op10_vectors": op10_vectors,
     "op11_audit": op11_audit,
     "op12_whitening": op12_whitening,
+    "op13_extraction": op13_extraction,
 }
 ORACLES: dict[str, str] = {"op9_mixing": mixing.mixing_sql(), "op7_chat": chat.inst_sql(ADDED), "op11_audit": audit.audit_sql()}
