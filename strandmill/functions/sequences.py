@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from itertools import product
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,53 +20,110 @@ def codon_table() -> dict[str, str]:
     return {"".join(codon): amino for codon, amino in zip(product("TCAG", repeat=3), CODE, strict=True)}
 
 
-def count_of(text: Column, letters: str) -> Column:
-    """How many of the (lower-case) letters a lower-cased text has."""
-    return (F.length(text) - F.length(F.translate(text, letters, ""))).cast("long")
+_NUCLEOTIDE_CLASSES = {"A": "a", "C": "c", "G": "g", "T": "t", "N": "n", "other_IUPAC": OTHER_IUPAC, "-": "-", "?": "?"}
+_RESIDUE_CLASSES = {a: a.lower() for a in AMINO_ACIDS} | {"*": "*", "X": "x", "-": "-"}
+
+
+def _letter_counts(text: Column, classes: dict[str, str]) -> Column:
+    """Counts of classes of (lower-case) letters, by one pass over each text."""
+    place = np.zeros((256, len(classes)), dtype=np.int64)
+    for i, letters in enumerate(classes.values()):
+        place[[ord(c) for c in letters], i] = 1
+
+    @F.pandas_udf("array<long>")
+    def counted(texts: pd.Series) -> pd.Series:
+        # Signs beyond Latin-1 count as its last letter, which is in no class.
+        found = []
+        for text in texts:
+            codes = np.frombuffer(text.lower().encode("utf-32-le"), dtype="<u4")
+            found.append(np.bincount(np.minimum(codes, 255), minlength=256) @ place)
+        return pd.Series(found)
+
+    return counted(text)
+
+
+def _index(df: DataFrame, id_column: str, sequence: str, classes: dict[str, str], rest: str) -> DataFrame:
+    text = F.coalesce(F.col(sequence), F.lit(""))
+    rows = df.select(F.col(id_column).alias(id_column), F.length(F.lower(text)).cast("long").alias("length"), _letter_counts(text, classes).alias("_sm_counts"))
+    named = [F.col("_sm_counts")[i].alias(name) for i, name in enumerate(classes)]
+    return rows.select(id_column, "length", *named, (F.col("length") - F.aggregate("_sm_counts", F.lit(0).cast("long"), lambda a, b: a + b)).alias(rest))
 
 
 def nucleotide_index(df: DataFrame, id_column: str = "id", sequence: str = "sequence") -> DataFrame:
     """Length and counts of A, C, G, T, N, other IUPAC letters, gaps, ? and the rest."""
-    low = F.lower(F.coalesce(F.col(sequence), F.lit("")))
-    named = {"A": "a", "C": "c", "G": "g", "T": "t", "N": "n", "other_IUPAC": OTHER_IUPAC, "-": "-", "?": "?"}
-    counts = {name: count_of(low, letters) for name, letters in named.items()}
-    invalid = F.length(F.translate(low, "".join(named.values()), "")).cast("long")
-    return df.select(F.col(id_column).alias(id_column), F.length(low).cast("long").alias("length"), *[c.alias(n) for n, c in counts.items()], invalid.alias("invalid_nucleotides"))
+    return _index(df, id_column, sequence, _NUCLEOTIDE_CLASSES, "invalid_nucleotides")
 
 
 def amino_acid_index(df: DataFrame, id_column: str = "id", sequence: str = "sequence") -> DataFrame:
     """Length and counts of the twenty residues, stops, X, gaps and the rest."""
-    low = F.lower(F.coalesce(F.col(sequence), F.lit("")))
-    named = {a: a.lower() for a in AMINO_ACIDS} | {"*": "*", "X": "x", "-": "-"}
-    invalid = F.length(F.translate(low, "".join(named.values()), "")).cast("long")
-    return df.select(F.col(id_column).alias(id_column), F.length(low).cast("long").alias("length"), *[count_of(low, v).alias(k) for k, v in named.items()], invalid.alias("invalid_residues"))
+    return _index(df, id_column, sequence, _RESIDUE_CLASSES, "invalid_residues")
+
+
+def _code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), dtype="<u4").copy()
 
 
 def masked(sequence: Column, begin: int = 0, end: int = 0, sites: list[int] = (), invalid: bool = False) -> Column:
-    """N over the first and last letters, listed 0-based sites and, if asked, invalid letters."""
+    """N over the first and last letters, listed 0-based sites and, if asked, invalid letters.
+
+    Any number of sites takes one pass over a sequence; sites past its end do nothing.
+    """
     size = F.length(sequence)
     out = F.regexp_replace(sequence, "(?i)[^acgtnrymkswhbvd?-]", "N") if invalid else sequence
     if sites:
-        marks = F.array(*[F.lit(int(s)) for s in sorted(set(sites))])
-        letters = F.transform(F.split(out, ""), lambda c, i: F.when(F.array_contains(marks, i), "N").otherwise(c))
-        out = F.when(size > 0, F.array_join(letters, "")).otherwise(out)
+        places = np.array(sorted({int(s) for s in sites if s >= 0}), dtype=np.int64)
+
+        @F.pandas_udf("string")
+        def covered(texts: pd.Series) -> pd.Series:
+            def one(text: str | None) -> str | None:
+                if text is None:
+                    return None
+                letters = _code_points(text)
+                letters[places[: np.searchsorted(places, len(letters))]] = ord("N")
+                return letters.tobytes().decode("utf-32-le")
+
+            return texts.map(one)
+
+        out = covered(out)
     if not begin and not end:
         return out
     middle = F.substring(out, F.lit(begin + 1), F.greatest(size - begin - end, F.lit(0)))
     return F.when(size <= begin + end, F.repeat(F.lit("N"), size)).otherwise(F.concat(F.lit("N" * begin), middle, F.lit("N" * end)))
 
 
+def _amino_tables() -> tuple[np.ndarray, np.ndarray]:
+    """A code of 0 to 5 per letter (four bases, gap, other), and the amino acid of three codes."""
+    codes = np.full(256, 5, dtype=np.int64)
+    for i, base in enumerate("TCAG"):
+        codes[[ord(base), ord(base.lower())]] = i
+    codes[ord("-")] = 4
+    amino = np.full((6, 6, 6), ord("X"), dtype=np.uint8)
+    amino[:4, :4, :4] = np.frombuffer(CODE.encode(), dtype=np.uint8).reshape(4, 4, 4)
+    amino[4, 4, 4] = ord("-")
+    return codes, amino
+
+
 def translated(sequence: Column) -> Column:
     """Amino acids of whole codons: --- is a gap, what has no meaning X, stops *.
 
-    Raises where the length is no multiple of three.
+    Raises where the length is no multiple of three. One pass, whatever the length.
     """
-    codes = F.create_map(*[F.lit(x) for pair in codon_table().items() for x in pair])
-    upper = F.upper(sequence)
-    codons = F.transform(F.sequence(F.lit(0), F.floor(F.length(sequence) / 3).cast("int") - 1), lambda i: F.substring(upper, i * 3 + 1, F.lit(3)))
-    amino = F.transform(codons, lambda c: F.when(c == "---", "-").otherwise(F.coalesce(F.try_element_at(codes, c), F.lit("X"))))
-    text = F.when(F.length(sequence) < 3, F.lit("")).otherwise(F.array_join(amino, ""))
-    return F.when(F.length(sequence) % 3 != 0, F.raise_error(F.lit("gene length is no multiple of 3"))).otherwise(text)
+    codes, amino = _amino_tables()
+
+    @F.pandas_udf("string")
+    def read(texts: pd.Series) -> pd.Series:
+        def one(text: str | None) -> str | None:
+            if text is None:
+                return None
+            letters = np.frombuffer(text.encode("latin-1", "replace"), dtype=np.uint8)
+            if len(letters) % 3:
+                raise ValueError("gene length is no multiple of 3")
+            a, b, c = codes[letters].reshape(-1, 3).T
+            return amino[a, b, c].tobytes().decode()
+
+        return texts.map(one)
+
+    return read(sequence)
 
 
 def reverse_complement(sequence: Column) -> Column:
@@ -92,8 +151,30 @@ def parsed_mutation(text: Column) -> Column:
 
 
 def applied(sequence: Column, changes: Column) -> Column:
-    """A sequence after an array of mutations ``struct<pos (1-based), alt>``."""
-    return F.aggregate(changes, sequence, lambda s, m: F.overlay(s, m["alt"], m["pos"], F.lit(1)))
+    """A sequence after an array of mutations ``struct<pos (1-based), alt>``, in one pass.
+
+    Positions count the letters of the given sequence; of several changes of one place
+    the last holds, those past the end are appended in order. Null changes do nothing.
+    """
+
+    @F.pandas_udf("string")
+    def changed(texts: pd.Series, places: pd.Series, letters: pd.Series) -> pd.Series:
+        def one(text: str | None, at: np.ndarray | None, to: np.ndarray | None) -> str | None:
+            if text is None or at is None:
+                return text
+            out = list(text)
+            for place, letter in zip(at, to, strict=True):
+                if place is None or letter is None or place != place:
+                    continue
+                if 0 < place <= len(text):
+                    out[int(place) - 1] = letter
+                elif place > len(text):
+                    out.append(letter)
+            return "".join(out)
+
+        return pd.Series([one(*row) for row in zip(texts, places, letters, strict=True)])
+
+    return changed(sequence, F.transform(changes, lambda m: m["pos"]), F.transform(changes, lambda m: m["alt"]))
 
 
 def corrected(sequence: Column, alphabet: str = "nuc") -> Column:

@@ -93,22 +93,12 @@ def largest_size(total: int, counts: list[int], groups: list[int]) -> int:
 
 
 def even_size(total: int, counts: list[int], groups: list[int] | None = None) -> int:
-    """Rows per group so that the sum stays within ``total``; each count stands for
-    as many ``groups`` (one by default).
-
-    Published results are coarser than the largest size that fits: only the ends of
-    a repeated halving of 1 to ``total``, down to a width of two, are sizes. The largest
-    size is therefore brought down to such an end.
-    """
+    """Largest number of rows per group whose sum stays within ``total``; each count stands
+    for as many ``groups`` (one by default)."""
     groups = [1] * len(counts) if groups is None else groups
     if total < sum(groups):
         raise ValueError("more groups than rows to keep")
-    fits = largest_size(total, counts, groups)
-    start, width = 1, total - 1
-    while width > 2:
-        inside = fits < start + (half := (2 * start + width) // 2 - start)
-        start, width = (start, half) if inside else (start + half, width - half)
-    return start + width if start + width <= fits else start
+    return largest_size(total, counts, groups)
 
 
 def fractional_size(total: int, groups: int) -> float:

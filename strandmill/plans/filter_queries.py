@@ -115,13 +115,10 @@ def subsample_topk_group(spark, tables):
     return kept.select(F.col("group_priority").alias("priority"), F.col("group_month").alias("month"), "strain")
 
 
-_EVEN = """WITH RECURSIVE o AS (SELECT o_orderkey, o_totalprice, c_nationkey, strftime(o_orderdate, '%Y') AS year FROM orders JOIN customer ON o_custkey = c_custkey WHERE lower(o_orderstatus) <> 'p'),
+_EVEN = """WITH o AS (SELECT o_orderkey, o_totalprice, c_nationkey, strftime(o_orderdate, '%Y') AS year FROM orders JOIN customer ON o_custkey = c_custkey WHERE lower(o_orderstatus) <> 'p'),
   forced AS (SELECT * FROM o WHERE o_orderkey % 500 = 0), pool AS (SELECT * FROM o WHERE o_orderkey % 500 <> 0),
   g AS (SELECT c_nationkey, year, count(*) AS n FROM pool GROUP BY ALL), t AS (SELECT greatest(500, count(*)) AS total FROM g),
-  s(lo, hi) AS (SELECT 1::BIGINT, total::BIGINT FROM t UNION ALL
-    SELECT CASE WHEN f > total THEN lo ELSE mid END, CASE WHEN f > total THEN mid ELSE hi END FROM
-      (SELECT lo, hi, (lo + hi) // 2 AS mid, (SELECT sum(least((s.lo + s.hi) // 2, n)) FROM g) AS f, (SELECT total FROM t) AS total FROM s WHERE hi - lo > 2)),
-  e AS (SELECT lo, hi FROM s WHERE hi - lo <= 2), k AS (SELECT CASE WHEN (SELECT sum(least(e.hi, n)) FROM g) <= (SELECT total FROM t) THEN hi ELSE lo END AS size FROM e)
+  k AS (SELECT max(size) AS size FROM (SELECT size, sum(least(size, n)) AS taken FROM (SELECT unnest(range(1, total + 1)) AS size FROM t), g GROUP BY size), t WHERE taken <= total)
   SELECT o_orderkey::VARCHAR AS strain, c_nationkey::VARCHAR AS nation, year, false AS forced FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey, year ORDER BY o_totalprice DESC, o_orderkey DESC) AS rn FROM pool) WHERE rn <= (SELECT size FROM k)
   UNION ALL SELECT o_orderkey::VARCHAR, c_nationkey::VARCHAR, year, true FROM forced"""
 
