@@ -1,10 +1,11 @@
 """Trees as tables: nodes with nested-set places, closures, and operators on them.
 
 A tree is one row per node: tree_id, node, parent, branch_length, is_tip and more.
-``placed`` walks each tree once and gives every node the interval [lo, hi] of the
-places below it, with its depth, divergence and leaves. Whatever runs down a tree
-then becomes segments of places, found among the marked nodes alone, that are
-joined to the nodes by equality; depth does not matter.
+``placed`` gives every node the interval [lo, hi] of the places below it, with its
+depth, divergence and leaves, by pointer doubling over all partitions; for forests of
+small trees ``placed_each`` walks every tree in one task. Whatever runs down or up a
+tree is a recurrence of ``doubling`` or becomes segments of places, found among the
+marked nodes alone, that are joined to the nodes by equality.
 """
 
 from __future__ import annotations
@@ -18,6 +19,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from strandmill.operators import doubling
+from strandmill.storage import stored
+
 NODE_SCHEMA = "tree_id string, node string, parent string, branch_length double, is_tip boolean, depth int, pre int, post int"
 
 
@@ -52,11 +56,49 @@ def tree_frame(spark: SparkSession, records: list[dict], tree_id: str = "tree")
     return spark.createDataFrame(node_rows(records, tree_id), NODE_SCHEMA)
 
 
+def _with_leaf(nodes: DataFrame) -> DataFrame:
+    """Nodes with ``_sm_leaf``, 1 for nodes that are nobody's parent."""
+    parents = nodes.where("parent is not null").select("tree_id", F.col("parent").alias("node")).distinct().withColumn("_sm_leaf", F.lit(0))
+    return nodes.join(parents, ["tree_id", "node"], "left").withColumn("_sm_leaf", F.coalesce("_sm_leaf", F.lit(1)).cast("long"))
+
+
+def _length(nodes: DataFrame) -> Column:
+    """Branch lengths, null ones as 0 and the root's left out."""
+    return F.when(F.col("parent").isNull(), 0.0).otherwise(F.coalesce(F.col("branch_length").cast("double"), F.lit(0.0)))
+
+
+def _earlier(sized: DataFrame, by: str, column: str) -> Column:
+    """What a node's earlier siblings have in all. Roots of one tree are siblings as well."""
+    own = W.partitionBy("tree_id", "parent").orderBy(by).rowsBetween(W.unboundedPreceding, -1)
+    return F.coalesce(F.sum(column).over(own), F.lit(0)).cast("long")
+
+
 def placed(nodes: DataFrame) -> DataFrame:
     """``nodes`` with depth, lo, hi (places in pre-order of a node and its last descendant),
     leaves (tips at or below it) and div (branch lengths from the root, whose own is left out).
 
-    One pass per tree, which must fit a task; children follow ``pre``, if there, else their
+    Children follow ``pre``, if there, else their name; a node's place is its parent's, one
+    more, and the sizes of earlier siblings. Two doublings, whatever the tree's shape;
+    raises on nodes that hang in a circle. Empty tables have no places.
+    """
+    kept = [c for c in nodes.columns if c not in ("depth", "lo", "hi", "leaves", "div")]
+    own, by = nodes.select(*kept), "pre" if "pre" in nodes.columns else "node"
+    known = _with_leaf(own)
+    one = F.lit(1).cast("long")
+    sized = doubling.doubled(known, down={"steps": (None, one), "div": (None, _length(known))}, up={"size": (None, one), "leaves": (None, F.col("_sm_leaf"))})
+    ranked = own.select("tree_id", "node", "parent", *({by} - {"node"})).join(sized, ["tree_id", "node"])
+    ranked = ranked.withColumn("_sm_ahead", _earlier(ranked, by, "size") + 1)
+    place = doubling.doubled(ranked, down={"lo": (None, F.col("_sm_ahead"))})
+    both = own.join(sized, ["tree_id", "node"]).join(place, ["tree_id", "node"])
+    lo = F.col("lo") - 1
+    return both.select(*kept, (F.col("steps") - 1).cast("int").alias("depth"), lo.alias("lo"), (lo + F.col("size") - 1).alias("hi"), "leaves", "div")
+
+
+def placed_each(nodes: DataFrame) -> DataFrame:
+    """``nodes`` with depth, lo, hi (places in pre-order of a node and its last descendant),
+    leaves (tips at or below it) and div (branch lengths from the root, whose own is left out).
+
+    For forests: one pass per tree, which must fit a task; children follow ``pre``, if there, else their
     name. Raises on a node without a way to a root.
     """
     own = [f for f in nodes.schema.fields if f.name not in ("depth", "lo", "hi", "leaves", "div")]
@@ -95,8 +137,9 @@ def placed(nodes: DataFrame) -> DataFrame:
 
 def nodes_of_edges(edges: DataFrame) -> DataFrame:
     """(node, parent, branch_length, is_tip, depth) from a table of edges, whatever their depth."""
-    found = placed(edges.select(F.lit("tree").alias("tree_id"), "node", "parent", "branch_length"))
-    return found.select("node", "parent", "branch_length", (F.col("lo") == F.col("hi")).alias("is_tip"), "depth")
+    nodes = _with_leaf(edges.select(F.lit("tree").alias("tree_id"), "node", "parent", "branch_length"))
+    steps = doubling.doubled(nodes, down={"steps": (None, F.lit(1).cast("long"))})
+    return nodes.join(steps, ["tree_id", "node"]).select("node", "parent", "branch_length", (F.col("_sm_leaf") == 1).alias("is_tip"), (F.col("steps") - 1).cast("int").alias("depth"))
 
 
 def closure(nodes: DataFrame) -> DataFrame:
@@ -109,22 +152,27 @@ def closure(nodes: DataFrame) -> DataFrame:
 
 def leaf_counts(nodes: DataFrame) -> DataFrame:
     """Tips at or below every node."""
-    return placed(nodes).select("node", "leaves")
+    return doubling.doubled(_with_leaf(nodes), up={"leaves": (None, F.col("_sm_leaf"))}).select("node", "leaves")
 
 
 def cumulative_divergence(nodes: DataFrame) -> DataFrame:
     """Sum of branch lengths from the root, the root's own left out."""
-    return placed(nodes).select("node", "div")
+    return doubling.doubled(nodes, down={"div": (None, _length(nodes))}).select("node", "div")
 
 
 def nearest(at: DataFrame, marks: DataFrame, by: list[str] = ()) -> DataFrame:
     """(node, by, value): the value of the nearest marked ancestor or the node itself.
 
-    ``at`` are placed nodes, ``marks`` (node, by, value). Intervals of marked nodes nest or
-    are apart, so the places where one of them is the nearest are few segments.
+    ``at`` are placed nodes, ``marks`` (node, by, value). Without ``by`` the marks are doubled
+    along the tree. With it, intervals of the nodes that one key marks nest or are apart,
+    so the places where one of them is the nearest are few segments; a task has the marks
+    of one key.
     """
+    if not by:
+        found = doubling.doubled(at.select("tree_id", "node", "parent").join(marks.select("node", "value"), "node", "left"), marks={"value": F.col("value")})
+        return found.where("value is not null").select("node", "value")
     kinds = {f.name: f for f in marks.schema.fields}
-    schema = StructType([*StructType.fromDDL("tree_id string, start int, end int").fields, *[kinds[c] for c in by], kinds["value"]])
+    schema = StructType([*StructType.fromDDL("tree_id string, start long, end long").fields, *[kinds[c] for c in by], kinds["value"]])
 
     def cut(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("lo", ignore_index=True)
@@ -156,7 +204,7 @@ def nearest(at: DataFrame, marks: DataFrame, by: list[str] = ()) -> DataFrame:
 
 def nearest_labelled(nodes: DataFrame, labels: DataFrame, missing: str | None = None) -> DataFrame:
     """(node, label) of the nearest labelled ancestor or node itself."""
-    found = nearest(placed(nodes), labels.select("node", F.col("label").alias("value"))).withColumnRenamed("value", "label")
+    found = nearest(nodes, labels.select("node", F.col("label").alias("value"))).withColumnRenamed("value", "label")
     every = nodes.select("node").join(found, "node", "left")
     return every.withColumn("label", F.coalesce("label", F.lit(missing))) if missing is not None else every
 
@@ -169,7 +217,7 @@ def inherited_state(nodes: DataFrame, mutations: DataFrame) -> DataFrame:
 def last_ancestor_before(dated: DataFrame, cutoff: float) -> DataFrame:
     """As-of join along the tree: per tip after the cutoff, the last ancestor dated at
     or before it, the root if none is."""
-    at = placed(dated)
+    at = dated
     early = at.where(F.col("num_date") <= cutoff).select("node", F.col("node").alias("value"))
     tips = at.where(F.col("is_tip") & (F.col("num_date") > cutoff) & F.col("parent").isNotNull())
     roots = at.where("parent is null").select("tree_id", F.col("node").alias("root"))
@@ -181,42 +229,36 @@ def duplicate_names(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("node").count().where("count > 1")
 
 
-def local_branching_index(nodes: DataFrame, tau: float, window: float, dates: str = "num_date", transform: Callable[[float], float] = float) -> DataFrame:
+def local_branching_index(nodes: DataFrame, tau: float, window: float, dates: str = "num_date", transform: Callable[[Column], Column] = lambda index: index) -> DataFrame:
     """(tree_id, node, lbi): exponentially weighted length of living branches around a
-    node, over its greatest value in the tree.
+    node, over its greatest value in the tree; 0 where no value is positive.
 
-    Branches count if any tip below was sampled within ``window`` of the tree's
-    last date. Messages are recurrences, so each tree is one pandas group.
+    Branches count if any tip below was sampled within ``window`` of the tree's last date.
+    What comes from below is a weighted sum up the tree, what comes from above a linear
+    recurrence down it; ``transform`` is applied to the index before it is scaled.
     """
-
-    def index(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pre").reset_index(drop=True)
-        at = {name: i for i, name in enumerate(pdf["node"])}
-        up = np.array([at.get(p, -1) for p in pdf["parent"]])
-        length = pdf["branch_length"].fillna(0.0).to_numpy(float)
-        when = pdf[dates].to_numpy(float)
-        tip = pdf["is_tip"].to_numpy(bool)
-        last = np.nanmax(np.where(tip, when, -np.inf))
-        alive = tip & (when > last - window)
-        n = len(pdf)
-        for i in range(n - 1, 0, -1):
-            alive[up[i]] |= alive[i]
-        decay = np.exp(-length / tau)
-        own = tau * (1 - decay) * alive
-        to_parent, below = np.zeros(n), np.zeros(n)
-        for i in range(n - 1, -1, -1):
-            to_parent[i] = below[i] * decay[i] + own[i]
-            if up[i] >= 0:
-                below[up[i]] += to_parent[i]
-        from_parent = np.zeros(n)
-        for i in range(1, n):
-            p = up[i]
-            from_parent[i] = (from_parent[p] + below[p] - to_parent[i]) * decay[i] + own[i]
-        score = np.array([transform(v) for v in from_parent + below])
-        top = score.max()
-        return pd.DataFrame({"tree_id": pdf["tree_id"], "node": pdf["node"], "lbi": score / top if top > 0 else score})
-
-    return nodes.groupBy("tree_id").applyInPandas(index, "tree_id string, node string, lbi double")
+    tip = F.col("is_tip")
+    last = nodes.groupBy("tree_id").agg(F.max(F.when(tip & ~F.isnan(dates), F.col(dates))).alias("_sm_last"))
+    sampled = nodes.join(last, "tree_id").withColumn("_sm_alive", F.coalesce(tip & (F.col(dates) > F.col("_sm_last") - window), F.lit(False)).cast("long"))
+    living = doubling.doubled(sampled, up={"living": (None, F.col("_sm_alive"))})
+    length = F.coalesce(F.col("branch_length").cast("double"), F.lit(0.0))
+    decay = F.exp(-length / tau)
+    rows = nodes.select("tree_id", "node", "parent", decay.alias("decay"), (tau * (1 - decay)).alias("reach")).join(living, ["tree_id", "node"])
+    rows = stored(rows.withColumn("own", F.when(F.col("living") > 0, F.col("reach")).otherwise(0.0)), "branching")
+    # To its parent a node gives its own branch and, dampened by it, what its children give;
+    # so what a child gives is dampened by its parent's branch.
+    parents = rows.select("tree_id", F.col("node").alias("parent"), F.col("decay").alias("dampened"))
+    given = doubling.doubled(rows.join(parents, ["tree_id", "parent"], "left"), up={"given": (F.coalesce("dampened", F.lit(1.0)), F.col("own"))})
+    sums = rows.join(given, ["tree_id", "node"])
+    below = sums.where("parent is not null").groupBy("tree_id", F.col("parent").alias("node")).agg(F.sum("given").alias("below"))
+    sums = stored(sums.join(below, ["tree_id", "node"], "left").withColumn("below", F.coalesce("below", F.lit(0.0))), "branching")
+    above = sums.select("tree_id", F.col("node").alias("parent"), F.col("below").alias("beside"))
+    down = sums.join(above, ["tree_id", "parent"], "left")
+    step = F.when(F.col("beside").isNull(), 0.0).otherwise((F.col("beside") - F.col("given")) * F.col("decay") + F.col("own"))
+    taken = doubling.doubled(down, down={"taken": (F.col("decay"), step)})
+    scored = sums.join(taken, ["tree_id", "node"]).withColumn("score", transform(F.col("taken") + F.col("below")))
+    top = scored.groupBy("tree_id").agg(F.max("score").alias("top"))
+    return scored.join(top, "tree_id").select("tree_id", "node", F.when(F.col("top") > 0, F.col("score") / F.col("top")).otherwise(F.col("score")).alias("lbi"))
 
 
 def branch_changes(nodes: DataFrame, states: DataFrame, threshold: float = 0.0) -> DataFrame:
@@ -237,21 +279,24 @@ def unique_labels(labels: DataFrame) -> DataFrame:
 
 def layout(nodes: DataFrame) -> DataFrame:
     """(tree_id, node, y): tips by rank from the last in pre-order, inner nodes midway of
-    their children's extremes. A recurrence, so each tree is one pandas group."""
+    their children's extremes.
 
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["depth", "pre"], ascending=False)
-        tips = pdf[pdf["is_tip"]].sort_values("pre", ascending=False)
-        y = dict(zip(tips["node"], np.arange(1.0, len(tips) + 1), strict=True))
-        ends: dict[str, tuple[float, float]] = {}
-        for node, parent in zip(pdf["node"], pdf["parent"], strict=True):
-            if node in ends:
-                y[node] = sum(ends[node]) / 2
-            low, high = ends.get(parent, (y[node], y[node]))
-            ends[parent] = min(low, y[node]), max(high, y[node])
-        return pd.DataFrame({"tree_id": pdf["tree_id"], "node": pdf["node"], "y": pdf["node"].map(y)})
-
-    return nodes.groupBy("tree_id").applyInPandas(place, "tree_id string, node string, y double")
+    Subtrees hold runs of ranks, so the extremes are the first and the last child, and a
+    node's height is a weighted sum up the tree: a half of both, all of an only child.
+    """
+    by = "pre" if "pre" in nodes.columns else "node"
+    rows = _with_leaf(nodes.select("tree_id", "node", "parent", *({by} - {"node"})))
+    leaves = doubling.doubled(rows, up={"leaves": (None, F.col("_sm_leaf"))})
+    ranked = rows.join(leaves, ["tree_id", "node"])
+    own, every = W.partitionBy("tree_id", "parent").orderBy(by), W.partitionBy("tree_id", "parent")
+    place, many = F.row_number().over(own), F.count(F.lit(1)).over(every)
+    share = F.when(many == 1, 1.0).when((place == 1) | (place == many), 0.5).otherwise(0.0)
+    ranked = stored(ranked.withColumns({"share": share, "ahead": _earlier(ranked, by, "leaves")}), "layout")
+    before = doubling.doubled(ranked, down={"before": (None, F.col("ahead"))})
+    total = ranked.groupBy("tree_id").agg(F.sum("_sm_leaf").alias("tips"))
+    tips = ranked.join(before, ["tree_id", "node"]).join(total, "tree_id")
+    height = F.when(F.col("_sm_leaf") == 1, (F.col("tips") - F.col("before")).cast("double")).otherwise(0.0)
+    return doubling.doubled(tips, up={"y": (F.col("share"), height)})
 
 
 def path_between(paths: DataFrame, first: Column | str, second: Column | str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Tree operators on a heap-shaped tree of customers: the parent of k is k div 2."""
+"""Tree operators on a heap-shaped tree of all customers: the parent of k is k div 2, and a customer's k is its key and one."""
 
 from __future__ import annotations
 
@@ -8,16 +8,16 @@ from strandmill.operators import clades, tree
 from strandmill.plans.registry import query
 
 #: The tree and the closure in SQL.
-_NODES = "n AS (SELECT c_custkey AS node, CASE WHEN c_custkey > 1 THEN c_custkey // 2 END AS parent, abs(c_acctbal) / 1000 AS len, 2 * c_custkey > (SELECT max(c_custkey) FROM customer) AS is_tip FROM customer WHERE c_custkey > 0)"
+_NODES = "n AS (SELECT c_custkey + 1 AS node, CASE WHEN c_custkey > 0 THEN (c_custkey + 1) // 2 END AS parent, abs(c_acctbal) / 1000 AS len, 2 * (c_custkey + 1) > (SELECT max(c_custkey) + 1 FROM customer) AS is_tip FROM customer)"
 _UP = "up(anc, \"desc\", steps, dist) AS (SELECT node, node, 0, 0.0::DOUBLE FROM n UNION ALL SELECT p.parent, u.\"desc\", u.steps + 1, u.dist + p.len FROM up u JOIN n p ON u.anc = p.node WHERE p.parent IS NOT NULL)"
 _TREE = f"WITH RECURSIVE {_NODES}, {_UP}"
 
 
 def heap_nodes(tables):
     """Nodes with depth; keys are consecutive, so a node is a tip if twice its key is too large."""
-    c = tables("customer").where("c_custkey > 0")
-    last = c.agg(F.max("c_custkey").alias("last"))
-    key = F.col("c_custkey")
+    c = tables("customer")
+    last = c.agg((F.max("c_custkey") + 1).alias("last"))
+    key = F.col("c_custkey") + 1
     return c.crossJoin(F.broadcast(last)).select(
         F.lit("heap").alias("tree_id"), key.cast("string").alias("node"), F.when(key > 1, F.floor(key / 2).cast("string")).alias("parent"),
         (F.abs("c_acctbal") / 1000).alias("branch_length"), (2 * key > F.col("last")).alias("is_tip"), F.floor(F.log2(key.cast("double")) + 1e-9).cast("int").alias("depth"), key.cast("int").alias("pre"),
@@ -130,13 +130,13 @@ def reconstruct_sequences(spark, tables):
     return clades.reconstruct("AAAAAAAA", heap_nodes(tables), mutations)
 
 
-@query("node_attributes", "SELECT c_custkey::VARCHAR AS node, CASE WHEN c_custkey % 2 = 0 THEN 'd' || c_custkey ELSE c_mktsegment END AS segment, c_name AS author FROM customer WHERE c_custkey > 0")
+@query("node_attributes", "SELECT (c_custkey + 1)::VARCHAR AS node, CASE WHEN c_custkey % 2 = 0 THEN 'd' || c_custkey ELSE c_mktsegment END AS segment, c_name AS author FROM customer")
 def node_attributes(spark, tables):
     from strandmill.operators import export
 
     c = tables("customer")
-    meta = c.select(F.col("c_custkey").cast("string").alias("strain"), F.col("c_mktsegment").alias("segment"), F.col("c_name").alias("authors"))
-    data = c.select(F.col("c_custkey").cast("string").alias("node"), F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("d"), "c_custkey")).otherwise("?").alias("segment"))
+    meta = c.select((F.col("c_custkey") + 1).cast("string").alias("strain"), F.col("c_mktsegment").alias("segment"), F.col("c_name").alias("authors"))
+    data = c.select((F.col("c_custkey") + 1).cast("string").alias("node"), F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("d"), "c_custkey")).otherwise("?").alias("segment"))
     return export.node_attributes(heap_nodes(tables), meta, data, "strain", ["segment", "authors"]).select("node", "segment", "author")
 
 
