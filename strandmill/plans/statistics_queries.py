@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from strandmill.functions.dates import decimal_year
 from strandmill.operators import clades, frequencies, titers
 from strandmill.plans.registry import query
+from strandmill.plans.sequence_queries import part_sequences
+from strandmill.plans.tree_queries import heap_nodes
 
 _EVENT_DATE = "(year(ts) + (dayofyear(ts) - 0.5) / dayofyear(make_date(year(ts), 12, 31)))"
 PIVOTS = [2023.0, 2023.5, 2024.0, 2024.5, 2025.0]
@@ -135,6 +137,29 @@ def diffusion_frequencies(spark, tables):
     return frequencies.diffusion_frequencies(rows, PIVOTS)
 
 
+def part_dates(tables):
+    """Decimal year of each part's first shipment."""
+    first = tables("lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.to_date(F.min("l_shipdate")).alias("day"))
+    return tables("part").join(first, "p_partkey").select(F.col("p_partkey").cast("string").alias("tip"), decimal_year(F.col("day")).alias("num_date"))
+
+
+@query("alignment_frequencies", None)
+def alignment_frequencies(spark, tables):
+    """Letters of part names over the first shipments of all shipped parts."""
+    dates = part_dates(tables)
+    rows = part_sequences(tables).withColumnRenamed("id", "tip").join(dates.select("tip"), "tip", "left_semi")
+    return frequencies.alignment_frequencies(rows, dates, [1992.0 + i / 2 for i in range(14)], least=0.02, ignore="N")
+
+
+@query("nested_clade_frequencies", None)
+def nested_clade_frequencies(spark, tables):
+    """Clades of the customer tree over the first orders of its tips."""
+    nodes = heap_nodes(tables)
+    first = tables("orders").groupBy((F.col("o_custkey") + 1).cast("string").alias("node")).agg(F.to_date(F.min("o_orderdate")).alias("day"))
+    dates = nodes.where("is_tip").join(first, "node").select("node", decimal_year(F.col("day")).alias("num_date"))
+    return frequencies.nested_clade_frequencies(nodes, dates, [1992.0 + i / 2 for i in range(14)], least_leaves=50)
+
+
 @query("stream_curated_counts", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def stream_curated_counts(spark, tables):
     """Stateless curation in a stream that runs to its end, then counts."""
