@@ -9,6 +9,7 @@ rounds of joins over all partitions, a chain of 300 000 nodes 19. Rounds are sto
   linear, so a node carries one a and one b for the whole stretch up to its pointer.
 * Up the tree: s(node) = own + sum over children of w * s(child). A node that others
   point at adds up what they have, times the product of w on the stretch between.
+* Toggles: sums up the tree that are exclusive ors of bits.
 * Marks: the value of the nearest marked node on the way to the root, itself included.
 """
 
@@ -24,36 +25,36 @@ from strandmill.storage import forget, stored
 _KEY = ["tree_id", "node"]
 
 
-def doubled(nodes: DataFrame, down: dict[str, tuple[Column | None, Column]] | None = None, up: dict[str, tuple[Column | None, Column]] | None = None, marks: dict[str, Column] | None = None) -> DataFrame:
+def doubled(nodes: DataFrame, down: dict[str, tuple[Column | None, Column]] | None = None, up: dict[str, tuple[Column | None, Column]] | None = None, marks: dict[str, Column] | None = None, toggles: dict[str, Column] | None = None) -> DataFrame:
     """(tree_id, node, one column per recurrence) of nodes (tree_id, node, parent, ...).
 
     ``down`` maps a name to (a, b), ``up`` to (w, own), where None stands for 1; ``marks``
-    to a value, null where a node has none. A parent that is not in the table counts as
+    to a value, null where a node has none; ``toggles`` to bits (long). A parent that is not in the table counts as
     none. Raises where nodes hang in a circle. Names of nodes must be unique in a tree.
     """
-    down, up, marks = down or {}, up or {}, marks or {}
+    down, up, marks, toggles = down or {}, up or {}, marks or {}, toggles or {}
     made = {f"a_{n}": a for n, (a, _) in down.items() if a is not None} | {f"b_{n}": b for n, (_, b) in down.items()}
-    made |= {f"w_{n}": w for n, (w, _) in up.items() if w is not None} | {f"s_{n}": s for n, (_, s) in up.items()} | {f"m_{n}": m for n, m in marks.items()}
+    made |= {f"w_{n}": w for n, (w, _) in up.items() if w is not None} | {f"s_{n}": s for n, (_, s) in up.items()} | {f"m_{n}": m for n, m in marks.items()} | {f"x_{n}": x for n, x in toggles.items()}
     state = stored(nodes.select(*_KEY, F.col("parent").alias("jump"), *[column.alias(name) for name, column in made.items()]), "doubling")
     most = math.ceil(math.log2(max(state.count(), 1))) + 2
     for _ in range(most):
         if state.where("jump is not null").isEmpty():
             break
-        after = stored(_round(state, down, up, marks), "doubling")
+        after = stored(_round(state, down, up, marks, toggles), "doubling")
         forget(state)
         state = after
     else:
         raise ValueError("some nodes hang on no root")
-    return state.select(*_KEY, *[F.col(f"b_{n}").alias(n) for n in down], *[F.col(f"s_{n}").alias(n) for n in up], *[F.col(f"m_{n}").alias(n) for n in marks])
+    return state.select(*_KEY, *[F.col(f"b_{n}").alias(n) for n in down], *[F.col(f"s_{n}").alias(n) for n in up], *[F.col(f"m_{n}").alias(n) for n in marks], *[F.col(f"x_{n}").alias(n) for n in toggles])
 
 
-def _round(state: DataFrame, down: dict, up: dict, marks: dict) -> DataFrame:
+def _round(state: DataFrame, down: dict, up: dict, marks: dict, toggles: dict) -> DataFrame:
     carried = [c for c in state.columns if c[:2] in ("a_", "b_", "w_", "m_")]
     above = state.select("tree_id", F.col("node").alias("jump"), F.col("jump").alias("next"), F.lit(True).alias("found"), *[F.col(c).alias(f"up_{c}") for c in carried])
     rows = state.join(above, ["tree_id", "jump"], "left")
-    if up:
+    if up or toggles:
         weighted = {n: F.col(f"s_{n}") * F.col(f"w_{n}") if w is not None else F.col(f"s_{n}") for n, (w, _) in up.items()}
-        below = state.where("jump is not null").groupBy("tree_id", F.col("jump").alias("node")).agg(*[F.sum(c).alias(f"new_{n}") for n, c in weighted.items()])
+        below = state.where("jump is not null").groupBy("tree_id", F.col("jump").alias("node")).agg(*[F.sum(c).alias(f"new_{n}") for n, c in weighted.items()], *[F.bit_xor(f"x_{n}").alias(f"flip_{n}") for n in toggles])
         rows = rows.join(below, _KEY, "left")
     out: dict[str, Column] = {}
     for n, (a, _) in down.items():
@@ -65,6 +66,8 @@ def _round(state: DataFrame, down: dict, up: dict, marks: dict) -> DataFrame:
         out[f"s_{n}"] = F.col(f"s_{n}") + F.coalesce(F.col(f"new_{n}"), F.lit(0))
         if w is not None:
             out[f"w_{n}"] = F.when(F.col("found"), F.col(f"w_{n}") * F.col(f"up_w_{n}")).otherwise(F.col(f"w_{n}"))
+    for n in toggles:
+        out[f"x_{n}"] = F.col(f"x_{n}").bitwiseXOR(F.coalesce(F.col(f"flip_{n}"), F.lit(0).cast("long")))
     for n in marks:
         out[f"m_{n}"] = F.coalesce(f"m_{n}", f"up_m_{n}")
     kinds = dict(state.dtypes)

@@ -66,10 +66,11 @@ def tip_frequencies(
     return rows.join(F.broadcast(sums), "pivot").select("tip", "pivot", F.when(F.col("all") > 0, F.col("density") / F.col("all")).otherwise(0.0).alias("frequency"))
 
 
-def clade_frequencies(frequencies: DataFrame, paths: DataFrame) -> DataFrame:
-    """(node, pivot, frequency): every node has the sum of its tips."""
-    below = paths.select(F.col("anc").alias("node"), F.col("desc").alias("tip"))
-    return frequencies.join(below, "tip").groupBy("node", "pivot").agg(F.sum("frequency").alias("frequency"))
+def clade_frequencies(frequencies: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, pivot, frequency): every node has the sum of its tips (tip, pivot, frequency)."""
+    own = nodes.select("tree_id", "node", "parent")
+    rows = own.join(frequencies.withColumnRenamed("tip", "node"), "node").select("tree_id", "node", "pivot", "frequency")
+    return doubling.subtree_totals(own, rows, ["pivot"], ["frequency"]).select("node", "pivot", "frequency")
 
 
 def site_frequencies(frequencies: DataFrame, letters: DataFrame) -> DataFrame:

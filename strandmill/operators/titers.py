@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
+
+from strandmill.operators import doubling
+from strandmill.storage import stored
 
 
 def parse_titer(text) -> F.col:
@@ -72,6 +77,36 @@ def _effects(pairs: DataFrame) -> DataFrame:
     return pairs.select("test", "ref", "serum", F.explode(F.array(F.concat(F.lit("potency:"), F.concat_ws("|", "ref", "serum")), F.concat(F.lit("avidity:"), "test"))).alias("feature"))
 
 
+def branch_groups(nodes: DataFrame, measured: DataFrame) -> DataFrame:
+    """(node, group): inner branches by the measurements that they separate, a group named
+    after its first node; branches that separate none are left out.
+
+    A measurement lies on both its tips with a random value of 192 bits. The exclusive or
+    of a subtree cancels measurements that have both tips below, so it is a fingerprint
+    of the set of those that the branch separates, whatever their order and number.
+    Branches of equal sets cannot be told apart by any fit. Tips' own branches and the
+    root are no features; measurements of tips that the tree lacks separate nothing there.
+    """
+    bits = [f"bits{i}" for i in range(3)]
+    pairs = measured.select("test", "ref", "serum").distinct().where("test <> ref")
+    name = F.struct("test", "ref", "serum")
+    ends = pairs.select(F.explode(F.array("test", "ref")).alias("node"), *[F.xxhash64(F.lit(i), F.to_json(name)).alias(b) for i, b in enumerate(bits)])
+    own = ends.groupBy("node").agg(*[F.bit_xor(b).alias(b) for b in bits])
+    rows = nodes.select("tree_id", "node", "parent").join(own, "node", "left").na.fill(0, bits)
+    found = doubling.doubled(rows, toggles={b: F.col(b) for b in bits})
+    inner = nodes.where("parent is not null").select("tree_id", "node", "parent")
+    parents = inner.select("tree_id", F.col("parent").alias("node")).distinct()
+    branches = inner.join(parents, ["tree_id", "node"], "left_semi").join(found, ["tree_id", "node"]).where(" or ".join(f"{b} <> 0" for b in bits))
+    named = branches.groupBy("tree_id", *bits).agg(F.min("node").alias("group"))
+    return branches.join(named, ["tree_id", *bits]).select("node", "group")
+
+
+def grouped_design(design: DataFrame, groups: DataFrame) -> DataFrame:
+    """A tree design with one feature for each group of branches of equal measurements."""
+    names = groups.select(F.concat(F.lit("branch:"), "node").alias("feature"), F.concat(F.lit("branch:"), "group").alias("_sm_group"))
+    return design.join(names, "feature", "left").select("test", "ref", "serum", F.coalesce("_sm_group", "feature").alias("feature")).distinct()
+
+
 def substitution_design(measured: DataFrame, sequences: DataFrame, least: int = 10) -> DataFrame:
     """(test, ref, serum, feature): substitutions from reference to test strain that more
     than ``least`` pairs show, plus the serum and strain effects."""
@@ -110,49 +145,126 @@ def collapse_collinear(design: DataFrame, threshold: int = 5) -> DataFrame:
     return design.sparkSession.createDataFrame(rows, "feature string, group string")
 
 
-def matrix(measured: DataFrame, design: DataFrame) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Dense matrix, values and feature names on the driver; titer sets are small."""
-    rows = measured.orderBy("test", "ref", "serum").collect()
-    at = {(r["test"], r["ref"], r["serum"]): i for i, r in enumerate(rows)}
-    cells = design.where("feature is not null").collect()
-    names = sorted({c["feature"] for c in cells})
-    place = {name: j for j, name in enumerate(names)}
-    x = np.zeros((len(rows), len(names)))
-    for c in cells:
-        x[at[c["test"], c["ref"], c["serum"]], place[c["feature"]]] = 1.0
-    return x, np.array([r["value"] for r in rows]), names
-
-
-def fit(x: np.ndarray, y: np.ndarray, names: list[str], method: str = "nnl1reg", main: float = 1.0, potency: float = 0.2, avidity: float = 0.1, rounds: int = 5000) -> np.ndarray:
-    """Effects by least squares: main effects (branches or changes) at least 0, with an
-    L1 (nnl1reg, l1reg), L2 (nnl2reg) or no (nnls) penalty; l1reg leaves them free.
-    Potencies and avidities are free with an L2 penalty."""
-    is_main = np.array([n.startswith(("branch:", "change:")) for n in names], bool)
-    ridge = np.where([n.startswith("potency:") for n in names], potency, avidity) * ~is_main
-    lasso = np.where(is_main, main if method in ("nnl1reg", "l1reg") else 0.0, 0.0)
+def _folded(measured: DataFrame, folds: int, seed: str) -> DataFrame:
+    return measured.select("test", "ref", "serum", "value", F.floor(_draw(seed) * folds).cast("int").alias("fold"))
+
+
+def gram(measured: DataFrame, design: DataFrame) -> DataFrame:
+    """(fold, i, j, n, pull): what a least-squares fit needs of each fold's measurements.
+
+    ``n`` counts the measurements that have both features, ``pull`` sums up the values of
+    those that have feature i, on the diagonal. ``measured`` is (test, ref, serum, value,
+    fold), ``design`` (test, ref, serum, feature). One aggregate over pairs of features of
+    a measurement, which are as many as its path is long, squared.
+    """
+    key = ["test", "ref", "serum"]
+    cells = design.where("feature is not null").select(*key, "feature").distinct()
+    own = measured.select(*key, "value", "fold").join(cells.withColumnRenamed("feature", "i"), key)
+    both = own.join(cells.withColumnRenamed("feature", "j"), key)
+    value = F.when(F.col("i") == F.col("j"), F.col("value"))
+    return both.groupBy("fold", "i", "j").agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("pull"))
+
+
+def without_fold(grams: DataFrame) -> DataFrame:
+    """For each fold the Gram table of all others: the whole less the fold's own."""
+    whole = grams.groupBy("i", "j").agg(F.sum("n").alias("n"), F.sum("pull").alias("pull"))
+    folds = grams.select("fold").distinct()
+    # Folds are a handful of rows, one for each model to fit.
+    every = whole.crossJoin(F.broadcast(folds))
+    own = grams.select("fold", "i", "j", F.col("n").alias("own_n"), F.col("pull").alias("own_pull"))
+    left = every.join(own, ["fold", "i", "j"], "left")
+    rest = left.select("fold", "i", "j", (F.col("n") - F.coalesce("own_n", F.lit(0))).alias("n"), (F.col("pull") - F.coalesce("own_pull", F.lit(0.0))).alias("pull"))
+    return rest.where("n > 0 or i = j")
+
+
+def descent(features: list[str], i: np.ndarray, j: np.ndarray, n: np.ndarray, pull: np.ndarray, method: str = "nnl1reg", main: float = 1.0, potency: float = 0.2, avidity: float = 0.1, rounds: int = 20_000) -> np.ndarray:
+    """Effects that minimise a penalised squared error, one coordinate after another.
+
+    ``i``, ``j``, ``n`` are the Gram table's cells by place in ``features``, ``pull`` the
+    diagonal's values. Main effects (branches or changes) are at least 0 and have an L1
+    (nnl1reg, l1reg), L2 (nnl2reg) or no (nnls) penalty; l1reg leaves their signs free.
+    Potencies and avidities are free with an L2 penalty.
+    """
+    many = len(features)
+    is_main = np.array([f.startswith(("branch:", "change:")) for f in features], bool)
+    ridge = np.where([f.startswith("potency:") for f in features], potency, avidity) * ~is_main
     if method == "nnl2reg":
         ridge = ridge + main * is_main
-    gram, pull = x.T @ x + np.diag(ridge), x.T @ y
-    step = 1.0 / (np.linalg.eigvalsh(gram)[-1] + 1e-12) if len(names) else 1.0
-    w = look = np.zeros(len(names))
-    pace = 1.0
+    lasso = np.where(is_main & (method in ("nnl1reg", "l1reg")), main / 2, 0.0)
+    order = np.argsort(i, kind="stable")
+    columns, values, first = j[order], n[order].astype(float), np.searchsorted(i[order], np.arange(many + 1))
+    diagonal = np.zeros(many)
+    diagonal[i[i == j]] = n[i == j]
+    free = ~is_main | (method == "l1reg")
+    w, left = np.zeros(many), pull.astype(float).copy()
     for _ in range(rounds):
-        new = look - step * (gram @ look - pull)
-        shrunk = np.sign(new) * np.maximum(np.abs(new) - step * lasso / 2, 0.0)
-        new = np.where(is_main, shrunk if method == "l1reg" else np.maximum(new - step * lasso / 2, 0.0), new)
-        next_pace = (1 + np.sqrt(1 + 4 * pace * pace)) / 2
-        look = new + (pace - 1) / next_pace * (new - w)
-        if np.abs(new - w).max(initial=0.0) < 1e-10:
-            w = new
+        largest = 0.0
+        for f in range(many):
+            bent = diagonal[f] + ridge[f]
+            if bent <= 0:
+                continue
+            target = left[f] + diagonal[f] * w[f]
+            new = np.sign(target) * max(abs(target) - lasso[f], 0.0) / bent
+            if not free[f]:
+                new = max(new, 0.0)
+            if new != w[f]:
+                left[columns[first[f] : first[f + 1]]] -= values[first[f] : first[f + 1]] * (new - w[f])
+                largest = max(largest, abs(new - w[f]))
+                w[f] = new
+        if largest < 1e-9:
             break
-        w, pace = new, next_pace
     return w
 
 
+def fitted(grams: DataFrame, **settings) -> DataFrame:
+    """(fold, feature, effect): one model per fold of a Gram table, each in a task of its own.
+
+    A task has one model's table, whose size its features bound, not its measurements.
+    """
+    kind = grams.schema["fold"].dataType
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        features = sorted(set(pdf["i"]))
+        place = {f: k for k, f in enumerate(features)}
+        i, j = pdf["i"].map(place).to_numpy(), pdf["j"].map(place).to_numpy()
+        pull = np.zeros(len(features))
+        own = i == j
+        pull[i[own]] = pdf["pull"].to_numpy(float)[own]
+        effects = descent(features, i, j, pdf["n"].to_numpy(), pull, **settings)
+        return pd.DataFrame({"fold": pdf["fold"].iloc[0], "feature": features, "effect": effects})
+
+    return grams.groupBy("fold").applyInPandas(solve, StructType([StructField("fold", kind), *StructType.fromDDL("feature string, effect double").fields]))
+
+
+def fitted_effects(measured: DataFrame, design: DataFrame, **settings) -> DataFrame:
+    """(feature, effect) of one model over all measurements (test, ref, serum, value)."""
+    return fitted(gram(measured.withColumn("fold", F.lit(0)), design), **settings).select("feature", "effect")
+
+
+def cross_validated(measured: DataFrame, design: DataFrame, folds: int = 5, seed: str = "folds", **settings) -> DataFrame:
+    """(fold, n, slope, intercept, r_squared, mean_absolute_error, root_mean_square_error).
+
+    Measurements fall into folds by a hash. Each fold is predicted by a model of all
+    others, whose Gram table is the whole one less the fold's own, so measurements are read
+    once for all models. Features that the others lack have no effect.
+    """
+    rows = stored(_folded(measured, folds, seed), "folds")
+    grams = stored(gram(rows, design), "gram")
+    effects = fitted(without_fold(grams), **settings)
+    key = ["test", "ref", "serum"]
+    cells = rows.join(design.where("feature is not null").select(*key, "feature").distinct(), key, "left")
+    guess = cells.join(effects, ["fold", "feature"], "left").groupBy("fold", *key).agg(F.first("value").alias("value"), F.sum(F.coalesce("effect", F.lit(0.0))).alias("predicted"))
+    return guess.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), *_errors(F.col("value"), F.col("predicted")))
+
+
+def _draw(seed: str) -> Column:
+    """A number in [0, 1) per measurement, the same on every run."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "test", "ref", "serum")), 1, 8), 16, 10).cast("double") / 4294967296.0
+
+
 def train_test(measured: DataFrame, share: float = 0.9, seed: str = "split") -> tuple[DataFrame, DataFrame]:
     """A split by a hash of the pair, the same on every run."""
-    draw = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "test", "ref", "serum")), 1, 8), 16, 10).cast("double") / 4294967296.0
-    marked = measured.withColumn("_sm_draw", draw)
+    marked = measured.withColumn("_sm_draw", _draw(seed))
     return marked.where(F.col("_sm_draw") < share).drop("_sm_draw"), marked.where(F.col("_sm_draw") >= share).drop("_sm_draw")
 
 
@@ -163,14 +275,17 @@ def predicted(design: DataFrame, effects: DataFrame) -> DataFrame:
 
 def validation(rows: DataFrame, actual: str = "value", guess: str = "predicted") -> DataFrame:
     """Slope, intercept, r squared, mean absolute and root mean square error."""
-    a, p = F.col(actual), F.col(guess)
-    return rows.agg(
+    return rows.agg(*_errors(F.col(actual), F.col(guess)))
+
+
+def _errors(a: Column, p: Column) -> list[Column]:
+    return [
         F.regr_slope(p, a).alias("slope"),
         F.regr_intercept(p, a).alias("intercept"),
         F.pow(F.corr(a, p), F.lit(2.0)).alias("r_squared"),
         F.avg(F.abs(a - p)).alias("mean_absolute_error"),
         F.sqrt(F.avg((a - p) * (a - p))).alias("root_mean_square_error"),
-    )
+    ]
 
 
 def mean_potency(potencies: DataFrame) -> DataFrame:
@@ -178,10 +293,11 @@ def mean_potency(potencies: DataFrame) -> DataFrame:
     return potencies.groupBy("ref").agg((F.sum(F.col("n") * F.col("potency")) / F.sum("n")).alias("mean_potency"))
 
 
-def cumulative_effect(paths: DataFrame, effects: DataFrame) -> DataFrame:
-    """(node, total): the sum of branch effects from the root to a node."""
-    per = effects.select(F.col("node").alias("anc"), "effect")
-    return paths.join(per, "anc").groupBy(F.col("desc").alias("node")).agg(F.sum("effect").alias("total"))
+def cumulative_effect(nodes: DataFrame, effects: DataFrame) -> DataFrame:
+    """(node, total): the sum of branch effects (node, effect) from the root to a node, its own
+    included; nodes without an effect add nothing."""
+    rows = nodes.select("tree_id", "node", "parent").join(effects.select("node", "effect"), "node", "left")
+    return doubling.doubled(rows, down={"total": (None, F.coalesce(F.col("effect").cast("double"), F.lit(0.0)))}).select("node", "total")
 
 
 def compiled(measured: DataFrame) -> DataFrame:

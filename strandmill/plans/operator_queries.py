@@ -81,7 +81,7 @@ def file_priorities(spark, tables):
 def clade_sums(spark, tables):
     nodes = heap_nodes(tables)
     tips = nodes.where("is_tip").select(F.col("node").alias("tip"), F.lit(2000.0).alias("pivot"), F.col("branch_length").alias("frequency"))
-    return frequencies.clade_frequencies(tips, tree.closure(nodes)).select("node", F.round("frequency", 6).alias("frequency"))
+    return frequencies.clade_frequencies(tips, nodes).select("node", F.round("frequency", 6).alias("frequency"))
 
 
 @query("site_frequencies", f"WITH p AS ({PARTS}), l AS (SELECT id AS tip, i - 1 AS pos, substr(s, i, 1) AS base FROM p, range(1, {WIDTH + 1}) t(i)), v AS (SELECT pos FROM l GROUP BY 1 HAVING count(DISTINCT base) > 1) SELECT pos, base, round(sum(1.0::DOUBLE / (SELECT count(*) FROM part)), 9) AS frequency FROM l JOIN v USING (pos) GROUP BY ALL")
@@ -93,16 +93,16 @@ def site_frequencies(spark, tables):
     return frequencies.site_frequencies(each, letters).select("pos", "base", F.round("frequency", 9).alias("frequency"))
 
 
-@query("branch_mutations", f"{TREE}, s AS (SELECT c_custkey AS node, c_name AS q FROM customer) SELECT n.node::VARCHAR AS node, 'g' AS gene, array_to_string(list_filter([CASE WHEN substr(p.q, i, 1) <> substr(s.q, i, 1) THEN substr(p.q, i, 1) || i || substr(s.q, i, 1) END FOR i IN range(1, length(s.q) + 1)], lambda x: x IS NOT NULL), ',') AS mutations FROM n JOIN s ON s.node = n.node JOIN s p ON p.node = n.parent")
+@query("branch_mutations", f"{TREE}, s AS (SELECT c_custkey + 1 AS node, c_name AS q FROM customer) SELECT n.node::VARCHAR AS node, 'g' AS gene, array_to_string(list_filter([CASE WHEN substr(p.q, i, 1) <> substr(s.q, i, 1) THEN substr(p.q, i, 1) || i || substr(s.q, i, 1) END FOR i IN range(1, length(s.q) + 1)], lambda x: x IS NOT NULL), ',') AS mutations FROM n JOIN s ON s.node = n.node JOIN s p ON p.node = n.parent")
 def branch_mutations(spark, tables):
-    named = tables("customer").select(F.col("c_custkey").cast("string").alias("node"), F.lit("g").alias("gene"), F.col("c_name").alias("sequence"))
+    named = tables("customer").select((F.col("c_custkey") + 1).cast("string").alias("node"), F.lit("g").alias("gene"), F.col("c_name").alias("sequence"))
     return clades.branch_mutations(heap_nodes(tables), named).withColumn("mutations", F.array_join("mutations", ","))
 
 
 @query("cumulative_effects", f"{TREE} SELECT \"desc\"::VARCHAR AS node, round(sum(a.len), 6) AS total FROM up JOIN n a ON anc = a.node GROUP BY 1")
 def cumulative_effects(spark, tables):
     nodes = heap_nodes(tables)
-    return titers.cumulative_effect(tree.closure(nodes), nodes.select("node", F.col("branch_length").alias("effect"))).select("node", F.round("total", 6).alias("total"))
+    return titers.cumulative_effect(nodes, nodes.select("node", F.col("branch_length").alias("effect"))).select("node", F.round("total", 6).alias("total"))
 
 
 @query("repeated_names", "SELECT c_mktsegment AS node, count(*) AS count FROM customer GROUP BY 1 HAVING count(*) > 1")
@@ -115,21 +115,21 @@ def repeated_mutations(spark, tables):
     return clades.repeated_mutations(tables("lineitem").select(F.col("l_orderkey").alias("node"), F.col("l_returnflag").alias("gene"), F.col("l_linestatus").alias("pos")))
 
 
-@query("root_states", "SELECT 'g' AS gene, i AS pos, substr(c_name, i, 1) AS state FROM customer, range(1, length(c_name) + 1) t(i) WHERE c_custkey = 1")
+@query("root_states", "SELECT 'g' AS gene, i AS pos, substr(c_name, i, 1) AS state FROM customer, range(1, length(c_name) + 1) t(i) WHERE c_custkey = 0")
 def root_states(spark, tables):
-    named = tables("customer").select(F.col("c_custkey").cast("string").alias("node"), F.lit("g").alias("gene"), F.col("c_name").alias("sequence"))
+    named = tables("customer").select((F.col("c_custkey") + 1).cast("string").alias("node"), F.lit("g").alias("gene"), F.col("c_name").alias("sequence"))
     return clades.root_reference(heap_nodes(tables), named)
 
 
-@query("distance_to_root", f"{TREE}, s AS (SELECT c_custkey AS node, c_name AS q FROM customer), r AS (SELECT q FROM s WHERE node = 1) SELECT '1' AS first, s.node::VARCHAR AS second, round(list_sum([(substr(r.q, i, 1) <> substr(s.q, i, 1))::INT FOR i IN range(1, length(s.q) + 1)])::DOUBLE, 2) AS distance FROM s, r WHERE s.node > 0")
+@query("distance_to_root", f"{TREE}, s AS (SELECT c_custkey + 1 AS node, c_name AS q FROM customer), r AS (SELECT q FROM s WHERE node = 1) SELECT '1' AS first, s.node::VARCHAR AS second, round(list_sum([(substr(r.q, i, 1) <> substr(s.q, i, 1))::INT FOR i IN range(1, length(s.q) + 1)])::DOUBLE, 2) AS distance FROM s, r WHERE s.node > 0")
 def distance_to_root(spark, tables):
-    named = tables("customer").where("c_custkey > 0").select(F.col("c_custkey").cast("string").alias("node"), F.lit("g").alias("gene"), F.col("c_name").alias("sequence"))
+    named = tables("customer").select((F.col("c_custkey") + 1).cast("string").alias("node"), F.lit("g").alias("gene"), F.col("c_name").alias("sequence"))
     return distance.to_root(heap_nodes(tables), named, distance.DistanceMap())
 
 
-@query("distance_to_ancestor", f"{TREE}, s AS (SELECT c_custkey AS node, c_name AS q FROM customer) SELECT p.node::VARCHAR AS first, s.node::VARCHAR AS second, round(list_sum([(substr(p.q, i, 1) <> substr(s.q, i, 1))::INT FOR i IN range(1, length(s.q) + 1)])::DOUBLE, 2) AS distance FROM n JOIN s ON s.node = n.node JOIN s p ON p.node = n.parent")
+@query("distance_to_ancestor", f"{TREE}, s AS (SELECT c_custkey + 1 AS node, c_name AS q FROM customer) SELECT p.node::VARCHAR AS first, s.node::VARCHAR AS second, round(list_sum([(substr(p.q, i, 1) <> substr(s.q, i, 1))::INT FOR i IN range(1, length(s.q) + 1)])::DOUBLE, 2) AS distance FROM n JOIN s ON s.node = n.node JOIN s p ON p.node = n.parent")
 def distance_to_ancestor(spark, tables):
-    named = tables("customer").where("c_custkey > 0").select(F.col("c_custkey").cast("string").alias("node"), F.lit("g").alias("gene"), F.col("c_name").alias("sequence"))
+    named = tables("customer").select((F.col("c_custkey") + 1).cast("string").alias("node"), F.lit("g").alias("gene"), F.col("c_name").alias("sequence"))
     above = heap_nodes(tables).where("parent is not null").select("node", F.col("parent").alias("ancestor"))
     return distance.to_ancestor(above, named, distance.DistanceMap())
 
@@ -159,6 +159,20 @@ def titer_tree_design(spark, tables):
     return titers.tree_design(tips.join(refs, "test").select("test", "ref", F.lit("x").alias("serum")), tree.closure(nodes))
 
 
+def sparse_measurements(nodes):
+    """Pairs of every 24th tip and one 72 places further, on the customer tree."""
+    key = F.col("node").cast("long")
+    tips = nodes.where("is_tip").where(key % 24 == 0)
+    refs = tips.select(F.col("node").alias("ref"), (key + 72).cast("string").alias("test"))
+    return tips.select(F.col("node").alias("test")).join(refs, "test").select("test", "ref", F.lit("x").alias("serum"))
+
+
+@query("titer_branch_groups", f"{TREE}, t AS (SELECT node AS test, node - 72 AS ref FROM n WHERE is_tip AND node % 24 = 0 AND node - 72 IN (SELECT node FROM n WHERE is_tip)), b AS (SELECT anc, test FROM t JOIN up ON \"desc\" = test UNION ALL SELECT anc, test FROM t JOIN up ON \"desc\" = ref), s AS (SELECT anc, test FROM b GROUP BY ALL HAVING count(*) = 1), g AS (SELECT anc, string_agg(test, ',' ORDER BY test) AS of FROM s WHERE anc <> 1 AND anc IN (SELECT node FROM n WHERE NOT is_tip) GROUP BY 1) SELECT anc::VARCHAR AS node, min(anc::VARCHAR) OVER (PARTITION BY of) AS \"group\" FROM g")
+def titer_branch_groups(spark, tables):
+    nodes = heap_nodes(tables)
+    return titers.branch_groups(nodes, sparse_measurements(nodes))
+
+
 @query("titer_pair_counts", "SELECT l_returnflag AS change, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) > 10")
 def titer_pair_counts(spark, tables):
     return titers.pair_counts(tables("lineitem").select(F.col("l_returnflag").alias("change")))

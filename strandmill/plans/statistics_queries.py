@@ -120,9 +120,14 @@ def titer_validation(spark, tables):
 def titer_nnls(spark, tables):
     """Strain and serum effects of the normalised titers, as (feature, effect)."""
     found = titers.normalised(measured(tables))
-    x, y, names = titers.matrix(found, titers._effects(found.select("test", "ref", "serum")))
-    effects = titers.fit(x, y, names, "nnls", rounds=500)
-    return spark.createDataFrame([(n, float(e)) for n, e in zip(names, effects, strict=True)], "feature string, effect double")
+    return titers.fitted_effects(found, titers._effects(found.select("test", "ref", "serum")), method="nnls")
+
+
+@query("titer_cross_validation", None)
+def titer_cross_validation(spark, tables):
+    """Errors of five folds of the normalised titers under models of the other four."""
+    found = titers.normalised(measured(tables))
+    return titers.cross_validated(found, titers._effects(found.select("test", "ref", "serum")))
 
 
 @query("titer_mean_potency", "SELECT 's' || l_suppkey AS ref, round(sum(l_quantity * l_extendedprice) / sum(l_quantity), 4) AS mean_potency FROM lineitem GROUP BY 1")

@@ -219,13 +219,6 @@ def test_letters(spark):
     assert [r[0] for r in values.orderBy("n").select(clades.letters(F.col("n"))).collect()] == ["A", "Z", "AA", "BA", "ZZZ", "AAAA", "AAAAA"]
 
 
-def test_titers(spark):
-    assert one(spark, titers.parse_titer(F.lit("<40"))) == 20 and one(spark, titers.parse_titer(F.lit(">5120"))) == 10240
-    x = np.array([[1.0, 0], [0, 1], [1, 1]])
-    effects = titers.fit(x, np.array([2.0, -1.0, 1.0]), ["branch:a", "branch:b"], "nnls")
-    assert effects == pytest.approx([1.5, 0.0], abs=1e-4)
-
-
 def test_dag():
     samples = dag.parse({"samples": {"c": {"context_sample": "b"}, "a": {}, "b": {"context_sample": "a"}}})
     assert [s.name for s in dag.ordered(samples)] == ["a", "b", "c"]
