@@ -1,93 +1,74 @@
-"""Nearest neighbours of focal sequences by Hamming distance."""
+"""Nearest neighbours of focal sequences by Hamming distance.
+
+Sequences are packed into words of 64 sites: two planes of bits for the letter, one
+that marks known letters (A, C, G, T) and one that marks the span between the first
+and the last of them. Differences are exclusive ors and bit counts inside the JVM.
+"""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Letters as numbers; all others are unknown (4).
-_LETTERS = np.full(256, 4, np.int8)
-for _i, _c in enumerate("ACGT"):
-    _LETTERS[ord(_c)] = _LETTERS[ord(_c.lower())] = _i
-#: Letters of focal sequences that may be broadcast; more go through blocks.
-BROADCAST_LETTERS = 256 * 1024 * 1024
+#: Focal sequences that one block compares with a slice of the context.
+BLOCK_ROWS = 4096
 
 
-def encoded(sequences: list[str]) -> np.ndarray:
-    """Rows of numbers; raises unless all sequences are of one length."""
-    sizes = set(map(len, sequences))
-    if len(sizes) > 1:
-        raise ValueError(f"sequences differ in length: {sorted(sizes)[:3]}")
-    if not sequences:
-        return np.zeros((0, 0), np.int8)
-    return _LETTERS[np.frombuffer("".join(sequences).encode("latin-1", "replace"), np.uint8)].reshape(len(sequences), -1)
+def packed(sequence: Column) -> Column:
+    """array<struct<low, high, known, span>>, one struct of longs for 64 sites."""
+    letters = F.regexp_replace(F.upper(sequence), "(?s)[^ACGT]", "N")
+    lead = F.length(letters) - F.length(F.ltrim(letters, F.lit("N")))
+    inner = F.length(F.trim(letters, F.lit("N")))
+    span = F.concat(F.repeat(F.lit("0"), lead), F.repeat(F.lit("1"), inner), F.repeat(F.lit("0"), F.length(letters) - lead - inner))
+    planes = [F.translate(letters, "ACGTN", "01010"), F.translate(letters, "ACGTN", "00110"), F.translate(letters, "ACGTN", "11110"), span]
+    # The negative base makes words signed, as longs are.
+    words = [F.transform(F.regexp_extract_all(p, F.lit(".{1,64}"), F.lit(0)), lambda w: F.conv(w, 2, -10).cast("long")) for p in planes]
+    zipped = F.arrays_zip(*[w.alias(name) for w, name in zip(words, ("low", "high", "known", "span"), strict=True)])
+    return zipped
 
 
-def known_span(row: np.ndarray) -> tuple[int, int]:
-    """First and one past the last known letter."""
-    known = np.flatnonzero(row != 4)
-    return (int(known[0]), int(known[-1]) + 1) if len(known) else (0, 0)
+def differences(a: Column, b: Column, missing: str = "all") -> Column:
+    """Sites at which two packed sequences differ. ``missing`` says where unknown letters do
+    not count: ``none`` (they count as one more letter), ``all``, or ``flanking`` (outside
+    both spans)."""
 
+    def bits(x: Column, y: Column) -> Column:
+        letters = x["low"].bitwiseXOR(y["low"]).bitwiseOR(x["high"].bitwiseXOR(y["high"]))
+        if missing == "all":
+            return letters.bitwiseAND(x["known"]).bitwiseAND(y["known"])
+        any_letter = letters.bitwiseOR(x["known"].bitwiseXOR(y["known"]))
+        return any_letter.bitwiseAND(x["span"]).bitwiseAND(y["span"]) if missing == "flanking" else any_letter
 
-def distances(row: np.ndarray, others: np.ndarray, missing: str) -> np.ndarray:
-    """Distances of one sequence to others. ``missing`` says where unknown letters do not
-    count: ``none`` (they always count), ``all``, or ``flanking`` (at the ends)."""
-    differ = others != row
-    if missing == "none":
-        return differ.sum(axis=1)
-    if missing == "all":
-        return (differ & (others != 4) & (row != 4)).sum(axis=1)
-    start, end = known_span(row)
-    known = others != 4
-    first = known.argmax(axis=1)
-    last = others.shape[1] - known[:, ::-1].argmax(axis=1)
-    places = np.arange(others.shape[1])
-    inside = (places >= np.maximum(first, start)[:, None]) & (places < np.minimum(last, end)[:, None])
-    return (differ & inside).sum(axis=1)
+    if missing not in ("none", "all", "flanking"):
+        raise ValueError(f"no rule for missing letters is called {missing!r}")
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(bits(x, y))), F.lit(0).cast("long"), lambda total, n: total + n)
 
 
 def neighbours(focal: DataFrame, context: DataFrame, k: int, max_distance: int | None = None, missing: str = "all", id_column: str = "id") -> DataFrame:
     """(focal, id, distance, unknown): the k nearest context rows per focal row.
 
-    Ties at the last place go to fewer unknown letters, then to the name. Context
-    rows that are focal are left out. The focal matrix is broadcast in blocks of
-    a bounded number of letters; the context streams, and each partition sends
-    on at most k rows per focal sequence, so the ranking shuffles little.
+    Ties at the last place go to fewer unknown letters, then to the name. Context rows
+    that are focal are left out. All focal rows meet all others: focal rows are dealt
+    into blocks and context rows into slices, and each block meets each slice in one
+    join by both numbers, so that neither side is held whole anywhere. Spark ranks
+    within each task first, so at most k rows per focal row and task are shuffled on.
+    Raises where two sequences differ in length.
     """
     spark = focal.sparkSession
-    width = focal.select(F.max(F.length("sequence"))).first()[0] or 1
-    per_block = max(1, BROADCAST_LETTERS // width)
-    rows = context.join(focal.select(id_column).distinct(), id_column, "left_anti").select(id_column, "sequence")
-    total = focal.count()
-    out = None
-    for block in range(-(-total // per_block)):
-        own = focal if total <= per_block else focal.where(F.pmod(F.xxhash64(id_column), F.lit(-(-total // per_block))) == block)
-        chosen = own.select(id_column, "sequence").collect()
-        shared = spark.sparkContext.broadcast(([r[0] for r in chosen], encoded([r[1] for r in chosen])))
-
-        def nearest(batches, shared=shared):
-            names, matrix = shared.value
-            for pdf in batches:
-                others = encoded(list(pdf["sequence"]))
-                if len(others) and len(matrix) and others.shape[1] != matrix.shape[1]:
-                    raise ValueError("focal and context sequences differ in length")
-                unknown = (others == 4).sum(axis=1)
-                ids = pdf[id_column].to_numpy(object)
-                found = []
-                for name, row in zip(names, matrix, strict=True):
-                    d = distances(row, others, missing)
-                    near = np.arange(len(d)) if max_distance is None else np.flatnonzero(d <= max_distance)
-                    order = near[np.lexsort((ids[near].astype(str), unknown[near], d[near]))[:k]]
-                    found.append(pd.DataFrame({"focal": name, id_column: ids[order], "distance": d[order], "unknown": unknown[order]}))
-                if found:
-                    yield pd.concat(found)
-
-        part = rows.mapInPandas(nearest, f"focal string, `{id_column}` string, distance long, unknown long")
-        out = part if out is None else out.unionByName(part)
-    ranked = out.withColumn("_sm_rank", F.row_number().over(W.partitionBy("focal").orderBy("distance", "unknown", id_column)))
+    blocks = max(1, -(-focal.count() // BLOCK_ROWS))
+    slices = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // blocks)
+    rows = context.join(focal.select(id_column).distinct(), id_column, "left_anti")
+    deal = lambda n: F.pmod(F.xxhash64(F.col(id_column)), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    one = focal.select(F.col(id_column).alias("focal"), packed(F.col("sequence")).alias("a"), F.length("sequence").alias("_sm_m"), deal(blocks).alias("block"), every(slices).alias("slice"))
+    bits = packed(F.col("sequence"))
+    two = rows.select(F.col(id_column), bits.alias("b"), F.length("sequence").alias("_sm_n"), deal(slices).alias("slice"), every(blocks).alias("block"))
+    unknown = F.col("_sm_n") - F.aggregate("b", F.lit(0).cast("long"), lambda total, w: total + F.bit_count(w["known"]))
+    distance = F.when(F.col("_sm_m") == F.col("_sm_n"), differences(F.col("a"), F.col("b"), missing)).otherwise(F.raise_error(F.lit("sequences differ in length")).cast("long"))
+    met = one.join(two, ["block", "slice"]).select("focal", id_column, distance.alias("distance"), unknown.alias("unknown"))
+    near = met if max_distance is None else met.where(F.col("distance") <= max_distance)
+    ranked = near.withColumn("_sm_rank", F.row_number().over(W.partitionBy("focal").orderBy("distance", "unknown", id_column)))
     return ranked.where(F.col("_sm_rank") <= k).drop("_sm_rank")
 
 

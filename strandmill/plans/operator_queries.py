@@ -45,6 +45,30 @@ def file_fasta(spark, tables):
     return readers.read_fasta(spark, path).select("id", "sequence")
 
 
+@query("file_genbank", f"SELECT 'g' || id || '.1' AS id, 'part ' || id AS description, s AS sequence FROM ({PARTS})")
+def file_genbank(spark, tables):
+    """Flat files of parts, with numbered sequence lines."""
+    path = tables.fresh("parts.gb")
+    number = F.col("p_partkey").cast("string")
+    letters = F.lower(F.regexp_replace(F.rpad(nucleotides(F.col("p_name")), WIDTH, "N"), "(.{10})", "$1 "))
+    text = F.concat(F.lit("LOCUS       g"), number, F.lit(" 64 bp DNA\nDEFINITION  part\n            "), number, F.lit("\nACCESSION   g"), number, F.lit("\nVERSION     g"), number, F.lit(".1\nFEATURES             Location/Qualifiers\nORIGIN\n        1 "), letters, F.lit("\n//"))
+    tables("part").select(text.alias("value")).write.text(path)
+    return readers.read_sequences(spark, path, kind="genbank", repeats="error")
+
+
+@query("file_order", "SELECT k - 1 AS row, strain, name FROM (SELECT row_number() OVER (ORDER BY c_custkey) AS k, c_custkey::VARCHAR AS strain, c_name AS name FROM customer) WHERE k % 3 = 0")
+def file_order(spark, tables):
+    """Every third line of a file with its number, after writing the kept lines in order again."""
+    path, again = tables.fresh("ordered.tsv"), tables.fresh("kept.tsv")
+    rows = tables("customer").select("c_custkey", F.col("c_custkey").cast("string").alias("strain"), F.col("c_name").alias("name"))
+    writers.write_in_order(rows, path, "c_custkey")
+    lines, _ = readers.read_metadata(spark, path)
+    kept = readers.numbered(lines).where(F.col("row") % 3 == 2)
+    writers.write_in_order(kept, again)
+    back, _ = readers.read_metadata(spark, again)
+    return readers.numbered(back).select((F.col("row") * 3 + 2).alias("row"), "strain", "name")
+
+
 @query("file_vcf", "WITH s AS (SELECT s_suppkey AS k FROM supplier) SELECT 'one' AS sample, '1' AS chrom, k - 1 AS pos, 'A' AS ref, CASE k % 3 WHEN 1 THEN 'T' ELSE 'G' END AS alt FROM s WHERE k % 3 > 0 UNION ALL SELECT 'two', '1', k - 1, 'A', 'T' FROM s WHERE k % 2 = 1")
 def file_vcf(spark, tables):
     k = F.col("s_suppkey")

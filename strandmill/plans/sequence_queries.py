@@ -127,6 +127,25 @@ def distance_weighted(spark, tables):
     return distance.pair_distances(pairs, weights)
 
 
+_GAPPED = f"""WITH p AS ({_PARTS}), q AS (SELECT f.id AS first, c.id AS second, replace(f.s, 'G', '-') AS a, replace(c.s, 'T', '-') AS b FROM p f JOIN p c ON f.id::INT + 1 = c.id::INT),
+  l AS (SELECT first, second, i - 1 AS site, substr(a, i, 1) AS x, substr(b, i, 1) AS y FROM q, range(1, {WIDTH + 1}) t(i)),
+  d AS (SELECT *, x = '-' OR y = '-' AS gap, CASE WHEN site % 3 = 0 AND site < 30 THEN 2.5::DOUBLE WHEN site = 4 AND x = 'A' AND y = 'C' THEN 7.0::DOUBLE ELSE 1.0::DOUBLE END AS w FROM l WHERE x <> y AND x <> 'N' AND y <> 'N'),
+  e AS (SELECT first, second, max(w) AS w FROM (SELECT *, site - row_number() OVER (PARTITION BY first, second ORDER BY site) AS island FROM d WHERE gap) GROUP BY first, second, island UNION ALL SELECT first, second, w FROM d WHERE NOT gap)
+  SELECT q.first, q.second, round(coalesce(sum(w), 0), 2) AS distance FROM q LEFT JOIN e USING (first, second) GROUP BY ALL"""
+
+
+@query("distance_gap_runs", _GAPPED)
+def distance_gap_runs(spark, tables):
+    """Sequences with runs of gaps, each run one event of its greatest weight."""
+    sites = {str(i + 1): 2.5 for i in range(0, 30, 3)} | {"5": [{"from": "A", "to": "C", "weight": 7}]}
+    weights = distance.DistanceMap.from_json({"default": 1, "map": {"g": sites}, "ignored_characters": ["N"]})
+    rows = part_sequences(tables)
+    one = rows.select(F.col("id").alias("first"), F.translate("sequence", "G", "-").alias("a"))
+    two = rows.select(F.col("id").alias("second"), F.translate("sequence", "T", "-").alias("b"))
+    pairs = one.join(two, F.col("first").cast("int") + 1 == F.col("second").cast("int")).withColumn("gene", F.lit("g"))
+    return distance.pair_distances(pairs, weights)
+
+
 @query("distance_pairs_window", "SELECT p.o_orderkey AS first, n.o_orderkey AS second FROM orders p JOIN orders n ON year(n.o_orderdate) + (month(n.o_orderdate) - 1) / 12.0::DOUBLE + (day(n.o_orderdate) - 1) / 365.25::DOUBLE >= 1998.575 AND year(p.o_orderdate) + (month(p.o_orderdate) - 1) / 12.0::DOUBLE + (day(p.o_orderdate) - 1) / 365.25::DOUBLE >= 1998.57 AND year(p.o_orderdate) + (month(p.o_orderdate) - 1) / 12.0::DOUBLE + (day(p.o_orderdate) - 1) / 365.25::DOUBLE < 1998.575")
 def distance_pairs_window(spark, tables):
     from strandmill.functions.dates import coarse_decimal_year

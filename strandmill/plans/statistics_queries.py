@@ -176,3 +176,38 @@ def stream_curated_counts(spark, tables):
     path = tables.fresh("stream")
     streams.run_to_files(cleaned.select("event_type"), path, f"{path}-checkpoint")
     return spark.read.schema("event_type string").parquet(path).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _in_two_runs(spark, tables, rows, made):
+    """``made`` of a stream of files in micro-batches, stopped after half of the files and
+    taken up again from its checkpoint: what it has written in all."""
+    from strandmill.streaming import streams
+
+    source, target = tables.fresh("arriving"), tables.fresh("sent")
+    schema = rows.schema
+    for half in (0, 1):
+        rows.where(F.pmod(F.xxhash64(*rows.columns), F.lit(2)) == half).repartition(3).write.mode("append").parquet(source)
+        stream = made(streams.read_stream(spark, source, schema))
+        streams.run_to_files(stream, target, f"{target}-checkpoint")
+    return spark.read.schema(stream.schema).parquet(target)
+
+
+@query("stream_topk_group", "SELECT o_orderpriority AS priority, strftime(o_orderdate, '%Y-%m') AS month, o_orderkey AS strain FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority, strftime(o_orderdate, '%Y-%m') ORDER BY o_totalprice DESC, o_orderkey DESC) <= 3")
+def stream_topk_group(spark, tables):
+    """The dearest three orders of each priority and month, kept as state of a stream."""
+    from strandmill.streaming import topk
+
+    rows = tables("orders").select(F.col("o_orderpriority").alias("priority"), F.date_format("o_orderdate", "yyyy-MM").alias("month"), F.col("o_totalprice").alias("price"), F.col("o_orderkey").alias("strain"))
+    by = ["priority", "month"]
+    sent = _in_two_runs(spark, tables, rows, lambda stream: topk.top_rows(stream, by, 3, ["price", "strain"]))
+    return topk.latest_rows(sent, by).select(*by, "strain")
+
+
+@query("stream_first_per_id", "SELECT c_custkey AS id, count(*) AS n FROM customer GROUP BY 1")
+def stream_first_per_id(spark, tables):
+    """Ids that come twice pass once, even across a restart."""
+    from strandmill.streaming import streams
+
+    rows = tables("customer").select(F.col("c_custkey").alias("id"), F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"))
+    sent = _in_two_runs(spark, tables, rows, lambda stream: streams.first_per_id(stream, "id"))
+    return sent.groupBy("id").agg(F.count(F.lit(1)).alias("n"))

@@ -15,6 +15,7 @@ import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Names of id columns by precedence, and delimiters: fixed values.
@@ -90,6 +91,55 @@ def read_fasta(spark: SparkSession, *paths: str) -> DataFrame:
     return rows.where(F.trim("value") != "").select(F.regexp_extract(head, r"^(\S*)", 1).alias("id"), head.alias("description"), body.alias("sequence"))
 
 
+def genbank_sequences(spark: SparkSession, *paths: str) -> DataFrame:
+    """(id, description, sequence) of GenBank flat files, one row per record.
+
+    The id is the record's VERSION, else its first ACCESSION, else its LOCUS name. Records
+    are split where a line begins with //, so one file is read by several tasks.
+    """
+    rows = reduce(DataFrame.unionAll, [spark.read.text(path, lineSep="\n//") for path in paths])
+    record = F.regexp_replace("value", "\r", "")
+    field = lambda name, form: F.regexp_extract(record, rf"(?m)^{name}\s+{form}", 1)
+    names = [F.nullif(field(name, r"(\S+)"), F.lit("")) for name in ("VERSION", "ACCESSION", "LOCUS")]
+    said = F.regexp_replace(F.regexp_extract(record, r"(?m)^DEFINITION\s+([^\n]*(?:\n\s+[^\n]*)*)", 1), r"\s+", " ")
+    letters = F.upper(F.regexp_replace(F.regexp_extract(record, r"(?s)\nORIGIN[^\n]*\n(.*)$", 1), r"[\s0-9]", ""))
+    return rows.where(record.rlike(r"(?m)^LOCUS\s")).select(F.coalesce(*names).alias("id"), said.alias("description"), letters.alias("sequence"))
+
+
+def read_sequences(spark: SparkSession, *paths: str, kind: str = "fasta", repeats: str | None = None) -> DataFrame:
+    """(id, description, sequence) of ``fasta`` or ``genbank`` files.
+
+    ``repeats`` says what an id that comes twice does: ``error`` fails the job,
+    ``same`` keeps one row if the sequences agree and fails else, None keeps all rows.
+    """
+    found = {"fasta": read_fasta, "genbank": genbank_sequences}[kind](spark, *paths)
+    if repeats is None:
+        return found
+    text = F.struct("description", "sequence")
+    grouped = found.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min(text).alias("one"), F.min(F.md5("sequence")).alias("low"), F.max(F.md5("sequence")).alias("high"))
+    wrong = F.col("n") > 1 if repeats == "error" else F.col("low") != F.col("high")
+    checked = F.when(wrong, F.raise_error(F.concat(F.lit("sequence id is repeated: "), F.col("id")))).otherwise(F.col("id"))
+    return grouped.select(checked.alias("id"), "one.description", "one.sequence")
+
+
+def numbered(rows: DataFrame, column: str = "row") -> DataFrame:
+    """Rows of a file scan with their number in the order of files (by path) and lines, from 0.
+
+    ``rows`` is a scan as the readers return it, not yet filtered. Rows keep their order
+    inside the block of a file that a task reads; one aggregate counts the rows of each
+    block, and running sums over blocks, not rows, give every block its first number.
+    """
+    place = rows.withColumns({"_sm_file": F.col("_metadata.file_path"), "_sm_block": F.col("_metadata.file_block_start"), "_sm_at": F.monotonically_increasing_id()})
+    blocks = place.groupBy("_sm_file", "_sm_block").agg(F.min("_sm_at").alias("_sm_first"), F.count(F.lit(1)).alias("_sm_n"))
+    inside = W.partitionBy("_sm_file").orderBy("_sm_block").rowsBetween(W.unboundedPreceding, -1)
+    files = blocks.groupBy("_sm_file").agg(F.sum("_sm_n").alias("_sm_all"))
+    # One row per file.
+    ahead = files.select("_sm_file", F.coalesce(F.sum("_sm_all").over(W.orderBy("_sm_file").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_sm_ahead"))
+    starts = blocks.withColumn("_sm_before", F.coalesce(F.sum("_sm_n").over(inside), F.lit(0))).join(ahead, "_sm_file")
+    number = F.col("_sm_ahead") + F.col("_sm_before") + F.col("_sm_at") - F.col("_sm_first")
+    return place.join(starts, ["_sm_file", "_sm_block"]).select(*rows.columns, number.alias(column))
+
+
 def single_sequence(sequences: DataFrame) -> tuple[str, str]:
     """(id, sequence) of a set that must hold one record."""
     found = sequences.limit(2).collect()

@@ -83,10 +83,10 @@ def test_masking(spark):
     assert one(spark, sequences.masked(F.lit("AC!T"), invalid=True)) == "ACNT"
 
 
-def test_distances():
+def test_distances(spark):
     weights = distance.DistanceMap()
-    assert distance.gene_distance("ACTG", "A--G", "g", weights) == 1.0
-    assert distance.gene_distance("ACTGTA", "A--CCA", "g", weights) == 3.0
+    pairs = spark.createDataFrame([("1", "2", "g", "ACTG", "A--G"), ("3", "4", "g", "ACTGTA", "A--CCA")], "first string, second string, gene string, a string, b string")
+    assert {r["first"]: r["distance"] for r in distance.pair_distances(pairs, weights).collect()} == {"1": 1.0, "3": 3.0}
 
 
 def test_neighbours(spark):
@@ -94,9 +94,6 @@ def test_neighbours(spark):
     context = spark.createDataFrame([("f", "AAAA"), ("a", "ATCG"), ("b", "ANCG"), ("c", "ATCC"), ("d", "CCCC")], "id string, sequence string")
     found = proximity.neighbours(focal, context, 2, missing="all").collect()
     assert sorted((r["id"], r["distance"]) for r in found) == [("a", 0), ("b", 0)]
-    row, others = proximity.encoded(["ATCG"])[0], proximity.encoded(["ANCG", "NTCC"])
-    assert proximity.distances(row, others, "none").tolist() == [1, 2]
-    assert proximity.distances(row, others, "flanking").tolist() == [1, 1]
 
 
 def test_titlecase(spark):
