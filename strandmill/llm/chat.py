@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandmill.llm.common import tidy
+
 Message = tuple[str, str]
 Template = Callable[[list[Message]], str]
 
@@ -96,7 +98,8 @@ def format_turns(conversations: DataFrame, template: Template = inst_template, l
     rewrites (the template changed what it had rendered before).
 
     Turns are ordered by turn, role and text, so ties and repeated rows have a
-    defined order; a null turn comes first, a null role or text is empty, and
+    defined order; a null turn comes first, a null role or text is empty, bytes that
+    are no UTF-8 count as U+FFFD, and
     turns with a null conv_id form one conversation. Other columns are ignored,
     an empty table gives no rows. Every prefix is rendered whole, which takes
     time by the square of a conversation's length, unless the template has a true
@@ -124,7 +127,8 @@ def format_turns(conversations: DataFrame, template: Template = inst_template, l
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 out = []
-                for key, role, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                for key, *said in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    role, text = (s.decode("utf-8", "replace") for s in said)
                     if key != current:
                         verified()
                         current, place, offset = key, 0, 0
@@ -143,10 +147,10 @@ def format_turns(conversations: DataFrame, template: Template = inst_template, l
         verified()
 
     rows = conversations.select(
-        F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
+        F.col("conv_id").cast("long").alias("conv_id"), "turn", *[F.coalesce(F.col(c).cast("string").cast("binary"), F.lit(b"")).alias(c) for c in ("role", "text")]
     )
     ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
-    return ordered.mapInArrow(run, "conv_id long, place long, role string, segment string, text_start long, text_end long, loss boolean, offset long, rewrites boolean")
+    return ordered.mapInArrow(tidy(run), "conv_id long, place long, role string, segment string, text_start long, text_end long, loss boolean, offset long, rewrites boolean")
 
 
 def digest(turns: DataFrame, read_role: Callable[[str], str] = role_of, read_text: Callable[[str], str] = unescape) -> DataFrame:
@@ -189,7 +193,7 @@ def digest(turns: DataFrame, read_role: Callable[[str], str] = role_of, read_tex
             yield from pa.Table.from_batches(done).combine_chunks().to_batches()
 
     read = turns.select("conv_id", "place", "segment", "text_start", "text_end", "loss", "rewrites")
-    return read.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, rewrites boolean")
+    return read.mapInArrow(tidy(run), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, rewrites boolean")
 
 
 def inst_sql(extra: list[tuple[int, int, str, str]] = ()) -> str:

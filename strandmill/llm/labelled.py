@@ -36,7 +36,7 @@ def labelled_statistics(docs: DataFrame, sample: DataFrame, statistics: Callable
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     # The sample holds a bounded number of ids.
     joined = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")
-    measured = joined.mapInArrow(run, "doc_id long, label int, found array<double>")
+    measured = joined.mapInArrow(tidy(run), "doc_id long, label int, found array<double>")
     return [(r.label, r.found) for r in measured.groupBy("doc_id").agg(F.min("label").alias("label"), F.min("found").alias("found")).collect()]
 
 

@@ -312,7 +312,7 @@ def text_media(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(map(len, texts)), pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return rows.mapInArrow(tidy(run), "doc_id long, n_bytes long, media binary")
 
 
 def sample_features(payload: bytes) -> str:

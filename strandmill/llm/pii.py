@@ -29,7 +29,7 @@ Span = tuple[str, int, int]
 
 #: Characters of a window and of two windows' overlap, windows to a call of the network,
 #: and characters whose emissions are held at once.
-WINDOW, OVERLAP, PER_CALL, HELD = 540, 36, 400, 600_000
+WINDOW, OVERLAP, PER_CALL, HELD = 540, 36, 400, 400_000
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -257,12 +257,13 @@ def find_pii(docs: DataFrame, model: Tagger | None = None, redact: bool = False,
     spans), base_sha256, spans (all, written) and, if asked for, ``redacted``; beside
     carried columns the results' names begin with ``_sm_``. Offsets are code points. Null and
     empty texts have no spans; repeated rows are treated alike; null ids are
-    kept; other columns are ignored; an empty table gives no rows. One narrow
+    kept; bytes that are no UTF-8 count as U+FFFD; other columns are ignored; an empty
+    table gives no rows. One narrow
     pass; the model's few kilobytes travel with the tasks.
     """
     model = model or tagger.trained()
     own = [F.col("doc_id").cast("long").alias("doc_id")] if carry is None else numbered(carry)
-    rows = docs.select(*own, F.col("text").cast("string").alias("_sm_text"))
+    rows = docs.select(*own, F.col("text").cast("string").cast("binary").alias("_sm_text"))
     kept = rows.columns[:-1]
     lead = "" if carry is None else "_sm_"
     made = [StructField(f"{lead}n_{kind}", LongType()) for kind in KINDS] + [StructField(lead + name, StringType()) for name in ("base_sha256", "spans", "redacted")]
@@ -271,7 +272,7 @@ def find_pii(docs: DataFrame, model: Tagger | None = None, redact: bool = False,
         for batch in batches:
             for at in range(0, batch.num_rows, 400):
                 part = batch.slice(at, 400)
-                texts = [text or "" for text in part.column(len(kept)).to_pylist()]
+                texts = [(text or b"").decode("utf-8", "replace") for text in part.column(len(kept)).to_pylist()]
                 found = all_spans(model, texts)
                 counts = [pa.array([sum(s[0] == kind for s in base) for base, _ in found], pa.int64()) for kind in KINDS]
                 sums = [hashlib.sha256(written(base).encode()).hexdigest() for base, _ in found]

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandmill.llm.common import stored
+from strandmill.llm.common import named, stored
 
 #: Rows of one curve cell are dealt over this many salts, so no task holds a hot cell.
 SALTS = 1024
@@ -98,11 +98,12 @@ def hilbert_shards(docs: DataFrame, dimensions: list[tuple[str, str]], shards: i
     counts, and ranks inside a (cell, salt) come from a window, so a hot cell is
     spread over ``SALTS`` groups. The rows are first stored, which fixes the
     numbers that tell repeated rows apart. Nulls in any column are legal; empty
-    tables give no rows. Columns named ``hilbert``, ``shard`` or ``slot`` are
+    tables give no rows. Columns named ``hilbert``, ``shard`` or ``slot``, in any case, are
     replaced; working columns begin with ``_sm_``.
     """
-    levels = [quantised(docs[name] if name in docs.columns else F.lit(None), kind, bits) for name, kind in dimensions]
-    kept = [docs[name] for name in docs.columns if name not in ("hilbert", "shard", "slot")]
+    levels = [quantised(named(name) if name in docs.columns else F.lit(None), kind, bits) for name, kind in dimensions]
+    names = [name for name in docs.columns if name.lower() not in ("hilbert", "shard", "slot")]
+    kept = [named(name) for name in names]
     rows = docs.select(*kept, hilbert_index(levels, bits).alias("hilbert"), F.monotonically_increasing_id().alias("_sm_row"))
     rows = stored(rows.withColumn("_sm_salt", F.pmod(F.xxhash64("_sm_row"), F.lit(SALTS)).cast("int")), "hilbert")
     # At most cells x SALTS counts; sums run over cells first, then over one cell's salts.
@@ -118,8 +119,7 @@ def hilbert_shards(docs: DataFrame, dimensions: list[tuple[str, str]], shards: i
     shard = F.expr(f"_sm_rank * {shards} div _sm_total")
     placed = placed.withColumn("shard", shard.cast("int"))
     first = F.expr(f"(shard * _sm_total + {shards - 1}) div {shards}")
-    names = [name for name in docs.columns if name not in ("hilbert", "shard", "slot")]
-    return placed.select(*names, "hilbert", "shard", (F.col("_sm_rank") - first).alias("slot"))
+    return placed.select(*kept, "hilbert", "shard", (F.col("_sm_rank") - first).alias("slot"))
 
 
 def write_shards(sharded: DataFrame, path: str, rows_per_file: int = 1_000_000) -> None:

@@ -239,7 +239,7 @@ def _worst(values: DataFrame, direction: np.ndarray) -> list:
                 rows.append(x[margins.argmax()])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(best, pa.float64()), pa.array(rows, pa.list_(pa.float32()))], ["doc_id", "label", "margin", "found"])
 
-    each = values.mapInArrow(run, "doc_id long, label int, margin double, found array<float>")
+    each = values.mapInArrow(tidy(run), "doc_id long, label int, margin double, found array<float>")
     rows = each.groupBy("doc_id").agg(F.min("label").alias("label"), F.max(F.struct("margin", "found")).alias("best")).select("doc_id", "label", "best.found").collect()
     return sorted(rows, key=lambda r: r.doc_id)
 
@@ -263,7 +263,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, modu
         return None
     shelf = Shelf()
     texts = shelf.put(_texts(docs, sample), "labelled")
-    counted = texts.dropDuplicates(["text"]).mapInArrow(grams, "label int, gram string").groupBy("gram").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"))
+    counted = texts.dropDuplicates(["text"]).mapInArrow(tidy(grams), "label int, gram string").groupBy("gram").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"))
     # A gram passes only if a share of the toxic documents has it, so few do.
     frequent = counted.where((F.col("toxic") >= least_documents(toxic)) & (F.col("toxic") * clean > CONTRAST * toxic * F.col("clean")))
     landmarks = choose_landmarks(sorted(map(tuple, frequent.select("gram", "toxic", "clean").collect())), toxic, clean)

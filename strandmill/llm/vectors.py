@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandmill.llm.common import stored
+from strandmill.llm.common import stored, tidy
 from strandmill.llm.components import components
 
 #: Neighbours compared, signs in a key, and the share of pairs at the threshold
@@ -208,7 +208,7 @@ def near_duplicate_vectors(embeddings: DataFrame, threshold: float = 0.9, window
     columns are ignored; an empty table gives no rows.
     """
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    ready = stored(rows.mapInArrow(_prepared, "vec_id long, print_a long, print_b long, unit array<double>"), "vectors")
+    ready = stored(rows.mapInArrow(tidy(_prepared), "vec_id long, print_a long, print_b long, unit array<double>"), "vectors")
     usable = ready.where("print_a is not null")
     classes = usable.groupBy("print_a", "print_b").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("unit").alias("unit")).where("id is not null")
     # Ids name classes; where rows share an id, its classes count as one through it.
@@ -219,10 +219,10 @@ def near_duplicate_vectors(embeddings: DataFrame, threshold: float = 0.9, window
         sample = own.select("unit").orderBy(F.xxhash64("print_a", "print_b"), "print_a", "print_b").limit(SAMPLE).collect()
         needed, centres[dims] = measured_passes(np.array([r.unit for r in sample]), count, threshold, window, recall, seed)
         passes = max(passes, needed)
-    keyed = classes.select("id", "unit").mapInArrow(_keys(passes, seed, centres), "pass int, dims int, key long, id long, unit array<double>")
+    keyed = classes.select("id", "unit").mapInArrow(tidy(_keys(passes, seed, centres)), "pass int, dims int, key long, id long, unit array<double>")
     order = ["pass", "dims", "key", "id"]
     ordered = keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("pass", "dims", "id", "unit")
-    links = ordered.mapInArrow(_windows(threshold, window), "a long, b long").distinct()
+    links = ordered.mapInArrow(tidy(_windows(threshold, window)), "a long, b long").distinct()
     parts = stored(components(links), "vector-parts")
 
     members = stored(classes.join(parts.withColumnRenamed("node", "id"), "id").select("component", "id", "copies", "unit"), "vector-members")
