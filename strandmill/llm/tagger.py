@@ -23,7 +23,7 @@ TAGS = 1 + 2 * len(KINDS)
 SIGNS = " \n.-()+@_%,=\":/[]{}"
 CLASSES = len(SIGNS) + 5 + 26
 WIDTH = 72
-HIDDEN = 14
+HIDDEN = 8
 #: Allowance for rounding in the bound on paths.
 SLACK = 0.01
 WEIGHTS = os.path.join(os.path.dirname(os.path.abspath(__file__)), "tagger_weights.npz")
@@ -335,7 +335,7 @@ def trained() -> Tagger:
         return Tagger({name: stored[name] for name in stored.files})
 
 
-def train(seed: int = 7, rows: int = 25_600, batch: int = 32, epochs: int = 5, rate: float = 0.04) -> Tagger:
+def train(seed: int = 7, rows: int = 25_600, batch: int = 32, epochs: int = 5, rate: float = 0.05) -> Tagger:
     """Fit a model by Adam with a falling rate."""
     x, y = _training_set(rows, seed)
     rng = np.random.default_rng(seed)
