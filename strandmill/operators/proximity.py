@@ -7,12 +7,17 @@ and the last of them. Differences are exclusive ors and bit counts inside the JV
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Focal sequences that one block compares with a slice of the context.
 BLOCK_ROWS = 4096
+#: Words up to which a comparison is written out, which compiles to a few instructions each;
+#: longer sequences loop over words by array functions, which Spark interprets.
+UNROLLED = 12
 
 
 def packed(sequence: Column) -> Column:
@@ -28,8 +33,8 @@ def packed(sequence: Column) -> Column:
     return zipped
 
 
-def differences(a: Column, b: Column, missing: str = "all") -> Column:
-    """Sites at which two packed sequences differ. ``missing`` says where unknown letters do
+def differences(a: Column, b: Column, missing: str = "all", words: int | None = None) -> Column:
+    """Sites at which two packed sequences of ``words`` words, if known, differ. ``missing`` says where unknown letters do
     not count: ``none`` (they count as one more letter), ``all``, or ``flanking`` (outside
     both spans)."""
 
@@ -42,6 +47,8 @@ def differences(a: Column, b: Column, missing: str = "all") -> Column:
 
     if missing not in ("none", "all", "flanking"):
         raise ValueError(f"no rule for missing letters is called {missing!r}")
+    if words is not None and words <= UNROLLED:
+        return reduce(Column.__add__, [F.coalesce(F.bit_count(bits(F.get(a, F.lit(i)), F.get(b, F.lit(i)))), F.lit(0)) for i in range(words)], F.lit(0)).cast("long")
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(bits(x, y))), F.lit(0).cast("long"), lambda total, n: total + n)
 
 
@@ -56,8 +63,11 @@ def neighbours(focal: DataFrame, context: DataFrame, k: int, max_distance: int |
     Raises where two sequences differ in length.
     """
     spark = focal.sparkSession
-    blocks = max(1, -(-focal.count() // BLOCK_ROWS))
-    slices = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // blocks)
+    size = focal.agg(F.count(F.lit(1)), F.max(F.length("sequence"))).first()
+    blocks, words = max(1, -(-size[0] // BLOCK_ROWS)), -(-(size[1] or 0) // 64)
+    # Pairs grow with the product of both sides, which sizes do not show: partitions stay as many as asked for.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    slices = max(1, 4 * parts // blocks)
     rows = context.join(focal.select(id_column).distinct(), id_column, "left_anti")
     deal = lambda n: F.pmod(F.xxhash64(F.col(id_column)), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
@@ -65,8 +75,10 @@ def neighbours(focal: DataFrame, context: DataFrame, k: int, max_distance: int |
     bits = packed(F.col("sequence"))
     two = rows.select(F.col(id_column), bits.alias("b"), F.length("sequence").alias("_sm_n"), deal(slices).alias("slice"), every(blocks).alias("block"))
     unknown = F.col("_sm_n") - F.aggregate("b", F.lit(0).cast("long"), lambda total, w: total + F.bit_count(w["known"]))
-    distance = F.when(F.col("_sm_m") == F.col("_sm_n"), differences(F.col("a"), F.col("b"), missing)).otherwise(F.raise_error(F.lit("sequences differ in length")).cast("long"))
-    met = one.join(two, ["block", "slice"]).select("focal", id_column, distance.alias("distance"), unknown.alias("unknown"))
+    two = two.withColumn("unknown", unknown)
+    distance = F.when(F.col("_sm_m") == F.col("_sm_n"), differences(F.col("a"), F.col("b"), missing, words)).otherwise(F.raise_error(F.lit("sequences differ in length")).cast("long"))
+    one, two = (side.repartition(parts, "block", "slice") for side in (one, two))
+    met = one.join(two, ["block", "slice"]).select("focal", id_column, distance.alias("distance"), "unknown")
     near = met if max_distance is None else met.where(F.col("distance") <= max_distance)
     ranked = near.withColumn("_sm_rank", F.row_number().over(W.partitionBy("focal").orderBy("distance", "unknown", id_column)))
     return ranked.where(F.col("_sm_rank") <= k).drop("_sm_rank")

@@ -29,8 +29,9 @@ def test_packed_distances(spark, n, monkeypatch):
     rows = [(f"s{i:02d}", text()) for i in range(20)] + [("t0", "N" * n), ("t1", "A" * n), ("t2", "T" * n)]
     df = spark.createDataFrame(rows, "id string, sequence string")
     focal = df.where("id < 's07' or id = 't0'")
-    for block in (3, 4096):
+    for block, unrolled in ((3, 12), (4096, 0)):
         monkeypatch.setattr(proximity, "BLOCK_ROWS", block)
+        monkeypatch.setattr(proximity, "UNROLLED", unrolled)
         for missing in ("none", "all", "flanking"):
             found = proximity.neighbours(focal, df, 4, missing=missing).collect()
             for name in {r["focal"] for r in found}:
