@@ -95,6 +95,21 @@ def well_formed_ambiguity(text: Column) -> Column:
     return (~year.contains("X") | (whole(month) & whole(day))) & (~month.contains("X") | whole(day))
 
 
+def ambiguity_error(text: Column) -> Column:
+    """What is wrong with a date of digits and X: ``year`` or ``month`` where that part is
+    unknown and a less significant one is not, else null."""
+    parts = F.split(text, "-")
+    year, month, day = (F.try_element_at(parts, F.lit(i)) for i in (1, 2, 3))
+    vague = text.contains("X") & text.rlike(AMBIGUOUS)
+    return F.when(vague & year.contains("X") & ((month != "XX") | (day != "XX")), "year").when(vague & ~year.contains("X") & month.contains("X") & (day != "XX"), "month")
+
+
+def checked_ambiguity(text: Column) -> Column:
+    """The text; a date whose unknown part is followed by a known one fails the job."""
+    wrong = ambiguity_error(text)
+    return F.when(wrong.isNotNull(), F.raise_error(F.concat(F.lit("date "), text, F.lit(": its "), wrong, F.lit(" is unknown, so less significant parts must be too")))).otherwise(text)
+
+
 def date_range(text: Column, today: dt.date, low_year: int | None = None, high_year: int | None = None) -> Column:
     """``struct<lo: date, hi: date, exact: boolean, number: double>`` of a date text, or null.
 

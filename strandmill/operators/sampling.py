@@ -10,12 +10,14 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandmill.functions import dates
+from strandmill.operators import predicates
 
 GENERATED = ("year", "month", "week")
 #: Draws of sizes before an empty sample is accepted.
@@ -54,6 +56,20 @@ def group_keys(df: DataFrame, by: list[str], date_column: str = "date", today: d
     return out.withColumns({f"group_{key}": column for key, column in made.items()}).drop("_sm_parts")
 
 
+#: Filters of rows whose dates are too vague to be grouped, by what is unknown: names are fixed values.
+VAGUE = {"year": "skip_group_by_with_ambiguous_year", "month": "skip_group_by_with_ambiguous_month", "day": "skip_group_by_with_ambiguous_day"}
+
+
+def grouping_filters(df: DataFrame, by: list[str], date_column: str = "date", today: dt.date = dt.date(2100, 1, 1)) -> list[predicates.Predicate]:
+    """Filters that go before grouping by year, month or week: what a key needs must be known.
+
+    They run from broad to specific, so that a row is named after the broadest part it
+    lacks; grouping by other columns needs none.
+    """
+    finest = max((GENERATED.index(key) for key in by if key in GENERATED), default=-1)
+    return [predicates.ambiguous_date(df, date_column, part, today, name) for part, name in list(VAGUE.items())[: finest + 1]]
+
+
 def hashed_priority(id_column: str, seed: str | int) -> Column:
     """A repeatable random number in [0, 1) per id, whatever the row order."""
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_column).cast("string"))), 1, 8), 16, 10).cast("double") / 4294967296.0
@@ -121,23 +137,76 @@ def poisson_sizes(groups: list[tuple], mean: float, seed: int | None, attempts:
 
 
 def weighted_sizes(counts: DataFrame, weights: DataFrame, columns: list[str], by: list[str], total: int, rounding: Column) -> DataFrame:
-    """Sizes per group from weights: (group columns, count, weight, size).
+    """Sizes per group from weights: (group columns, n, weight, size).
 
     ``counts`` has ``group_<key>`` columns and n; ``weights`` has the weighted
-    columns and weight, with ``default`` in the first one as a fallback. A
-    weight is shared evenly by the groups of its weighted columns, weights are
-    normalised, and sizes are floor(share * total + rounding).
+    columns and weight, with ``default`` in all of them as a fallback. A weight
+    is shared evenly by the groups that have its values, weights are normalised
+    over the values that occur, and sizes are floor(share * total + rounding).
+    Values without a weight fail the job where there is no fallback; weights
+    whose values no group has are left out (``weight_gaps`` and
+    ``unused_weights`` name both).
     """
     keys = [f"group_{key}" for key in by]
     weighted = [f"group_{key}" for key in columns]
-    fallback = weights.where(F.col(columns[0]) == "default").select(F.max("weight").alias("fallback"))
-    own = weights.where(F.col(columns[0]) != "default").select(*[F.col(c).alias(f"group_{c}") for c in columns], "weight")
-    rows = counts.join(own, weighted, "left").crossJoin(F.broadcast(fallback))
-    rows = rows.withColumn("weight", F.coalesce("weight", "fallback")).drop("fallback")
-    rows = rows.withColumn("weight", F.when(F.col("weight").isNull(), F.raise_error(F.lit("a group has no weight and there is no default"))).otherwise(F.col("weight")))
-    rows = rows.withColumn("weight", F.col("weight") / F.count(F.lit(1)).over(W.partitionBy(*weighted)))
-    share = F.col("weight") / F.sum("weight").over(W.partitionBy(F.lit(1)))
-    return rows.withColumn("size", F.floor(share * total + rounding).cast("int")).select(*keys, "n", "weight", "size")
+    own, fallback = _split_weights(weights, columns)
+    each = counts.groupBy(*weighted).agg(F.count(F.lit(1)).alias("_sm_peers")).join(own, weighted, "left").crossJoin(F.broadcast(fallback))
+    named = F.concat_ws(", ", *[F.concat(F.lit(f"{c}="), F.col(f"group_{c}")) for c in columns])
+    missing = F.raise_error(F.concat(F.lit("a group has no weight and there is no default: "), named)).cast("double")
+    each = each.select(*weighted, "_sm_peers", F.coalesce("weight", "fallback", missing).alias("_sm_weight"))
+    # The groups of a value share its weight, so the sum over values is that over groups.
+    whole = each.agg(F.sum("_sm_weight").alias("_sm_whole"))
+    rows = counts.join(each, weighted).crossJoin(F.broadcast(whole)).withColumn("weight", F.col("_sm_weight") / F.col("_sm_peers"))
+    return rows.withColumn("size", F.floor(F.col("weight") / F.col("_sm_whole") * total + rounding).cast("int")).select(*keys, "n", "weight", "size")
+
+
+def _split_weights(weights: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(weights of values with ``group_`` columns, one row with the fallback or null)."""
+    default = reduce(lambda a, b: a & b, [F.col(c) == "default" for c in columns])
+    own = weights.where(~default).select(*[F.col(c).alias(f"group_{c}") for c in columns], "weight")
+    return own, weights.where(default).agg(F.max("weight").alias("fallback"))
+
+
+def weight_gaps(counts: DataFrame, weights: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, value), each once: values of groups that no weight covers; only the fallback
+    gives those groups a weight."""
+    own, _ = _split_weights(weights, columns)
+    bare = counts.join(own, [f"group_{c}" for c in columns], "left_anti")
+    return distinct_values(bare, columns)
+
+
+def distinct_values(counts: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, value) of groups, each once."""
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"group_{c}").alias("value")) for c in columns])
+    return counts.select(F.explode(cells).alias("cell")).select("cell.*").distinct()
+
+
+def unused_weights(counts: DataFrame, weights: DataFrame, columns: list[str]) -> DataFrame:
+    """Weights whose values no group has, the fallback aside."""
+    own, _ = _split_weights(weights, columns)
+    return own.join(counts, [f"group_{c}" for c in columns], "left_anti")
+
+
+def skipped_groups(counts: DataFrame, weights: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
+    """One row (possible, covered, skipped): groups that the weights' values and the values
+    of the other columns could form, those of them that have rows, and the rest.
+
+    The combinations are counted as a product of distinct values, never formed.
+    """
+    others = [key for key in by if key not in columns]
+    own, _ = _split_weights(weights, columns)
+    covered = counts.join(own, [f"group_{c}" for c in columns], "left_semi").agg(F.count(F.lit(1)).alias("covered"))
+    kinds = own.agg(F.count(F.lit(1)).alias("_sm_own"))
+    values = counts.agg(F.lit(1).alias("_sm_one"), *[F.count_distinct(f"group_{key}").alias(f"_sm_{i}") for i, key in enumerate(others)])
+    possible = reduce(lambda a, b: a * b, [F.col(f"_sm_{i}") for i in range(len(others))], F.col("_sm_own")).alias("possible")
+    return values.crossJoin(F.broadcast(kinds)).crossJoin(F.broadcast(covered)).select(possible, "covered").withColumn("skipped", F.col("possible") - F.col("covered"))
+
+
+def size_report(sizes: DataFrame) -> DataFrame:
+    """Sizes per group with input_size (rows there are), target_size (rows wanted), output_size
+    (rows taken) and under_sampled."""
+    keys = [c for c in sizes.columns if c.startswith("group_")]
+    return sizes.select(*[F.col(k).alias(k.removeprefix("group_")) for k in keys], "weight", F.col("n").alias("input_size"), F.col("size").alias("target_size"), F.least(F.col("n"), F.col("size").cast("long")).alias("output_size"), (F.col("n") < F.col("size")).alias("under_sampled"))
 
 
 def sample_even(df: DataFrame, by: list[str], total: int, priority: Column, tie: list[Column], seed: int | None = None) -> DataFrame:

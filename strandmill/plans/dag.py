@@ -87,12 +87,13 @@ def run(samples: list[Sample], metadata: DataFrame, id_column: str, sequences: D
             filters.append(predicates.min_date(o["min_date"], date_column))
         if "max_date" in o:
             filters.append(predicates.max_date(o["max_date"], date_column))
+        by = _list(o.get("group_by"))
+        filters += sampling.grouping_filters(df, by, date_column)
         for condition in _list(o.get("include_where")):
             includes.append(predicates.include_where(df, condition))
         marked = predicates.attributed(df, filters, includes)
         forced = marked.where(F.size("included") > 0).select(*df.columns)
         pool = marked.where(F.col("passed") & (F.size("included") == 0)).select(*df.columns)
-        by = _list(o.get("group_by"))
         predicates.check_arguments(by, o.get("group_size"), o.get("max_sequences"), False)
         priority = priorities(sample) if priorities else sampling.hashed_priority(id_column, sample.name)
         if "group_size" in o or "max_sequences" in o:

@@ -220,6 +220,19 @@ def read_gff(spark: SparkSession, path: str, types: tuple[str, ...] = ("gene", "
     return rows.withColumn("name", F.coalesce(*[F.try_element_at("attributes", F.lit(k)) for k in ("gene", "gene_name", "locus_tag", "Name", "ID")]))
 
 
+def gff_extent(spark: SparkSession, path: str) -> tuple[int, int]:
+    """(start (0-based), end) of the whole sequence, by the sequence-region directive and by
+    source and region features; those that there are must agree, and one must be there."""
+    lines = spark.read.text(path)
+    cells = F.split("value", r"\s+")
+    said = lines.where(F.col("value").startswith("##sequence-region")).select(F.element_at(cells, -2).cast("int").alias("low"), F.element_at(cells, -1).cast("int").alias("high"))
+    whole = read_gff(spark, path, ("source", "region")).select((F.col("start") + 1).alias("low"), F.col("end").alias("high"))
+    found = said.unionAll(whole).distinct().orderBy("low", "high").limit(2).collect()
+    if len(found) != 1:
+        raise ValueError("extents of the whole sequence disagree" if found else "nothing says how long the sequence is")
+    return found[0]["low"] - 1, found[0]["high"]
+
+
 def feature_errors(features: DataFrame) -> DataFrame:
     """Features other than the whole sequence whose length is no multiple of three."""
     return features.where(~F.col("type").isin("source", "region") & ((F.col("end") - F.col("start")) % 3 != 0))
