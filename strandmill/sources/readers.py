@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 #: Names of id columns by precedence, and delimiters: fixed values.
 ID_COLUMNS = ("id", "strain", "name")
 DELIMITERS = (",", "\t")
+#: Column for the text of rows that do not fit their header.
+BROKEN = "_sm_broken"
 
 
 def file_bytes(spark: SparkSession, path: str) -> bytes:
@@ -64,10 +66,19 @@ def id_column(columns: list[str], candidates: tuple[str, ...] = ID_COLUMNS) -> s
 
 def read_metadata(spark: SparkSession, path: str, delimiters: tuple[str, ...] = DELIMITERS, columns: list[str] | None = None, id_columns: tuple[str, ...] = ID_COLUMNS, strict: bool = True) -> tuple[DataFrame, str]:
     """(all-string table with '' for blanks, id column). Columns that are asked for but
-    missing are dropped with a warning; wrong cell counts fail when ``strict``."""
+    missing are dropped with a warning. A row with another number of cells than the header
+    fails the job when ``strict``, whichever columns are used, and is named by its text."""
     header = spark.read.text(path).first()
     separator = sniff_delimiter(header[0] if header else "", delimiters)
-    df = spark.read.csv(path, sep=separator, header=True, inferSchema=False, mode="FAILFAST" if strict else "PERMISSIVE", quote='"', escape='"').fillna("")
+    options = {"sep": separator, "header": True, "mode": "PERMISSIVE", "quote": '"', "escape": '"'}
+    df = spark.read.csv(path, inferSchema=False, **options)
+    if strict and df.columns:
+        schema = df.schema.add(BROKEN, "string")
+        # Cells are counted only where all columns are parsed.
+        df = spark.read.option("columnPruning", False).csv(path, schema=schema, columnNameOfCorruptRecord=BROKEN, **options)
+        message = F.concat(F.lit(f"a row has no {len(schema) - 1} cells: "), F.substring(BROKEN, 1, 200), F.lit(", it begins with "), F.coalesce(F.col(f"`{schema[0].name}`"), F.lit("nothing")))
+        df = df.where(F.when(F.col(BROKEN).isNull(), True).otherwise(F.raise_error(message).cast("boolean"))).drop(BROKEN)
+    df = df.fillna("")
     key = id_column(df.columns, id_columns)
     if columns is not None:
         for name in [c for c in columns if c not in df.columns]:

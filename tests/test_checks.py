@@ -155,3 +155,18 @@ def test_vague_dates_leave_before_grouping(spark):
     assert predicates.kept(predicates.attributed(plain, sampling.grouping_filters(plain, ["month"]))).count() == 5
     samples = dag.parse({"samples": {"m": {"group_by": ["month"], "group_size": 9}}})
     assert {r["strain"] for r in dag.united(samples, dag.run(samples, df, "strain"), df, "strain").collect()} == {"2", "3"}
+
+
+def test_rows_that_do_not_fit_their_header(spark, tmp_path):
+    path = tmp_path / "a.tsv"
+    path.write_text("name\tx\ty\na\t1\t2\n\nb\t\t\nc\t\"3\t4\"\t5\n")
+    rows, key = readers.read_metadata(spark, str(path))
+    assert key == "name" and [tuple(r) for r in rows.orderBy("name").collect()] == [("a", "1", "2"), ("b", "", ""), ("c", "3\t4", "5")]
+    for line in ("d\t6", "d\t6\t7\t8"):
+        path.write_text(f"name\tx\ty\na\t1\t2\n{line}\n")
+        for used in (["name"], ["x"], ["y", "x"]):
+            with pytest.raises(Exception, match="a row has no 3 cells: d\t6"):
+                readers.read_metadata(spark, str(path))[0].select(*used).collect()
+        assert readers.read_metadata(spark, str(path), strict=False)[0].count() == 2
+    path.write_text("name\tx\n")
+    assert readers.read_metadata(spark, str(path))[0].count() == 0
