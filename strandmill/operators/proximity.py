@@ -13,16 +13,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Focal sequences that one block compares with a slice of the context.
+#: Different focal sequences that one block compares with a slice of the context.
 BLOCK_ROWS = 4096
 #: Words up to which a comparison is written out, which compiles to a few instructions each;
 #: longer sequences loop over words by array functions, which Spark interprets.
 UNROLLED = 12
 
 
+def _letters(sequence: Column) -> Column:
+    return F.regexp_replace(F.upper(sequence), "(?s)[^ACGT]", "N")
+
+
 def packed(sequence: Column) -> Column:
     """array<struct<low, high, known, span>>, one struct of longs for 64 sites."""
-    letters = F.regexp_replace(F.upper(sequence), "(?s)[^ACGT]", "N")
+    letters = _letters(sequence)
     lead = F.length(letters) - F.length(F.ltrim(letters, F.lit("N")))
     inner = F.length(F.trim(letters, F.lit("N")))
     span = F.concat(F.repeat(F.lit("0"), lead), F.repeat(F.lit("1"), inner), F.repeat(F.lit("0"), F.length(letters) - lead - inner))
@@ -56,32 +60,39 @@ def neighbours(focal: DataFrame, context: DataFrame, k: int, max_distance: int |
     """(focal, id, distance, unknown): the k nearest context rows per focal row.
 
     Ties at the last place go to fewer unknown letters, then to the name. Context rows
-    that are focal are left out. All focal rows meet all others: focal rows are dealt
-    into blocks and context rows into slices, and each block meets each slice in one
+    that are focal are left out. Rows of equal letters are one class: each focal class
+    meets, of each context class, the k first names, as no later one can be among the k
+    nearest; what it finds holds for all its rows. Classes are as many as there are
+    different sequences, whatever the number of copies. Focal classes are dealt into
+    blocks and context rows into slices, and each block meets each slice in one
     join by both numbers, so that neither side is held whole anywhere. Spark ranks
-    within each task first, so at most k rows per focal row and task are shuffled on.
+    within each task first, so at most k rows per focal class and task are shuffled on.
     Raises where two sequences differ in length.
     """
     spark = focal.sparkSession
-    size = focal.agg(F.count(F.lit(1)), F.max(F.length("sequence"))).first()
+    letters, length = _letters(F.col("sequence")), F.length("sequence")
+    own = focal.select(F.col(id_column).alias("focal"), letters.alias("_sm_a"), length.alias("_sm_m"))
+    classes = own.select("_sm_a", "_sm_m").distinct()
+    size = classes.agg(F.count(F.lit(1)), F.max("_sm_m")).first()
     blocks, words = max(1, -(-size[0] // BLOCK_ROWS)), -(-(size[1] or 0) // 64)
     # Pairs grow with the product of both sides, which sizes do not show: partitions stay as many as asked for.
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     slices = max(1, 4 * parts // blocks)
-    rows = context.join(focal.select(id_column).distinct(), id_column, "left_anti")
-    deal = lambda n: F.pmod(F.xxhash64(F.col(id_column)), F.lit(n)).cast("int")
+    rows = context.join(focal.select(id_column).distinct(), id_column, "left_anti").select(id_column, letters.alias("_sm_b"), length.alias("_sm_n"))
+    first = F.row_number().over(W.partitionBy("_sm_b", "_sm_n").orderBy(id_column))
+    rows = rows.withColumn("_sm_copy", first).where(F.col("_sm_copy") <= k)
+    deal = lambda n, *by: F.pmod(F.xxhash64(*by), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    one = focal.select(F.col(id_column).alias("focal"), packed(F.col("sequence")).alias("a"), F.length("sequence").alias("_sm_m"), deal(blocks).alias("block"), every(slices).alias("slice"))
-    bits = packed(F.col("sequence"))
-    two = rows.select(F.col(id_column), bits.alias("b"), F.length("sequence").alias("_sm_n"), deal(slices).alias("slice"), every(blocks).alias("block"))
+    one = classes.select("_sm_a", "_sm_m", packed(F.col("_sm_a")).alias("a"), deal(blocks, "_sm_a", "_sm_m").alias("block"), every(slices).alias("slice"))
+    two = rows.select(id_column, packed(F.col("_sm_b")).alias("b"), "_sm_n", deal(slices, id_column).alias("slice"), every(blocks).alias("block"))
     unknown = F.col("_sm_n") - F.aggregate("b", F.lit(0).cast("long"), lambda total, w: total + F.bit_count(w["known"]))
     two = two.withColumn("unknown", unknown)
     distance = F.when(F.col("_sm_m") == F.col("_sm_n"), differences(F.col("a"), F.col("b"), missing, words)).otherwise(F.raise_error(F.lit("sequences differ in length")).cast("long"))
     one, two = (side.repartition(parts, "block", "slice") for side in (one, two))
-    met = one.join(two, ["block", "slice"]).select("focal", id_column, distance.alias("distance"), "unknown")
+    met = one.join(two, ["block", "slice"]).select("_sm_a", "_sm_m", id_column, distance.alias("distance"), "unknown")
     near = met if max_distance is None else met.where(F.col("distance") <= max_distance)
-    ranked = near.withColumn("_sm_rank", F.row_number().over(W.partitionBy("focal").orderBy("distance", "unknown", id_column)))
-    return ranked.where(F.col("_sm_rank") <= k).drop("_sm_rank")
+    ranked = near.withColumn("_sm_rank", F.row_number().over(W.partitionBy("_sm_a", "_sm_m").orderBy("distance", "unknown", id_column)))
+    return own.join(ranked.where(F.col("_sm_rank") <= k), ["_sm_a", "_sm_m"]).select("focal", id_column, "distance", "unknown")
 
 
 def matches(found: DataFrame, id_column: str = "id") -> DataFrame:

@@ -45,6 +45,27 @@ def test_packed_distances(spark, n, monkeypatch):
     assert proximity.neighbours(focal.limit(0), df, 4).count() == 0 and proximity.neighbours(focal, df.limit(0), 4).count() == 0
 
 
+def test_copies_meet_once(spark, monkeypatch):
+    """Distances are computed between different sequences, not between all their copies."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ACGTN") for _ in range(70)) for _ in range(5)]
+    rows = [(f"s{i:03d}", texts[rng.randrange(5)].lower() if i % 2 else texts[rng.randrange(5)]) for i in range(400)]
+    df = spark.createDataFrame(rows, "id string, sequence string")
+    compared, real = spark.sparkContext.accumulator(0), proximity.differences
+
+    @F.udf("long")
+    def counted(n):
+        compared.add(1)
+        return n
+
+    monkeypatch.setattr(proximity, "differences", lambda *given: counted(real(*given)))
+    found = proximity.neighbours(df.where("id < 's100'"), df, 3).collect()
+    assert compared.value <= 5 * 5 * 3
+    for name, text in rows[:100]:
+        others = sorted((plain_distance(text, s, "all"), s.upper().count("N"), i) for i, s in rows[100:])
+        assert sorted((r["distance"], r["unknown"], r["id"]) for r in found if r["focal"] == name) == others[:3]
+
+
 def test_lengths_must_agree(spark):
     df = spark.createDataFrame([("a", "ACG"), ("b", "AC")], "id string, sequence string")
     with pytest.raises(Exception, match="differ in length"):
