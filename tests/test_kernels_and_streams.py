@@ -74,6 +74,14 @@ def test_lengths_must_agree(spark):
         proximity.neighbours(df.where("id = 'a'"), df, 1, missing="some")
 
 
+def test_dated_pairs_are_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(distance, "BLOCK_TIPS", 16)
+    tips = spark.range(400).select(F.col("id").alias("node"), (2000 + F.col("id") / 100).alias("num_date"))
+    found = distance.dated_pairs(tips, 2002.0, 2001.9).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r["first"], r["second"]) for r in found) == [(a, b) for a in range(190, 200) for b in range(200, 400)]
+    assert len({r["task"] for r in found}) == 4
+
+
 def walked(a, b, gene, sites, ignored):
     """A pair's distance letter by letter."""
     total, run = 0.0, []
