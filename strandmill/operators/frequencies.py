@@ -74,9 +74,12 @@ def clade_frequencies(frequencies: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def site_frequencies(frequencies: DataFrame, letters: DataFrame) -> DataFrame:
-    """(pos, base, pivot, frequency) over variable sites; ``letters`` is (tip, pos, base)."""
+    """(pos, base, pivot, frequency) over variable sites; ``letters`` is (tip, pos, base).
+
+    Tips meet their letters by a merge join: a table of tips is small as a file, but not on the driver.
+    """
     variable = letters.groupBy("pos").agg(F.count_distinct("base").alias("states")).where("states > 1").select("pos")
-    return letters.join(variable, "pos").join(frequencies, "tip").groupBy("pos", "base", "pivot").agg(F.sum("frequency").alias("frequency"))
+    return letters.join(variable, "pos").join(frequencies.hint("merge"), "tip").groupBy("pos", "base", "pivot").agg(F.sum("frequency").alias("frequency"))
 
 
 def allele_frequencies(alignment: DataFrame, least: float = 0.0) -> DataFrame:

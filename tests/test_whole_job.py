@@ -24,3 +24,12 @@ def test_even_sampling_of_many_groups(spark):
     rows = spark.range(1_100_000).select("id", (F.col("id") % 1_000_001).alias("g"))
     kept = sampling.sample_even(rows, ["g"], 1_050_000, F.lit(0.5), [F.col("id")]).groupBy("g").count().groupBy("count").count().collect()
     assert list(map(tuple, kept)) == [(1, 1_000_001)]
+
+
+def test_tips_of_site_frequencies_stay_off_the_driver(spark):
+    rows = spark.range(40).select(F.col("id").alias("tip"), F.lit(2000.0).alias("pivot"), F.lit(0.025).alias("frequency"))
+    letters = spark.range(40).select(F.col("id").alias("tip"), F.lit(3).alias("pos"), F.when(F.col("id") < 10, "A").otherwise("C").alias("base"))
+    df = frequencies.site_frequencies(rows, letters)
+    assert {(r["base"], round(r["frequency"], 6)) for r in df.collect()} == {("A", 0.25), ("C", 0.75)}
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [tip#" in plan and "BroadcastHashJoin [tip#" not in plan
