@@ -22,6 +22,9 @@ from pyspark.sql.types import StructType
 from strandmill.operators import doubling
 from strandmill.storage import stored
 
+#: Places of a tree at which intervals of marks are cut, so that no task has all marks of a key.
+CHUNK_PLACES = 65_536
+
 NODE_SCHEMA = "tree_id string, node string, parent string, branch_length double, is_tip boolean, depth int, pre int, post int"
 
 
@@ -165,43 +168,41 @@ def nearest(at: DataFrame, marks: DataFrame, by: list[str] = ()) -> DataFrame:
 
     ``at`` are placed nodes, ``marks`` (node, by, value). Without ``by`` the marks are doubled
     along the tree. With it, intervals of the nodes that one key marks nest or are apart,
-    so the places where one of them is the nearest are few segments; a task has the marks
-    of one key.
+    so the places where one of them is the nearest are few segments.
     """
     if not by:
         found = doubling.doubled(at.select("tree_id", "node", "parent").join(marks.select("node", "value"), "node", "left"), marks={"value": F.col("value")})
         return found.where("value is not null").select("node", "value")
-    kinds = {f.name: f for f in marks.schema.fields}
-    schema = StructType([*StructType.fromDDL("tree_id string, start long, end long").fields, *[kinds[c] for c in by], kinds["value"]])
-
-    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("lo", ignore_index=True)
-        out, stack, free = [], [], 0
-
-        def close(until: int) -> None:
-            nonlocal free
-            while stack and stack[-1][0] < until:
-                end, value = stack.pop()
-                if free <= end:
-                    out.append((free, end, value))
-                    free = end + 1
-
-        for lo, hi, value in zip(pdf["lo"].tolist(), pdf["hi"].tolist(), pdf["value"], strict=True):
-            close(lo)
-            if stack and free < lo:
-                out.append((free, lo - 1, stack[-1][1]))
-            free = lo
-            stack.append((hi, value))
-        close(np.iinfo(np.int64).max)
-        made = pd.DataFrame(out, columns=["start", "end", "value"])
-        return made.assign(tree_id=pdf["tree_id"].iloc[0], **{c: pdf[c].iloc[0] for c in by})[schema.names]
-
     marked = marks.select("node", *by, "value").join(at.select("tree_id", "node", "lo", "hi"), "node")
-    segments = marked.groupBy("tree_id", *by).applyInPandas(cut, schema)
-    spread = segments.select("tree_id", *by, "value", F.explode(F.sequence("start", "end")).alias("lo"))
+    spread = _segments(marked, by).select("tree_id", *by, "value", F.explode(F.sequence("start", "end")).alias("lo"))
     return spread.join(at.select("tree_id", "lo", "node"), ["tree_id", "lo"]).select("node", *by, "value")
 
 
+def _segments(marked: DataFrame, by: list[str]) -> DataFrame:
+    """(tree_id, by, value, start, end): where the intervals [lo, hi] of ``marked``, which nest
+    or are apart for one key, are the innermost ones.
+
+    Intervals are cut at every ``CHUNK_PLACES`` places, and a window has the ones of one key and
+    chunk. Of those that cover a whole chunk from further left only the last one counts there;
+    the others begin or end in it. In a chunk, ends count down and starts count up, so
+    after an end the innermost interval is the last one that started on the same level.
+    """
+    key, size = ["tree_id", *by], F.lit(CHUNK_PLACES).cast("long")
+    first, last = F.floor(F.col("lo") / size), F.floor(F.col("hi") / size)
+    own = marked.select(*key, "value", "lo", "hi", F.explode(F.array_distinct(F.array(first, last))).alias("chunk"))
+    over = marked.where(last - first > 1).select(*key, "value", "lo", F.explode(F.sequence(first + 1, last - 1)).alias("chunk"))
+    over = over.groupBy(*key, "chunk").agg(F.max_by("value", "lo").alias("value"), F.max("lo").alias("lo"))
+    every = own.unionByName(over.withColumn("hi", (F.col("chunk") + 1) * size - 1))
+    cut = every.select(*key, "chunk", "value", "lo", F.greatest("lo", F.col("chunk") * size).alias("start"), (F.least("hi", (F.col("chunk") + 1) * size - 1) + 1).alias("until"))
+    one = lambda place, step: F.struct(F.col(place).alias("start"), F.lit(step).alias("step"))
+    turns = cut.select(*key, "chunk", "value", "lo", F.explode(F.array(one("start", 1), one("until", -1))).alias("t")).select(*key, "chunk", "value", "lo", "t.*")
+    places, order = W.partitionBy(*key, "chunk"), ["start", "step", "lo"]
+    turns = turns.withColumns({"level": F.sum("step").over(places.orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)), "next": F.lead("start").over(places.orderBy(*order))})
+    begun = F.when(F.col("step") == 1, F.struct("value"))
+    held = F.last(begun, ignorenulls=True).over(W.partitionBy(*key, "chunk", "level").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow))
+    return turns.withColumn("held", held).where("level > 0 and next > start").select(*key, F.col("held.value").alias("value"), "start", (F.col("next") - 1).alias("end"))
+
+
 def nearest_labelled(nodes: DataFrame, labels: DataFrame, missing: str | None = None) -> DataFrame:
     """(node, label) of the nearest labelled ancestor or node itself."""
     found = nearest(nodes, labels.select("node", F.col("label").alias("value"))).withColumnRenamed("value", "label")

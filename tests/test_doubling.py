@@ -95,3 +95,25 @@ def test_large_trees_spread_over_partitions(spark, parent):
     top = n - 1 if parent == "id - 1" else int(math.log2(n))
     assert found.agg(F.max("div"), F.count("node")).first()[:] == (top, n)
     assert tree.leaf_counts(nodes).agg(F.max("leaves")).first()[0] == (1 if parent == "id - 1" else n // 2)
+
+
+@pytest.mark.parametrize("shape, n, chunk", [("chain", 40, 4), ("bush", 90, 8), ("deep", 80, 5), ("star", 30, 4), ("bush", 60, 65536)])
+def test_states_of_keys_against_walks(spark, monkeypatch, shape, n, chunk):
+    """Intervals are cut into chunks; no rows of a key leave the JVM in one group."""
+    monkeypatch.setattr(tree, "CHUNK_PLACES", chunk)
+    rng = random.Random(n)
+    rows = grown(n, shape, rng)
+    names = [r[1] for r in rows]
+    marks = {(name, "g", pos): rng.choice("ACGT") for pos in (1, 2, 3) for name in rng.sample(names, (n // 2, n // 5, 2)[pos - 1])}
+    found = tree.inherited_state(spark.createDataFrame(rows, NODES), spark.createDataFrame([(*k, v) for k, v in marks.items()], "node string, gene string, pos int, alt string"))
+    up, want = {r[1]: r[2] for r in rows}, {}
+    for pos in (1, 2, 3):
+        for name in names:
+            at = name
+            while at is not None and (at, "g", pos) not in marks:
+                at = up[at]
+            if at is not None:
+                want[name, pos] = marks[at, "g", pos]
+    got = found.collect()
+    assert len(got) == len(want) and {(r["node"], r["pos"]): r["alt"] for r in got} == want
+    assert "Pandas" not in found._jdf.queryExecution().executedPlan().toString()
