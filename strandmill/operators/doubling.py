@@ -3,7 +3,8 @@
 A tree is a table of nodes with their parents. Each round, every node looks at the node
 that its pointer names, takes over what that one knows, and points where that one points;
 so pointers reach twice as far from round to round, and a tree of depth d needs log2(d)
-rounds of joins over all partitions, a chain of 300 000 nodes 19. Rounds are stored.
+rounds of joins over all partitions, a chain of 300 000 nodes 19. Rounds are stored, and
+join by merging: stored nodes are small as files, and broadcast each round they would all pass the driver.
 
 * Down the tree: f(node) = b + a * f(parent), a and b given by node. Composed maps stay
   linear, so a node carries one a and one b for the whole stretch up to its pointer.
@@ -51,11 +52,11 @@ def doubled(nodes: DataFrame, down: dict[str, tuple[Column | None, Column]] | No
 def _round(state: DataFrame, down: dict, up: dict, marks: dict, toggles: dict) -> DataFrame:
     carried = [c for c in state.columns if c[:2] in ("a_", "b_", "w_", "m_")]
     above = state.select("tree_id", F.col("node").alias("jump"), F.col("jump").alias("next"), F.lit(True).alias("found"), *[F.col(c).alias(f"up_{c}") for c in carried])
-    rows = state.join(above, ["tree_id", "jump"], "left")
+    rows = state.join(above.hint("merge"), ["tree_id", "jump"], "left")
     if up or toggles:
         weighted = {n: F.col(f"s_{n}") * F.col(f"w_{n}") if w is not None else F.col(f"s_{n}") for n, (w, _) in up.items()}
         below = state.where("jump is not null").groupBy("tree_id", F.col("jump").alias("node")).agg(*[F.sum(c).alias(f"new_{n}") for n, c in weighted.items()], *[F.bit_xor(f"x_{n}").alias(f"flip_{n}") for n in toggles])
-        rows = rows.join(below, _KEY, "left")
+        rows = rows.join(below.hint("merge"), _KEY, "left")
     out: dict[str, Column] = {}
     for n, (a, _) in down.items():
         share = F.coalesce(F.col(f"up_b_{n}"), F.lit(0))
@@ -85,10 +86,10 @@ def subtree_totals(nodes: DataFrame, rows: DataFrame, by: list[str], values: lis
         active = pointers.where("jump is not null")
         if active.isEmpty():
             break
-        moved = totals.join(active, _KEY).select("tree_id", F.col("jump").alias("node"), *by, *values)
+        moved = totals.join(active.hint("merge"), _KEY).select("tree_id", F.col("jump").alias("node"), *by, *values)
         ahead = stored(totals.select(*keys, *values).unionByName(moved).groupBy(*keys).agg(*[F.sum(v).alias(v) for v in values]), "doubling")
         further = pointers.select("tree_id", F.col("node").alias("jump"), F.col("jump").alias("next"))
-        onward = stored(pointers.join(further, ["tree_id", "jump"], "left").select(*_KEY, F.col("next").alias("jump")), "doubling")
+        onward = stored(pointers.join(further.hint("merge"), ["tree_id", "jump"], "left").select(*_KEY, F.col("next").alias("jump")), "doubling")
         forget(totals)
         forget(pointers)
         totals, pointers = ahead, onward

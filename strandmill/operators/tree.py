@@ -62,7 +62,7 @@ def tree_frame(spark: SparkSession, records: list[dict], tree_id: str = "tree")
 def _with_leaf(nodes: DataFrame) -> DataFrame:
     """Nodes with ``_sm_leaf``, 1 for nodes that are nobody's parent."""
     parents = nodes.where("parent is not null").select("tree_id", F.col("parent").alias("node")).distinct().withColumn("_sm_leaf", F.lit(0))
-    return nodes.join(parents, ["tree_id", "node"], "left").withColumn("_sm_leaf", F.coalesce("_sm_leaf", F.lit(1)).cast("long"))
+    return nodes.join(parents.hint("merge"), ["tree_id", "node"], "left").withColumn("_sm_leaf", F.coalesce("_sm_leaf", F.lit(1)).cast("long"))
 
 
 def _length(nodes: DataFrame) -> Column:
@@ -89,10 +89,10 @@ def placed(nodes: DataFrame) -> DataFrame:
     known = _with_leaf(own)
     one = F.lit(1).cast("long")
     sized = doubling.doubled(known, down={"steps": (None, one), "div": (None, _length(known))}, up={"size": (None, one), "leaves": (None, F.col("_sm_leaf"))})
-    ranked = own.select("tree_id", "node", "parent", *({by} - {"node"})).join(sized, ["tree_id", "node"])
+    ranked = own.select("tree_id", "node", "parent", *({by} - {"node"})).join(sized.hint("merge"), ["tree_id", "node"])
     ranked = ranked.withColumn("_sm_ahead", _earlier(ranked, by, "size") + 1)
     place = doubling.doubled(ranked, down={"lo": (None, F.col("_sm_ahead"))})
-    both = own.join(sized, ["tree_id", "node"]).join(place, ["tree_id", "node"])
+    both = own.join(sized.hint("merge"), ["tree_id", "node"]).join(place.hint("merge"), ["tree_id", "node"])
     lo = F.col("lo") - 1
     return both.select(*kept, (F.col("steps") - 1).cast("int").alias("depth"), lo.alias("lo"), (lo + F.col("size") - 1).alias("hi"), "leaves", "div")
 
@@ -173,9 +173,9 @@ def nearest(at: DataFrame, marks: DataFrame, by: list[str] = ()) -> DataFrame:
     if not by:
         found = doubling.doubled(at.select("tree_id", "node", "parent").join(marks.select("node", "value"), "node", "left"), marks={"value": F.col("value")})
         return found.where("value is not null").select("node", "value")
-    marked = marks.select("node", *by, "value").join(at.select("tree_id", "node", "lo", "hi"), "node")
+    marked = marks.select("node", *by, "value").join(at.select("tree_id", "node", "lo", "hi").hint("merge"), "node")
     spread = _segments(marked, by).select("tree_id", *by, "value", F.explode(F.sequence("start", "end")).alias("lo"))
-    return spread.join(at.select("tree_id", "lo", "node"), ["tree_id", "lo"]).select("node", *by, "value")
+    return spread.join(at.select("tree_id", "lo", "node").hint("merge"), ["tree_id", "lo"]).select("node", *by, "value")
 
 
 def _segments(marked: DataFrame, by: list[str]) -> DataFrame:
@@ -288,14 +288,14 @@ def layout(nodes: DataFrame) -> DataFrame:
     by = "pre" if "pre" in nodes.columns else "node"
     rows = _with_leaf(nodes.select("tree_id", "node", "parent", *({by} - {"node"})))
     leaves = doubling.doubled(rows, up={"leaves": (None, F.col("_sm_leaf"))})
-    ranked = rows.join(leaves, ["tree_id", "node"])
+    ranked = rows.join(leaves.hint("merge"), ["tree_id", "node"])
     own, every = W.partitionBy("tree_id", "parent").orderBy(by), W.partitionBy("tree_id", "parent")
     place, many = F.row_number().over(own), F.count(F.lit(1)).over(every)
     share = F.when(many == 1, 1.0).when((place == 1) | (place == many), 0.5).otherwise(0.0)
     ranked = stored(ranked.withColumns({"share": share, "ahead": _earlier(ranked, by, "leaves")}), "layout")
     before = doubling.doubled(ranked, down={"before": (None, F.col("ahead"))})
     total = ranked.groupBy("tree_id").agg(F.sum("_sm_leaf").alias("tips"))
-    tips = ranked.join(before, ["tree_id", "node"]).join(total, "tree_id")
+    tips = ranked.join(before.hint("merge"), ["tree_id", "node"]).join(total, "tree_id")
     height = F.when(F.col("_sm_leaf") == 1, (F.col("tips") - F.col("before")).cast("double")).otherwise(0.0)
     return doubling.doubled(tips, up={"y": (F.col("share"), height)})
 

@@ -117,3 +117,12 @@ def test_states_of_keys_against_walks(spark, monkeypatch, shape, n, chunk):
     got = found.collect()
     assert len(got) == len(want) and {(r["node"], r["pos"]): r["alt"] for r in got} == want
     assert "Pandas" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rounds_send_no_nodes_to_the_driver(spark):
+    nodes = spark.createDataFrame(grown(50, "bush", random.Random(3)), NODES)
+    state = nodes.select("tree_id", "node", F.col("parent").alias("jump"), F.lit(1.0).alias("s_n"), F.lit(1.0).alias("b_d"))
+    one = (None, F.lit(1.0))
+    df = doubling._round(state, {"d": one}, {"n": one}, {}, {})
+    assert df.count() == 50
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
