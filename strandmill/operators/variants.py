@@ -64,13 +64,18 @@ def translated_calls(calls: DataFrame, features: DataFrame, reference: DataFrame
     together; all letters without a call are the reference's. Synonymous codons drop
     out. Of several calls of one place the greatest letter counts; calls outside all
     features, or in a codon that is not whole, change nothing. Null samples are one sample.
+    Samples are dealt over as many numbers as there are partitions, and parts and codons,
+    which a genome bounds, are repeated for each: most calls share one chromosome and bucket.
     """
-    found = calls.select("chrom", "sample", (F.col("pos") - 1).cast("long").alias("at"), "alt").where("at >= 0").withColumn("bucket", F.floor(F.col("at") / BUCKET))
-    inside = found.join(_bucketed(_parts(features)), ["chrom", "bucket"]).where((F.col("at") >= F.col("start")) & (F.col("at") < F.col("end")))
+    deals = int(calls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    deal = F.pmod(F.xxhash64("sample"), F.lit(deals)).cast("int").alias("deal")
+    every = F.explode(F.sequence(F.lit(0), F.lit(deals - 1))).alias("deal")
+    found = calls.select("chrom", "sample", (F.col("pos") - 1).cast("long").alias("at"), "alt").where("at >= 0").withColumn("bucket", F.floor(F.col("at") / BUCKET)).select("*", deal)
+    inside = found.join(_bucketed(_parts(features)).select("*", every), ["chrom", "bucket", "deal"]).where((F.col("at") >= F.col("start")) & (F.col("at") < F.col("end")))
     place = F.col("before") + F.when(F.col("strand") < 0, F.col("end") - 1 - F.col("at")).otherwise(F.col("at") - F.col("start"))
     keyed = inside.select("chrom", "sample", "feature", "strand", F.floor(place / 3).cast("int").alias("codon"), (place % 3).alias("third"), "alt")
     touched = keyed.groupBy("chrom", "sample", "feature", "codon").agg(F.min("strand").alias("strand"), *[F.max(F.when(F.col("third") == i, F.col("alt"))).alias(f"alt{i}") for i in range(3)])
-    both = touched.join(reference_codons(reference, features), ["chrom", "feature", "codon"])
+    both = touched.select("*", deal).join(reference_codons(reference, features).select("*", every), ["chrom", "feature", "codon", "deal"])
     letters = [F.when(F.col("strand") < 0, reverse_complement(F.col(f"alt{i}"))).otherwise(F.col(f"alt{i}")) for i in range(3)]
     made = F.concat(*[F.coalesce(letter, F.substring("letters", i + 1, 1)) for i, letter in enumerate(letters)])
     changed = both.select("chrom", "sample", "feature", (F.col("codon") + 1).alias("pos"), _letter(F.col("letters")).alias("ref"), _letter(made).alias("alt"))

@@ -85,3 +85,31 @@ def test_names_with_two_sequences_fail(spark):
     with pytest.raises(Exception, match="different sequences: a"):
         alignment.collapsed(rows.unionByName(spark.createDataFrame([("a", "ACC")], rows.schema))).collect()
     assert [tuple(r) for r in alignment.repeated_names(rows.where("id is not null"), rows.where("id = 'b'")).orderBy("id").collect()] == [("a", 2), ("b", 2)]
+
+
+def test_calls_of_one_chromosome_meet_features_in_many_tasks(spark, monkeypatch):
+    """Calls near each other share chromosome and bucket, which is one task without samples."""
+    broadcast, adaptive = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled"
+    kept = {name: spark.conf.get(name) for name in (broadcast, adaptive)}
+    tasks = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def passed(alt):
+        from pyspark import TaskContext
+
+        tasks.add(1 << (16 * TaskContext.get().partitionId()))
+        return alt
+
+    monkeypatch.setattr(variants, "_letter", lambda codon, real=variants._letter: real(passed(codon)))
+    try:
+        for name, value in ((broadcast, "-1"), (adaptive, "false")):
+            spark.conf.set(name, value)
+        calls = spark.range(400).select(F.lit("c").alias("chrom"), F.col("id").cast("string").alias("sample"), F.lit(2).alias("pos"), F.lit("C").alias("alt"))
+        features = spark.createDataFrame([("c", "f", 0, 6, 1)], FEATURES)
+        reference = spark.createDataFrame([("c", "AAAAAA")], "chrom string, sequence string")
+        found = variants.translated_calls(calls, features, reference).collect()
+    finally:
+        for name, value in kept.items():
+            spark.conf.set(name, value)
+    assert {tuple(r)[2:] for r in found} == {("f", 1, "K", "T")} and len(found) == 400
+    assert sum((tasks.value >> (16 * i)) & 0xFFFF > 0 for i in range(4)) > 1
