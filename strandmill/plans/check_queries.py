@@ -143,6 +143,15 @@ def _table(spark, tables, head, df, name, *values):
     return _lines(spark.createDataFrame([(i - len(head), h) for i, h in enumerate(head)], "ord long, value string").unionByName(body), tables, name)
 
 
+def _parts(tables, df, name, *values, head=None):
+    """A folder of tab-separated part files of ``values`` of ``df``, one a task and in no order,
+    each with the header line, if one is given: large tables are neither sorted nor met in one task."""
+    path = tables.fresh(name)
+    named = [v.cast("string").alias(n) for v, n in zip(values, head or [f"_c{i}" for i in range(len(values))], strict=True)]
+    df.select(*named).write.csv(path, sep="\t", header=head is not None)
+    return path
+
+
 @query("file_gff", "SELECT n_name AS name, 'gene' AS type, n_nationkey * 30 AS start, n_nationkey * 30 + 15 + n_regionkey AS \"end\", CASE WHEN n_regionkey % 2 = 0 THEN 1 ELSE -1 END AS strand, 780 AS extent, n_regionkey % 3 <> 0 AS wrong FROM nation")
 def file_gff(spark, tables):
     """Genes of an annotation, the extent that directive and region agree on, and lengths that are no codons."""
@@ -173,15 +182,15 @@ def file_annotations(spark, tables):
 
 @query("file_titers", "SELECT 't' || l_partkey AS test, 'r' || l_suppkey AS ref, 's' || l_linenumber AS serum, l_returnflag AS source, l_quantity::DOUBLE * CASE l_linestatus WHEN 'F' THEN 1 ELSE 2 END AS titer FROM lineitem WHERE l_returnflag <> 'R'")
 def file_titers(spark, tables):
-    df = tables("lineitem").withColumn("ord", F.col("l_orderkey"))
+    df = tables("lineitem")
     text = F.when(F.col("l_linestatus") == "F", F.col("l_quantity").cast("double").cast("string")).otherwise((F.col("l_quantity").cast("double") * 2).cast("string"))
-    path = _table(spark, tables, [], df, "titers.tsv", F.concat(F.lit("t"), "l_partkey"), F.concat(F.lit("r"), "l_suppkey"), F.concat(F.lit("s"), "l_linenumber"), F.col("l_returnflag"), text)
+    path = _parts(tables, df, "titers.tsv", F.concat(F.lit("t"), "l_partkey"), F.concat(F.lit("r"), "l_suppkey"), F.concat(F.lit("s"), "l_linenumber"), F.col("l_returnflag"), text)
     return readers.read_titer_table(spark, path, ["R"])
 
 
 @query("file_measurements", "SELECT 'e' || event_id AS strain, value, event_type AS type FROM events")
 def file_measurements(spark, tables):
-    path = _table(spark, tables, ["type\tvalue\tname"], tables("events").withColumn("ord", F.col("event_id")), "measurements.tsv", F.col("event_type"), F.col("value"), F.concat(F.lit("e"), "event_id"))
+    path = _parts(tables, tables("events"), "measurements.tsv", F.col("event_type"), F.col("value"), F.concat(F.lit("e"), "event_id"), head=["type", "value", "name"])
     return readers.read_collection(spark, path, "name")
 
 

@@ -33,3 +33,21 @@ def test_tips_of_site_frequencies_stay_off_the_driver(spark):
     assert {(r["base"], round(r["frequency"], 6)) for r in df.collect()} == {("A", 0.25), ("C", 0.75)}
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin [tip#" in plan and "BroadcastHashJoin [tip#" not in plan
+
+
+def test_large_files_are_written_by_all_tasks(spark, tmp_path):
+    from strandmill.plans import catalog
+
+    rows = spark.range(300).select(F.col("id").alias("l_orderkey"), F.col("id").alias("l_partkey"), F.col("id").alias("l_suppkey"), F.lit(1).alias("l_linenumber"), F.lit("A").alias("l_returnflag"), F.lit(2.0).alias("l_quantity"), F.lit("F").alias("l_linestatus"))
+    rows.repartition(3).write.parquet(f"{tmp_path}/lineitem.parquet")
+    events = spark.range(300).select(F.col("id").alias("event_id"), F.lit("view").alias("event_type"), (F.col("id") / 4).alias("value"))
+    events.repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    kept = spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "128MB")
+        for name in ("file_titers", "file_measurements"):
+            found = catalog.QUERIES[name](spark, str(tmp_path))
+            assert found.distinct().count() == found.count() == 300
+            assert len(found.inputFiles()) == 3
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", kept)
