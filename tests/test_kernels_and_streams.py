@@ -111,6 +111,24 @@ def test_weighted_distances_with_runs_of_gaps(spark):
         assert found == {k: pytest.approx(v) for k, v in want.items()}
 
 
+def test_sites_of_equal_pairs_are_compared_once(spark, monkeypatch):
+    compared, real = spark.sparkContext.accumulator(0), distance.differing_sites
+
+    @F.udf("string")
+    def counted(a):
+        compared.add(1)
+        return a
+
+    monkeypatch.setattr(distance, "differing_sites", lambda pairs, ignored: real(pairs.withColumn("a", counted("a")), ignored))
+    kinds = [("AC-G", "ACTG", 1.5), ("ACGT", "AAAA", 4.5), ("A", None, 0.0), (None, "A", 0.0), ("", "", 0.0)]
+    rows = [(str(i), f"x{i}", "g", *kinds[i % 5][:2]) for i in range(300)]
+    df = spark.createDataFrame(rows, "first string, second string, gene string, a string, b string")
+    found = {int(r["first"]): r["distance"] for r in distance.pair_distances(df, distance.DistanceMap(1.5)).collect()}
+    assert found == {i: kinds[i % 5][2] for i in range(300)}
+    # Expressions may be evaluated several times for a row, but not for every pair.
+    assert compared.value <= 50
+
+
 def test_lines_keep_their_numbers_over_partitions(spark, tmp_path):
     path = str(tmp_path / "in")
     for part in range(3):
