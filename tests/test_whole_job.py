@@ -51,3 +51,25 @@ def test_large_files_are_written_by_all_tasks(spark, tmp_path):
             assert len(found.inputFiles()) == 3
     finally:
         spark.conf.set("spark.sql.files.openCostInBytes", kept)
+
+
+def test_texts_reach_python_in_bounded_batches(spark, tmp_path):
+    from strandmill import session
+    from strandmill.plans import catalog
+
+    spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), 3000).alias("text")).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    kept = spark.conf.getAll.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    try:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+        assert catalog.QUERIES["curate_normalize"](spark, str(tmp_path)).count() == 3000
+
+        @F.pandas_udf("long")
+        def held(values):
+            return values.str.len() * 0 + int(values.str.len().sum())
+
+        most = spark.read.parquet(f"{tmp_path}/documents.parquet").select(F.max(held("text"))).first()[0]
+        assert most <= 2 * session.BATCH_BYTES
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+        if kept is not None:
+            spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", kept)
