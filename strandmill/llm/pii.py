@@ -29,7 +29,7 @@ Span = tuple[str, int, int]
 
 #: Characters of a window and of two windows' overlap, windows to a call of the network,
 #: and characters whose emissions are held at once.
-WINDOW, OVERLAP, PER_CALL, HELD = 540, 36, 400, 400_000
+WINDOW, OVERLAP, PER_CALL, HELD = 540, 36, 1000, 400_000
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
@@ -112,7 +112,7 @@ def _blended(model: Tagger, texts: list[np.ndarray]) -> np.ndarray:
     even = -(-len(places) // -(-len(places) // PER_CALL))
     for start in range(0, len(places), even):
         some = places[start : start + even]
-        x = np.full((len(some), some[0][0]), tagger.PADDING, np.int64)
+        x = np.full((len(some), some[0][0]), tagger.PADDING, np.uint8)
         for row, (n, at, _, _) in enumerate(some):
             x[row, :n] = line[at : at + n]
         for emit, (n, at, led, followed) in zip(model.emissions(x, np.array([n for n, *_ in some])), some, strict=True):
@@ -125,22 +125,11 @@ def _blended(model: Tagger, texts: list[np.ndarray]) -> np.ndarray:
 
 
 def _decoded(model: Tagger, emits: list[np.ndarray], ended: list[bool]) -> list[np.ndarray]:
-    """Tag paths of stretches of texts. Those that do not end their text have the tag
-    outside behind them, which pads them to a common length."""
-    tags: list[np.ndarray] = [np.empty(0, np.int64)] * len(emits)
-    order = sorted(range(len(emits)), key=lambda i: (ended[i], len(emits[i])))
-    at = 0
-    while at < len(order):
-        length = len(emits[order[at]])
-        group = [i for i in order[at : at + max(1, 60_000 // length)] if ended[i] == ended[order[at]] and len(emits[i]) <= (length if ended[i] else 2 * length + 32)]
-        at += len(group)
-        padded = np.empty((len(group), len(emits[group[-1]]) + (not ended[group[0]]), tagger.TAGS), np.float32)
-        padded[:] = _FIXED
-        for row, i in enumerate(group):
-            padded[row, : len(emits[i])] = emits[i]
-        for i, path in zip(group, model.decode(padded), strict=True):
-            tags[i] = path[: len(emits[i])]
-    return tags
+    """Tag paths of stretches of texts. Those that do not end their text have the tag outside behind them."""
+    if not emits:
+        return []
+    paths = model.paths([emit if last else np.concatenate([emit, _FIXED]) for emit, last in zip(emits, ended, strict=True)])
+    return [path[: len(emit)] for path, emit in zip(paths, emits, strict=True)]
 
 
 def _blended_part(model: Tagger, text: str, low: int, high: int) -> np.ndarray:
@@ -200,7 +189,7 @@ def _spans_of_long(model: Tagger, text: str) -> list[Span]:
 
 def _read(text: str, start: int, tags: np.ndarray) -> list[Span]:
     """Spans of a tag path, without blanks at their ends, that can be values of their kind."""
-    out, marked = [], np.flatnonzero(tags)
+    out, marked, tags = [], np.flatnonzero(tags).tolist(), tags.tolist()
     at = 0
     while at < len(marked):
         first = marked[at]
@@ -212,7 +201,7 @@ def _read(text: str, start: int, tags: np.ndarray) -> list[Span]:
         value = text[low:high]
         low, high = low + len(value) - len(value.lstrip()), high - len(value) + len(value.rstrip())
         if low < high and possible(KINDS[kind], text[low:high]):
-            out.append((KINDS[kind], int(low), int(high)))
+            out.append((KINDS[kind], low, high))
         at = last + 1
     return out
 
