@@ -29,7 +29,7 @@ Span = tuple[str, int, int]
 
 #: Characters of a window and of two windows' overlap, windows to a call of the network,
 #: and characters whose emissions are held at once.
-WINDOW, OVERLAP, PER_CALL, HELD = 540, 36, 1000, 400_000
+WINDOW, OVERLAP, PER_CALL, HELD = 540, 36, 1000, 300_000
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
