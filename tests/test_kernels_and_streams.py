@@ -82,6 +82,32 @@ def test_dated_pairs_are_dealt_over_tasks(spark, monkeypatch):
     assert len({r["task"] for r in found}) == 4
 
 
+def shuffled_rows(spark, after=-1):
+    """Rows that stages after a stage's number have shuffled, and the last stage's number."""
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty()
+    none = spark.sparkContext._jvm.java.util.ArrayList()
+    quantiles = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+    stages = context.statusStore().stageList(none, False, False, quantiles, none)
+    found = {(s := stages.apply(i)).stageId(): s.shuffleWriteRecords() for i in range(stages.size())}
+    return sum(n for stage, n in found.items() if stage > after), max(found, default=-1)
+
+
+def test_dated_pairs_shuffle_each_tip_once(spark, monkeypatch):
+    monkeypatch.setattr(distance, "BLOCK_TIPS", 16)
+    # A node without a name is a tip like others.
+    tips = spark.range(800).select(F.expr("nullif(id, 7)").alias("node"), (2000 + F.col("id") / 100).alias("num_date")).cache()
+    tips.count()
+    _, last = shuffled_rows(spark)
+    found = distance.dated_pairs(tips, 2004.0, 2000.0).collect()
+    rows, _ = shuffled_rows(spark, last)
+    tips.unpersist()
+    assert len(found) == len(set(found)) == 400 * 400
+    assert {r["first"] for r in found} == {None, *range(400)} - {7} and {r["second"] for r in found} == set(range(400, 800))
+    # Before, later tips were repeated for each of 25 blocks; the rest are rows of a count.
+    assert 800 <= rows <= 800 + 8
+
+
 def walked(a, b, gene, sites, ignored):
     """A pair's distance letter by letter."""
     total, run = 0.0, []
