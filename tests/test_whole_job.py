@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandmill.operators import frequencies, sampling
+from strandmill.operators import distance, frequencies, sampling
+from strandmill.plans import catalog
 
 
 def test_diffusion_counts_every_observation(spark):
@@ -73,3 +74,20 @@ def test_texts_reach_python_in_bounded_batches(spark, tmp_path):
         spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
         if kept is not None:
             spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", kept)
+
+
+def test_later_orders_meet_all_earlier_ones(spark):
+    folder = "/root/testdata/sf0.001"
+    later = spark.read.parquet(f"{folder}/orders.parquet").groupBy(F.col("o_orderdate") >= F.lit("1998-07-29").cast("date")).count()
+    sizes = {bool(r[0]): r["count"] for r in later.collect()}
+    found = catalog.QUERIES["distance_pairs_window"](spark, folder)
+    counts = found.agg(F.count("*"), F.countDistinct("first"), F.countDistinct("second")).first()
+    assert tuple(counts) == (sizes[False] * sizes[True], sizes[False], sizes[True])
+
+
+def test_dated_pairs_without_an_earliest_date(spark):
+    tips = spark.createDataFrame([("a", 1900.0), ("b", 1999.9), ("c", 2000.0), ("d", 2001.0), ("e", None)], "node string, num_date double")
+    pairs = lambda *dates: sorted(map(tuple, distance.dated_pairs(tips, *dates).collect()))
+    assert pairs(2000.0) == [("a", "c"), ("a", "d"), ("b", "c"), ("b", "d")]
+    assert pairs(2000.0, 1999.0) == [("b", "c"), ("b", "d")]
+    assert pairs(1800.0) == pairs(2002.0) == []
